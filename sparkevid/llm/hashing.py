@@ -65,6 +65,21 @@ def words(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def words_in_parts(buffer: np.ndarray, part: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and symbols of the words; a long buffer goes in parts that end at white space."""
+    found, lo = [], 0
+    while lo < len(buffer):
+        hi = min(len(buffer), lo + part)
+        while hi < len(buffer) and not _SPACE[buffer[hi]]:
+            hi += 1
+        start, end = words(buffer[lo:hi])
+        found.append((start + lo, end + lo, word_symbols(buffer[lo:hi], start, end)))
+        lo = hi
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def word_symbols(buffer: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit symbol for each word."""
     return Names(BYTES[buffer], BASES[0]).spans(start, end) + (end - start).astype(np.uint64)

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .substring_dedup import op4_substring_dedup
 from .suffix_dedup import op2_suffix_array_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
+    "op4_substring_dedup": op4_substring_dedup,
 }
 ORACLE: dict[str, str] = {}

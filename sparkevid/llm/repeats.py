@@ -123,10 +123,12 @@ def byte_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             part = slice(i, i + 4096)
             seg = [data[x:y].tobytes() for x, y in zip(s[part], e[part], strict=True)]
             cols = {c: flat.field(c).slice(i, 4096) for c in ("n1", "n2", "weight", "q0", "q1")}
-            yield pa.RecordBatch.from_pydict(cols | {c: batch.column(c).take(pa.array(doc[part])) for c in ("k1", "k2")} | {"seg": pa.array(seg, pa.binary())})
+            cols |= {c: batch.column(c).take(pa.array(doc[part])) for c in ("k1", "k2")}
+            yield pa.RecordBatch.from_pydict(cols | {"seg": pa.array(seg, pa.binary()), "skip": pa.array(np.zeros(len(seg), np.int32))})
 
 
-SEGMENT = "n1 long, n2 long, weight int, q0 int, q1 int, k1 long, k2 long, seg binary"
+#: skip: symbols of ``seg`` before the first window.
+SEGMENT = "n1 long, n2 long, weight int, q0 int, q1 int, k1 long, k2 long, seg binary, skip int"
 
 
 def _segment_windows(table: pa.Table, length: int, of_words: bool) -> tuple[np.ndarray, ...]:
@@ -143,7 +145,7 @@ def _segment_windows(table: pa.Table, length: int, of_words: bool) -> tuple[np.n
     n = table.column("q1").to_numpy() - table.column("q0").to_numpy() + 1
     which = np.repeat(np.arange(len(n)), n)
     within = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-    at = first[which] + within
+    at = (first + table.column("skip").to_numpy())[which] + within
     return which, within, *(H.Names(x, b).spans(at, at + length) for b in H.BASES)
 
 
@@ -228,7 +230,7 @@ def repeated_runs(found: DataFrame, length: int, k: int, segments: Callable[[Dat
     paired = whole.join(_twice(whole, "r"), [*_KEYS, "r"], "left").join(_twice(whole, "l"), [*_KEYS, "l"], "left")
     no_right, no_left = (F.col(c).isNotNull() & F.col(f"{c}_twice").isNull() for c in "rl")
     trimmed = paired.select(
-        *_KEYS, "k1", "k2", "weight",
+        *_KEYS, "k1", "k2", "weight", "a", "p0",
         F.when(no_left, F.greatest("p0", F.col("a") - (k - 1))).otherwise(F.col("p0")).alias("q0"),
         F.when(no_right, F.least("p1", F.col("a") - (length - 2 * k) - 1)).otherwise(F.col("p1")).alias("q1"),
     ).where("q0 <= q1")

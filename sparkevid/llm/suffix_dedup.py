@@ -29,8 +29,8 @@ def repeated_spans(documents: DataFrame, length: int = 400) -> DataFrame:
     def segments(wanted: DataFrame) -> DataFrame:
         one = F.struct("n1", "n2", "weight", "q0", "q1", (F.col("q1") + length).alias("e"))
         wanted = wanted.groupBy("k1", "k2").agg(F.collect_list(one).alias("wanted"))
-        once = rows.join(wanted, ["k1", "k2"])
-        return once.mapInArrow(on_executors("repeats", "byte_segments"), repeats.SEGMENT).dropDuplicates(["k1", "k2", "n1", "n2", "q0"])
+        # A repeated row comes twice, but its contexts have weight 2, and of those a further one changes nothing.
+        return rows.join(wanted, ["k1", "k2"]).mapInArrow(on_executors("repeats", "byte_segments"), repeats.SEGMENT)
 
     return written(repeats.spans(repeats.repeated_runs(found, length, k, segments, False)), "spans")
 
