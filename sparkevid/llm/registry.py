@@ -6,11 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .html_text import op9_html_extraction
+from .packing import op1_best_fit_packing
+from .quality_rules import op3_quality_rules
+from .sentencepiece_codec import op7_sentencepiece_codec
+from .simhash import op8_simhash_near_dedup
 from .substring_dedup import op4_substring_dedup
 from .suffix_dedup import op2_suffix_array_dedup
+from .token_counts import op5_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
+    "op3_quality_rules": op3_quality_rules,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_token_counts": op5_token_counts,
+    "op7_sentencepiece_codec": op7_sentencepiece_codec,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_html_extraction": op9_html_extraction,
 }
 ORACLE: dict[str, str] = {}

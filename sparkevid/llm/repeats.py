@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .runtime import on_executors, written
+from .runtime import dropped, on_executors, written
 
 #: Contexts of one anchor name that one task may hold; each is below 2 L symbols.
 HOT = 8192
@@ -217,10 +217,11 @@ def _twice(rows: DataFrame, side: str) -> DataFrame:
 
 
 def repeated_runs(found: DataFrame, length: int, k: int, segments: Callable[[DataFrame], DataFrame], of_words: bool) -> DataFrame:
-    """Runs (k1, k2, s, e) covered by repeated windows; ``found``: written contexts, ``segments`` adds their symbols."""
+    """Runs (k1, k2, s, e) covered by repeated windows; ``found``: written contexts, dropped here, ``segments`` adds their symbols."""
     small = [c.split()[0] for c in CONTEXT.split(", ")]
     ranks = found.groupBy(*_KEYS).agg(F.count("*").alias("times"), ((F.min("f1") == F.max("f1")) & (F.min("f2") == F.max("f2"))).alias("same"))
-    alive = written(found.select(*small).join(ranks.where("times >= 2").drop("times"), _KEYS), "alive")
+    ranks = written(ranks.where("times >= 2").drop("times"), "ranks")  # written, for Spark splits a hot rank only where plain shuffles meet
+    alive = written(found.select(*small).join(ranks.hint("merge"), _KEYS), "alive")
     place = F.struct("k1", "k2", "a", "p0", "p1", "r", "l")
     whole = alive.where("not same").groupBy(*_KEYS, "f1", "f2").agg(F.count("*").alias("times"), F.min(place).alias("x"))
     whole = written(whole.select(*_KEYS, "f1", "f2", F.least("times", F.lit(2)).cast("int").alias("weight"), "x.*"), "whole")
@@ -236,7 +237,9 @@ def repeated_runs(found: DataFrame, length: int, k: int, segments: Callable[[Dat
     ).where("q0 <= q1")
     trimmed = written(trimmed, "trimmed")
     sizes = trimmed.groupBy(*_KEYS).agg(F.count("*").alias("n"), F.min("weight").alias("least")).where("n >= 2 and least = 1").select(*_KEYS, (F.col("n") > HOT).alias("hot"))
+    sizes = written(sizes, "sizes")
     few = written(segments(trimmed.join(sizes, _KEYS)), "segments")
+    dropped(found, ranks, trimmed)
 
     cold = few.join(sizes.where("hot"), _KEYS, "left_anti").repartition(*_KEYS).sortWithinPartitions(*_KEYS)
     cold = cold.mapInArrow(on_executors("repeats", "ranked_buckets", length, of_words), RUN)

@@ -42,14 +42,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     del df
     gc.collect()
     spark._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete written tables that no later job reads; what was made of them has been written."""
+    for df in tables:
+        _delete(df.sparkSession, df.written_to)
+        _written.remove((df.sparkSession, df.written_to))
 
 
 def _clean() -> None:
     for spark, path in _written:
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may have ended
             return
 

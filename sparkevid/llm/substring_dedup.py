@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import hashing as H
 from . import repeats
-from .runtime import keyed, on_executors, table, written
+from .runtime import dropped, keyed, on_executors, table, written
 
 #: Perfect difference sets, by period.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52)}
@@ -97,10 +97,13 @@ def repeated_spans(documents: DataFrame, length: int = 35) -> DataFrame:
     anchors = written(rows.mapInArrow(on_executors("substring_dedup", "cover_anchors", length), "k1 long, k2 long, names array<long>"), "anchors")
     each = anchors.select("k1", "k2", F.posexplode("names").alias("number", "name"))
     twice = each.groupBy("name").agg(F.count("*").alias("times")).where("times >= 2").select("name")
-    alive = each.join(twice, "name", "left_semi").groupBy("k1", "k2").agg(F.array_distinct(F.collect_list("number")).alias("alive"))
+    twice = written(twice, "twice")  # for Spark splits a hot name only where plain shuffles meet
+    alive = each.join(twice.hint("merge"), "name", "left_semi").groupBy("k1", "k2").agg(F.array_distinct(F.collect_list("number")).alias("alive"))
     alive = written(alive, "alive_anchors")
-    found = rows.join(alive, ["k1", "k2"]).mapInArrow(on_executors("substring_dedup", "word_contexts", length, k), f"{repeats.CONTEXT}, seg binary")
+    dropped(anchors, twice)
+    found = rows.join(alive.hint("merge"), ["k1", "k2"]).mapInArrow(on_executors("substring_dedup", "word_contexts", length, k), f"{repeats.CONTEXT}, seg binary")
     found = written(found, "contexts")
+    dropped(alive)
 
     def segments(wanted: DataFrame) -> DataFrame:
         place = ["k1", "k2", "n1", "n2", "a", "p0"]
@@ -117,7 +120,7 @@ def words(text: Column) -> Column:
 
 def dedup_words(documents: DataFrame, length: int = 35) -> DataFrame:
     """doc_id, text, words, spans (in words) and the words outside spans (``kept``), one row for each input row."""
-    rows = keyed(documents).join(repeated_spans(documents, length), ["k1", "k2"], "left")
+    rows = keyed(documents).join(repeated_spans(documents, length).hint("merge"), ["k1", "k2"], "left")
     rows = rows.withColumn("words", words(F.col("text")))
     ranges = repeats.kept_ranges(F.col("spans"), F.size("words"))
     kept = F.flatten(F.transform(ranges, lambda x: F.slice("words", x["s"] + 1, x["e"] - x["s"])))

@@ -30,7 +30,7 @@ def repeated_spans(documents: DataFrame, length: int = 400) -> DataFrame:
         one = F.struct("n1", "n2", "weight", "q0", "q1", (F.col("q1") + length).alias("e"))
         wanted = wanted.groupBy("k1", "k2").agg(F.collect_list(one).alias("wanted"))
         # A repeated row comes twice, but its contexts have weight 2, and of those a further one changes nothing.
-        return rows.join(wanted, ["k1", "k2"]).mapInArrow(on_executors("repeats", "byte_segments"), repeats.SEGMENT)
+        return rows.join(wanted.hint("merge"), ["k1", "k2"]).mapInArrow(on_executors("repeats", "byte_segments"), repeats.SEGMENT)
 
     return written(repeats.spans(repeats.repeated_runs(found, length, k, segments, False)), "spans")
 
@@ -41,7 +41,7 @@ def _joined(text: Column, ranges: Column) -> Column:
 
 def dedup_bytes(documents: DataFrame, length: int = 400) -> DataFrame:
     """doc_id, text, spans and the bytes outside spans (``kept`` binary), one row for each input row."""
-    rows = keyed(documents).join(repeated_spans(documents, length), ["k1", "k2"], "left")
+    rows = keyed(documents).join(repeated_spans(documents, length).hint("merge"), ["k1", "k2"], "left")
     data = F.col("text").cast("binary")
     kept = F.when(F.col("spans").isNull(), data).otherwise(_joined(data, repeats.kept_ranges(F.col("spans"), F.octet_length("text"))))
     return rows.select("doc_id", "text", "spans", kept.alias("kept"))
@@ -54,7 +54,7 @@ def dedup_texts(documents: DataFrame, length: int = 400) -> DataFrame:
     spans = repeated_spans(documents, length)
     rows = documents.withColumns({"_text": F.coalesce("text", F.lit("")), "_doc": F.col("doc_id").cast("long")})
     rows = rows.withColumns({"_k1": F.coalesce("_doc", F.lit(-1)), "_k2": F.xxhash64("_text", F.col("_doc").isNull())})
-    rows = rows.join(spans.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("spans").alias("_spans")), ["_k1", "_k2"], "left")
+    rows = rows.join(spans.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("spans").alias("_spans")).hint("merge"), ["_k1", "_k2"], "left")
     data = F.col("_text").cast("binary")
 
     def inside(at: Column) -> Column:
