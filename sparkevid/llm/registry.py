@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .html_text import op9_html_extraction
+from .license_scan import ORACLE as LICENSE_SQL
+from .license_scan import op10_license_scan
+from .motion_jpeg import op6_media_columns
 from .packing import op1_best_fit_packing
 from .quality_rules import op3_quality_rules
 from .sentencepiece_codec import op7_sentencepiece_codec
@@ -21,8 +24,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_token_counts": op5_token_counts,
+    "op6_media_columns": op6_media_columns,
     "op7_sentencepiece_codec": op7_sentencepiece_codec,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_html_extraction": op9_html_extraction,
+    "op10_license_scan": op10_license_scan,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op10_license_scan": LICENSE_SQL}
