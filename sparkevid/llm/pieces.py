@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -48,6 +49,20 @@ class Pieces:
     dummy_prefix: bool = True
     alone: frozenset[str] = frozenset()  # white space and control characters that occur in no piece
 
+    def runs(self) -> re.Pattern[str]:
+        """Cuts a text where no piece can lie across: at the start of a row of spaces, around ``alone`` characters, and between signs and
+        others. Signs are the ASCII characters other than letters, with all that stand beside signs in some piece; if these come to
+        include a letter, there are none."""
+        pairs = {(a, b) for n in self.ids for a, b in zip(n, n[1:], strict=False) if SPACE not in (a, b)}
+        apart = {chr(i) for i in range(33, 127) if not chr(i).isalpha()}
+        while joined := {c for a, b in pairs if (a in apart) != (b in apart) for c in (a, b)} - apart:
+            apart |= joined
+        signs = "" if any(c.isalpha() for c in apart) else "".join(sorted(map(re.escape, apart)))
+        stop = "".join(sorted(map(re.escape, self.alone)))
+        if not signs:
+            return re.compile(f"{SPACE}+[^{SPACE}{stop}]*|[^{SPACE}{stop}]+|[{stop}]+")
+        return re.compile(f"{SPACE}*[^{SPACE}{signs}{stop}]+|{SPACE}*[{signs}]+|{SPACE}+|[{stop}]+")
+
     def normalized(self, text: str) -> str:
         """Spaces escaped, with the dummy prefix; an empty text stays empty."""
         if not text:

@@ -2,9 +2,8 @@
 
 An encoding is the segmentation of greatest total score (the library's unigram search; of equal scores the one whose
 last piece is longest, from the right). An unknown character scores 10 below the least piece and becomes its bytes. Scores
-are summed exactly, as integers where the model's are. No piece has a space after another character or holds a control
-character of ``Pieces.alone``, so every path passes the places between, and the runs of a text are solved
-once for each distinct run.
+are summed exactly, as integers where the model's are. No piece lies across the places at which
+``Pieces.runs`` cuts, so every path passes these, and the runs of a text are solved once for each distinct run.
 
 A giant document is split into chunks, rows of their own. State i at a boundary: the last piece covers i characters beyond it.
 
@@ -21,7 +20,8 @@ encoded each for itself; extra columns are not read.
 
 from __future__ import annotations
 
-import re
+import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +36,9 @@ from .runtime import on_executors, table, written
 #: Characters of a chunk; documents of at most one chunk need no scan. Chunks of a block. Runs that are remembered.
 CHUNK = 1 << 16
 BLOCK = 256
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 NONE = np.int64(-(1 << 61))
+_PREFIX, _UNREACHED = -(1 << 62), -(1 << 61)
 
 
 class Codec:
@@ -49,9 +50,14 @@ class Codec:
         self.prefixes = {n[:k] for n in names for k in range(1, len(n))}
         self.unknown = min(s for s, _ in self.piece.values()) - 10 * scale
         self.states = model.longest
-        stop = "".join(sorted(map(re.escape, model.alone)))
-        self.run = re.compile(f"{pieces.SPACE}+[^{pieces.SPACE}{stop}]*|[^{pieces.SPACE}{stop}]+|[{stop}]+")
-        self.known: dict[str, list[int]] = {}
+        self.run = model.runs()
+        self.scores = {p: _PREFIX for p in self.prefixes} | {n: s for n, (s, _) in self.piece.items()}
+        self.known: dict[str, bytes] = {}
+        low = {i: chr(b) for b, i in model.byte_ids.items() if b < 128}
+        control = {i for i, k in enumerate(model.kinds) if k == pieces.CONTROL}
+        self.shown = ["" if i in control else low.get(i, n).replace(pieces.SPACE, " ") for i, n in enumerate(model.names)]
+        self.packed = {n: np.array([i], "<i4").tobytes() for n, (_, i) in self.piece.items()}
+        self.high = frozenset(i for b, i in model.byte_ids.items() if b > 127)
 
     def search(self, text: str, n: int, entry: list[int | None]) -> tuple[list[int | None], list[int]]:
         """Best score and last start of each node of ``text``, pieces starting before n only; start -1: an entry state."""
@@ -87,38 +93,64 @@ class Codec:
             end = start[end]
         return [i for p in reversed(parts) for i in self.ids_of(p)], end
 
-    def encode_run(self, run: str) -> list[int]:
-        _, start = self.search(run, len(run), [0])
-        return self.trace(run, start, len(run))[0]
-
-    def encode(self, text: str) -> list[int]:
-        """Ids of a normalised text of at most a chunk."""
-        out: list[int] = []
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        for run in self.run.findall(text):
-            ids = self.known.get(run)
-            if ids is None:
-                ids = self.known[run] = self.encode_run(run)
-            out += ids
-        return out
+    def encode_run(self, run: str) -> bytes:
+        """As ``search`` and ``trace`` of a whole run, in one table of pieces and their beginnings; ids as in ``encode``."""
+        whole = self.packed.get(run)
+        get, n = self.scores.get, len(run)
+        if whole and n == 1:
+            return whole
+        best, start = [_UNREACHED] * (n + 1), [0] * (n + 1)
+        best[0] = 0
+        for s in range(n):
+            so_far = best[s]
+            e = s + 1
+            score = get(run[s])
+            if score is None or score == _PREFIX:
+                if so_far + self.unknown > best[e]:
+                    best[e], start[e] = so_far + self.unknown, s
+            while score is not None:
+                if so_far + score > best[e]:
+                    best[e], start[e] = so_far + score, s
+                if e == n:
+                    break
+                e += 1
+                score = get(run[s:e])
+        parts = []
+        while n:
+            s = start[n]
+            part = run[s:n]
+            parts.append(self.packed.get(part) or np.array(self.ids_of(part), "<i4").tobytes())
+            n = s
+        parts.reverse()
+        return b"".join(parts)
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a normalised text of at most a chunk, as little-endian 32-bit integers."""
+        runs = self.run.findall(text)
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        for run in set(runs).difference(known):
+            known[run] = self.encode_run(run)
+        return b"".join(map(known.__getitem__, runs))
 
     def decode(self, ids: list[int], first: bool = True) -> str:
         """The text of a part's ids; ``first``: the part begins with the dummy prefix."""
-        kinds, names = self.model.kinds, self.model.names
-        out: list[str] = []
-        held = bytearray()
-        for i in ids:
-            if kinds[i] == pieces.BYTE:
-                held.append(int(names[i][3:5], 16))
-                continue
-            if held:
-                out.append(held.decode(errors="replace"))
-                held.clear()
-            if kinds[i] != pieces.CONTROL:
-                out.append(names[i])
-        out.append(held.decode(errors="replace"))
-        text = "".join(out).replace(pieces.SPACE, " ")
+        if self.high.isdisjoint(ids):
+            text = "".join(map(self.shown.__getitem__, ids))
+        else:
+            out: list[str] = []
+            held = bytearray()
+            for i in ids:
+                if self.model.kinds[i] == pieces.BYTE:
+                    held.append(int(self.model.names[i][3:5], 16))
+                    continue
+                if held:
+                    out.append(held.decode(errors="replace"))
+                    held.clear()
+                out.append(self.shown[i])
+            out.append(held.decode(errors="replace"))
+            text = "".join(out)
         return text[1:] if first and self.model.dummy_prefix and text.startswith(" ") else text
 
     def bounds(self, text: str, n: int) -> tuple[int, int]:
@@ -180,13 +212,21 @@ def codec(path: str) -> Codec:
 PART = "doc_id long, row long, part long, parts long, ids array<int>, chunk string, n int, matrix binary"
 
 
+def id_lists(ids: list[bytes | None]) -> pa.Array:
+    """array<int> from packed ids; null for None."""
+    sizes = np.fromiter((len(x) // 4 if x else 0 for x in ids), np.int64, len(ids))
+    ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    values = pa.array(np.frombuffer(b"".join(x for x in ids if x), "<i4"))
+    return pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array([x is None for x in ids]))
+
+
 def first_pass(batches: Iterator[pa.RecordBatch], path: str, size: int) -> Iterator[pa.RecordBatch]:
     c = codec(path)
     names = [x.split()[0] for x in PART.split(", ")]
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.string(), pa.int32(), pa.binary())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), None, pa.string(), pa.int32(), pa.binary())
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({k: pa.array(v, t) for k, v, t in zip(names, zip(*rows, strict=True), kinds, strict=True)})
+        return pa.RecordBatch.from_pydict({k: id_lists(v) if t is None else pa.array(v, t) for k, v, t in zip(names, zip(*rows, strict=True), kinds, strict=True)})
 
     for batch in batches:
         rows: list[tuple] = []
@@ -348,13 +388,35 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "row", "part", "parts", "ids").mapInArrow(on_executors("sentencepiece_codec", "decoded", path), schema)
 
 
+DIGEST = "doc_id long, n_tokens long, ids_crc32 long, decoded_chars long, decoded_sha256 string"
+
+
+def digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """doc_id and the ids of its parts in order (array of arrays) to figures of the ids and of the text that they decode to."""
+    c = codec(path)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+    names = [x.split()[0] for x in DIGEST.split(", ")]
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            rows = []
+            for doc, parts in zip(part.column("doc_id").to_pylist(), part.column("parts"), strict=True):
+                n = crc = chars = 0
+                sha = hashlib.sha256()
+                for k, x in enumerate(parts.values):
+                    ids = x.values.to_numpy(zero_copy_only=False).astype("<i4") if len(x.values) else np.empty(0, "<i4")
+                    text = c.decode(ids.tolist(), k == 0)
+                    n, crc, chars = n + len(ids), zlib.crc32(ids.tobytes(), crc), chars + len(text)
+                    sha.update(text.encode())
+                rows.append((doc, n, crc, chars, sha.hexdigest()))
+            yield pa.RecordBatch.from_pydict({m: pa.array(v, k) for m, v, k in zip(names, zip(*rows, strict=True), kinds, strict=True)})
+
+
 def op7_sentencepiece_codec(spark, sf_dir: str) -> DataFrame:
-    """Per document: number and CRC-32 of its ids (as decimal strings, comma-separated), and length and hash of the text that these decode to."""
+    """Per document: number and CRC-32 of its ids (little-endian, 32 bits), and characters and SHA-256 of the text that these decode to."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    parts = decode(encode(table(spark, sf_dir, "documents"), path), path)
-    parts = parts.select("doc_id", "row", "part", F.size("ids").cast("long").alias("n"), F.array_join("ids", ",").alias("ids"), "text", (F.col("parts") == 1).alias("whole"))
-    digest = lambda ids, text, n: (n.alias("n_tokens"), F.crc32(ids.cast("binary")).alias("ids_crc32"), F.length(text).cast("long").alias("decoded_chars"), F.sha2(text.cast("binary"), 256).alias("decoded_sha256"))
-    one = parts.where("whole").select("doc_id", *digest(F.col("ids"), F.col("text"), F.col("n")))
-    many = parts.where("not whole").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("part", "ids", "text"))).alias("x"), F.sum("n").alias("n"))
-    many = many.select("doc_id", *digest(F.array_join("x.ids", ","), F.array_join("x.text", ""), F.col("n")))
-    return one.unionByName(many)
+    parts = encode(table(spark, sf_dir, "documents"), path)
+    one = parts.where("parts = 1").select("doc_id", F.array("ids").alias("parts"))
+    many = parts.where("parts > 1").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("part", "ids"))).alias("x"))
+    many = many.select("doc_id", F.col("x.ids").alias("parts"))
+    return one.unionByName(many).mapInArrow(on_executors("sentencepiece_codec", "digests", path), DIGEST)

@@ -1,7 +1,7 @@
 """Token counts by rank-synchronous merging, as a SentencePiece BPE model gives them.
 
-No piece has a space after another character, so a text falls into pre-tokens at the starts of its spaces, and at control
-characters that no piece holds; merges never cross these. New pre-tokens of a batch are held in one ragged numpy array. In each
+No piece has a space after another character or a sign beside a letter, so a text falls into pre-tokens at the starts of its
+spaces, between letters and signs, and at control characters that no piece holds (``Pieces.runs``); merges never cross these. New pre-tokens of a batch are held in one ragged numpy array. In each
 round every sequence merges its pair of lowest rank, the leftmost of equal ones; sequences without a pair leave, and
 what is left of them is counted: one token for a piece, one for each byte of a character that is none. Counts
 of recent pre-tokens are kept between batches, up to a bound. A pre-token of more than LONG symbols, for which rounds over
@@ -13,7 +13,6 @@ Null and empty texts have no tokens. Repeated rows are counted each for itself;
 from __future__ import annotations
 
 import heapq
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,8 +48,7 @@ class Merger:
         found.sort()
         self.pair, self.rank, self.merged = (np.array(x, np.int64) for x in zip(*found, strict=True))
         self.by_pair = {p: (r, m) for p, r, m in found}
-        stop = "".join(sorted(map(re.escape, model.alone)))
-        self.pretoken = re.compile(f"{pieces.SPACE}+[^{pieces.SPACE}{stop}]*|[^{pieces.SPACE}{stop}]+|[{stop}]+")
+        self.pretoken = model.runs()
         self.known: dict[str, int] = {}
 
     def symbols(self, word: str) -> list[int]:
