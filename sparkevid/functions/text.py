@@ -45,7 +45,7 @@ def sentences(t: Column) -> Column:
 
 def sentences_keeping_initials(t: Column) -> Column:
     """As ``sentences``, but an initial such as "J. Smith" does not end one."""
-    held = F.regexp_replace(F.trim(t), r"(^|[ \t\n(])([A-Z])\.[ ]+(?=[A-Z])", f"$1$2{SENTINEL}")
+    held = F.regexp_replace(F.trim(t), r"(?<![A-Za-z0-9])([A-Z])\.[ ]+(?=[A-Z])", f"$1{SENTINEL}")
     return F.transform(_nonblank(F.split(held, r"(?<=[.!?])[ \t\n\r\f]+")), lambda x: F.replace(x, F.lit(SENTINEL), F.lit(". ")))
 
 

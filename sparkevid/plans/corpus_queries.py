@@ -358,3 +358,17 @@ def conversation_export(spark, sf_dir):
 
     m = exports.markdown(table(spark, sf_dir, "conversations"), "conv_id", "turn")
     return m.select("conv_id", "n_turns", F.md5("markdown").alias("digest"))
+
+
+@query("""SELECT conv_id, md5('{"messages":[' || string_agg('{"role":' || to_json(role) || ',"content":' || to_json(text) || '}', ',' ORDER BY turn) || ']}') AS digest FROM conversations GROUP BY conv_id""")
+def conversation_json(spark, sf_dir):
+    from ..sources import exports
+
+    return exports.as_json(table(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", F.md5("json").alias("digest"))
+
+
+@query(f"""SELECT doc_id, len(list_filter(list_transform(string_split_regex(text, '\\.[ \\t]+|\\n+'), lambda x: trim(x)), lambda x: x <> '')) AS n_naive,
+len({SENTENCES.format("regexp_replace(trim(text), '(^|[^A-Za-z0-9])([A-Z])\\.[ ]+([A-Z])', '\\1\\2' || chr(1) || '\\3', 'g')")}) AS n_initials FROM documents""")
+def sentence_variants(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    return d.select("doc_id", F.size(T.lines_or_stops(F.col("text"))).cast("long").alias("n_naive"), F.size(T.sentences_keeping_initials(F.col("text"))).cast("long").alias("n_initials"))

@@ -340,7 +340,15 @@ def qa_prompts(spark, sf_dir):
     return e.select("doc_id", "idx", "type", F.md5(etl.prompt(F.col("context"), F.col("question"), F.col("answer"))).alias("prompt"))
 
 
-@query()
+def _reasons_sql(s: str) -> str:
+    found = []
+    for kind, pattern in etl.REASONS:
+        a, b = (_trim_sql(f"regexp_extract({s}, {literal(pattern)}, {g})") for g in (1, 2))
+        found.append(f"CASE WHEN {a} <> '' AND length({b}) BETWEEN 8 AND 220 THEN {{'type': '{kind}', 'question': 'Why is it that ' || {a} || '?', 'answer': {b}}} END")
+    return f"coalesce({', '.join(found)})"
+
+
+@query(f"""WITH {_MINED.replace(_mined_sql("s"), _reasons_sql("s")).replace("1200", "1400")} SELECT doc_id, idx, type, question, answer FROM e""")
 def why_mine(spark, sf_dir):
     return etl.examples(facts(spark), "doc_id", etl.reasons, 1400).drop("context")
 
