@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import small, top
 
 
 def postings(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text") -> DataFrame:
@@ -34,19 +35,14 @@ def query_terms(questions: DataFrame, qid: str = "qid", question: str = "questio
     return each.groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
-def posted_terms(chunks: DataFrame, terms: DataFrame, chunk_id: str = "chunk_id", text: str = "text") -> DataFrame:
-    """Postings of the terms that questions ask for: qid, chunk_id, term, tf, qtf. Questions are few and
-    Spark broadcasts their terms while they are below its threshold; the filter comes before the aggregation."""
-    each = chunks.select(F.col(chunk_id).alias("chunk_id"), F.explode(T.tokens(F.col(text))).alias("term"))
-    wanted = terms.select("term").distinct()
-    counted = each.join(wanted, "term", "left_semi").groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
-    return counted.join(terms, "term")
+def posted_terms(chunks: DataFrame, terms: DataFrame, tokens=T.tokens) -> DataFrame:
+    """chunk_id, term, tf of the terms that questions ask for. Other tokens end before the aggregation, without a shuffle."""
+    each = chunks.select("chunk_id", F.explode(tokens(F.col("text"))).alias("term"))
+    return each.join(small(terms.select("term").distinct()), "term", "left_semi").groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
 
 
 def keyphrases(texts: DataFrame, key: str, k: int = 8, text: str = "text") -> DataFrame:
     """key, rank, term, n: most frequent content words, ties by first occurrence."""
-    from ..session import top
-
     each = texts.select(F.col(key), F.posexplode(T.content_words(F.col(text))).alias("pos", "term"))
     counted = each.groupBy(key, "term").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     return top(counted, k, [key], F.desc("n"), F.asc("first")).select(key, "rank", "term", "n")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..session import top
+from ..session import small, top
 from . import index
 
 TF_CAP = 3
@@ -18,13 +18,15 @@ def lexical_scores(chunks: DataFrame, questions: DataFrame, df: DataFrame | None
     """qid, chunk_id, lexical: sum of min(tf, 3) * qtf * (1 + ln((N + 1) / (df + 1))) over a question's content terms.
 
     Only the postings of asked terms are counted, and their document frequencies with them."""
-    hits = index.posted_terms(chunks, index.query_terms(questions))
+    terms = index.query_terms(questions)
+    posted = index.posted_terms(chunks, terms)
     if df is None:
-        df = hits.groupBy("term").agg(F.countDistinct("chunk_id").alias("df"))
+        df = index.term_stats(posted)
     if n is None:
         n = chunks.count()
     idf = 1 + F.log((F.lit(n) + 1) / (F.col("df") + 1))
-    scored = hits.join(df, "term").withColumn("part", F.least("tf", F.lit(TF_CAP)) * F.col("qtf") * idf)
+    weights = small(terms.join(df, "term"), of=terms)
+    scored = posted.join(weights, "term").withColumn("part", F.least("tf", F.lit(TF_CAP)) * F.col("qtf") * idf)
     return scored.groupBy("qid", "chunk_id").agg(F.round(F.sum("part"), 6).alias("lexical"))
 
 
@@ -38,9 +40,8 @@ def candidates(scored: DataFrame, k: Column | int = 20) -> DataFrame:
 def keyword_scores(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     """qid, chunk_id, keyword: raw counts over all of a question's tokens, repeats and stopwords included."""
     q = questions.select("qid", F.explode(T.plain_tokens(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    each = chunks.select("chunk_id", F.explode(T.plain_tokens(F.col("text"))).alias("term")).join(q.select("term").distinct(), "term", "left_semi")
-    posted = each.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
-    return posted.join(q, "term").groupBy("qid", "chunk_id").agg(F.sum(F.col("tf") * F.col("qtf")).alias("keyword"))
+    posted = index.posted_terms(chunks, q, T.plain_tokens)
+    return posted.join(small(q), "term").groupBy("qid", "chunk_id").agg(F.sum(F.col("tf") * F.col("qtf")).alias("keyword"))
 
 
 def cosine_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import index, ranking, selection
-from ..session import spread, table, top
+from ..session import small, spread, table, top
 from .common import CLEAN, CONTENT, CORPUS_QUESTIONS, KEY, PLAIN, SENTENCES, SIGNATURE, TERMS, TOKENS, WORDS, frame, values
 
 QUERIES, ORACLE = {}, {}
@@ -234,7 +234,7 @@ def scored_sentences(spark, sf_dir):
     """Sentences of each question's first twelve chunks, exact copies dropped, with their score."""
     c, q = chunks(spark, sf_dir), questions(spark)
     hits = ranking.candidates(ranking.lexical_scores(c, q).withColumn("score", F.col("lexical")), 12)
-    s = c.join(hits.select("qid", "chunk_id", F.col("rank").alias("chunk_rank")), "chunk_id").join(F.broadcast(q), "qid")
+    s = c.join(small(hits.select("qid", "chunk_id", F.col("rank").alias("chunk_rank")), of=q, times=12), "chunk_id").join(small(q), "qid")
     s = s.select("qid", "question", "chunk_rank", F.posexplode(T.sentences(F.col("text"))).alias("idx", "sentence"))
     score = ranking.sentence_score(F.col("sentence"), F.col("question"), F.lit("thing"), F.col("chunk_rank"), F.lit(0.0))
     s = s.select("qid", "chunk_rank", "idx", "sentence", score.alias("score"))
@@ -285,9 +285,9 @@ def evidence_stats(spark, sf_dir):
 @query(f"""WITH {_LEX}, h AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY lexical DESC, chunk_id) AS rank FROM lex)
 SELECT qid, rank, chunk_id AS id, left(text, 240) AS preview, round(lexical, 3) AS score FROM h JOIN documents ON doc_id = chunk_id WHERE rank <= 5""")
 def source_list(spark, sf_dir):
-    c = chunks(spark, sf_dir)
-    hits = ranking.candidates(ranking.lexical_scores(c, questions(spark)).withColumn("score", F.col("lexical")), 5)
-    return ranking.source_list(c.join(hits, "chunk_id"))
+    c, q = chunks(spark, sf_dir), questions(spark)
+    hits = ranking.candidates(ranking.lexical_scores(c, q).withColumn("score", F.col("lexical")), 5)
+    return ranking.source_list(c.join(small(hits, of=q, times=5), "chunk_id"))
 
 
 FUSION = [(q, r, k, (7 * q + 5 * r + 3 * k) % 40, 10.0 + (q * r + k) % 7 + 0.5 * (k % 3), k % 4 == 0) for q in (1, 2, 3) for r in (1, 2, 3, 4) for k in (1, 2, 3, 4, 5)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
-from ..session import spread, table
+from ..session import small, spread, table
 from .common import frame, literal, values
 
 QUERIES, ORACLE = {}, {}
@@ -69,7 +69,7 @@ def benchmark_passages(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
     keys = b.select("item_id", "passage", F.get(runs(F.col("passage")), F.lit(1)).alias("key"))
     d = spread(table(spark, sf_dir, "documents")).select("doc_id", "text", F.explode(F.array_distinct(runs(F.col("text")))).alias("key"))
-    hits = d.join(keys, "key").where(F.contains("text", "passage"))
+    hits = d.join(small(keys), "key").where(F.contains("text", "passage"))
     return hits.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 

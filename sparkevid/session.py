@@ -28,3 +28,16 @@ def top(df: DataFrame, k: int, by: list[str], *order: Column, rank: str = "rank"
     """The first k rows of each group in a total order; Spark prunes groups before the shuffle."""
     number = F.row_number().over(Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order))
     return df.withColumn(rank, number).where(F.col(rank) <= k)
+
+
+#: Rows up to which a side of a join is broadcast; its size is counted first.
+SMALL = 100_000
+
+
+def small(df: DataFrame, of: DataFrame | None = None, times: int = 1) -> DataFrame:
+    """A side that is expected to be small (terms of questions, chosen hits): marked for broadcast if it is, else joined by a shuffle.
+
+    Spark cannot know the size of what an aggregation will return when it plans, and would shuffle the corpus. ``of``: a table
+    that is cheap to count, of which ``df`` has at most ``times`` rows each; ``df`` itself is then not computed twice."""
+    counted, most = (df, SMALL) if of is None else (of, SMALL // times)
+    return F.broadcast(df) if counted.limit(most + 1).count() <= most else df

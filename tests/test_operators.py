@@ -65,9 +65,14 @@ def test_statistics_do_not_depend_on_batches_or_partitions(spark, small):
     assert {r["term"]: r["df"] for r in merged.collect()} == whole
 
 
-def test_percentiles_against_python(spark):
+def test_percentiles_against_python(spark, monkeypatch):
     import statistics
 
+    v = spark.range(30_000).select(F.lit("g").alias("g"), (F.xxhash64("id") % 1000).cast("double").alias("v"))
+    whole = metrics.p95(v.repartition(3), "g", "v").first()
+    monkeypatch.setattr(metrics, "WHOLE", 100_000)
+    assert metrics.p95(v, "g", "v").first() == whole
+
     for n in (1, 2, 19, 20, 21, 40):
         v = [random.Random(n).randint(0, 50) / 2 for _ in range(n)]
         r = metrics.p95(spark.createDataFrame([("g", x) for x in v], "g string, v double"), "g", "v").first()
