@@ -31,7 +31,7 @@ from .runtime import dropped, on_executors, written
 #: Contexts of one anchor name that one task may hold; each is below 2 L symbols.
 HOT = 8192
 #: Symbols handled at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _LOW = np.uint64((1 << 24) - 1)
 
 CONTEXT = "k1 long, k2 long, a int, p0 int, p1 int, n1 long, n2 long, f1 long, f2 long, r long, l long"

@@ -20,12 +20,15 @@ from pyspark.sql import functions as F
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Used only where the session names no shared folder (local tests).
 LOCAL_DIR = "file:///tmp/checkpoints"
+#: Rows that Python gets at once while a table is written. Rows hold whole texts, so Spark's default of 10,000 is much memory.
+ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a local one only where the session names none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DIR).rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or LOCAL_DIR).rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -35,7 +38,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparkevid/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    batch = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(int(batch), ROWS) if int(batch) > 0 else ROWS))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_BATCH, batch)
     if not _written:
         atexit.register(_clean)
     _written.append((spark, path))
