@@ -14,6 +14,7 @@ from .packing import op1_best_fit_packing
 from .quality_rules import op3_quality_rules
 from .sentencepiece_codec import op7_sentencepiece_codec
 from .simhash import op8_simhash_near_dedup
+from .substring_dedup import ORACLE as SUBSTRING_SQL
 from .substring_dedup import op4_substring_dedup
 from .suffix_dedup import op2_suffix_array_dedup
 from .token_counts import op5_token_counts
@@ -30,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_extraction": op9_html_extraction,
     "op10_license_scan": op10_license_scan,
 }
-ORACLE: dict[str, str] = {"op10_license_scan": LICENSE_SQL}
+ORACLE: dict[str, str] = {"op4_substring_dedup": SUBSTRING_SQL, "op10_license_scan": LICENSE_SQL}

@@ -135,3 +135,13 @@ def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
         repeats.removed(F.col("spans")).alias("n_removed"),
         F.sha2(F.array_join("kept", " ").cast("binary"), 256).alias("kept_sha256"),
     )
+
+
+ORACLE = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
+w AS (SELECT r, i, md5(array_to_string(w[i:i + 34], chr(1))) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+twice AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS k FROM w JOIN twice USING (h)),
+stays AS (SELECT r, k, x FROM (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM d) ANTI JOIN gone USING (r, k)),
+kept AS (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY k) AS t FROM stays GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""
