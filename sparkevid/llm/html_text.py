@@ -37,7 +37,8 @@ NAMED = re.compile(
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table select article section div body html main".split())
 CONTENT = frozenset(("article", "main"))
-_WHITE = re.compile(r"[ \t\n\x0b\f\r   -     　]+")
+#: Parts of a name that tell of a layout, as "with-sidebar" does, not of the element itself.
+LAYOUT = re.compile(r"(?:with|without|has|no|hide|show|layout)[_-][\w-]+", re.I)
 
 #: Standard deviation of the smoothing, in lines; share of the dense text that the region must hold.
 SIGMA = 1.0
@@ -61,7 +62,7 @@ class Lines(HTMLParser):
 
     def _flush(self) -> None:
         if self._parts:
-            line = _WHITE.sub(" ", "".join(self._parts)).strip(" ")
+            line = " ".join("".join(self._parts).split())
             if line:
                 self.text.append(line)
                 self.inside.append(self.stack[-1][1] if self.stack else -1)
@@ -99,7 +100,7 @@ class Lines(HTMLParser):
         if not bad and attrs and tag not in CONTENT and tag not in ("body", "html"):
             given = dict(attrs)
             names = f"{given.get('class') or ''} {given.get('id') or ''}"
-            bad = (given.get("role") or "").lower() in ROLES or "hidden" in given or given.get("aria-hidden") == "true" or bool(names.strip() and NAMED.search(names))
+            bad = (given.get("role") or "").lower() in ROLES or "hidden" in given or given.get("aria-hidden") == "true" or bool(names.strip() and NAMED.search(LAYOUT.sub(" ", names)))
         self.parents.append(self.stack[-1][1] if self.stack else -1)
         self.kinds.append(tag)
         self.stack.append((tag, len(self.parents) - 1, bad))

@@ -64,6 +64,7 @@ WANT = "The first paragraph of the story has a good number of words in it, as st
         f"<html><head><title>T</title><style>p{{}}</style></head><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><div class='ad'>Buy now, a long advert text with many many words in it.</div><article>{ARTICLE}</article><footer>&copy; x</footer></body></html>",
         f"<body><header><h1>Site</h1></header><div id='sidebar'>Side</div><main>{ARTICLE}</main><div class='cookie-notice'>We use cookies and would like you to agree to that at once.</div></body>",
         f"<body><div class='menu'><a href=a>One</a> <a href=b>Two</a></div><div id='content'>{ARTICLE}</div><section class='comments'><p>I liked this story a lot, said a reader who wrote many words.</p></section><form>Name <input></form></body>",
+        f"<body class='with-sidebar'><div id='page' class='layout-sidebar-right'><div class='post'>{ARTICLE}</div></div><div id='footer'>All rights reserved by the owners of this page, as of today.</div></body>",
         f"<script>var t='</p>';</script><article>{ARTICLE}<aside>Related</aside><script>x</script>",
     ],
 )
