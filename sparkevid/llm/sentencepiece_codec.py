@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 from . import pieces
 from .runtime import on_executors, table, written
 
-#: Characters of a chunk; documents of at most one chunk need no scan. Chunks of a block. Runs that are remembered.
+#: Characters of a chunk; documents of at most one chunk need no scan. Chunks of a block. Runs of each of two generations that are remembered.
 CHUNK = 1 << 16
 BLOCK = 256
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 NONE = np.int64(-(1 << 61))
 _PREFIX, _UNREACHED = -(1 << 62), -(1 << 61)
 
@@ -53,6 +53,7 @@ class Codec:
         self.run = model.runs()
         self.scores = {p: _PREFIX for p in self.prefixes} | {n: s for n, (s, _) in self.piece.items()}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         low = {i: chr(b) for b, i in model.byte_ids.items() if b < 128}
         control = {i for i, k in enumerate(model.kinds) if k == pieces.CONTROL}
         self.shown = ["" if i in control else low.get(i, n).replace(pieces.SPACE, " ") for i, n in enumerate(model.names)]
@@ -127,11 +128,11 @@ class Codec:
     def encode(self, text: str) -> bytes:
         """Ids of a normalised text of at most a chunk, as little-endian 32-bit integers."""
         runs = self.run.findall(text)
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
         for run in set(runs).difference(known):
-            known[run] = self.encode_run(run)
+            known[run] = older.get(run) or self.encode_run(run)
         return b"".join(map(known.__getitem__, runs))
 
     def decode(self, ids: list[int], first: bool = True) -> str:
