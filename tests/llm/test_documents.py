@@ -151,15 +151,62 @@ def test_registry_has_every_operator(spark, small):
     assert d["payload_bytes"] % 64 == 0 and 0 <= d["tail_crc32"] < 1 << 32 and zlib.crc32(b"") == 0
 
 
-def test_pipeline_stages(spark, small):
+def test_pipeline_against_brute_force(spark, small):
+    """Each stage on what its predecessor kept: statistics and rules, fingerprints of all pairs, all strings of PASSAGE bytes, all ids."""
     import corpus_pipeline as p
+    from collections import Counter
+
+    import public_tokenizers
+
+    from sparkevid.llm import packing, simhash
+
+    from .test_dedup import reachable
 
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    n = docs.count()
-    for name, stage in p.STAGES[:-1]:
-        after = stage(spark, docs, small).persist()
-        assert after.columns == docs.columns, name
-        assert 0 < after.count() <= n
-        docs, n = after, after.count()
-    packed = p.STAGES[-1][1](spark, docs, small)
-    assert packed.select("doc_id").distinct().count() == n
+    columns, stages = docs.columns, dict(p.STAGES)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rules = quality_rules.learn_rules(docs, spark.read.parquet(f"{small}/labels.parquet"))
+
+    def keeps(text):
+        n = statistics(text)
+        w = re.findall(r"[^\x20\x09-\x0D]+", text)
+        lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+        x = {
+            "n_words": n[0], "word_length": n[1] / max(n[0], 1), "symbols_per_word": n[2] / max(n[0], 1), "repeat_share": n[4] / max(n[0], 1), "dup_line_share": n[3] / max(len(lines), 1),
+            "upper_share": sum(c in quality_rules._UPPER for c in text) / max(n[1], 1), "marks_per_word": sum(c in quality_rules._MARKS for c in text) / max(n[0], 1), "distinct_share": len(set(w)) / max(n[0], 1),
+        }
+        holds = lambda c: x[c.feature] >= c.threshold if c.at_least else x[c.feature] < c.threshold
+        return not n[5] and not any(all(map(holds, rule)) for rule in rules)
+
+    docs = stages["quality_rules"](spark, docs, small).persist()
+    assert docs.columns == columns
+    texts = {i: t for i, t in texts.items() if keeps(t)}
+    assert {r["doc_id"]: r["text"] for r in docs.collect()} == texts
+
+    docs = stages["simhash_near_dedup"](spark, docs, small).persist()
+    stay = set(reachable({i: simhash.fingerprint(t.encode()) for i, t in texts.items()}).values())
+    texts = {i: t for i, t in texts.items() if i in stay}
+    assert docs.columns == columns and {r["doc_id"]: r["text"] for r in docs.collect()} == texts
+
+    docs = stages["suffix_array_dedup"](spark, docs, small).persist()
+    data = {i: t.encode() for i, t in texts.items()}
+    size = p.PASSAGE
+    seen = Counter(b[k : k + size] for b in data.values() for k in range(len(b) - size + 1))
+    for i, b in data.items():
+        gone = bytearray(len(b))
+        for k in range(len(b) - size + 1):
+            if seen[b[k : k + size]] > 1:
+                gone[k : k + size] = b"\1" * size
+        at, kept = 0, []
+        for c in texts[i]:  # a character goes if all of its bytes go
+            n = len(c.encode())
+            kept.append("" if all(gone[at : at + n]) else c)
+            at += n
+        texts[i] = "".join(kept)
+    assert docs.columns == columns and {r["doc_id"]: r["text"] for r in docs.collect()} == texts
+
+    packed = stages["best_fit_packing"](spark, docs, small).collect()
+    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    want = Counter((i, k, s, n) for i, t in texts.items() for k, (s, n) in enumerate(packing.cut(len(encode(t)) + 1, 1024)))
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"]) for r in packed) == want
+    assert max(Counter({s: sum(r["length"] for r in packed if r["sequence_id"] == s) for s in {r["sequence_id"] for r in packed}}).values()) <= 1024
