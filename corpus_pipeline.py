@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkevid.llm import packing, quality_rules, simhash, suffix_dedup
 from sparkevid.llm.runtime import table, written
 
+#: Bytes of a repeated passage: about 35 words, so that a passage of 50 words is found whatever its words' lengths.
+PASSAGE = 200
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learned decision list keep."""
@@ -25,8 +28,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the byte strings of 400 that occur elsewhere too; a text that is left empty stays as an empty one."""
-    return suffix_dedup.dedup_texts(docs)
+    """Texts without the byte strings of PASSAGE that occur elsewhere too; a text that is left empty stays as an empty one."""
+    return suffix_dedup.dedup_texts(docs, PASSAGE)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
