@@ -144,21 +144,18 @@ def effect_rewrite(spark, sf_dir):
     return frame(spark, EFFECTS, "id long, s string").select("id", Q.effect_subject(F.col("s")).alias("subject"))
 
 
+_SHORT = "trim(regexp_replace(lower(s), ' (?:empire|kingdom|republic|state)$', ''))"
 NAMES = [(1, "  : the Velan Empire??"), (2, "explain a Tidal gate."), (3, "Orsk Republic"), (4, "Describe An old mill"), (5, "salt")]
 
 
 @query(f"""SELECT id, {_clean("s")} AS subject, trim(regexp_replace({_clean("s")}, '(?i)^(?:the|a|an) +', '')) AS bare, upper(left(s, 1)) || substring(s, 2) AS capital,
-array_to_string(list_distinct([lower(s), trim(regexp_replace(lower(s), ' (?:empire|kingdom|republic|state)$', ''))]), '|') AS terms FROM {values(NAMES, "id, s")} WHERE id > 2 OR true""")
+CASE WHEN lower(s) = {_SHORT} THEN lower(s) ELSE lower(s) || '|' || {_SHORT} END AS terms FROM {values(NAMES, "id, s")}""")
 def subject_cleanup(spark, sf_dir):
     s = F.col("s")
     d = frame(spark, NAMES, "id long, s string")
     return d.select("id", T.clean_subject(s).alias("subject"), T.without_article(s).alias("bare"), T.capitalized(s).alias("capital"), F.array_join(T.entity_terms(s), "|").alias("terms"))
 
 
-ORACLE["subject_cleanup"] = ORACLE["subject_cleanup"].replace(
-    "array_to_string(list_distinct([lower(s), trim(regexp_replace(lower(s), ' (?:empire|kingdom|republic|state)$', ''))]), '|')",
-    "CASE WHEN lower(s) = trim(regexp_replace(lower(s), ' (?:empire|kingdom|republic|state)$', '')) THEN lower(s) ELSE lower(s) || '|' || trim(regexp_replace(lower(s), ' (?:empire|kingdom|republic|state)$', '')) END",
-)
 LISTS = [(1, []), (2, ["salt"]), (3, ["salt", "iron"]), (4, ["salt", "iron", "wool", "rope"])]
 
 
@@ -444,8 +441,7 @@ ANCHORS = [(1, "What is the pressure of pump AB-12?", "Pump AB-12 has a pressure
 def anchor_check(spark, sf_dir):
     a = frame(spark, ANCHORS, "qid long, question string, context string")
     c = F.col("context")
-    known = F.when(F.startswith(F.lower(_q()), F.lit("when was the gate built")), F.lit(None).cast("string")).otherwise(F.lit(None).cast("string"))
-    return a.select("qid", gates.identifier_anchor(_q(), c).alias("anchored"), gates.predicate_stated(_q(), c, known).alias("stated"))
+    return a.select("qid", gates.identifier_anchor(_q(), c).alias("anchored"), gates.predicate_stated(_q(), c, F.lit(None).cast("string")).alias("stated"))
 
 
 REQUESTS = [(1, "What?", 5), (2, "  ", 5), (3, "What?", 0), (4, "What?", 21), (5, None, 5), (6, "x" * 4097, 5), (7, "What?", None)]

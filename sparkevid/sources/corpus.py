@@ -53,7 +53,7 @@ def json_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; blank lines are skipped."""
-    return spark.read.schema(schema).json(path).where(F.lit(True))
+    return spark.read.schema(schema).json(path)
 
 
 def cases(spark: SparkSession, path: str) -> DataFrame:
