@@ -214,11 +214,17 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def apply_rules(documents: DataFrame, rules: list[Rule]) -> DataFrame:
-    """The documents with their statistics, base_failed and kept."""
+    """The documents with their statistics, base_failed and kept, which replace columns of these names."""
     d = with_statistics(documents).withColumn("kept", verdict(rules))
     return d.drop("_n_lines", "_n_upper", "_n_marks", "_n_distinct")
 
 
+def kept_documents(documents: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The documents that are kept, with all their columns as they were."""
+    rows = documents.select(F.struct(*documents.columns).alias("_row"), F.col("text").alias("text"))
+    return apply_rules(rows, rules).where("kept").select("_row.*")
+
+
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     rules = learn_rules(documents, table(spark, sf_dir, "labels"))

@@ -174,9 +174,9 @@ def dedup(documents: DataFrame, size: int = 3) -> DataFrame:
     """The documents (all columns) whose doc_id is the least of its group; of repeated ids one row stays, those without an id stay."""
     groups = near_groups(documents, size)
     stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    own = documents.withColumn("_doc", F.col("doc_id").cast("long"))
-    kept = own.join(stay.withColumnRenamed("doc_id", "_doc").hint("merge"), "_doc", "left_semi").dropDuplicates(["_doc"])
-    return kept.unionByName(own.where("_doc is null")).select(*documents.columns)
+    own = documents.select(F.struct(*documents.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    kept = own.join(stay.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("row")
+    return kept.unionByName(own.where("doc_id is null").select("row")).select("row.*")
 
 
 def op8_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -51,11 +51,10 @@ def dedup_texts(documents: DataFrame, length: int = 400) -> DataFrame:
     """The documents (all columns) with repeated spans taken out; a character that a span cuts stays whole.
 
     Other columns are kept; n_chars, where there is one, is counted anew."""
-    spans = repeated_spans(documents, length)
-    rows = documents.withColumns({"_text": F.coalesce("text", F.lit("")), "_doc": F.col("doc_id").cast("long")})
-    rows = rows.withColumns({"_k1": F.coalesce("_doc", F.lit(-1)), "_k2": F.xxhash64("_text", F.col("_doc").isNull())})
-    rows = rows.join(spans.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("spans").alias("_spans")).hint("merge"), ["_k1", "_k2"], "left")
-    data = F.col("_text").cast("binary")
+    text, doc = F.coalesce("text", F.lit("")), F.col("doc_id").cast("long")
+    rows = documents.select(F.struct(*documents.columns).alias("row"), text.alias("text"), F.coalesce(doc, F.lit(-1)).alias("k1"), F.xxhash64(text, doc.isNull()).alias("k2"))
+    rows = rows.join(repeated_spans(documents, length).hint("merge"), ["k1", "k2"], "left")
+    data = F.col("text").cast("binary")
 
     def inside(at: Column) -> Column:
         return F.hex(F.substring(data, at + 1, F.lit(1))).rlike("^[89AB]")
@@ -66,12 +65,13 @@ def dedup_texts(documents: DataFrame, length: int = 400) -> DataFrame:
         e = F.when(~inside(e), e).when(~inside(e - 1), e - 1).when(~inside(e - 2), e - 2).otherwise(e - 3)
         return F.struct(s.alias("s"), e.alias("e"))
 
-    kept = _joined(data, repeats.kept_ranges(F.transform("_spans", whole), F.octet_length("_text"))).cast("string")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(kept)
-    out = rows.withColumn("text", text)
-    if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(documents.schema["n_chars"].dataType)))
-    return out.select(*documents.columns)
+    kept = _joined(data, repeats.kept_ranges(F.transform("spans", whole), F.octet_length("text"))).cast("string")
+    rows = rows.select("row", F.col("spans").isNotNull().alias("cut"), F.when(F.col("spans").isNotNull(), kept).alias("kept"))
+    out = {c: F.col("row")[c] for c in documents.columns}
+    out["text"] = F.when(F.col("cut"), F.col("kept")).otherwise(out["text"])
+    if "n_chars" in out:
+        out["n_chars"] = F.when(F.col("cut"), F.length("kept").cast(documents.schema["n_chars"].dataType)).otherwise(out["n_chars"])
+    return rows.select(*(v.alias(c) for c, v in out.items()))
 
 
 def op2_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

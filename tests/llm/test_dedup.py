@@ -73,6 +73,11 @@ def test_covers_are_difference_covers():
         assert {(a - b) % v for a in cover for b in cover} == set(range(v))
 
 
+def test_near_copies_keep_columns(spark):
+    out = simhash.dedup(table(spark, [(1, "a b c d e"), (2, "A b c d e"), (None, "a b c d e"), (4, None), (5, "")])).collect()
+    assert sorted((str(r["doc_id"]), r["text"], r["k1"], r["spans"]) for r in out if r["doc_id"] != 4) == [("1", "a b c d e", "x", 1), ("None", "a b c d e", "x", 1)]
+
+
 def test_texts_keep_whole_characters_and_columns(spark):
     passage = "é" * 40
     docs = table(spark, [(1, "a" + passage + "b"), (2, "è" + passage + "c"), (3, None)])

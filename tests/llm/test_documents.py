@@ -49,6 +49,11 @@ def test_learned_list_on_held_out_documents(spark):
     assert quality_rules.learn_rules(docs, labels.where("quality = 1")) == []
 
 
+def test_kept_documents_keep_columns(spark):
+    out = quality_rules.kept_documents(rows(spark, [(1, "ten words are here so that this text is kept"), (2, "no")]), []).collect()
+    assert [tuple(r) for r in out] == [(1, "ten words are here so that this text is kept", "clash", 1)]
+
+
 def test_plan_is_native(spark):
     plan = quality_rules.apply_rules(rows(spark, []), [(quality_rules.Condition("symbols_per_word", True, 0.5),)])._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
