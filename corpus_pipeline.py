@@ -19,7 +19,7 @@ PASSAGE = 200
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learned decision list keep."""
     rules = quality_rules.learn_rules(docs, table(spark, sf_dir, "labels"))
-    return quality_rules.apply_rules(docs, rules).where("kept").select(*docs.columns)
+    return quality_rules.kept_documents(docs, rules)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
