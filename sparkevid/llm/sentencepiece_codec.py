@@ -51,7 +51,13 @@ class Codec:
         self.unknown = min(s for s, _ in self.piece.values()) - 10 * scale
         self.states = model.longest
         self.run = model.runs()
-        self.scores = {p: _PREFIX for p in self.prefixes} | {n: s for n, (s, _) in self.piece.items()}
+        self.tree: dict[str, list] = {}  # character to [score of the piece that ends here or _PREFIX, what may follow]
+        for name, (score, _) in self.piece.items():
+            node, follow = None, self.tree
+            for char in name:
+                node = follow.setdefault(char, [_PREFIX, {}])
+                follow = node[1]
+            node[0] = score
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         low = {i: chr(b) for b, i in model.byte_ids.items() if b < 128}
@@ -95,27 +101,26 @@ class Codec:
         return [i for p in reversed(parts) for i in self.ids_of(p)], end
 
     def encode_run(self, run: str) -> bytes:
-        """As ``search`` and ``trace`` of a whole run, in one table of pieces and their beginnings; ids as in ``encode``."""
-        whole = self.packed.get(run)
-        get, n = self.scores.get, len(run)
-        if whole and n == 1:
-            return whole
+        """As ``search`` and ``trace`` of a whole run, along a tree of the pieces; ids as in ``encode``."""
+        n, unknown, first = len(run), self.unknown, self.tree.get
         best, start = [_UNREACHED] * (n + 1), [0] * (n + 1)
         best[0] = 0
         for s in range(n):
             so_far = best[s]
             e = s + 1
-            score = get(run[s])
-            if score is None or score == _PREFIX:
-                if so_far + self.unknown > best[e]:
-                    best[e], start[e] = so_far + self.unknown, s
-            while score is not None:
+            node = first(run[s])
+            if node is None or node[0] == _PREFIX:
+                if so_far + unknown > best[e]:
+                    best[e], start[e] = so_far + unknown, s
+                if node is None:
+                    continue
+            while True:
+                score, follow = node
                 if so_far + score > best[e]:
                     best[e], start[e] = so_far + score, s
-                if e == n:
+                if e == n or (node := follow.get(run[e])) is None:
                     break
                 e += 1
-                score = get(run[s:e])
         parts = []
         while n:
             s = start[n]
