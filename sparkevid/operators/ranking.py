@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import rules as R
 from ..functions import text as T
 from ..functions import vectors as V
 from ..session import small, top
@@ -95,43 +96,47 @@ def _near(subject: Column, word: str, reach: int) -> tuple[Column, Column]:
     return F.concat(F.lit("(?d)"), quoted, F.lit(f".{{0,{reach}}}\\b{word}\\b")), F.concat(F.lit(f"(?d)\\b{word}\\b.{{0,{reach}}}"), quoted)
 
 
-def _by_relation(question: Column, chunk: Column, value) -> Column:
-    out = F.lit(0.0)
-    kind = relation(question)
-    for name, _, word in RELATIONS:
-        out = F.when(kind == name, value(name, word)).otherwise(out)
-    return out
+def _bound(question: Column, chunk: Column, body) -> Column:
+    """body(x) with the lower-case question q and chunk c, the relation and the subject computed once a row."""
+    parts = {"q": F.lower(question), "c": F.lower(chunk), "relation": relation(question), "subject": F.lower(relation_subject(question))}
+    return R.let(F.struct(*(v.alias(k) for k, v in parts.items())), body)
 
 
 def factual_bonus(question: Column, chunk: Column) -> Column:
     """Stage-one bonus: 8 for the subject of a factual question, and more where its relation is stated close by."""
-    c, subject = F.lower(chunk), F.lower(relation_subject(question))
+    points = lambda hit, value: F.when(hit, value).otherwise(0.0)
 
-    def value(name: str, word: str) -> Column:
-        direct, reverse = _near(subject, r"(?:was\s+)?born" if name == "born" else word, 60 if name == "born" else 80)
+    def stated(x: Column, name: str, word: str) -> Column:
+        direct, reverse = _near(x["subject"], r"(?:was\s+)?born" if name == "born" else word, 60 if name == "born" else 80)
         if name == "born":
-            return (
-                F.when(F.regexp_like(c, direct), 40.0).otherwise(0.0) + F.when(F.regexp_like(c, reverse), 30.0).otherwise(0.0)
-                + F.when(F.regexp_like(c, F.lit(r"\bborn\s+(?:on|in)\b")), 2.0).otherwise(0.0) + F.when(F.regexp_like(c, F.lit(r"\b(?:18|19|20)\d{2}\b")), 2.0).otherwise(0.0)
-            )
-        return F.when(F.regexp_like(c, direct), 36.0).when(F.contains(c, F.lit(word)), 6.0).otherwise(0.0)
+            dated = points(F.regexp_like(x["c"], F.lit(r"\bborn\s+(?:on|in)\b")), 2.0) + points(F.regexp_like(x["c"], F.lit(r"\b(?:18|19|20)\d{2}\b")), 2.0)
+            return points(F.regexp_like(x["c"], direct), 40.0) + points(F.regexp_like(x["c"], reverse), 30.0) + dated
+        return F.when(F.regexp_like(x["c"], direct), 36.0).when(F.contains(x["c"], F.lit(word)), 6.0).otherwise(0.0)
+
+    def bonus(x: Column) -> Column:
+        value = F.lit(0.0)
+        for name, _, word in RELATIONS:
+            value = F.when(x["relation"] == name, stated(x, name, word)).otherwise(value)
+        return points(x["relation"].isNotNull() & x["subject"].isNotNull() & F.contains(x["c"], x["subject"]), 8.0 + value)
 
-    found = relation(question).isNotNull() & subject.isNotNull() & F.contains(c, subject)
-    return F.when(found, 8.0 + _by_relation(question, chunk, value)).otherwise(0.0)
+    return _bound(question, chunk, bonus)
 
 
 def pattern_bonus(question: Column, chunk: Column) -> Column:
     """Stage-two bonus: stated relation, causal marks for why-questions, and the subject's presence."""
-    q, c, subject = F.lower(question), F.lower(chunk), F.lower(relation_subject(question))
-    out = F.lit(0.0)
-    for name, _, word in RELATIONS:
-        direct, reverse = _near(subject, r"(?:was\s+)?born" if name == "born" else word, 60 if name == "born" else 80)
-        part = F.when(F.regexp_like(c, direct), 30.0 if name == "born" else 24.0)
-        part = part.when(F.regexp_like(c, reverse), 20.0) if name == "born" else part
-        out = out + F.when(F.contains(q, F.lit(word)) & subject.isNotNull(), part.otherwise(0.0)).otherwise(0.0)
-    for mark in CAUSAL:
-        out = out + F.when(F.startswith(q, F.lit("why ")) & F.contains(c, F.lit(mark)), 4.0).otherwise(0.0)
-    return out + F.when(F.coalesce(F.contains(c, subject), F.lit(False)), 10.0).otherwise(0.0)
+
+    def bonus(x: Column) -> Column:
+        out = F.lit(0.0)
+        for name, _, word in RELATIONS:
+            direct, reverse = _near(x["subject"], r"(?:was\s+)?born" if name == "born" else word, 60 if name == "born" else 80)
+            part = F.when(F.regexp_like(x["c"], direct), 30.0 if name == "born" else 24.0)
+            part = part.when(F.regexp_like(x["c"], reverse), 20.0) if name == "born" else part
+            out = out + F.when(F.contains(x["q"], F.lit(word)) & x["subject"].isNotNull(), part.otherwise(0.0)).otherwise(0.0)
+        for mark in CAUSAL:
+            out = out + F.when(F.startswith(x["q"], F.lit("why ")) & F.contains(x["c"], F.lit(mark)), 4.0).otherwise(0.0)
+        return out + F.when(F.coalesce(F.contains(x["c"], x["subject"]), F.lit(False)), 10.0).otherwise(0.0)
+
+    return _bound(question, chunk, bonus)
 
 
 def reranked(hits: DataFrame, k: int = 5) -> DataFrame:
