@@ -1,4 +1,4 @@
-"""A training-data pipeline: quality rules, SimHash near-dedup, suffix-array dedup, best-fit packing.
+"""A training-data pipeline: quality rules, SimHash near-dedup, Jaccard near-dedup, suffix-array dedup, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir) and all its predecessor kept, and returns the columns of ``documents``; the last returns
 the packed pieces. ``run`` writes each stage as Parquet below spark.checkpoint.dir and reads it for the next.
@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkevid.llm import packing, quality_rules, simhash, suffix_dedup
+from sparkevid.llm import near_copies, packing, quality_rules, simhash, suffix_dedup
 from sparkevid.llm.runtime import table, written
 
 #: Bytes of a repeated passage: about 35 words, so that a passage of 50 words is found whatever its words' lengths.
@@ -27,6 +27,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.dedup(docs)
 
 
+def similar_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of texts whose five-word shingles have a Jaccard similarity of 0.8 or more one row, that of the least id."""
+    return near_copies.dedup(docs)
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte strings of PASSAGE that occur elsewhere too; a text that is left empty stays as an empty one."""
     return suffix_dedup.dedup_texts(docs, PASSAGE)
@@ -40,6 +45,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality_rules", quality),
     ("simhash_near_dedup", near_duplicates),
+    ("jaccard_near_dedup", similar_texts),
     ("suffix_array_dedup", repeated_passages),
     ("best_fit_packing", packed),
 ]

@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from sparkevid.llm import repeats, simhash, substring_dedup, suffix_dedup
+from sparkevid.llm import near_copies, repeats, simhash, substring_dedup, suffix_dedup
 
 SCHEMA = "doc_id long, text string, lang string, k1 string, spans int"  # the last two clash with names of the operators
 
@@ -158,3 +158,58 @@ def test_golay_code():
         assert keys[0] & keys[1] and len(keys[0]) <= 8
     counts = Counter(near.tolist())
     assert len(counts) == 4096 and set(counts.values()) == {2048}
+
+
+def shingle_groups(texts, k=5):
+    """Row indices by groups of texts with a Jaccard similarity of 0.8 or more, by comparing all pairs."""
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or {tuple(w)})
+    group = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if group[a] != group[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    return [[i for i, g in enumerate(group) if g == v] for v in sorted(set(group))]
+
+
+@pytest.mark.parametrize("often", [4, 1])
+def test_similar_texts_against_all_pairs(spark, monkeypatch, often):
+    """Edits around the bound, a large group, a common passage, repeated and null ids, texts of few words."""
+    monkeypatch.setattr(near_copies, "OFTEN", often)
+    monkeypatch.setattr(near_copies, "SAMPLE", often)
+    r = random.Random(7)
+    words = [f"w{i}" for i in range(300)]
+    text = lambda n: [r.choice(words) for _ in range(n)]
+    common, data = text(25), corpus(8, 30)
+    for base in (text(60) + common + text(60) for _ in range(8)):
+        for _ in range(6):
+            w = list(base)
+            for _ in range(r.randint(0, 7)):
+                w[r.randrange(len(w))] = r.choice(words)
+            data.append((r.choice([None, r.randrange(5000, 5040)]), " ".join(w)))
+    big = text(100)
+    data += [(6000 + i, " ".join([*big[:i], "x", *big[i + 1 :]])) for i in range(60)]
+    data += [(7000, "one two"), (7001, "One  two"), (7002, "one two three"), (None, "lonely text without an id")]
+    groups = shingle_groups([t for _, t in data])
+    out = [(x["doc_id"], x["text"]) for x in near_copies.dedup(table(spark, data)).collect()]
+    place = {data[i]: k for k, g in enumerate(groups) for i in g}
+    assert Counter(place[x] for x in out) == Counter(range(len(groups)))  # one row of each group
+    least = {k: min((data[i][0] for i in g if data[i][0] is not None), default=None) for k, g in enumerate(groups)}
+    assert {place[x]: x[0] for x in out} == least
+    assert max(map(len, groups)) >= 60 and len(groups) < len(set(data)) - 60
+
+
+def test_pipeline_drops_texts_of_similarity_four_fifths(spark):
+    """Fingerprints of three words of this pair differ in more than two bits, but most shingles of five words are the same."""
+    import corpus_pipeline
+
+    w = [f"word{i}" for i in range(80)]
+    a, b = " ".join(w), " ".join([*w[:40], "other", *w[41:]])
+    assert (simhash.fingerprint(a.encode()) ^ simhash.fingerprint(b.encode())).bit_count() > simhash.BITS
+    docs = table(spark, [(2, a), (1, b), (3, " ".join(reversed(w)))])
+    stages = [f for name, f in corpus_pipeline.STAGES if "near_dedup" in name]
+    for stage in stages:
+        docs = stage(spark, docs, "")
+    assert sorted(r["doc_id"] for r in docs.collect()) == [1, 3]
