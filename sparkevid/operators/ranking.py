@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from . import index
 
 TF_CAP = 3
 RUNTIME_BOOST = 5.0
+#: Query vectors that are broadcast at once, on average.
+QUERY_BLOCK = 5000
 
 
 def lexical_scores(chunks: DataFrame, questions: DataFrame, df: DataFrame | None = None, n: int | None = None) -> DataFrame:
@@ -46,11 +50,16 @@ def keyword_scores(chunks: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def cosine_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, vec_id, cosine of every stated query with every vector. ``queries`` is a stated, small set (its size is checked)."""
-    small = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    if small.limit(10_001).count() > 10_000:
-        raise ValueError("at most 10,000 query vectors a call; call again with the next block")
-    return vectors.join(F.broadcast(small), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(V.cosine(F.col("q"), F.col("embedding")), 6).alias("cosine"))
+    """query_id, vec_id, cosine of every stated query with every vector, the queries in blocks of about QUERY_BLOCK vectors."""
+    stated = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    blocks = max(1, -(-stated.count() // QUERY_BLOCK))
+    number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    scored = []
+    for k in range(blocks):
+        block = stated.where(number == k) if blocks > 1 else stated
+        pairs = vectors.join(F.broadcast(block), F.col("vec_id") != F.col("query_id"))
+        scored.append(pairs.select("query_id", "vec_id", F.round(V.cosine(F.col("q"), F.col("embedding")), 6).alias("cosine")))
+    return reduce(DataFrame.unionByName, scored)
 
 
 def hybrid(keyword: DataFrame, vector: DataFrame, keys: tuple[str, str] = ("qid", "chunk_id")) -> DataFrame:
