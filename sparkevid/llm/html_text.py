@@ -2,9 +2,9 @@
 
 The standard library's parser streams events into lines, one for each block element. Each line has a ratio of
 its characters to its tags (characters in links count against it). Ratios are smoothed by a Gaussian and split in two
-clusters by a threshold; the smallest element that holds nearly all the text of the dense cluster is the
-content region, and its blocks, short ones too, are the text. Lines inside elements that are page furniture by
-their tag, role, class or id take no part.
+clusters by a threshold; the smallest element that holds every article or main with dense text, or else all dense
+lines, is the content region, and its blocks, short ones too, are the text. So are headings and paragraphs that stand beside
+the region or beside an element around it. Lines inside elements that are page furniture by their tag, role, class or id take no part.
 
 Null and empty pages give an empty text. Unclosed and misnested elements are closed where HTML's rules or the
 enclosing end tag close them. Repeated rows are extracted each for itself; extra columns are not read.
@@ -40,9 +40,11 @@ CONTENT = frozenset(("article", "main"))
 #: Parts of a name that tell of a layout, as "with-sidebar" does, not of the element itself.
 LAYOUT = re.compile(r"(?:with|without|has|no|hide|show|layout)[_-][\w-]+", re.I)
 
-#: Standard deviation of the smoothing, in lines; share of the dense text that the region must hold.
+#: Elements that count as content beside the region as well.
+BESIDE = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre".split())
+
+#: Standard deviation of the smoothing, in lines.
 SIGMA = 1.0
-SHARE = 0.9
 
 
 class Lines(HTMLParser):
@@ -163,25 +165,31 @@ def extract(html: str) -> str:
     ratio = np.maximum(size - np.array(lines.links), 0) / (1 + np.array(lines.tags))
     smooth = smoothed(ratio)
     dense = (smooth >= threshold(smooth)) | (ratio >= threshold(ratio))
-    mass: dict[int, float] = {}
-    for i in np.flatnonzero(dense):
-        at = lines.inside[i]
+
+    def path(at: int) -> list[int]:
+        """An element and those around it, from the outermost, -1, on."""
+        out = []
         while at >= 0:
-            mass[at] = mass.get(at, 0.0) + size[i]
+            out.append(at)
             at = lines.parents[at]
-    need = SHARE * size[dense].sum()
-    main = [e for e in mass if lines.kinds[e] in CONTENT and mass[e] >= 0.5 * size[dense].sum()]
-    held = main or [e for e in mass if mass[e] >= need]
-    region = max(held) if held else -1  # elements are numbered as they open, so the last holder is the innermost
-    if region >= 0 and lines.kinds[region] not in CONTENT and lines.kinds[region] in BLOCK - SCOPE:
-        region = lines.parents[region]  # one paragraph: its siblings belong to it
-
-    def within(at: int) -> bool:
-        while at >= 0 and at != region:
-            at = lines.parents[at]
-        return at == region
-
-    return "\n".join(t for t, at in zip(lines.text, lines.inside, strict=True) if region < 0 or within(at))
+        return [-1, *reversed(out)]
+
+    paths = [path(lines.inside[i]) for i in np.flatnonzero(dense)]
+    main = [p[: k + 1] for p in paths for k in [next((k for k, e in enumerate(p) if e >= 0 and lines.kinds[e] in CONTENT), None)] if k is not None]
+    around = main or paths
+    common = [e for e, *rest in zip(*around, strict=False) if all(x == e for x in rest)]
+    while common[-1] >= 0 and lines.kinds[common[-1]] not in CONTENT and (lines.kinds[common[-1]] not in BLOCK or lines.kinds[common[-1]] in BLOCK - SCOPE):
+        common.pop()  # one paragraph: its siblings belong to it
+    region, above = common[-1], set(common)
+
+    def stays(i: int) -> bool:
+        p = path(lines.inside[i])
+        if region in p:
+            return True
+        block = next((k for k in range(len(p) - 1, 0, -1) if lines.kinds[p[k]] in BLOCK), 0)
+        return block > 0 and lines.kinds[p[block]] in BESIDE and p[block - 1] in above and 2 * lines.links[i] < size[i]
+
+    return "\n".join(t for i, t in enumerate(lines.text) if stays(i))
 
 
 def page_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

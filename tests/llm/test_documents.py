@@ -215,3 +215,15 @@ def test_pipeline_against_brute_force(spark, small):
     want = Counter((i, k, s, n) for i, t in texts.items() for k, (s, n) in enumerate(packing.cut(len(encode(t)) + 1, 1024)))
     assert Counter((r["doc_id"], r["piece"], r["start"], r["length"]) for r in packed) == want
     assert max(Counter({s: sum(r["length"] for r in packed if r["sequence_id"] == s) for s in {r["sequence_id"] for r in packed}}).values()) <= 1024
+
+
+def test_pages_keep_all_that_is_no_furniture():
+    first, second = (" ".join(f"{w}{i}" for i in range(n)) + "." for w, n in (("first", 60), ("second", 40)))
+    menu = "<div><a href=a>One</a> <a href=b>Two</a></div>"
+    assert html_text.extract(f"<body>{menu}<main><article><p>{first}</p></article><article><p>{second}</p></article></main></body>") == f"{first}\n{second}"
+    assert html_text.extract(f"<body>{menu}<article><p>{first}</p></article><div><article><p>{second}</p></article></div></body>").endswith(f"{first}\n{second}")
+    body = "".join(f"<p>{first}</p>" for _ in range(5))
+    want = "\n".join(["A title", "A short lead.", *[first] * 5])
+    assert html_text.extract(f"<body><nav>Home</nav><div><h1>A title</h1><p>A short lead.</p><div>{body}</div></div></body>") == want
+    assert html_text.extract(f"<body>{menu}<div><h1>A title</h1><p>A short lead.</p><article>{body}</article></div></body>") == want
+    assert html_text.extract(f"<body>{menu}<div><p>{first}</p></div><div><p>{second}</p></div><footer>x</footer></body>").endswith(f"{first}\n{second}")
