@@ -6,7 +6,8 @@ so that each block takes ten bits; such frames decode without a bit-wise loop. F
 with AC coefficients, decode block by block (grey baseline JPEG). The payload's length stands in the stream's ``strd`` chunk.
 
 Reading walks the RIFF chunks, takes frames by ``idx1`` (or in ``movi`` order where there is none), and finds
-shots: frames' histograms are compared, and a cut is a difference above the recent mean by a multiple of the recent deviation.
+shots: frames' histograms are compared, and a cut is a difference above the recent mean by a multiple of the recent deviation,
+or above a fixed threshold where fewer than two differences are known. Cuts themselves are no part of the recent differences.
 
 Null and empty texts are a payload of 64 zero bytes. Equal texts give equal files. Repeated rows are stored each for
 itself; extra columns are not read.
@@ -31,6 +32,8 @@ from .runtime import on_executors, table
 COLUMNS, ROWS, RATE = 64, 64, 25
 #: Shots: bins of a histogram, frames that the threshold looks back on, deviations above the mean, least difference.
 BINS, RECENT, DEVIATIONS, LEAST = 16, 12, 3.0, 0.1
+#: Shots: the threshold while fewer than two differences are known, and the greatest that it may become.
+FIRST, MOST = 0.5, 0.9
 #: The zigzag order of JPEG.
 ZIGZAG = np.array(sorted(range(64), key=lambda k: (k // 8 + k % 8, (k // 8 if (k // 8 + k % 8) % 2 else k % 8))))
 
@@ -275,9 +278,9 @@ def cuts(frames: list[np.ndarray]) -> list[int]:
     d = np.array([np.abs(a - b).sum() / 2 for a, b in zip(hist[1:], hist, strict=False)])
     out, recent = [0], []
     for i, x in enumerate(d.tolist(), 1):
-        if len(recent) >= 2 and x > max(LEAST, np.mean(recent) + DEVIATIONS * np.std(recent)):
+        limit = max(LEAST, np.mean(recent) + DEVIATIONS * np.std(recent)) if len(recent) >= 2 else FIRST
+        if x > min(limit, MOST):
             out.append(i)
-            recent = []
         else:
             recent = [*recent[-(RECENT - 1) :], x]
     return out

@@ -217,6 +217,15 @@ def test_pipeline_against_brute_force(spark, small):
     assert max(Counter({s: sum(r["length"] for r in packed if r["sequence_id"] == s) for s in {r["sequence_id"] for r in packed}}).values()) <= 1024
 
 
+def test_cuts_at_the_start_and_short_shots():
+    shot = lambda level, n: [np.full((16, 64), level, np.uint8)] * n
+    assert motion_jpeg.cuts(shot(0, 1) + shot(200, 5)) == [0, 1]
+    assert motion_jpeg.cuts(shot(0, 2) + shot(200, 5)) == [0, 2]
+    assert motion_jpeg.cuts(shot(0, 4) + shot(90, 2) + shot(200, 2) + shot(0, 1) + shot(120, 1)) == [0, 4, 6, 8, 9]
+    assert motion_jpeg.cuts(shot(0, 1) + shot(200, 3) + shot(0, 3)) == [0, 1, 4]
+    assert motion_jpeg.cuts(shot(7, 9)) == [0]
+
+
 def test_pages_keep_all_that_is_no_furniture():
     first, second = (" ".join(f"{w}{i}" for i in range(n)) + "." for w, n in (("first", 60), ("second", 40)))
     menu = "<div><a href=a>One</a> <a href=b>Two</a></div>"
