@@ -155,15 +155,20 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("fp").join(root.hint("merge"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
-def near_groups(documents: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id, fp (signed long), component_id: the least doc_id among all documents reachable over links."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    prints = written(rows.mapInArrow(on_executors("simhash", "fingerprints", size, seed), "doc_id long, fp long"), "fingerprints")
+def grouped(documents: DataFrame, size: int, seed: int) -> DataFrame:
+    """doc_id, hash (of the text), fp (signed long), root (the least fp of the component), component_id."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    prints = written(rows.mapInArrow(on_executors("simhash", "fingerprints", size, seed), "doc_id long, hash long, fp long"), "fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     root = written(components(distinct, links(distinct)), "components")
     smallest = distinct.join(root.hint("merge"), "fp").groupBy("root").agg(F.min("least").alias("component_id"))
-    names = root.join(smallest, "root").select("fp", "component_id")
-    return prints.join(written(names, "names").hint("merge"), "fp").select("doc_id", "fp", "component_id")
+    names = root.join(smallest, "root").select("fp", "root", "component_id")
+    return prints.join(written(names, "names").hint("merge"), "fp").select("doc_id", "hash", "fp", "root", "component_id")
+
+
+def near_groups(documents: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
+    """doc_id, fp (signed long), component_id: the least doc_id among all documents reachable over links."""
+    return grouped(documents, size, seed).select("doc_id", "fp", "component_id")
 
 
 def unsigned_hex(x: Column) -> Column:
@@ -171,11 +176,12 @@ def unsigned_hex(x: Column) -> Column:
 
 
 def dedup(documents: DataFrame, size: int = 3) -> DataFrame:
-    """The documents (all columns) whose doc_id is the least of its group; of repeated ids one row stays, those without an id stay."""
-    groups = near_groups(documents, size)
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    own = documents.select(F.struct(*documents.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
-    kept = own.join(stay.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("row")
+    """The documents (all columns) of the least doc_id of each group, one row of each (by the text's hash, where texts share the id);
+    those without an id stay."""
+    groups = grouped(documents, size, 42).where("doc_id = component_id")
+    stay = groups.groupBy("root").agg(F.min(F.struct("doc_id", "hash")).alias("least")).select("least.doc_id", "least.hash")
+    own = documents.select(F.struct(*documents.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"))
+    kept = own.join(stay.hint("merge"), ["doc_id", "hash"], "left_semi").dropDuplicates(["doc_id", "hash"]).select("row")
     return kept.unionByName(own.where("doc_id is null").select("row")).select("row.*")
 
 

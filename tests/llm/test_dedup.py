@@ -213,3 +213,9 @@ def test_pipeline_drops_texts_of_similarity_four_fifths(spark):
     for stage in stages:
         docs = stage(spark, docs, "")
     assert sorted(r["doc_id"] for r in docs.collect()) == [1, 3]
+
+
+def test_texts_that_share_an_id_stay(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    docs = table(spark, [(1, a), (1, b), (1, a), (2, a), (3, b.upper())])
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.dedup(docs).collect()) == [(1, a), (1, b)]
