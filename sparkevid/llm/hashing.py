@@ -6,6 +6,8 @@ Prefix sums give the name of any window in O(1). Two bases give 128 bits.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -94,3 +96,12 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
+
+
+def majority(hashes: Iterable[np.ndarray]) -> int:
+    """A bit is 1 if it is set in over half the hashes."""
+    count, n = np.zeros(64, np.int64), 0
+    for part in hashes:
+        count += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(part)
+    return int.from_bytes(np.packbits(2 * count > n).tobytes(), "big")

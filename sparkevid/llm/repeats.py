@@ -1,19 +1,18 @@
-"""Exact repeats of L symbols (bytes or words) across all rows, by doubling rounds over sampled positions.
-
-A window of L symbols is given to one anchor: the leftmost position of the smallest K-symbol name inside
-it. Equal windows have equal anchors at equal places, so only occurrences of one anchor name are ever
-compared, and about 2 / (L - K) of all positions become rows. A context is an anchor with the run of
-windows given to it. Rounds over (position, rank) rows, rank being the name of the string there:
-
-1. rank of K symbols: Spark groups the ranks; unique ones end here;
-2. rank of the whole context: where it occurs twice, all its windows repeat, and it ends here too;
-3. rank pairs (p, p + K) and (p - K, p), which are ranks of 2 K symbols: a unique pair takes the windows
-   that hold it away;
-4. past the threshold: the windows left are ranked at all L symbols. Contexts of one anchor name are sorted
-   together and ranked in numpy, one task holding at most HOT contexts of a name; names with more
-   are ranked one row per window, which Spark aggregates before it shuffles.
-
-Ranks are 128-bit names. Nothing is capped; rows are never paired.
+"""Exact repeats of L symbols (bytes or words) across all rows, by prefix doubling over anchored positions.
+
+Every window of L symbols is given to anchors: positions inside it that its own symbols choose, so that equal windows have an
+anchor at the same place. A context is an anchor with the run of window starts given to it. Contexts are rows; the rank of a position
+is the 128-bit name of the K symbols there, equal for equal strings only. Rounds:
+
+1. Spark groups the ranks of K symbols; contexts whose rank is unique end here.
+2. Contexts that are equal as a whole are copies: all their windows repeat. One of them goes on, with weight 2.
+3. Doubling: at offset h = K, 2K, 4K, .. the rank of 2h symbols at a position is that of the pair (rank of h there, rank of h at
+   the offset). Spark sorts and counts the new ranks to the right of each anchor and to its left. Where one is unique, no window that
+   holds its 2h symbols repeats: the run of window starts is cut, and a context without any left has ended.
+4. Past the threshold: the window starts left are rows of their own, ranked at all L symbols.
+
+Ranks of rounds 3 are 64 bits long: a collision there leaves a window to round 4 and changes no result. Nothing is capped, rows are
+never paired, and a common rank is counted before it is shuffled.
 """
 
 from __future__ import annotations
@@ -28,13 +27,13 @@ from pyspark.sql import functions as F
 from . import hashing as H
 from .runtime import dropped, on_executors, written
 
-#: Contexts of one anchor name that one task may hold; each is below 2 L symbols.
-HOT = 8192
 #: Symbols handled at a time.
 CHUNK = 1 << 18
 _LOW = np.uint64((1 << 24) - 1)
 
-CONTEXT = "k1 long, k2 long, a int, p0 int, p1 int, n1 long, n2 long, f1 long, f2 long, r long, l long"
+#: a: the anchor; p0, p1: first and last window start; n: the rank at the anchor; f: the name of the whole context; right, left: the
+#: ranks of the K symbols at a, a + K, a + 2K, .. and at a, a - K, a - 2K, .., null where no window of the context holds them.
+CONTEXT = "k1 long, k2 long, a int, p0 int, p1 int, n1 long, n2 long, f1 long, f2 long, right array<long>, left array<long>"
 _KEYS = ["n1", "n2"]
 
 
@@ -55,45 +54,54 @@ def doc_ranges(off: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]
         i = j
 
 
-def contexts(x: np.ndarray, off: np.ndarray, length: int, k: int, allowed: np.ndarray | None = None) -> dict[str, np.ndarray]:
-    """Contexts of the documents x[off[i]:off[i+1]]; ``allowed``: which window starts count. Positions are within x."""
-    w = length - k + 1
-    if len(x) < length:
-        return {}
+def doubling(length: int, k: int) -> list[int]:
+    """The offsets h = k, 2k, 4k, .. of the rounds that rank 2h < length symbols."""
+    return [k << i for i in range(length.bit_length()) if 2 * (k << i) < length]
+
+
+def sampled(x: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor, first and last window start of the contexts of the documents x[off[i]:off[i+1]].
+
+    The anchor of a window is the leftmost of its smallest k-symbol names, so about 2 / (length - k) of all positions are anchors."""
     first, last = off[:-1], off[1:] - length
     long_enough = last >= first
     step = np.zeros(len(x) + 1, np.int32)
     np.add.at(step, first[long_enough], 1)
     np.add.at(step, last[long_enough] + 1, -1)
-    valid = np.cumsum(step[: len(x) - length + 1]) > 0
-    if allowed is not None:
-        valid &= allowed[: len(valid)]
-    p = np.flatnonzero(valid)
+    p = np.flatnonzero(np.cumsum(step[: max(len(x) - length + 1, 0)]) > 0)
     if not len(p):
-        return {}
-    one, two = H.Names(x, H.BASES[0]), H.Names(x, H.BASES[1])
-    name = one.windows(k)
-    ranked = (name & ~_LOW) | np.arange(len(name), dtype=np.uint64)
-    anchor = (H.sliding_min(ranked, w)[p] & _LOW).astype(np.int64)
+        return p, p, p
+    name = H.Names(x, H.BASES[0]).windows(k)
+    name &= ~_LOW
+    name |= np.arange(len(name), dtype=np.uint64)
+    anchor = (H.sliding_min(name, length - k + 1)[p] & _LOW).astype(np.int64)
     new = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (p[1:] != p[:-1] + 1))))
-    a, p0, p1 = anchor[new], p[new], p[np.concatenate((new[1:], [len(p)])) - 1]
-    place = H.mix((a - p0).astype(np.uint64) * np.uint64(1 << 32) + (p1 - p0).astype(np.uint64) + np.uint64(1))
-    right, left = p1 >= a - (length - 2 * k), p0 <= a - k
-    return {
-        "doc": np.searchsorted(off, a, side="right") - 1, "a": a, "p0": p0, "p1": p1,
-        "n1": one.spans(a, a + k), "n2": two.spans(a, a + k), "f1": one.spans(p0, p1 + length) ^ place, "f2": two.spans(p0, p1 + length) + place,
-        "r": np.where(right, one.spans(np.where(right, a + k, 0), np.where(right, a + 2 * k, 0)), 0), "l": np.where(left, one.spans(np.where(left, a - k, 0), np.where(left, a, 0)), 0),
-        "no_r": ~right, "no_l": ~left,
-    }
+    return anchor[new], p[new], p[np.concatenate((new[1:], [len(p)])) - 1]
 
 
-def context_batch(rows: dict[str, np.ndarray], k1: np.ndarray, k2: np.ndarray, base: np.ndarray | int, more: dict | None = None) -> pa.RecordBatch:
-    """``base``: where the documents begin in the buffer, subtracted from positions."""
-    signed = lambda name: rows[name].view(np.int64)
-    cols = {"k1": k1, "k2": k2} | {c: (rows[c] - base).astype(np.int32) for c in ("a", "p0", "p1")} | {c: signed(c) for c in ("n1", "n2", "f1", "f2")}
-    cols = {c: pa.array(v) for c, v in cols.items()}
-    cols |= {c: pa.array(rows[c].astype(np.uint64).view(np.int64), mask=rows[f"no_{c}"]) for c in ("r", "l")}
-    return pa.RecordBatch.from_pydict(cols | (more or {}))
+def described(x: np.ndarray, a: np.ndarray, p0: np.ndarray, p1: np.ndarray, length: int, k: int) -> dict[str, np.ndarray | pa.Array]:
+    """The ranks and names of contexts in x, and the ranks at each multiple of k that rounds will pair."""
+    one, two = H.Names(x, H.BASES[0]), H.Names(x, H.BASES[1])
+    place = H.mix((a - p0).astype(np.uint64) * np.uint64(1 << 32) + (p1 - p0).astype(np.uint64) + np.uint64(1))
+    cols = {"n1": one.spans(a, a + k), "n2": two.spans(a, a + k), "f1": one.spans(p0, p1 + length) ^ place, "f2": two.spans(p0, p1 + length) + place}
+    out = {c: v.view(np.int64) for c, v in cols.items()}
+    offsets = doubling(length, k)
+    steps = 2 * offsets[-1] // k - 1 if offsets else 0
+    at = pa.array(np.arange(len(a) + 1, dtype=np.int32) * steps)
+    for side, sign in (("right", 1), ("left", -1)):
+        begin = a[:, None] + sign * k * np.arange(1, steps + 1)
+        held = (begin >= p0[:, None]) & (begin + k <= (p1 + length)[:, None])
+        begin = np.where(held, begin, 0)
+        ranks = np.where(held, one.spans(begin, np.where(held, begin + k, 0)), 0)
+        out[side] = pa.ListArray.from_arrays(at, pa.array(ranks.ravel().view(np.int64), mask=~held.ravel()))
+    return out
+
+
+def context_batch(x: np.ndarray, a: np.ndarray, p0: np.ndarray, p1: np.ndarray, length: int, k: int, keys: dict[str, np.ndarray], base: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of contexts in x; ``base``: where each one's document begins in x, subtracted from positions."""
+    if len(a):
+        cols = keys | {c: (v - base).astype(np.int32) for c, v in (("a", a), ("p0", p0), ("p1", p1))} | described(x, a, p0, p1, length, k)
+        yield pa.RecordBatch.from_pydict({c: v if isinstance(v, pa.Array) else pa.array(v) for c, v in cols.items()})
 
 
 def byte_contexts(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
@@ -105,150 +113,117 @@ def byte_contexts(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Ite
             lo, hi = off[i], off[j]
             for start in range(lo, hi, CHUNK) if j == i + 1 else (lo,):
                 end = min(hi, start + CHUNK + length - 1) if j == i + 1 else hi
+                x = H.BYTES[data[start:end]]
                 part = np.clip(off[i : j + 1], start, end) - start
-                if rows := contexts(H.BYTES[data[start:end]], part, length, k):
-                    doc = rows["doc"] + i
-                    yield context_batch(rows, k1[doc], k2[doc], off[doc] - start)
+                a, p0, p1 = sampled(x, part, length, k)
+                doc = np.searchsorted(part, a, side="right") - 1 + i
+                yield from context_batch(x, a, p0, p1, length, k, {"k1": k1[doc], "k2": k2[doc]}, off[doc] - start)
 
 
-def byte_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with text (binary) and the arrays of a document's contexts to one row each with its bytes."""
-    for batch in batches:
-        off, data = binary_parts(batch.column("text"))
-        wanted = batch.column("wanted")
-        flat, counts = wanted.flatten(), np.diff(wanted.offsets.to_numpy())
-        doc = np.repeat(np.arange(batch.num_rows), counts)
-        s, e = flat.field("q0").to_numpy() + off[doc], flat.field("e").to_numpy() + off[doc]
-        for i in range(0, len(doc), 4096):
-            part = slice(i, i + 4096)
-            seg = [data[x:y].tobytes() for x, y in zip(s[part], e[part], strict=True)]
-            cols = {c: flat.field(c).slice(i, 4096) for c in ("n1", "n2", "weight", "q0", "q1")}
-            cols |= {c: batch.column(c).take(pa.array(doc[part])) for c in ("k1", "k2")}
-            yield pa.RecordBatch.from_pydict(cols | {"seg": pa.array(seg, pa.binary()), "skip": pa.array(np.zeros(len(seg), np.int32))})
-
-
-#: skip: symbols of ``seg`` before the first window.
-SEGMENT = "n1 long, n2 long, weight int, q0 int, q1 int, k1 long, k2 long, seg binary, skip int"
-
-
-def _segment_windows(table: pa.Table, length: int, of_words: bool) -> tuple[np.ndarray, ...]:
-    """Context, window start within it, and 128-bit rank, of every window of the segments."""
-    segs = table.column("seg").combine_chunks()
-    off, data = binary_parts(segs)
-    if of_words:
-        joined = np.frombuffer(b" ".join(segs.to_pylist()), np.uint8)
-        start, end = H.words(joined)
-        x = H.word_symbols(joined, start, end)
-        first = np.searchsorted(start, off[:-1] - off[0] + np.arange(len(segs)))
-    else:
-        x, first = H.BYTES[data[off[0] : off[-1]]], off[:-1] - off[0]
-    n = table.column("q1").to_numpy() - table.column("q0").to_numpy() + 1
-    which = np.repeat(np.arange(len(n)), n)
-    within = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-    at = (first + table.column("skip").to_numpy())[which] + within
-    return which, within, *(H.Names(x, b).spans(at, at + length) for b in H.BASES)
-
-
-def _ranked(table: pa.Table, length: int, of_words: bool) -> pa.RecordBatch:
-    which, within, h1, h2 = _segment_windows(table, length, of_words)
-    order = np.lexsort((h2, h1))
-    a, b = h1[order], h2[order]
-    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-    weight = table.column("weight").to_numpy()
-    total = np.add.reduceat(weight[which[order]], np.flatnonzero(new))
-    repeated = np.zeros(len(which), bool)
-    repeated[order] = (total >= 2)[np.cumsum(new) - 1]
-    hit = np.flatnonzero(repeated & (weight[which] == 1))
-    begins = np.flatnonzero(np.concatenate(([True], (np.diff(hit) != 1) | (np.diff(which[hit]) != 0)))) if len(hit) else hit
-    ends = np.concatenate((begins[1:], [len(hit)])) - 1 if len(hit) else hit
-    c = which[hit[begins]]
-    q0 = table.column("q0").to_numpy()[c]
-    cols = {k: pa.array(table.column(k).to_numpy()[c]) for k in ("k1", "k2")}
-    return pa.RecordBatch.from_pydict(cols | {"s": pa.array((q0 + within[hit[begins]]).astype(np.int32)), "e": pa.array((q0 + within[hit[ends]] + length).astype(np.int32))})
-
-
-RUN = "k1 long, k2 long, s int, e int"
-
-
-def ranked_buckets(batches: Iterator[pa.RecordBatch], length: int, of_words: bool, hold: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor name to the repeated runs of each; whole names are ranked together, many at a time."""
-    kept: list[pa.RecordBatch] = []
-    for batch in batches:
-        kept.append(batch)
-        if sum(b.num_rows for b in kept) < hold:
-            continue
-        table = pa.Table.from_batches(kept)
-        n1, n2 = table.column("n1").to_numpy(), table.column("n2").to_numpy()
-        other = np.flatnonzero((n1 != n1[-1]) | (n2 != n2[-1]))
-        open_from = int(other[-1]) + 1 if len(other) else 0
-        if open_from:
-            yield from _in_parts(table.slice(0, open_from), length, of_words, hold)
-        kept = table.slice(open_from).combine_chunks().to_batches()
-    if kept and sum(b.num_rows for b in kept):
-        yield from _in_parts(pa.Table.from_batches(kept), length, of_words, hold)
-
-
-def _in_parts(table: pa.Table, length: int, of_words: bool, hold: int) -> Iterator[pa.RecordBatch]:
-    """Parts of about ``hold`` contexts, none of which cuts a name."""
-    n1, n2 = table.column("n1").to_numpy(), table.column("n2").to_numpy()
-    cuts = np.concatenate(([0], np.flatnonzero((n1[1:] != n1[:-1]) | (n2[1:] != n2[:-1])) + 1, [len(n1)]))
+#: A run of windows of a row, and their ranks.
+WINDOWS = "k1 long, k2 long, q0 int, weight int, w1 array<long>, w2 array<long>"
+
+
+def window_ranks(batch: pa.RecordBatch, rows: slice, x: Callable[[int, int], np.ndarray], first: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
+    """The windows that ``wanted`` of some rows asks for, ranked. ``x``: symbols of a range; ``first``: where each row's begin.
+
+    The place of the window relative to its anchor is part of the rank. At most about CHUNK symbols are ranked at once."""
+    wanted = batch.column("wanted")
+    of = wanted.offsets.to_numpy().astype(np.int64)
+    of -= of[0]
+    part = slice(of[rows.start], of[rows.stop])
+    a, q0, q1, weight = (wanted.flatten().field(c).to_numpy()[part].astype(np.int64) for c in ("a", "q0", "q1", "weight"))
+    doc = np.repeat(np.arange(rows.start, rows.stop), np.diff(of[rows.start : rows.stop + 1]))
+    begin = first[doc - rows.start]
+    order = np.argsort(begin + q0, kind="stable")
+    start = (begin + q0)[order]
     i = 0
-    while i < len(cuts) - 1:
-        j = max(i + 1, int(np.searchsorted(cuts, cuts[i] + hold, side="right")) - 1)
-        yield _ranked(table.slice(cuts[i], cuts[j] - cuts[i]), length, of_words)
+    while i < len(order):
+        j = max(i + 1, int(np.searchsorted(start, start[i] + CHUNK, side="right")))
+        j = min(j, i + CHUNK // length + 1)
+        o = order[i:j]
+        lo = start[i]
+        symbols = x(lo, int((begin + q1)[o].max()) + length)
+        n = (q1 - q0 + 1)[o]
+        ends = np.cumsum(n)
+        at = np.repeat(start[i:j] - lo - (ends - n), n) + np.arange(ends[-1])
+        place = H.mix((np.repeat((begin + a)[o] - lo, n) - at + 1).astype(np.uint64))
+        w1 = H.Names(symbols, H.BASES[0]).spans(at, at + length) ^ place
+        w2 = H.Names(symbols, H.BASES[1]).spans(at, at + length) + place
+        lists = pa.array(np.concatenate(([0], ends)).astype(np.int32))
+        cols = {c: batch.column(c).take(pa.array(doc[o])) for c in ("k1", "k2")} | {"q0": pa.array(q0[o].astype(np.int32)), "weight": pa.array(weight[o].astype(np.int32))}
+        yield pa.RecordBatch.from_pydict(cols | {c: pa.ListArray.from_arrays(lists, pa.array(w.view(np.int64))) for c, w in (("w1", w1), ("w2", w2))})
         i = j
 
 
-def window_ranks(batches: Iterator[pa.RecordBatch], length: int, of_words: bool) -> Iterator[pa.RecordBatch]:
-    """For names with more than HOT contexts: a context's windows as arrays of ranks, which Spark explodes and counts."""
+def byte_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Rows with text (binary) and the contexts wanted of them to runs of ranked windows."""
     for batch in batches:
-        for i in range(0, batch.num_rows, 1024):
-            table = pa.Table.from_batches([batch.slice(i, 1024)])
-            which, _, h1, h2 = _segment_windows(table, length, of_words)
-            at = pa.array(np.searchsorted(which, np.arange(table.num_rows + 1)).astype(np.int32))
-            cols = {c: table.column(c).combine_chunks() for c in ("k1", "k2", "q0", "weight")}
-            yield pa.RecordBatch.from_pydict(cols | {c: pa.ListArray.from_arrays(at, pa.array(h.view(np.int64))) for c, h in (("w1", h1), ("w2", h2))})
+        off, data = binary_parts(batch.column("text"))
+        for i, j in doc_ranges(off):
+            yield from window_ranks(batch, slice(i, j), lambda lo, hi, d=data[off[i] : off[j]]: H.BYTES[d[lo:hi]], off[i : j + 1] - off[i], length)
+
+
+def _pairs(ranks: Column, turned: bool) -> Column:
+    """Ranks of h symbols at multiples of h to the ranks of 2h at multiples of 2h; null where one is null."""
+
+    def pair(i: Column) -> Column:
+        x, y = F.get(ranks, 2 * i), F.get(ranks, 2 * i + 1)
+        return F.when(x.isNotNull() & y.isNotNull(), F.xxhash64(y, x) if turned else F.xxhash64(x, y))
+
+    return F.transform(F.sequence(F.lit(0), F.floor(F.size(ranks) / 2).cast("int") - 1), pair)
 
 
-def _twice(rows: DataFrame, side: str) -> DataFrame:
-    """Rank pairs of 2 K symbols that occur at least twice."""
-    pairs = rows.where(F.col(side).isNotNull()).groupBy(*_KEYS, side).agg(F.sum("weight").alias("times"))
-    return pairs.where("times >= 2").select(*_KEYS, side, F.lit(True).alias(f"{side}_twice"))
+def _reranked(rows: DataFrame, h: int, k: int, length: int) -> DataFrame:
+    """One round: ranks of 2h on both sides of the anchors; runs are cut where one is unique, empty ones end."""
+    rows = written(rows.withColumn("right", _pairs(F.col("right"), False)).withColumn("left", _pairs(F.col("left"), True)), "pairs")
+    for side in ("right", "left"):
+        rank = F.get(side, F.lit(0))
+        times = rows.select(*_KEYS, rank.alias("rank"), "weight").where("rank is not null").groupBy(*_KEYS, "rank").agg(F.sum("weight").alias("times"))
+        twice = written(times.where("times >= 2").select(*_KEYS, "rank", F.lit(True).alias("twice")), "ranks")
+        marked = rows.withColumn("rank", rank).join(twice.hint("merge"), [*_KEYS, "rank"], "left")
+        unique = F.col("rank").isNotNull() & F.col("twice").isNull()
+        if side == "right":  # windows that hold a .. a + 2h start at a + 2h - length or later
+            marked = marked.withColumn("q1", F.when(unique, F.least("q1", F.col("a") + (2 * h - length - 1))).otherwise(F.col("q1")))
+        else:  # and those that hold a + k - 2h .. a + k there or earlier
+            marked = marked.withColumn("q0", F.when(unique, F.greatest("q0", F.col("a") + (k - 2 * h + 1))).otherwise(F.col("q0")))
+        done = written(marked.select(*rows.columns).where("q0 <= q1"), "cut")
+        dropped(rows, twice)
+        rows = done
+    return rows
 
 
-def repeated_runs(found: DataFrame, length: int, k: int, segments: Callable[[DataFrame], DataFrame], of_words: bool) -> DataFrame:
-    """Runs (k1, k2, s, e) covered by repeated windows; ``found``: written contexts, dropped here, ``segments`` adds their symbols."""
-    small = [c.split()[0] for c in CONTEXT.split(", ")]
+def repeated_runs(found: DataFrame, length: int, k: int, windows: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Runs (k1, k2, s, e) covered by repeated windows. ``found``: written contexts, dropped here; ``windows``: WINDOWS of the
+    contexts a, q0, q1, weight of rows k1, k2."""
     ranks = found.groupBy(*_KEYS).agg(F.count("*").alias("times"), ((F.min("f1") == F.max("f1")) & (F.min("f2") == F.max("f2"))).alias("same"))
     ranks = written(ranks.where("times >= 2").drop("times"), "ranks")  # written, for Spark splits a hot rank only where plain shuffles meet
-    alive = written(found.select(*small).join(ranks.hint("merge"), _KEYS), "alive")
-    place = F.struct("k1", "k2", "a", "p0", "p1", "r", "l")
-    whole = alive.where("not same").groupBy(*_KEYS, "f1", "f2").agg(F.count("*").alias("times"), F.min(place).alias("x"))
-    whole = written(whole.select(*_KEYS, "f1", "f2", F.least("times", F.lit(2)).cast("int").alias("weight"), "x.*"), "whole")
-    settled = alive.where("same").select("k1", "k2", "p0", "p1").unionByName(alive.where("not same").join(whole.where("weight = 2").select(*_KEYS, "f1", "f2"), [*_KEYS, "f1", "f2"], "left_semi").select("k1", "k2", "p0", "p1"))
-    settled = settled.select("k1", "k2", F.col("p0").alias("s"), (F.col("p1") + length).alias("e"))
-
-    paired = whole.join(_twice(whole, "r"), [*_KEYS, "r"], "left").join(_twice(whole, "l"), [*_KEYS, "l"], "left")
-    no_right, no_left = (F.col(c).isNotNull() & F.col(f"{c}_twice").isNull() for c in "rl")
-    trimmed = paired.select(
-        *_KEYS, "k1", "k2", "weight", "a", "p0",
-        F.when(no_left, F.greatest("p0", F.col("a") - (k - 1))).otherwise(F.col("p0")).alias("q0"),
-        F.when(no_right, F.least("p1", F.col("a") - (length - 2 * k) - 1)).otherwise(F.col("p1")).alias("q1"),
-    ).where("q0 <= q1")
-    trimmed = written(trimmed, "trimmed")
-    sizes = trimmed.groupBy(*_KEYS).agg(F.count("*").alias("n"), F.min("weight").alias("least")).where("n >= 2 and least = 1").select(*_KEYS, (F.col("n") > HOT).alias("hot"))
-    sizes = written(sizes, "sizes")
-    few = written(segments(trimmed.join(sizes, _KEYS)), "segments")
-    dropped(found, ranks, trimmed)
-
-    cold = few.join(sizes.where("hot"), _KEYS, "left_anti").repartition(*_KEYS).sortWithinPartitions(*_KEYS)
-    cold = cold.mapInArrow(on_executors("repeats", "ranked_buckets", length, of_words), RUN)
-    hot = few.join(sizes.where("hot"), _KEYS, "left_semi")
-    hot = hot.mapInArrow(on_executors("repeats", "window_ranks", length, of_words), "k1 long, k2 long, q0 int, weight int, w1 array<long>, w2 array<long>")
-    hot = hot.select("k1", "k2", "q0", "weight", F.posexplode(F.arrays_zip("w1", "w2")).alias("i", "w")).select("k1", "k2", "weight", (F.col("q0") + F.col("i")).alias("s"), "w.w1", "w.w2")
-    again = hot.groupBy("w1", "w2").agg(F.sum("weight").alias("times")).where("times >= 2").select("w1", "w2")
-    hot = hot.where("weight = 1").join(again, ["w1", "w2"], "left_semi").select("k1", "k2", "s", (F.col("s") + length).alias("e"))
-    return settled.unionByName(cold).unionByName(hot)
+    alive = written(found.join(ranks.hint("merge"), _KEYS), "alive")
+    dropped(found, ranks)
+    mixed = alive.where("not same")
+    place = F.struct("k1", "k2", "a", "p0", "p1", "right", "left")
+    rows = mixed.groupBy(*_KEYS, "f1", "f2").agg(F.count("*").alias("times"), F.min(place).alias("x"))
+    rows = written(rows.select(*_KEYS, "f1", "f2", F.least("times", F.lit(2)).cast("int").alias("weight"), "x.*"), "copies")
+    copied = mixed.join(rows.where("weight = 2").select(*_KEYS, "f1", "f2"), [*_KEYS, "f1", "f2"], "left_semi")
+    settled = alive.where("same").select("k1", "k2", "p0", "p1").unionByName(copied.select("k1", "k2", "p0", "p1"))
+    settled = written(settled.select("k1", "k2", F.col("p0").alias("s"), (F.col("p1") + length).alias("e")), "settled")
+    dropped(alive)
+
+    first = lambda side: F.concat(F.array("n1"), side).alias(side)
+    left = written(rows.select(*_KEYS, "k1", "k2", "weight", "a", F.col("p0").alias("q0"), F.col("p1").alias("q1"), first("right"), first("left")), "round")
+    dropped(rows)
+    for h in doubling(length, k):
+        left = _reranked(left, h, k, length)
+    sizes = written(left.groupBy(*_KEYS).agg(F.count("*").alias("n"), F.min("weight").alias("least")).where("n >= 2 and least = 1").select(*_KEYS), "sizes")
+    wanted = written(left.select(*_KEYS, "k1", "k2", "a", "q0", "q1", "weight").join(sizes.hint("merge"), _KEYS), "wanted")
+    dropped(left, sizes)
+
+    runs = written(windows(wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "q0", "q1", "weight")).alias("wanted"))), "windows")
+    dropped(wanted)
+    each = runs.select("k1", "k2", "q0", "weight", F.posexplode(F.arrays_zip("w1", "w2")).alias("i", "w")).select("k1", "k2", "weight", (F.col("q0") + F.col("i")).alias("s"), "w.w1", "w.w2")
+    again = written(each.groupBy("w1", "w2").agg(F.sum("weight").alias("times")).where("times >= 2").select("w1", "w2"), "repeated")
+    hits = each.where("weight = 1").join(again.hint("merge"), ["w1", "w2"], "left_semi")
+    return settled.unionByName(hits.select("k1", "k2", "s", (F.col("s") + length).alias("e")))
 
 
 def spans(runs: DataFrame) -> DataFrame:

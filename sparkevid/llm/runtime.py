@@ -11,6 +11,7 @@ import gc
 import importlib
 import os
 import sys
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -20,36 +21,37 @@ from pyspark.sql import functions as F
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Used only where the session names no shared folder (local tests).
 LOCAL_DIR = "file:///tmp/checkpoints"
-#: Rows that Python gets at once while a table is written. Rows hold whole texts, so Spark's default of 10,000 is much memory.
-ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Seconds between two collections of the driver's garbage.
+COLLECT_S = 5.0
+_collected = 0.0
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where the session names none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or LOCAL_DIR).rstrip("/")
+    """The cluster's shared folder; a local one only for a local master whose session names none."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    return (found or LOCAL_DIR).rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
-    The driver's garbage is collected afterwards, so that shuffle files of the finished job go."""
+    The driver's garbage is collected now and then, so that shuffle files of finished jobs go."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparkevid/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     schema = df.schema
-    batch = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(min(int(batch), ROWS) if int(batch) > 0 else ROWS))
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_BATCH, batch)
+    df.write.option("compression", "zstd").parquet(path)
     if not _written:
         atexit.register(_clean)
     _written.append((spark, path))
     del df
-    gc.collect()
-    spark._jvm.System.gc()
+    global _collected
+    if time.monotonic() - _collected > COLLECT_S:
+        gc.collect()
+        spark._jvm.System.gc()
+        _collected = time.monotonic()
     out = spark.read.schema(schema).parquet(path)
     out.written_to = path
     return out

@@ -1,17 +1,19 @@
-"""SentencePiece encoding and decoding: the best path over a model's pieces, by a max-plus parallel scan.
+"""SentencePiece encoding and decoding: the path of a BPE model's pieces, by a max-plus parallel scan.
 
-An encoding is the segmentation of greatest total score (the library's unigram search; of equal scores the one whose
-last piece is longest, from the right). An unknown character scores 10 below the least piece and becomes its bytes. Scores
-are summed exactly, as integers where the model's are. No piece lies across the places at which
-``Pieces.runs`` cuts, so every path passes these, and the runs of a text are solved once for each distinct run.
+Merging by rank leaves the one sequence of pieces of which each neighbouring pair, merged by itself, stays apart: merges happen in
+the same order in a part of a text that they never leave. So an encoding is the best path over pieces, where a pair that stays
+apart weighs 0 and any other minus infinity, and the ids are those of the library. An unknown character becomes its bytes. No piece lies
+across the places at which ``Pieces.runs`` cuts, so the runs of a text are solved once for each distinct run.
 
-A giant document is split into chunks, rows of their own. State i at a boundary: the last piece covers i characters beyond it.
+A giant document is split into chunks, rows of their own, dealt to tasks by their number. A state at a boundary is the piece
+that ends there or lies across: how many of its characters are before it and how many behind.
 
-1. Each chunk yields its transfer matrix, entry state to exit state, in max-plus algebra.
+1. Each chunk yields its transfer matrix, entry state to exit state, in max-plus algebra. Beyond the first cut of a chunk all
+   paths are the same, so a matrix costs a few runs.
 2. Matrices combine associatively: within blocks of BLOCK chunks, then over the blocks of a document; prefixes of the
    product give the scores of all states at each chunk's entry.
-3. With these a chunk knows for each exit state the entry state that the search would choose; these maps compose
-   associatively from the right, and give each chunk its exit state.
+3. With these a chunk knows for each exit state the entry state before it; these maps compose associatively from the right, and
+   give each chunk its exit state.
 4. Each chunk is traced back by itself.
 
 Null and empty texts have no ids. U+2581 in a text is a space to the model and decodes as one. Repeated rows are
@@ -20,7 +22,6 @@ encoded each for itself; extra columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -33,105 +34,91 @@ from pyspark.sql import functions as F
 from . import pieces
 from .runtime import on_executors, table, written
 
-#: Characters of a chunk; documents of at most one chunk need no scan. Chunks of a block. Runs of each of two generations that are remembered.
+#: Characters of a chunk; documents of at most one chunk need no scan. Chunks of a block, and chunks that a task gets.
 CHUNK = 1 << 16
 BLOCK = 256
+DEAL = 32
+#: Runs of each of two generations, and pairs, that are remembered. Characters from which a run goes by its path instead of by merging.
 REMEMBERED = 250_000
+LONG = 64
 NONE = np.int64(-(1 << 61))
-_PREFIX, _UNREACHED = -(1 << 62), -(1 << 61)
 
 
 class Codec:
     def __init__(self, path: str):
         model = self.model = pieces.load(path)
-        names = {n: i for n, i in model.ids.items() if model.kinds[i] == pieces.NORMAL}
-        scale = 1 if all(float(model.scores[i]).is_integer() for i in names.values()) else 1 << 20
-        self.piece = {n: (round(model.scores[i] * scale), i) for n, i in names.items()}
-        self.prefixes = {n[:k] for n in names for k in range(1, len(n))}
-        self.unknown = min(s for s, _ in self.piece.values()) - 10 * scale
-        self.states = model.longest
+        self.piece = {n: i for n, i in model.ids.items() if model.kinds[i] == pieces.NORMAL}
+        self.rank = {n: -model.scores[i] for n, i in self.piece.items()}
+        self.prefixes = {n[:k] for n in self.piece for k in range(1, len(n))}
+        self.longest = model.longest
         self.run = model.runs()
-        self.tree: dict[str, list] = {}  # character to [score of the piece that ends here or _PREFIX, what may follow]
-        for name, (score, _) in self.piece.items():
-            node, follow = None, self.tree
-            for char in name:
-                node = follow.setdefault(char, [_PREFIX, {}])
-                follow = node[1]
-            node[0] = score
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.pairs: dict[tuple[str, str], bool] = {}
         low = {i: chr(b) for b, i in model.byte_ids.items() if b < 128}
         control = {i for i, k in enumerate(model.kinds) if k == pieces.CONTROL}
         self.shown = ["" if i in control else low.get(i, n).replace(pieces.SPACE, " ") for i, n in enumerate(model.names)]
-        self.packed = {n: np.array([i], "<i4").tobytes() for n, (_, i) in self.piece.items()}
+        self.packed = {n: np.array([i], "<i4").tobytes() for n, i in self.piece.items()}
         self.high = frozenset(i for b, i in model.byte_ids.items() if b > 127)
 
-    def search(self, text: str, n: int, entry: list[int | None]) -> tuple[list[int | None], list[int]]:
-        """Best score and last start of each node of ``text``, pieces starting before n only; start -1: an entry state."""
-        best: list[int | None] = entry + [None] * (len(text) + 1 - len(entry))
-        start = [-1] * len(best)
-        for s in range(n):
-            so_far = best[s]
-            if so_far is None:
+    def merged(self, text: str) -> list[str]:
+        """The symbols that are left when the pair of least rank, the leftmost of equals, merges until there is none."""
+        parts = list(text)
+        none = float("inf")
+        ranks = [self.rank.get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (least := min(ranks)) != none:
+            i = ranks.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = self.rank.get(parts[i - 1] + parts[i], none)
+            if i < len(ranks):
+                ranks[i] = self.rank.get(parts[i] + parts[i + 1], none)
+        return parts
+
+    def apart(self, a: str, b: str) -> bool:
+        """Whether two symbols that stand beside each other stay so; ``a`` may be empty."""
+        known = self.pairs.get((a, b))
+        if known is None:
+            if len(self.pairs) > 4 * REMEMBERED:
+                self.pairs.clear()
+            known = self.pairs[a, b] = self.merged(a + b) == ([a, b] if a else [b])
+        return known
+
+    def path(self, text: str, begin: int, last: str, stop: int) -> list[int]:
+        """Starts of the symbols by their ends, -1 where none ends: the paths from ``begin``, after the symbol ``last``, on. Symbols
+        start before ``stop`` and may end behind it. At each place at most one can end."""
+        start = [-1] * (len(text) + 1)
+        for s in range(begin, stop):
+            if s > begin and start[s] < 0:
                 continue
-            single = False
-            for e in range(s + 1, min(len(text), s + self.states) + 1):
+            before = last if s == begin else text[start[s] : s]
+            for e in range(s + 1, min(len(text), s + self.longest) + 1):
                 part = text[s:e]
-                found = self.piece.get(part)
-                if found:
-                    single |= e == s + 1
-                    if best[e] is None or so_far + found[0] > best[e]:
-                        best[e], start[e] = so_far + found[0], s
+                if start[e] < 0 and (e == s + 1 or part in self.piece) and self.apart(before, part):
+                    start[e] = s
                 if part not in self.prefixes:
                     break
-            if not single and (best[s + 1] is None or so_far + self.unknown > best[s + 1]):
-                best[s + 1], start[s + 1] = so_far + self.unknown, s
-        return best, start
+        return start
 
-    def ids_of(self, part: str) -> list[int]:
-        found = self.piece.get(part)
-        return [found[1]] if found else [self.model.byte_ids[b] for b in part.encode()]
-
-    def trace(self, text: str, start: list[int], end: int) -> tuple[list[int], int]:
-        """Ids of the path that ends at node ``end``, and its entry state."""
+    def trace(self, text: str, start: list[int], begin: int, end: int) -> bytes:
+        """Packed ids of the path from ``begin`` to ``end``."""
         parts = []
-        while start[end] >= 0:
-            parts.append(text[start[end] : end])
+        while end > begin:
+            parts.append(self.ids_of(text[start[end] : end]))
             end = start[end]
-        return [i for p in reversed(parts) for i in self.ids_of(p)], end
+        return b"".join(reversed(parts))
+
+    def ids_of(self, part: str) -> bytes:
+        return self.packed.get(part) or np.array([self.model.byte_ids[b] for b in part.encode()], "<i4").tobytes()
 
     def encode_run(self, run: str) -> bytes:
-        """As ``search`` and ``trace`` of a whole run, along a tree of the pieces; ids as in ``encode``."""
-        n, unknown, first = len(run), self.unknown, self.tree.get
-        best, start = [_UNREACHED] * (n + 1), [0] * (n + 1)
-        best[0] = 0
-        for s in range(n):
-            so_far = best[s]
-            e = s + 1
-            node = first(run[s])
-            if node is None or node[0] == _PREFIX:
-                if so_far + unknown > best[e]:
-                    best[e], start[e] = so_far + unknown, s
-                if node is None:
-                    continue
-            while True:
-                score, follow = node
-                if so_far + score > best[e]:
-                    best[e], start[e] = so_far + score, s
-                if e == n or (node := follow.get(run[e])) is None:
-                    break
-                e += 1
-        parts = []
-        while n:
-            s = start[n]
-            part = run[s:n]
-            parts.append(self.packed.get(part) or np.array(self.ids_of(part), "<i4").tobytes())
-            n = s
-        parts.reverse()
-        return b"".join(parts)
+        if len(run) < LONG:
+            return b"".join(map(self.ids_of, self.merged(run)))
+        return self.trace(run, self.path(run, 0, "", len(run)), 0, len(run))
 
     def encode(self, text: str) -> bytes:
-        """Ids of a normalised text of at most a chunk, as little-endian 32-bit integers."""
+        """Ids of whole runs of a normalised text, as little-endian 32-bit integers."""
         runs = self.run.findall(text)
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {}
@@ -159,50 +146,56 @@ class Codec:
             text = "".join(out)
         return text[1:] if first and self.model.dummy_prefix and text.startswith(" ") else text
 
-    def bounds(self, text: str, n: int) -> tuple[int, int]:
-        """First and last place up to n that every path passes; (-1, -1) if there is none."""
-        cuts = [m.start() for m in self.run.finditer(text[: n + 1]) if m.start()]
-        return (cuts[0], cuts[-1]) if cuts else (-1, -1)
-
-    def score(self, run: str) -> int:
-        return self.search(run, len(run), [0])[0][-1]
+    def states(self, text: str, at: int) -> list[tuple[int, int]]:
+        """Spans of the symbols that start before ``at`` and end there or behind; the start of a text has the empty one."""
+        if at == 0:
+            return [(0, 0)]
+        spans = ((s, e) for s in range(max(0, at - self.longest), at) for e in range(at, min(len(text), s + self.longest) + 1))
+        return [(s, e) for s, e in spans if (e == s + 1 or text[s:e] in self.piece) and self.apart("", text[s:e])]
 
-    def transfer(self, text: str, n: int) -> np.ndarray:
-        """(states, states): best score from each entry to each exit state of a chunk of n characters, ``text`` having those after it too."""
-        m = self.states
-        out = np.full((m, m), NONE)
-        first, last = self.bounds(text, n)
-
-        def exits(t: str, size: int, entry: list[int | None], row: int, add: int) -> None:
-            best, _ = self.search(t, size, entry)
-            for j in range(m):
-                if size + j < len(best) and best[size + j] is not None:
-                    out[row, j] = best[size + j] + add
+    def bounds(self, text: str, lead: int, stop: int) -> tuple[int, int]:
+        """First and last place from ``lead`` on, before ``stop``, that every path passes; (-1, -1) if there is none."""
+        cuts = [m.start() for m in self.run.finditer(text) if lead <= m.start() < stop and (m.start() or not lead)]
+        return (cuts[0], cuts[-1]) if cuts else (-1, -1)
 
-        if first < m:  # all in one: from each entry state
-            for i in range(min(m, len(text) + 1)):
-                exits(text, n, [None] * i + [0], i, 0)
+    def transfer(self, text: str, lead: int, n: int) -> np.ndarray:
+        """(entry states, exit states): 0 where a path leads from one to the other. The chunk is text[lead:lead + n]; up to
+        ``longest`` characters stand before and behind it."""
+        stop = lead + n
+        enter, leave = self.states(text, lead), self.states(text, stop)
+        out = np.full((len(enter), len(leave)), NONE)
+        first, last = self.bounds(text, lead, stop)
+        if first >= 0:
+            head, tail = text[:first], self.path(text, last, "", stop)
+            reach = [e == first or (e < first and self.path(head, e, text[s:e], first)[first] >= 0) for s, e in enter]
+            out[np.ix_(reach, [tail[y] == x for x, y in leave])] = 0
             return out
-        middle = sum(self.score(r) for r in self.run.findall(text[first:last]))
-        tail = np.full(m, NONE)
-        best, _ = self.search(text[last:], n - last, [0])
-        for j in range(m):
-            if n - last + j < len(best) and best[n - last + j] is not None:
-                tail[j] = best[n - last + j]
-        for i in range(m):
-            best, _ = self.search(text[:first], first, [None] * i + [0])
-            if best[first] is not None:
-                out[i] = np.where(tail == NONE, NONE, tail + best[first] + middle)
+        for i, (s, e) in enumerate(enter):
+            if e >= stop:
+                out[i, [x == (s, e) for x in leave]] = 0
+            else:
+                found = self.path(text, e, text[s:e], stop)
+                out[i, [found[y] == x and x >= e for x, y in leave]] = 0
         return out
 
-    def solved(self, text: str, n: int, entry: np.ndarray) -> tuple[list[int | None], list[int]]:
-        return self.search(text, n, [None if v == NONE else int(v) for v in entry][: len(text) + 1])
+    def between(self, text: str, lead: int, n: int, entry: int, leave: int) -> bytes:
+        """Packed ids of the symbols that start in a chunk, from an entry state to an exit state."""
+        stop = lead + n
+        (s, e), (_, y) = self.states(text, lead)[entry], self.states(text, stop)[leave]
+        if e >= stop:
+            return b""
+        first, last = self.bounds(text, lead, stop)
+        if first < 0:
+            return self.trace(text, self.path(text, e, text[s:e], stop), e, y)
+        head = text[:first]
+        begun = self.trace(head, self.path(head, e, text[s:e], first), e, first) if e < first else b""
+        return begun + self.encode(text[first:last]) + self.trace(text, self.path(text, last, "", stop), last, y)
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Max-plus product of a (.., k) and b (k, m)."""
-    s = np.where((a[..., :, None] == NONE) | (b == NONE), NONE, a[..., :, None] + b)
-    return s.max(axis=-2)
+    """Max-plus product of a (k, m) and b (m, n)."""
+    s = np.where((a[:, :, None] == NONE) | (b[None] == NONE), NONE, a[:, :, None] + b[None])
+    return s.max(axis=1)
 
 
 _codecs: dict[str, Codec] = {}
@@ -214,8 +207,9 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-#: ids of a part of a document, or a chunk's text with its transfer matrix (little-endian int64), to be scanned.
-PART = "doc_id long, row long, part long, parts long, ids array<int>, chunk string, n int, matrix binary"
+#: ids of a document of one part, or a chunk of a giant one: its text with ``lead`` characters before it and some behind, its own length.
+PART = "doc_id long, row long, part long, parts long, ids array<int>, chunk string, lead int, n int"
+CHUNKS = "doc_id long, row long, part long, parts long, block long, chunk string, lead int, n int, matrix binary, entries int"
 
 
 def id_lists(ids: list[bytes | None]) -> pa.Array:
@@ -227,9 +221,10 @@ def id_lists(ids: list[bytes | None]) -> pa.Array:
 
 
 def first_pass(batches: Iterator[pa.RecordBatch], path: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Documents to their ids, giant ones to their chunks."""
     c = codec(path)
     names = [x.split()[0] for x in PART.split(", ")]
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), None, pa.string(), pa.int32(), pa.binary())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), None, pa.string(), pa.int32(), pa.int32())
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({k: id_lists(v) if t is None else pa.array(v, t) for k, v, t in zip(names, zip(*rows, strict=True), kinds, strict=True)})
@@ -240,12 +235,12 @@ def first_pass(batches: Iterator[pa.RecordBatch], path: str, size: int) -> Itera
             text = c.model.normalized(x.as_py() or "")
             if len(text) <= size:
                 rows.append((doc, row, 0, 1, c.encode(text), None, None, None))
-            else:
-                parts = -(-len(text) // size)
-                for k in range(parts):
-                    t = text[k * size : (k + 1) * size + c.states - 1]
-                    n = min(size, len(text) - k * size)
-                    rows.append((doc, row, k, parts, None, t, n, c.transfer(t, n).tobytes()))
+            for k, at in enumerate(range(0, len(text), size)) if len(text) > size else ():
+                lead = min(at, c.longest)
+                rows.append((doc, row, k, -(-len(text) // size), None, text[at - lead : at + size + c.longest], lead, min(size, len(text) - at)))
+                if len(rows) >= 256:
+                    yield batch_of(rows)
+                    rows = []
             if len(rows) >= 256:
                 yield batch_of(rows)
                 rows = []
@@ -253,120 +248,77 @@ def first_pass(batches: Iterator[pa.RecordBatch], path: str, size: int) -> Itera
             yield batch_of(rows)
 
 
-def _matrix(x: bytes, states: int) -> np.ndarray:
-    return np.frombuffer(x, np.int64).reshape(-1, states)
-
-
-def block_product(path: str):
-    """Group (row, block) to the product of its chunks' matrices."""
-
-    def run(pdf):
-        import functools
-
-        import pandas as pd
-
-        pdf = pdf.sort_values("part")
-        out = functools.reduce(product, [_matrix(x, codec(path).states) for x in pdf["matrix"]])
-        return pd.DataFrame({"row": pdf["row"].iloc[:1], "block": pdf["block"].iloc[:1], "matrix": [out.tobytes()]})
-
-    return run
-
-
-def entry_scores(path: str, key: str):
-    """Group of ordered matrices with the scores at its beginning to the scores at the beginning of each."""
+def transferred(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Chunks with their matrices."""
+    c = codec(path)
+    for batch in batches:
+        found = [c.transfer(t, lead, n) for t, lead, n in zip(*(batch.column(k).to_pylist() for k in ("chunk", "lead", "n")), strict=True)]
+        keep = {k: batch.column(k) for k in ("doc_id", "row", "part", "parts", "block", "chunk", "lead", "n")}
+        yield pa.RecordBatch.from_pydict(keep | {"matrix": pa.array([m.tobytes() for m in found], pa.binary()), "entries": pa.array([len(m) for m in found], pa.int32())})
 
-    def run(pdf):
-        pdf = pdf.sort_values(key)
-        states = codec(path).states
-        start = pdf["entry"].iloc[0]
-        v = np.full((1, states), NONE)
-        v[0, 0] = 0
-        v = v if start is None else _matrix(start, states)
-        entries = []
-        for x in pdf["matrix"]:
-            entries.append(v.tobytes())
-            v = product(v, _matrix(x, states))
-        pdf["entry"] = entries
-        return pdf[["row", key, "entry"]]
 
-    return run
+def matrices(pdf) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.int64).reshape(n, -1) for x, n in zip(pdf["matrix"], pdf["entries"], strict=True)]
 
 
-def back_maps(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """Adds to each chunk the entry state that belongs to each exit state (-1: none)."""
-    c = codec(path)
-    for batch in batches:
-        maps = []
-        for text, n, entry in zip(batch.column("chunk").to_pylist(), batch.column("n").to_pylist(), batch.column("entry").to_pylist(), strict=True):
-            best, start = c.solved(text, n, np.frombuffer(entry, np.int64))
-            back = []
-            for j in range(c.states):
-                e = n + j
-                if e >= len(best) or best[e] is None:
-                    back.append(-1)
-                    continue
-                while start[e] >= 0:
-                    e = start[e]
-                back.append(e)
-            maps.append(back)
-        keep = {k: batch.column(k) for k in ("doc_id", "row", "part", "parts", "block", "chunk", "n", "entry")}
-        yield pa.RecordBatch.from_pydict(keep | {"back": pa.array(maps, pa.list_(pa.int32()))})
+def block_product(pdf):
+    """Group (row, block) to the product of its chunks' matrices."""
+    import functools
 
+    pdf = pdf.sort_values("part")
+    out = functools.reduce(product, matrices(pdf))
+    return pdf.iloc[:1].assign(matrix=[out.tobytes()], entries=[len(out)])[["row", "block", "matrix", "entries"]]
 
-def block_map(pdf):
-    """Group (row, block) to the map from its exit to its entry state."""
-    import pandas as pd
 
-    pdf = pdf.sort_values("part", ascending=False)
-    out = list(range(len(pdf["back"].iloc[0])))
-    for back in pdf["back"]:
-        out = [back[j] if j >= 0 else -1 for j in out]
-    return pd.DataFrame({"row": pdf["row"].iloc[:1], "block": pdf["block"].iloc[:1], "back": [out]})
+def scan(found: list[np.ndarray], v: np.ndarray, leave: int | None) -> tuple[list[np.ndarray], list[int], list[int]]:
+    """Scores at the beginning of each matrix, and the entry and exit state of each, from scores ``v`` to the state ``leave``, or the best."""
+    begin, back = [], []
+    for m in found:
+        begin.append(v)
+        back.append(np.where((v.T == NONE) | (m == NONE), NONE, v.T + m).argmax(axis=0))
+        v = product(v, m)
+    at = int(v.argmax()) if leave is None else leave
+    enter, left = [], []
+    for b in reversed(back):
+        left.append(at)
+        at = int(b[at])
+        enter.append(at)
+    return begin, enter[::-1], left[::-1]
 
 
-def exit_states(key: str):
-    """Group of ordered maps with the exit state of the last to the exit state of each."""
+def block_scan(pdf):
+    """Group (row) of blocks to the scores at the beginning of each and its exit state."""
+    pdf = pdf.sort_values("block")
+    begin, _, left = scan(matrices(pdf), np.zeros((1, 1), np.int64), None)
+    return pdf.assign(scores=[v.tobytes() for v in begin], leave=left)[["row", "block", "scores", "leave"]]
 
-    def run(pdf):
-        pdf = pdf.sort_values(key, ascending=False)
-        state = int(pdf["exit"].iloc[0])
-        exits = []
-        for back in pdf["back"]:
-            exits.append(state)
-            state = int(back[state])
-        pdf["exit"] = exits
-        return pdf[["row", key, "exit"]]
 
-    return run
+def chunk_scan(pdf):
+    """Group (row, block) of chunks with the block's scores and exit state to the entry and exit state of each."""
+    pdf = pdf.sort_values("part")
+    v = np.frombuffer(pdf["scores"].iloc[0], np.int64).reshape(1, -1)
+    _, enter, left = scan(matrices(pdf), v, int(pdf["leave"].iloc[0]))
+    return pdf.assign(enter=enter, left=left)[["row", "part", "enter", "left"]]
 
 
 def traced(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """Chunks with their entry scores and exit state to their ids."""
+    """Chunks with their entry and exit states to their ids."""
     c = codec(path)
     for batch in batches:
-        ids = []
-        for text, n, entry, at in zip(*(batch.column(k).to_pylist() for k in ("chunk", "n", "entry", "exit")), strict=True):
-            _, start = c.solved(text, n, np.frombuffer(entry, np.int64))
-            ids.append(c.trace(text, start, n + at)[0])
-        keep = {k: batch.column(k) for k in ("doc_id", "row", "part", "parts")}
-        yield pa.RecordBatch.from_pydict(keep | {"ids": pa.array(ids, pa.list_(pa.int32()))})
+        ids = [c.between(*x) for x in zip(*(batch.column(k).to_pylist() for k in ("chunk", "lead", "n", "enter", "left")), strict=True)]
+        yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in ("doc_id", "row", "part", "parts")} | {"ids": id_lists(ids)})
 
 
 def scanned(chunks: DataFrame, path: str) -> DataFrame:
     """doc_id, row, part, parts, ids of the chunks of giant documents."""
-    chunks = chunks.withColumn("block", F.floor(F.col("part") / BLOCK).cast("long"))
-    blocks = chunks.groupBy("row", "block").applyInPandas(block_product(path), "row long, block long, matrix binary")
-    blocks = blocks.withColumn("entry", F.lit(None).cast("binary")).groupBy("row").applyInPandas(entry_scores(path, "block"), "row long, block long, entry binary")
-    inner = chunks.select("row", "block", "part", "matrix").join(blocks, ["row", "block"])
-    entries = inner.groupBy("row", "block").applyInPandas(entry_scores(path, "part"), "row long, part long, entry binary")
-    chunks = chunks.drop("matrix", "ids").join(entries, ["row", "part"]).select("doc_id", "row", "part", "parts", "block", "chunk", "n", "entry")
-    mapped = "doc_id long, row long, part long, parts long, block long, chunk string, n int, entry binary, back array<int>"
-    chunks = written(chunks.mapInArrow(on_executors("sentencepiece_codec", "back_maps", path), mapped), "back_maps")
-    maps = chunks.select("row", "block", "part", "back")
-    blocks = maps.groupBy("row", "block").applyInPandas(block_map, "row long, block long, back array<int>")
-    blocks = blocks.withColumn("exit", F.lit(0)).groupBy("row").applyInPandas(exit_states("block"), "row long, block long, exit int")
-    exits = maps.join(blocks, ["row", "block"]).groupBy("row", "block").applyInPandas(exit_states("part"), "row long, part long, exit int")
-    done = chunks.drop("back", "block").join(exits, ["row", "part"])
+    tasks = max(1, -(-chunks.count() // DEAL))
+    dealt = chunks.withColumn("block", F.floor(F.col("part") / BLOCK).cast("long")).repartition(tasks, "row", "part")
+    dealt = written(dealt.mapInArrow(on_executors("sentencepiece_codec", "transferred", path), CHUNKS), "chunks")
+    small = dealt.select("row", "block", "part", "matrix", "entries")
+    blocks = small.groupBy("row", "block").applyInPandas(block_product, "row long, block long, matrix binary, entries int")
+    blocks = blocks.groupBy("row").applyInPandas(block_scan, "row long, block long, scores binary, leave int")
+    states = small.join(blocks, ["row", "block"]).groupBy("row", "block").applyInPandas(chunk_scan, "row long, part long, enter int, left int")
+    done = dealt.drop("matrix", "entries", "block").join(written(states, "states"), ["row", "part"]).repartition(tasks, "row", "part")
     return done.mapInArrow(on_executors("sentencepiece_codec", "traced", path), "doc_id long, row long, part long, parts long, ids array<int>")
 
 
@@ -394,35 +346,70 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "row", "part", "parts", "ids").mapInArrow(on_executors("sentencepiece_codec", "decoded", path), schema)
 
 
-DIGEST = "doc_id long, n_tokens long, ids_crc32 long, decoded_chars long, decoded_sha256 string"
+#: Figures of a part: its ids and their CRC-32 (little-endian, 32 bits), characters, bytes and CRC-32 of the text that they decode to.
+FIGURES = "doc_id long, row long, part long, parts long, n_tokens long, ids_crc32 long, decoded_chars long, decoded_bytes long, decoded_crc32 long"
+DIGEST = ("n_tokens", "ids_crc32", "decoded_chars", "decoded_bytes", "decoded_crc32")
 
 
-def digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """doc_id and the ids of its parts in order (array of arrays) to figures of the ids and of the text that they decode to."""
+def figures(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     c = codec(path)
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-    names = [x.split()[0] for x in DIGEST.split(", ")]
     for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            part = batch.slice(lo, 256)
-            rows = []
-            for doc, parts in zip(part.column("doc_id").to_pylist(), part.column("parts"), strict=True):
-                n = crc = chars = 0
-                sha = hashlib.sha256()
-                for k, x in enumerate(parts.values):
-                    ids = x.values.to_numpy(zero_copy_only=False).astype("<i4") if len(x.values) else np.empty(0, "<i4")
-                    text = c.decode(ids.tolist(), k == 0)
-                    n, crc, chars = n + len(ids), zlib.crc32(ids.tobytes(), crc), chars + len(text)
-                    sha.update(text.encode())
-                rows.append((doc, n, crc, chars, sha.hexdigest()))
-            yield pa.RecordBatch.from_pydict({m: pa.array(v, k) for m, v, k in zip(names, zip(*rows, strict=True), kinds, strict=True)})
+        ids = batch.column("ids")
+        at, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
+        rows = []
+        for k, part in enumerate(batch.column("part").to_pylist()):
+            own = values[at[k] : at[k + 1]].astype("<i4")
+            text = c.decode(own.tolist(), part == 0)
+            data = text.encode()
+            rows.append((len(own), zlib.crc32(own.tobytes()), len(text), len(data), zlib.crc32(data)))
+        cols = {k: batch.column(k) for k in ("doc_id", "row", "part", "parts")}
+        yield pa.RecordBatch.from_pydict(cols | {k: pa.array(v, pa.int64()) for k, v in zip(DIGEST, zip(*rows, strict=True), strict=True)} if rows else cols | {k: pa.array([], pa.int64()) for k in DIGEST})
+
+
+def crc32_joined(first: int, second: int, n: int) -> int:
+    """The CRC-32 of two joined strings from theirs and the second one's length: the first's remainder times x^(8n), in GF(2)."""
+
+    def times(a: int, b: int) -> int:  # bit 31 is x^0
+        out = 0
+        while a:
+            if a & 1 << 31:
+                out ^= b
+            a = a << 1 & 0xFFFFFFFF
+            b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+        return out
+
+    power, square = 1 << 31, 1 << 23  # x^0 and x^8
+    while n:
+        if n & 1:
+            power = times(power, square)
+        square, n = times(square, square), n >> 1
+    return times(first, power) ^ second
+
+
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id and the figures of its parts in order to those of the document."""
+    for batch in batches:
+        rows = []
+        for x in batch.column("x").to_pylist():
+            n = ids_crc = chars = size = crc = 0
+            for p in x:
+                ids_crc = crc32_joined(ids_crc, p["ids_crc32"], 4 * p["n_tokens"])
+                crc = crc32_joined(crc, p["decoded_crc32"], p["decoded_bytes"])
+                n, chars, size = n + p["n_tokens"], chars + p["decoded_chars"], size + p["decoded_bytes"]
+            rows.append((n, ids_crc, chars, size, crc))
+        cols = zip(*rows, strict=True) if rows else [()] * len(DIGEST)
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | {k: pa.array(v, pa.int64()) for k, v in zip(DIGEST, cols, strict=True)})
+
+
+def digests(parts: DataFrame, path: str) -> DataFrame:
+    """doc_id and the figures of each document; only figures of parts are gathered, never ids."""
+    each = parts.select("doc_id", "row", "part", "parts", "ids").mapInArrow(on_executors("sentencepiece_codec", "figures", path), FIGURES)
+    many = each.where("parts > 1").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("part", *DIGEST))).alias("x"))
+    many = many.select("doc_id", "x").mapInArrow(on_executors("sentencepiece_codec", "joined"), "doc_id long, " + ", ".join(f"{c} long" for c in DIGEST))
+    return each.where("parts = 1").select("doc_id", *DIGEST).unionByName(many)
 
 
 def op7_sentencepiece_codec(spark, sf_dir: str) -> DataFrame:
-    """Per document: number and CRC-32 of its ids (little-endian, 32 bits), and characters and SHA-256 of the text that these decode to."""
+    """Per document: number and CRC-32 of its ids (little-endian, 32 bits), and characters, bytes and CRC-32 of the text that these decode to."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    parts = encode(table(spark, sf_dir, "documents"), path)
-    one = parts.where("parts = 1").select("doc_id", F.array("ids").alias("parts"))
-    many = parts.where("parts > 1").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("part", "ids"))).alias("x"))
-    many = many.select("doc_id", F.col("x.ids").alias("parts"))
-    return one.unionByName(many).mapInArrow(on_executors("sentencepiece_codec", "digests", path), DIGEST)
+    return digests(encode(table(spark, sf_dir, "documents"), path), path)

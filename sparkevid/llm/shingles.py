@@ -1,15 +1,12 @@
-"""Near copies by the Jaccard similarity of word shingles, exactly: a self-join of sets by prefixes.
+"""Sets of word shingles and their Jaccard similarity: what SimHash links are verified by, and the links it cannot see.
 
 Texts become sets of hashed shingles; equal sets are one node. Under any total order of shingles, two sets of similarity s or more
 share one of the first n - ceil(s n) + 1 of each, and the first shingle they share has a place that lets them overlap enough. So
-these shingles are the keys, and no pair is missed. The order puts the ones frequent in a sample last, which decides about speed only.
+these shingles are keys by which no pair is missed. The order puts the ones frequent in a sample last, which decides about speed only.
 
 The members of a key are first paired with its least member; that joins large groups of copies. Then all members of a key are
 paired that are not in one component yet. Pairs pass a sketch (the parity of shingles in each of 512 bits: sets differ in at least as
 many shingles as sketches in bits) before their texts are met and compared.
-
-Null and empty texts are equal sets. Of each group one row stays: the one of the least doc_id that is not null, and of the least hash of
-its text. Extra columns are kept.
 """
 
 from __future__ import annotations
@@ -22,23 +19,27 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import mix
+from .components import components
+from .hashing import majority, mix
 from .runtime import dropped, on_executors, written
-from .simhash import _LOWER, _SPACE, components
 
-#: Words of a shingle; the least similarity of near copies as a fraction.
-SIZE = 5
-SIMILARITY = (4, 5)
 #: One of so many texts is sampled for the order; count there, and number, of the shingles that come last.
 SAMPLE, OFTEN, LAST = 16, 4, 200_000
+#: Longs of a sketch.
 WORDS = 8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+
+
+def words(text: bytes) -> list[bytes]:
+    """The words [^\\x20\\x09-\\x0D]+ of a text, A-Z in lower case."""
+    return text.translate(_LOWER).split()
 
 
 def shingles(text: bytes, size: int) -> np.ndarray:
     """The sorted, distinct hashes of the word shingles; a shorter text is one shingle."""
-    words = text.translate(_LOWER).translate(_SPACE).split()
-    w = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    own = words(text)
+    w = np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own))
     size = min(size, len(w))
     h = np.full(max(len(w) - size + 1, 1) if size else 1, size, np.uint64)
     for k in range(size):
@@ -63,24 +64,26 @@ def prefix(s: np.ndarray, last: np.ndarray, rank: np.ndarray, similarity: tuple[
 
 
 def described(batches: Iterator[pa.RecordBatch], size: int, similarity: tuple[int, int], often: bytes) -> Iterator[pa.RecordBatch]:
-    """Rows with text (binary) to rows with fp (the set's name), n, sketch and keys as well. ``often`` in falling order of frequency."""
+    """Rows with text (binary) to rows with fp (the set's name), sim (its SimHash), n, sketch and keys as well. ``often`` in falling
+    order of frequency."""
     often = np.frombuffer(often, np.uint64)
     by = np.argsort(often)
     last, rank = often[by], len(often) - 1 - by
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
-            fp, n, sketch, keys = [], [], [], []
+            fp, sim, n, sketch, keys = [], [], [], [], []
             for x in part.column("text"):
                 s = shingles(x.as_py() or b"", size)
                 odd = np.bincount((s >> np.uint64(8) & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
                 fp.append(xxhash.xxh64_intdigest(s.tobytes()))
+                sim.append(majority([s]))
                 n.append(len(s))
                 sketch.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 keys.append(prefix(s, last, rank, similarity).view(np.int64))
             cols = {c: part.column(c) for c in part.schema.names}
             lists = {k: pa.ListArray.from_arrays(np.cumsum([0, *map(len, v)]).astype(np.int32), pa.array(np.concatenate(v))) for k, v in (("sketch", sketch), ("keys", keys))}
-            yield pa.RecordBatch.from_pydict(cols | {"fp": pa.array(np.array(fp, np.uint64).view(np.int64)), "n": pa.array(n, pa.int64())} | lists)
+            yield pa.RecordBatch.from_pydict(cols | {k: pa.array(np.array(v, np.uint64).view(np.int64)) for k, v in (("fp", fp), ("sim", sim))} | {"n": pa.array(n, pa.int64())} | lists)
 
 
 def verified(batches: Iterator[pa.RecordBatch], size: int, similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
@@ -107,56 +110,52 @@ def confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame, size: int, si
     asked = few.select(F.col("x").alias("fp")).union(few.select(F.col("y").alias("fp"))).distinct()
     of = written(texts.join(asked, "fp", "left_semi").groupBy("fp").agg(F.min("text").alias("text")), "near_texts")
     met = beside(beside(few, of, "x", "text"), of, "y", "text").select("x", "y", F.col("text_x").alias("a"), F.col("text_y").alias("b"))
-    out = written(met.mapInArrow(on_executors("near_copies", "verified", size, similarity), "x long, y long"), "near_links")
+    out = written(met.mapInArrow(on_executors("shingles", "verified", size, similarity), "x long, y long"), "near_links")
     dropped(few, of)
     return out
 
 
-def links(rows: DataFrame, size: int = SIZE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """Verified links x, y among the sets of ``rows`` (as ``described``), enough of them for the components."""
+def sets_of(documents: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
+    """doc_id, text (binary), hash (of the text), and its set as ``described``; written."""
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    sample = documents.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
+    often = sample.mapInArrow(on_executors("shingles", "sampled", size), "key long").groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") >= OFTEN)
+    often = np.array([r[0] for r in often.orderBy(F.desc("c"), "key").limit(LAST).select("key").collect()], np.int64)
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64("text").alias("hash"))
+    kinds = "doc_id long, text binary, hash long, fp long, sim long, n long, sketch array<long>, keys array<long>"
+    return written(rows.mapInArrow(on_executors("shingles", "described", size, similarity, often.tobytes()), kinds), "shingles")
+
+
+def rest(rows: DataFrame, sets: DataFrame, found: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
+    """Links x, y between the groups that the links ``found`` leave, enough of them for the components; written."""
     p, q = similarity
-    sets = written(rows.groupBy("fp").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near_sets")
-    keys = rows.select("fp", "n", F.posexplode("keys").alias("pos", "key"))
-    shared = keys.groupBy("key").agg(F.min(F.struct("fp", "n", "pos")).alias("first"), F.max("fp").alias("most")).where("first.fp < most").select("key", "first")
-    shared = written(shared, "near_shared")
-    keys = written(keys.join(shared.hint("merge"), "key"), "near_keys")
-    dropped(shared)
+    root = components(sets, found)
+    once = rows.groupBy("fp").agg(F.first("n").alias("n"), F.first("keys").alias("keys")).join(root.hint("merge"), "fp")
+    keys = written(once.select("fp", "n", "root", F.posexplode("keys").alias("pos", "key")), "near_keys")
+    dropped(root)
+
+    def shared(keys: DataFrame) -> DataFrame:
+        """Keys of more than one group, with their least member."""
+        low = keys.groupBy("key").agg(F.min(F.struct("fp", "n", "pos", "root")).alias("first"), F.min("root").alias("low"), F.max("root").alias("high"))
+        low = written(low.where("low < high").select("key", "first"), "near_shared")
+        out = written(keys.join(low.hint("merge"), "key"), "near_keys")
+        dropped(low, keys)
+        return out
 
     def may_reach(n: Column, pos: Column, n2: Column, pos2: Column) -> Column:
         """Whether sets that meet first at these places can overlap enough."""
         return F.least(n - pos, n2 - pos2) * (p + q) >= (n + n2) * p
 
-    first = keys.where((F.col("fp") > F.col("first.fp")) & may_reach(F.col("n"), F.col("pos"), F.col("first.n"), F.col("first.pos")))
+    keys = shared(keys)
+    first = keys.where((F.col("root") != F.col("first.root")) & may_reach(F.col("n"), F.col("pos"), F.col("first.n"), F.col("first.pos")))
     first = first.select(F.col("fp").alias("x"), F.col("first.fp").alias("y")).distinct()
-    found = confirmed(first, sets, rows.select("fp", "text"), size, similarity)
+    one = confirmed(first, sets, rows, size, similarity)
 
-    root = written(components(sets, found), "near_roots")
-    rooted = written(keys.drop("first").join(root.hint("merge"), "fp").distinct(), "near_keys")
+    root = components(sets, found.unionByName(one))
+    rooted = written(keys.drop("first", "root").join(root.hint("merge"), "fp"), "near_keys")
     dropped(keys, root)
-    open_keys = written(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "near_open")
-    keys = written(rooted.join(open_keys.hint("merge"), "key"), "near_keys")
-    dropped(rooted, open_keys)
+    keys = shared(rooted).drop("first")
     other = keys.select("key", *(F.col(c).alias(f"{c}2") for c in ("fp", "n", "pos", "root")))
     met = keys.join(other.hint("merge"), "key").where((F.col("root") > F.col("root2")) & may_reach(*map(F.col, ("n", "pos", "n2", "pos2"))))
-    rest = confirmed(met.select(F.col("fp").alias("x"), F.col("fp2").alias("y")).distinct(), sets, rows.select("fp", "text"), size, similarity)
-    dropped(keys, sets)
-    return found.unionByName(rest)
-
-
-def dedup(documents: DataFrame, size: int = SIZE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """The documents (all columns) of which each group of near copies, and of their near copies, keeps one row."""
-    text = F.coalesce("text", F.lit("")).cast("binary")
-    sample = documents.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
-    often = sample.mapInArrow(on_executors("near_copies", "sampled", size), "key long").groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") >= OFTEN)
-    often = np.array([r[0] for r in often.orderBy(F.desc("c"), "key").limit(LAST).select("key").collect()], np.int64)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64("text").alias("hash"))
-    kinds = "doc_id long, text binary, hash long, fp long, n long, sketch array<long>, keys array<long>"
-    rows = written(rows.mapInArrow(on_executors("near_copies", "described", size, similarity, often.tobytes()), kinds), "near_rows")
-    sets = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("least"))
-    sets = written(sets, "near_least")
-    root = written(components(sets, links(rows, size, similarity)), "near_groups")
-    dropped(rows)
-    stay = sets.join(root.hint("merge"), "fp").groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.hash")
-    own = documents.select(F.struct(*documents.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k1"), F.xxhash64("text").alias("k2"), F.col("doc_id").isNull().alias("k3"))
-    stay = stay.select(F.coalesce("doc_id", F.lit(0)).alias("k1"), F.col("hash").alias("k2"), F.col("doc_id").isNull().alias("k3"))
-    return own.join(stay.hint("merge"), ["k1", "k2", "k3"], "left_semi").dropDuplicates(["k1", "k2", "k3"]).select("row.*")
+    two = confirmed(met.select(F.col("fp").alias("x"), F.col("fp2").alias("y")).distinct(), sets, rows, size, similarity)
+    return written(one.unionByName(two), "rest_links")

@@ -14,7 +14,7 @@ neighbour link to the least of them. Both ways find exactly the links; neither e
 Components follow by hooking to the least neighbour and pointer jumping, on distinct fingerprints.
 
 Null and empty texts have fingerprint zero and link like any other. Rows with a null doc_id take part, and a component's id is the
-least id that is not null. Extra columns are not read, or kept by ``dedup``.
+least id that is not null. Extra columns are not read. ``dedup`` is the operator of a pipeline, on verified similarity.
 """
 
 from __future__ import annotations
@@ -27,7 +27,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import on_executors, table, written
+from . import hashing, shingles
+from .components import components
+from .runtime import dropped, on_executors, table, written
 
 #: Differing bits of linked fingerprints at most; the keys find no more.
 BITS = 2
@@ -35,14 +37,11 @@ BITS = 2
 PAIRS = 32
 #: The Golay code's generator polynomial, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
 
 def fingerprint(text: bytes, size: int = 3, seed: int = 42) -> int:
     """Majority of the bits of the XXH64 of all word shingles, repeats included."""
-    words = text.translate(_LOWER).translate(_SPACE).split(b" ")
-    words = [w for w in words if w]
+    words = shingles.words(text)
     if not words:
         return 0
     if len(words) <= size:
@@ -51,12 +50,9 @@ def fingerprint(text: bytes, size: int = 3, seed: int = 42) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-size] + 1)).tolist()
     ends = ends[size - 1 :].tolist()
-    count, n = np.zeros(64, np.int64), len(starts)
-    for lo in range(0, n, 1 << 16):  # long texts in parts
-        part = [xxhash.xxh64_intdigest(line[s:e], seed) for s, e in zip(starts[lo : lo + (1 << 16)], ends[lo : lo + (1 << 16)], strict=True)]
-        bits = np.unpackbits(np.array(part, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        count += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * count > n).tobytes(), "big")
+    parts = range(0, len(starts), 1 << 16)  # long texts in parts
+    hashes = (np.array([xxhash.xxh64_intdigest(line[s:e], seed) for s, e in zip(starts[lo : lo + (1 << 16)], ends[lo : lo + (1 << 16)], strict=True)], np.uint64) for lo in parts)
+    return hashing.majority(hashes)
 
 
 def fingerprints(batches: Iterator[pa.RecordBatch], size: int, seed: int) -> Iterator[pa.RecordBatch]:
@@ -112,8 +108,8 @@ def links(distinct: DataFrame) -> DataFrame:
     """Verified links (x > y) among distinct fingerprints, enough of them for the components."""
     keys = written(distinct.select("fp").mapInArrow(on_executors("simhash", "golay_keys"), "key long, fp long"), "golay_keys")
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n >= 2")
-    sizes = written(sizes, "golay_sizes").hint("merge")
-    shared = keys.join(sizes, "key")
+    sizes = written(sizes, "golay_sizes")
+    shared = keys.join(sizes.hint("merge"), "key")
 
     def verified(x: Column, i: Column) -> Column:
         later = F.filter(F.slice("fps", i + 2, F.size("fps")), lambda y: F.bit_count(x.bitwiseXOR(y)) <= BITS)
@@ -125,64 +121,54 @@ def links(distinct: DataFrame) -> DataFrame:
     flips = F.array(F.lit(0).cast("long"), *(F.expr(f"shiftleft(1L, {i})") for i in range(64)))
     balls = many.select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("ball"))
     least = balls.groupBy("ball").agg(F.min("fp").alias("y"), F.count("*").alias("n")).where("n >= 2").drop("n")
-    least = written(least, "balls").hint("merge")
-    star = balls.join(least, "ball").where("fp > y").select(F.col("fp").alias("x"), "y").distinct()
-    return written(few.unionByName(star), "links")
-
-
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(fp, root): the least fingerprint reachable over edges (x, y). Rounds until nothing changes, each written.
-
-    A round hooks a node's root to the least root next to it, then jumps pointers; the number of rounds grows
-    with the logarithm of the longest path. Nodes without edges are their own root."""
-    both = edges.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(edges.select(F.col("y").alias("a"), F.col("x").alias("b"))).distinct()
-    both = written(both, "edges")
-    root = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "fp")
-    root = written(root, "roots")
-    while True:
-        of_b = root.select(F.col("fp").alias("b"), F.col("root").alias("root_b")).hint("merge")
-        of_a = root.select(F.col("fp").alias("a"), F.col("root").alias("root_a")).hint("merge")
-        met = both.join(of_b, "b").join(of_a, "a").where("root_b < root_a")
-        hooks = met.groupBy(F.col("root_a").alias("old")).agg(F.min("root_b").alias("new"))
-        hooks = written(hooks, "hooks")
-        if hooks.isEmpty():
-            break
-        moved = root.join(hooks.withColumnRenamed("old", "root"), "root", "left").select("fp", F.coalesce("new", "root").alias("root"))
-        for _ in range(2):
-            up = moved.select(F.col("fp").alias("root"), F.col("root").alias("up"))
-            moved = moved.join(up, "root", "left").select("fp", F.coalesce("up", "root").alias("root"))
-        root = written(moved, "roots")
-    return nodes.select("fp").join(root.hint("merge"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
-
-
-def grouped(documents: DataFrame, size: int, seed: int) -> DataFrame:
-    """doc_id, hash (of the text), fp (signed long), root (the least fp of the component), component_id."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    prints = written(rows.mapInArrow(on_executors("simhash", "fingerprints", size, seed), "doc_id long, hash long, fp long"), "fingerprints")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    root = written(components(distinct, links(distinct)), "components")
-    smallest = distinct.join(root.hint("merge"), "fp").groupBy("root").agg(F.min("least").alias("component_id"))
-    names = root.join(smallest, "root").select("fp", "root", "component_id")
-    return prints.join(written(names, "names").hint("merge"), "fp").select("doc_id", "hash", "fp", "root", "component_id")
+    least = written(least, "balls")
+    star = balls.join(least.hint("merge"), "ball").where("fp > y").select(F.col("fp").alias("x"), "y").distinct()
+    out = written(few.unionByName(star), "links")
+    dropped(keys, sizes, least)
+    return out
 
 
 def near_groups(documents: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, fp (signed long), component_id: the least doc_id among all documents reachable over links."""
-    return grouped(documents, size, seed).select("doc_id", "fp", "component_id")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    prints = written(rows.mapInArrow(on_executors("simhash", "fingerprints", size, seed), "doc_id long, fp long"), "fingerprints")
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    root = components(distinct, links(distinct))
+    smallest = distinct.join(root.hint("merge"), "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    names = root.join(smallest, "root").select("fp", "component_id")
+    return prints.join(written(names, "names").hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def unsigned_hex(x: Column) -> Column:
     return F.lower(F.lpad(F.hex(x), 16, "0"))
 
 
-def dedup(documents: DataFrame, size: int = 3) -> DataFrame:
-    """The documents (all columns) of the least doc_id of each group, one row of each (by the text's hash, where texts share the id);
-    those without an id stay."""
-    groups = grouped(documents, size, 42).where("doc_id = component_id")
-    stay = groups.groupBy("root").agg(F.min(F.struct("doc_id", "hash")).alias("least")).select("least.doc_id", "least.hash")
-    own = documents.select(F.struct(*documents.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"))
-    kept = own.join(stay.hint("merge"), ["doc_id", "hash"], "left_semi").dropDuplicates(["doc_id", "hash"]).select("row")
-    return kept.unionByName(own.where("doc_id is null").select("row")).select("row.*")
+def dedup(documents: DataFrame, size: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
+    """The documents (all columns) of which each group of near copies keeps one row: that of the least doc_id that is not null, and
+    of the least hash of its text.
+
+    Near copies are texts whose sets of word shingles have the Jaccard similarity or more; groups are their components. Links come
+    from the fingerprints of the sets: equal ones, and those that share a Golay key and differ in at most BITS bits, are
+    verified by their sets. Pairs of that similarity often differ in more bits, so ``shingles.rest`` finds the links between the
+    groups that these leave, exactly. Equal sets are one node; null and empty texts are equal sets. Rows that share a
+    doc_id but no text are rows of their own, and so are those without an id."""
+    rows = shingles.sets_of(documents, size, similarity)
+    sets = written(rows.groupBy("fp").agg(F.first("sim").alias("sim"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("least")), "sets")
+    prints = written(sets.groupBy(F.col("sim").alias("fp")).agg(F.min("fp").alias("least")), "fingerprints")
+    near = links(prints)
+    first = prints.select(F.col("fp").alias("sim"), F.col("least").alias("y"))
+    equal = sets.join(first.hint("merge"), "sim").where("fp > y").select(F.col("fp").alias("x"), "y")
+    at = lambda c: prints.select(F.col("fp").alias(c), F.col("least").alias(f"set_{c}")).hint("merge")
+    apart = near.join(at("x"), "x").join(at("y"), "y").select(F.greatest("set_x", "set_y").alias("x"), F.least("set_x", "set_y").alias("y"))
+    found = shingles.confirmed(equal.unionByName(apart).distinct(), sets, rows, size, similarity)
+    dropped(prints, near)
+    root = components(sets, written(found.unionByName(shingles.rest(rows, sets, found, size, similarity)), "all_links"))
+    stay = sets.join(root.hint("merge"), "fp").groupBy("root").agg(F.min("least").alias("least"))
+    stay = written(stay.select(F.coalesce("least.doc_id", F.lit(0)).alias("k1"), F.col("least.hash").alias("k2"), F.col("least.none").alias("k3")), "stay")
+    dropped(rows, sets, root)
+    keys = (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k1"), F.xxhash64("text").alias("k2"), F.col("doc_id").isNull().alias("k3"))
+    own = documents.select(F.struct(*documents.columns).alias("row"), *keys)
+    return own.join(stay.hint("merge"), ["k1", "k2", "k3"], "left_semi").dropDuplicates(["k1", "k2", "k3"]).select("row.*")
 
 
 def op8_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 Difference-cover anchors: with a cover D modulo v, any two positions p and q have an offset o < v at which
 both p + o and q + o lie in D modulo v. So windows of m = L - v + 1 words are hashed at cover positions
-only, and every match of L words shares an aligned anchor. Anchors whose hash is unique end there; around the
-rest, matches are extended to whole windows by ``repeats``, in words.
+only, and every match of L words shares an aligned anchor. Anchors whose hash is unique end there. The others are extended: an
+anchor's context is all windows of L words that hold it, up to v - 1 words to either side. Equal contexts match as a whole;
+for the others the extension to the right and to the left is tested by rank pairs, and what may still match is ranked window by
+window; ``repeats`` does these rounds.
 
 Null and empty texts have no words. Repeated rows (same doc_id and text) are occurrences of each other and
 get the same result. Extra columns of the input are not read.
@@ -64,34 +66,42 @@ def cover_anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
             yield pa.RecordBatch.from_pydict(keys | {"names": pa.ListArray.from_arrays(pa.array(ends), pa.array(names))})
 
 
-def word_contexts(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
-    """Rows with text and the numbers of their anchors that occur elsewhere, to contexts over words near these."""
+def word_contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Rows with text and the numbers of their anchors that occur elsewhere, to the contexts of these anchors."""
     v = period(length)
-    cover = np.array(COVERS[v])
+    m, cover = length - v + 1, np.array(COVERS[v])
     for batch in batches:
         off, data = repeats.binary_parts(batch.column("text"))
         k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
         alive = batch.column("alive")
-        shared, of = alive.flatten().to_numpy(), alive.offsets.to_numpy()
+        shared, of = alive.flatten().to_numpy(), alive.offsets.to_numpy().astype(np.int64)
         for i, j in repeats.doc_ranges(off):
-            buffer, start, end, x, first = batch_words(batch, i, j, off, data)
+            _, _, _, x, first = batch_words(batch, i, j, off, data)
             number = shared[of[i] - of[0] : of[j] - of[0]]
-            at = number // len(cover) * v + cover[number % len(cover)] + np.repeat(first[:-1], np.diff(of[i : j + 1]))
-            counts = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(x) + v)[: len(x) + v])))
-            near = counts[v : v + len(x)] > counts[: len(x)]
-            for begin in range(0, len(x), repeats.CHUNK) if j == i + 1 else (0,):
-                stop = min(len(x), begin + repeats.CHUNK + length - 1) if j == i + 1 else len(x)
-                rows = repeats.contexts(x[begin:stop], np.clip(first, begin, stop) - begin, length, k, near[begin:stop])
-                if rows:
-                    doc = rows["doc"]
-                    s, e = start[rows["p0"] + begin], end[rows["p1"] + begin + length - 1]
-                    seg = pa.array([buffer[y:z].tobytes() for y, z in zip(s, e, strict=True)], pa.binary())
-                    yield repeats.context_batch(rows, k1[doc + i], k2[doc + i], first[doc] - begin, {"seg": seg})
+            doc = np.repeat(np.arange(j - i), np.diff(of[i : j + 1]))
+            at = np.sort(number // len(cover) * v + cover[number % len(cover)] + first[doc])
+            doc = np.searchsorted(first, at, side="right") - 1
+            for begin in range(0, len(x), repeats.CHUNK):
+                own = slice(*np.searchsorted(at, (begin, begin + repeats.CHUNK)))
+                a, d = at[own], doc[own]
+                lo, hi = max(0, begin - v), begin + repeats.CHUNK + length + v
+                p0, p1 = np.maximum(a - (v - 1), first[d]), np.minimum(a, first[d + 1] - length)
+                keys = {"k1": k1[d + i], "k2": k2[d + i]}
+                yield from repeats.context_batch(x[lo:hi], a - lo, p0 - lo, p1 - lo, length, m, keys, first[d] - lo)
+
+
+def word_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Rows with text (binary) and the contexts wanted of them to runs of ranked windows."""
+    for batch in batches:
+        off, data = repeats.binary_parts(batch.column("text"))
+        for i, j in repeats.doc_ranges(off):
+            _, _, _, x, first = batch_words(batch, i, j, off, data)
+            yield from repeats.window_ranks(batch, slice(i, j), lambda lo, hi, x=x: x[lo:hi], first, length)
 
 
 def repeated_spans(documents: DataFrame, length: int = 35) -> DataFrame:
     """k1, k2 (see ``runtime.keyed``) and the maximal repeated spans, in words; rows without any are left out."""
-    k = max(1, min(length // 2, length - period(length) + 1))
+    m = length - period(length) + 1
     rows = keyed(documents).select("k1", "k2", F.col("text").cast("binary").alias("text"))
     rows = rows.where(F.octet_length("text") >= 2 * length - 1)
     anchors = written(rows.mapInArrow(on_executors("substring_dedup", "cover_anchors", length), "k1 long, k2 long, names array<long>"), "anchors")
@@ -101,16 +111,14 @@ def repeated_spans(documents: DataFrame, length: int = 35) -> DataFrame:
     alive = each.join(twice.hint("merge"), "name", "left_semi").groupBy("k1", "k2").agg(F.array_distinct(F.collect_list("number")).alias("alive"))
     alive = written(alive, "alive_anchors")
     dropped(anchors, twice)
-    found = rows.join(alive.hint("merge"), ["k1", "k2"]).mapInArrow(on_executors("substring_dedup", "word_contexts", length, k), f"{repeats.CONTEXT}, seg binary")
+    found = rows.join(alive.hint("merge"), ["k1", "k2"]).mapInArrow(on_executors("substring_dedup", "word_contexts", length), repeats.CONTEXT)
     found = written(found, "contexts")
     dropped(alive)
 
-    def segments(wanted: DataFrame) -> DataFrame:
-        place = ["k1", "k2", "n1", "n2", "a", "p0"]
-        once = found.select(*place, "seg").join(wanted, place)
-        return once.select("n1", "n2", "weight", "q0", "q1", "k1", "k2", "seg", (F.col("q0") - F.col("p0")).alias("skip"))
+    def windows(wanted: DataFrame) -> DataFrame:
+        return rows.join(wanted.hint("merge"), ["k1", "k2"]).mapInArrow(on_executors("substring_dedup", "word_windows", length), repeats.WINDOWS)
 
-    return written(repeats.spans(repeats.repeated_runs(found, length, k, segments, True)), "spans")
+    return written(repeats.spans(repeats.repeated_runs(found, length, m, windows)), "spans")
 
 
 def words(text: Column) -> Column:

@@ -1,7 +1,10 @@
 """Suffix-array dedup: bytes covered by a string of L bytes that also starts elsewhere.
 
-Distributed prefix doubling over sampled suffix positions; see ``repeats`` for the rounds. Null and empty
-texts have no bytes and lose none. Repeated rows (same doc_id and text) are occurrences of each
+Distributed prefix doubling: positions have the rank of the L / 4 bytes there; Spark sorts rank pairs at offsets L / 4 and L / 2
+and reranks, until ranks are unique or reach the threshold L. The positions of the rounds below the threshold are sampled, as the
+order of all suffixes would be many times the input; see ``repeats``.
+
+Null and empty texts have no bytes and lose none. Repeated rows (same doc_id and text) are occurrences of each
 other and get the same result. Extra columns of the input are not read.
 """
 
@@ -13,26 +16,21 @@ from pyspark.sql import functions as F
 from . import repeats
 from .runtime import keyed, on_executors, written
 
-#: Bytes of the first rank; ranks double from here to the threshold.
+#: The first rank covers this part of the threshold.
 FIRST = 4
 
 
 def repeated_spans(documents: DataFrame, length: int = 400) -> DataFrame:
-    """k1, k2 (see ``runtime.keyed``) and the maximal repeated byte spans; rows without any are left out.
-
-    ``length`` must be at least 16; the first rank covers a quarter of it, so that doubling twice reaches it."""
-    k = max(4, length // FIRST)
-    rows = keyed(documents).select("k1", "k2", F.col("text").cast("binary").alias("text"))
-    found = rows.where(F.octet_length("text") >= length).mapInArrow(on_executors("repeats", "byte_contexts", length, k), repeats.CONTEXT)
-    found = written(found, "contexts")
+    """k1, k2 (see ``runtime.keyed``) and the maximal repeated byte spans; rows without any are left out. ``length``: 16 or more."""
+    k = -(-length // FIRST)
+    rows = keyed(documents).select("k1", "k2", F.col("text").cast("binary").alias("text")).where(F.octet_length("text") >= length)
+    found = written(rows.mapInArrow(on_executors("repeats", "byte_contexts", length, k), repeats.CONTEXT), "contexts")
 
-    def segments(wanted: DataFrame) -> DataFrame:
-        one = F.struct("n1", "n2", "weight", "q0", "q1", (F.col("q1") + length).alias("e"))
-        wanted = wanted.groupBy("k1", "k2").agg(F.collect_list(one).alias("wanted"))
+    def windows(wanted: DataFrame) -> DataFrame:
         # A repeated row comes twice, but its contexts have weight 2, and of those a further one changes nothing.
-        return rows.join(wanted.hint("merge"), ["k1", "k2"]).mapInArrow(on_executors("repeats", "byte_segments"), repeats.SEGMENT)
+        return rows.join(wanted.hint("merge"), ["k1", "k2"]).mapInArrow(on_executors("repeats", "byte_windows", length), repeats.WINDOWS)
 
-    return written(repeats.spans(repeats.repeated_runs(found, length, k, segments, False)), "spans")
+    return written(repeats.spans(repeats.repeated_runs(found, length, k, windows)), "spans")
 
 
 def _joined(text: Column, ranges: Column) -> Column:

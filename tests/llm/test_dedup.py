@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from sparkevid.llm import near_copies, repeats, simhash, substring_dedup, suffix_dedup
+from sparkevid.llm import components, repeats, shingles, simhash, substring_dedup, suffix_dedup
 
 SCHEMA = "doc_id long, text string, lang string, k1 string, spans int"  # the last two clash with names of the operators
 
@@ -41,18 +41,19 @@ def removed_bytes(texts, length):
         yield (i, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest())
 
 
-@pytest.mark.parametrize("hot", [8192, 2])
-def test_bytes_against_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT", hot)
+@pytest.mark.parametrize("first", [4, 8])
+def test_bytes_against_brute_force(spark, monkeypatch, first):
+    """With one and with two rounds of doubling before the threshold, and few symbols at a time."""
+    monkeypatch.setattr(suffix_dedup, "FIRST", first)
+    assert len(repeats.doubling(24, 24 // first)) == first.bit_length() - 2
     texts = corpus(1, 60)
     rows = suffix_dedup.dedup_bytes(table(spark, texts), 24)
     got = rows.select("doc_id", F.octet_length("text"), repeats.removed(F.col("spans")), F.coalesce(F.size("spans"), F.lit(0)), F.sha2("kept", 256)).collect()
     assert Counter(map(tuple, got)) == Counter(removed_bytes(texts, 24))
 
 
-@pytest.mark.parametrize(("length", "hot"), [(8, 8192), (5, 2), (35, 8192)])
-def test_words_against_brute_force(spark, monkeypatch, length, hot):
-    monkeypatch.setattr(repeats, "HOT", hot)
+@pytest.mark.parametrize("length", [8, 5, 1, 35])
+def test_words_against_brute_force(spark, length):
     texts = corpus(2, 60)
     words = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in texts]
     seen = Counter(tuple(w[p : p + length]) for _, w in words for p in range(len(w) - length + 1))
@@ -74,8 +75,10 @@ def test_covers_are_difference_covers():
 
 
 def test_near_copies_keep_columns(spark):
-    out = simhash.dedup(table(spark, [(1, "a b c d e"), (2, "A b c d e"), (None, "a b c d e"), (4, None), (5, "")])).collect()
-    assert sorted((str(r["doc_id"]), r["text"], r["k1"], r["spans"]) for r in out if r["doc_id"] != 4) == [("1", "a b c d e", "x", 1), ("None", "a b c d e", "x", 1)]
+    """Of a group the row of the least id that is not null stays, with all columns; without ids one row of it."""
+    data = [(2, "A b c d e"), (1, "a b c d e"), (None, "a b c d e"), (4, None), (5, ""), (4, None), (None, "no id at all"), (None, "no id at all")]
+    out = simhash.dedup(table(spark, data)).collect()
+    assert sorted((str(r["doc_id"]), r["text"], r["k1"], r["spans"]) for r in out) == [("1", "a b c d e", "x", 1), ("4", None, "x", 1), ("None", "no id at all", "x", 1)]
 
 
 def test_texts_keep_whole_characters_and_columns(spark):
@@ -123,7 +126,7 @@ def test_links_of_fingerprints(spark, monkeypatch, pairs):
         prints[len(prints)] = centre ^ (1 << i)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     d = spark.createDataFrame([(signed(f),) for f in sorted(set(prints.values()))], "fp long")
-    root = {r["fp"]: r["root"] for r in simhash.components(d, simhash.links(d)).collect()}
+    root = {r["fp"]: r["root"] for r in components.components(d, simhash.links(d)).collect()}
     want, by_root = reachable(prints), {}
     for i, f in prints.items():
         by_root.setdefault(root[signed(f)], []).append(i)
@@ -144,8 +147,6 @@ def test_fingerprints_and_groups(spark):
     got = {r["doc_id"]: r for r in simhash.near_groups(table(spark, texts)).collect()}
     assert {i: r["fp"] % (1 << 64) for i, r in got.items()} == prints
     assert {i: r["component_id"] for i, r in got.items()} == reachable(prints)
-    kept = [r["doc_id"] for r in simhash.dedup(table(spark, texts)).collect()]
-    assert sorted(kept) == sorted(set(reachable(prints).values()))
 
 
 def test_golay_code():
@@ -177,8 +178,8 @@ def shingle_groups(texts, k=5):
 @pytest.mark.parametrize("often", [4, 1])
 def test_similar_texts_against_all_pairs(spark, monkeypatch, often):
     """Edits around the bound, a large group, a common passage, repeated and null ids, texts of few words."""
-    monkeypatch.setattr(near_copies, "OFTEN", often)
-    monkeypatch.setattr(near_copies, "SAMPLE", often)
+    monkeypatch.setattr(shingles, "OFTEN", often)
+    monkeypatch.setattr(shingles, "SAMPLE", often)
     r = random.Random(7)
     words = [f"w{i}" for i in range(300)]
     text = lambda n: [r.choice(words) for _ in range(n)]
@@ -193,7 +194,7 @@ def test_similar_texts_against_all_pairs(spark, monkeypatch, often):
     data += [(6000 + i, " ".join([*big[:i], "x", *big[i + 1 :]])) for i in range(60)]
     data += [(7000, "one two"), (7001, "One  two"), (7002, "one two three"), (None, "lonely text without an id")]
     groups = shingle_groups([t for _, t in data])
-    out = [(x["doc_id"], x["text"]) for x in near_copies.dedup(table(spark, data)).collect()]
+    out = [(x["doc_id"], x["text"]) for x in simhash.dedup(table(spark, data)).collect()]
     place = {data[i]: k for k, g in enumerate(groups) for i in g}
     assert Counter(place[x] for x in out) == Counter(range(len(groups)))  # one row of each group
     least = {k: min((data[i][0] for i in g if data[i][0] is not None), default=None) for k, g in enumerate(groups)}
@@ -201,21 +202,21 @@ def test_similar_texts_against_all_pairs(spark, monkeypatch, often):
     assert max(map(len, groups)) >= 60 and len(groups) < len(set(data)) - 60
 
 
-def test_pipeline_drops_texts_of_similarity_four_fifths(spark):
-    """Fingerprints of three words of this pair differ in more than two bits, but most shingles of five words are the same."""
+def test_stage_drops_texts_of_similarity_four_fifths(spark):
+    """Fingerprints of this pair differ in more than two bits, but most shingles of five words are the same; texts that share an id stay."""
     import corpus_pipeline
 
     w = [f"word{i}" for i in range(80)]
     a, b = " ".join(w), " ".join([*w[:40], "other", *w[41:]])
-    assert (simhash.fingerprint(a.encode()) ^ simhash.fingerprint(b.encode())).bit_count() > simhash.BITS
-    docs = table(spark, [(2, a), (1, b), (3, " ".join(reversed(w)))])
-    stages = [f for name, f in corpus_pipeline.STAGES if "near_dedup" in name]
-    for stage in stages:
-        docs = stage(spark, docs, "")
-    assert sorted(r["doc_id"] for r in docs.collect()) == [1, 3]
-
-
-def test_texts_that_share_an_id_stay(spark):
-    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
-    docs = table(spark, [(1, a), (1, b), (1, a), (2, a), (3, b.upper())])
-    assert sorted((r["doc_id"], r["text"]) for r in simhash.dedup(docs).collect()) == [(1, a), (1, b)]
+    assert (simhash.fingerprint(a.encode(), 5) ^ simhash.fingerprint(b.encode(), 5)).bit_count() > simhash.BITS
+    other = " ".join(reversed(w))
+    docs = table(spark, [(2, a), (1, b), (1, other), (1, other), (3, a.upper())])
+    docs = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "")
+    assert sorted((r["doc_id"], r["text"]) for r in docs.collect()) == sorted([(1, b), (1, other)])
+
+
+def test_links_of_fingerprints_are_verified(spark, monkeypatch):
+    """Texts whose fingerprints are alike but whose shingles are not stay."""
+    monkeypatch.setattr(simhash, "links", lambda prints: simhash.written(prints.crossJoin(prints.select(F.col("fp").alias("y"))).where("fp > y").select(F.col("fp").alias("x"), "y"), "links"))
+    texts = [(i, " ".join(f"{c}{k}" for k in range(20))) for i, c in enumerate("abcd")]
+    assert sorted(r["doc_id"] for r in simhash.dedup(table(spark, texts)).collect()) == [0, 1, 2, 3]

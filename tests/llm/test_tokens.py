@@ -114,38 +114,73 @@ def test_pieces_and_places(spark, monkeypatch):
     assert packing.pack(rows(spark, []), BPE).collect() == []
 
 
-@settings(max_examples=200, deadline=None)
+def unpacked(ids):
+    return np.frombuffer(ids, "<i4").tolist()
+
+
+@settings(max_examples=300, deadline=None)
 @given(texts)
-def test_encoding_round_trips_and_is_optimal(t):
-    c = sentencepiece_codec.codec(MODEL)
-    ids = np.frombuffer(c.encode(c.model.normalized(t)), "<i4").tolist()
-    assert c.decode(ids) == t.replace("▁", " ")
-    text = c.model.normalized(t)
-    score, start = c.search(text, len(text), [0])
-    assert c.trace(text, start, len(text))[0] == ids if text else ids == []
-
-
-def test_best_path_has_the_library_s_best_score():
-    with open(MODEL, "rb") as f:
-        data = f.read()
-    at = data.rindex(b"\x12\x06tok_v0\x18\x02") + 9
-    library = sentencepiece.SentencePieceProcessor(model_proto=data[:at] + b"\x01" + data[at + 1 :])  # the same pieces, unigram search
-    c = sentencepiece_codec.codec(MODEL)
-    total = lambda ids: sum(c.model.scores[i] for i in ids)
-    for t in ("the thing is there", "internationalization", "Les choses", "is and retitioning ouen"):
-        ids = np.frombuffer(c.encode(c.model.normalized(t)), "<i4").tolist()
-        assert total(ids) == max(total(x) for x in library.nbest_encode_as_ids(t, 5))
+def test_ids_equal_the_library_and_round_trip(t):
+    """By merging runs, and by the path of pieces over the whole text."""
+    c, library = sentencepiece_codec.codec(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    text, want = c.model.normalized(t), library.encode(t)
+    assert unpacked(c.encode(text)) == want
+    assert unpacked(c.trace(text, c.path(text, 0, "", len(text)), 0, len(text))) == want
+    assert c.decode(want) == t.replace("▁", " ")
+
+
+def test_long_runs_equal_the_library():
+    c, library = sentencepiece_codec.codec(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    r = random.Random(2)
+    for t in ["x" * 3000, "the" * 700, " " * 999 + "a", "".join(r.choice("theingor") for _ in range(5000)), "=" * 500 + "-" * 70]:
+        assert unpacked(c.encode(c.model.normalized(t))) == library.encode(t)
+
+
+def test_products_of_matrices_are_associative():
+    r = np.random.default_rng(1)
+    a, b, c = (np.where(r.random(s) < 0.4, r.integers(-9, 9, s), sentencepiece_codec.NONE) for s in ((3, 4), (4, 2), (2, 5)))
+    p = sentencepiece_codec.product
+    assert (p(p(a, b), c) == p(a, p(b, c))).all()
+
+
+def test_joined_checksums():
+    a, b = b"some bytes", bytes(range(256)) * 3
+    for x, y in ((a, b), (b, a), (a, b""), (b"", b), (b"", b"")):
+        assert sentencepiece_codec.crc32_joined(zlib.crc32(x), zlib.crc32(y), len(y)) == zlib.crc32(x + y)
 
 
 @pytest.mark.parametrize("size", [3, 16, 50])
-def test_scan_of_chunks_equals_one_search(spark, monkeypatch, size):
+def test_scan_of_chunks_equals_the_library(spark, monkeypatch, size):
+    """Ids, texts and figures of every row: nulls, empty texts, repeated rows, runs of many chunks, clashing columns; blocks of three chunks."""
     monkeypatch.setattr(sentencepiece_codec, "BLOCK", 3)
+    monkeypatch.setattr(sentencepiece_codec, "DEAL", 4)
     r = random.Random(size)
-    data = [(i, "".join(r.choice(["the", "ing", " ", "  ", "tion", "\n", "é", "ꙮ", "zz", "e"]) for _ in range(r.randint(1, 60)))) for i in range(15)] + [(90, None), (91, ""), (92, "internation" * 20), (92, "internation" * 20)]
+    data = [(i, "".join(r.choice(["the", "ing", " ", "  ", "tion", "\n", "é", "ꙮ", "zz", "e"]) for _ in range(r.randint(1, 60)))) for i in range(15)]
+    data += [(90, None), (91, ""), (92, "internation" * 20), (92, "internation" * 20), (None, "no id, but a text of several chunks" * 3)]
+    library, c = sentencepiece.SentencePieceProcessor(model_file=MODEL), sentencepiece_codec.codec(MODEL)
     encoded = sentencepiece_codec.encode(rows(spark, data), MODEL, size)
     parts = {}
     for x in sentencepiece_codec.decode(encoded, MODEL).collect():
         parts.setdefault((x["doc_id"], x["row"]), []).append((x["part"], x["ids"], x["text"]))
-    c = sentencepiece_codec.codec(MODEL)
-    got = sorted((d, [i for _, ids, _ in sorted(p) for i in ids], "".join(t for _, _, t in sorted(p))) for (d, _), p in parts.items())
-    assert got == sorted((d, np.frombuffer(c.encode(c.model.normalized(t or "")), "<i4").tolist(), t or "") for d, t in data)
+    got = sorted((str(d), [i for _, ids, _ in sorted(p) for i in ids], "".join(t for _, _, t in sorted(p))) for (d, _), p in parts.items())
+    assert got == sorted((str(d), library.encode(t or ""), t or "") for d, t in data)
+    assert max(map(len, parts.values())) > 4
+    figures = sorted((str(x["doc_id"]), *(x[k] for k in sentencepiece_codec.DIGEST)) for x in sentencepiece_codec.digests(encoded, MODEL).collect())
+    want = []
+    for d, t in data:
+        ids, text = library.encode(t or ""), t or ""
+        want.append((str(d), len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), len(text), len(text.encode()), zlib.crc32(text.encode())))
+    assert figures == sorted(want) and c.decode(library.encode("a ▁")) == "a  "
+
+
+def test_codec_of_an_empty_table(spark):
+    assert sentencepiece_codec.digests(sentencepiece_codec.encode(rows(spark, []), MODEL), MODEL).collect() == []
+
+
+def test_token_counts_of_a_table(spark):
+    """Nulls, empty texts, repeated rows, clashing columns and an empty table."""
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    data = [(1, None), (2, ""), (3, "the thing"), (3, "the thing"), (None, "é" * 9000), (4, " \n ")]
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in token_counts.token_counts(rows(spark, data), MODEL).collect())
+    assert got == sorted((str(i), len((t or "").encode()), n, n > 4096) for i, t in data for n in [len(library.encode(t or ""))])
+    assert token_counts.token_counts(rows(spark, []), MODEL).collect() == []
