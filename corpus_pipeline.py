@@ -1,7 +1,11 @@
-"""A training-data pipeline: quality rules, SimHash near-dedup, Jaccard near-dedup, suffix-array dedup, best-fit packing.
+"""A training-data pipeline: quality rules, SimHash near-dedup, suffix-array dedup, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir) and all its predecessor kept, and returns the columns of ``documents``; the last returns
 the packed pieces. ``run`` writes each stage as Parquet below spark.checkpoint.dir and reads it for the next.
+
+Null texts: the quality rules reject them, as they do empty ones. Documents without an id are kept like others, and of repeated
+rows, whatever their ids, one stays. Texts that share an id but no text are documents of their own. Ties go to the least id, then to
+the least hash of the text. Empty tables give an empty result; extra columns pass all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkevid.llm import near_copies, packing, quality_rules, simhash, suffix_dedup
+from sparkevid.llm import packing, quality_rules, simhash, suffix_dedup
 from sparkevid.llm.runtime import table, written
 
 #: Bytes of a repeated passage: about 35 words, so that a passage of 50 words is found whatever its words' lengths.
@@ -23,13 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the least id."""
-    return simhash.dedup(docs)
-
-
-def similar_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts whose five-word shingles have a Jaccard similarity of 0.8 or more one row, that of the least id."""
-    return near_copies.dedup(docs)
+    """Of each group of near copies (five-word shingles, Jaccard similarity of 0.8 or more) one row, that of the least id."""
+    return simhash.dedup(docs, 5, (4, 5))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +44,6 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality_rules", quality),
     ("simhash_near_dedup", near_duplicates),
-    ("jaccard_near_dedup", similar_texts),
     ("suffix_array_dedup", repeated_passages),
     ("best_fit_packing", packed),
 ]
