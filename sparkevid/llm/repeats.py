@@ -1,18 +1,20 @@
 """Exact repeats of L symbols (bytes or words) across all rows, by prefix doubling over anchored positions.
 
 Every window of L symbols is given to anchors: positions inside it that its own symbols choose, so that equal windows have an
-anchor at the same place. A context is an anchor with the run of window starts given to it. Contexts are rows; the rank of a position
-is the 128-bit name of the K symbols there, equal for equal strings only. Rounds:
+anchor at the same place. A context is an anchor with the run of window starts given to it. The rank of a position is the name of the K
+symbols there. Rounds:
 
-1. Spark groups the ranks of K symbols; contexts whose rank is unique end here.
-2. Contexts that are equal as a whole are copies: all their windows repeat. One of them goes on, with weight 2.
+1. Spark groups the ranks of K symbols at all anchors. Contexts whose rank is unique end here; where all contexts of a rank are
+   equal, all their windows repeat, and they end too.
+2. The others become rows with 128-bit ranks. Those that are equal as a whole are copies: all their windows repeat. One of them goes on,
+   with weight 2.
 3. Doubling: at offset h = K, 2K, 4K, .. the rank of 2h symbols at a position is that of the pair (rank of h there, rank of h at
    the offset). Spark sorts and counts the new ranks to the right of each anchor and to its left. Where one is unique, no window that
    holds its 2h symbols repeats: the run of window starts is cut, and a context without any left has ended.
-4. Past the threshold: the window starts left are rows of their own, ranked at all L symbols.
+4. Past the threshold: the window starts left are rows of their own, ranked at all L symbols by 128-bit names.
 
-Ranks of rounds 3 are 64 bits long: a collision there leaves a window to round 4 and changes no result. Nothing is capped, rows are
-never paired, and a common rank is counted before it is shuffled.
+Ranks of rounds 1 and 3 are 64 bits long. In round 3 a collision leaves a window to round 4 and changes no result; in round 1 it would have
+to befall all contexts of a rank. Nothing is capped, rows are never paired, and a common rank is counted before it is shuffled.
 """
 
 from __future__ import annotations
@@ -31,8 +33,11 @@ from .runtime import dropped, on_executors, written
 CHUNK = 1 << 18
 _LOW = np.uint64((1 << 24) - 1)
 
+#: The ranks and whole names of a row's contexts, in order.
+ANCHORS = "k1 long, k2 long, names array<long>, wholes array<long>"
 #: a: the anchor; p0, p1: first and last window start; n: the rank at the anchor; f: the name of the whole context; right, left: the
-#: ranks of the K symbols at a, a + K, a + 2K, .. and at a, a - K, a - 2K, .., null where no window of the context holds them.
+#: ranks of the K symbols at a, a + K, a + 2K, .. and at a, a - K, a - 2K, .., null where no window of the context holds them. Without n:
+#: the windows p0 to p1 are known to repeat.
 CONTEXT = "k1 long, k2 long, a int, p0 int, p1 int, n1 long, n2 long, f1 long, f2 long, right array<long>, left array<long>"
 _KEYS = ["n1", "n2"]
 
@@ -79,12 +84,28 @@ def sampled(x: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[np.nda
     return anchor[new], p[new], p[np.concatenate((new[1:], [len(p)])) - 1]
 
 
-def described(x: np.ndarray, a: np.ndarray, p0: np.ndarray, p1: np.ndarray, length: int, k: int) -> dict[str, np.ndarray | pa.Array]:
+def _place(a: np.ndarray, p0: np.ndarray, p1: np.ndarray) -> np.ndarray:
+    return H.mix((a - p0).astype(np.uint64) * np.uint64(1 << 32) + (p1 - p0).astype(np.uint64) + np.uint64(1))
+
+
+def anchor_names(x: np.ndarray, a: np.ndarray, p0: np.ndarray, p1: np.ndarray, length: int, k: int) -> np.ndarray:
+    """(2, n): the rank of each anchor and the name of its context."""
+    one = H.Names(x, H.BASES[0])
+    return np.stack((one.spans(a, a + k), one.spans(p0, p1 + length) ^ _place(a, p0, p1))).view(np.int64)
+
+
+def anchor_batch(k1: np.ndarray, k2: np.ndarray, names: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
+    at = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+    both = np.concatenate(names, axis=1) if names else np.empty((2, 0), np.int64)
+    return pa.RecordBatch.from_pydict({"k1": pa.array(k1), "k2": pa.array(k2)} | {c: pa.ListArray.from_arrays(at, pa.array(v)) for c, v in zip(("names", "wholes"), both, strict=True)})
+
+
+def described(x: np.ndarray, a: np.ndarray, p0: np.ndarray, p1: np.ndarray, length: int, k: int) -> dict[str, pa.Array]:
     """The ranks and names of contexts in x, and the ranks at each multiple of k that rounds will pair."""
     one, two = H.Names(x, H.BASES[0]), H.Names(x, H.BASES[1])
-    place = H.mix((a - p0).astype(np.uint64) * np.uint64(1 << 32) + (p1 - p0).astype(np.uint64) + np.uint64(1))
+    place = _place(a, p0, p1)
     cols = {"n1": one.spans(a, a + k), "n2": two.spans(a, a + k), "f1": one.spans(p0, p1 + length) ^ place, "f2": two.spans(p0, p1 + length) + place}
-    out = {c: v.view(np.int64) for c, v in cols.items()}
+    out = {c: pa.array(v.view(np.int64)) for c, v in cols.items()}
     offsets = doubling(length, k)
     steps = 2 * offsets[-1] // k - 1 if offsets else 0
     at = pa.array(np.arange(len(a) + 1, dtype=np.int32) * steps)
@@ -97,31 +118,95 @@ def described(x: np.ndarray, a: np.ndarray, p0: np.ndarray, p1: np.ndarray, leng
     return out
 
 
-def context_batch(x: np.ndarray, a: np.ndarray, p0: np.ndarray, p1: np.ndarray, length: int, k: int, keys: dict[str, np.ndarray], base: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of contexts in x; ``base``: where each one's document begins in x, subtracted from positions."""
-    if len(a):
-        cols = keys | {c: (v - base).astype(np.int32) for c, v in (("a", a), ("p0", p0), ("p1", p1))} | described(x, a, p0, p1, length, k)
-        yield pa.RecordBatch.from_pydict({c: v if isinstance(v, pa.Array) else pa.array(v) for c, v in cols.items()})
+def context_batches(x: np.ndarray, a: np.ndarray, p0: np.ndarray, p1: np.ndarray, same: np.ndarray, length: int, k: int, k1: np.ndarray, k2: np.ndarray, base: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """CONTEXT rows of shared anchors in x, in order: runs of windows that are known to repeat, and the other contexts.
+
+    ``base``: where each one's document begins in x, subtracted from positions."""
+    known = np.flatnonzero(same)
+    if len(known):
+        end, b = p1[known] + length, base[known]
+        first = np.flatnonzero(np.concatenate(([True], (b[1:] != b[:-1]) | (p0[known][1:] > end[:-1]))))
+        last = np.concatenate((first[1:], [len(known)])) - 1
+        s, e = known[first], known[last]
+        cols = {"k1": k1[s], "k2": k2[s], "a": (p0[s] - base[s]).astype(np.int32), "p0": (p0[s] - base[s]).astype(np.int32), "p1": (p1[e] - base[s]).astype(np.int32)}
+        none = {c: pa.nulls(len(s), pa.int64()) for c in ("n1", "n2", "f1", "f2")} | {c: pa.nulls(len(s), pa.list_(pa.int64())) for c in ("right", "left")}
+        yield pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in cols.items()} | none)
+    other = np.flatnonzero(~same)
+    if len(other):
+        a, p0, p1, b = a[other], p0[other], p1[other], base[other]
+        cols = {"k1": k1[other], "k2": k2[other]} | {c: (v - b).astype(np.int32) for c, v in (("a", a), ("p0", p0), ("p1", p1))}
+        yield pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in cols.items()} | described(x, a, p0, p1, length, k))
+
+
+def alive_of(batch: pa.RecordBatch, i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row (from i), number and sameness of the shared anchors of rows i to j, in order."""
+    alive = batch.column("alive")
+    of = alive.offsets.to_numpy().astype(np.int64)
+    flat = alive.flatten()
+    part = slice(of[i] - of[0], of[j] - of[0])
+    number, same = flat.field("number").to_numpy()[part], flat.field("same").to_numpy(zero_copy_only=False)[part]
+    row = np.repeat(np.arange(j - i), np.diff(of[i : j + 1]))
+    order = np.lexsort((number, row))
+    return row[order], number[order].astype(np.int64), same[order]
+
+
+def _byte_parts(off: np.ndarray, data: np.ndarray, i: int, j: int, length: int, k: int) -> Iterator[tuple]:
+    """Of rows i to j: symbols, where the rows begin in them, and the contexts; very long rows go in overlapping parts."""
+    lo, hi = off[i], off[j]
+    for start in range(lo, hi, CHUNK) if j == i + 1 else (lo,):
+        end = min(hi, start + CHUNK + length - 1) if j == i + 1 else hi
+        x = H.BYTES[data[start:end]]
+        part = np.clip(off[i : j + 1], start, end) - start
+        a, p0, p1 = sampled(x, part, length, k)
+        yield x, off[i : j + 1] - start, np.searchsorted(part, a, side="right") - 1, a, p0, p1
+
+
+def byte_anchors(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
+    """Rows k1, k2, text (binary) to ANCHORS."""
+    for batch in batches:
+        off, data = binary_parts(batch.column("text"))
+        k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
+        for i, j in doc_ranges(off):
+            names, counts = [], np.zeros(j - i, np.int64)
+            for x, _, doc, a, p0, p1 in _byte_parts(off, data, i, j, length, k):
+                if len(a):
+                    names.append(anchor_names(x, a, p0, p1, length, k))
+                    counts += np.bincount(doc, minlength=j - i)
+            yield anchor_batch(k1[i:j], k2[i:j], names, counts)
 
 
 def byte_contexts(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
-    """Rows k1, k2, text (binary) to contexts over bytes; very long rows go in overlapping parts."""
+    """Rows with text (binary) and ``alive``, the numbers of their shared anchors, to CONTEXT."""
     for batch in batches:
         off, data = binary_parts(batch.column("text"))
         k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
         for i, j in doc_ranges(off):
-            lo, hi = off[i], off[j]
-            for start in range(lo, hi, CHUNK) if j == i + 1 else (lo,):
-                end = min(hi, start + CHUNK + length - 1) if j == i + 1 else hi
-                x = H.BYTES[data[start:end]]
-                part = np.clip(off[i : j + 1], start, end) - start
-                a, p0, p1 = sampled(x, part, length, k)
-                doc = np.searchsorted(part, a, side="right") - 1 + i
-                yield from context_batch(x, a, p0, p1, length, k, {"k1": k1[doc], "k2": k2[doc]}, off[doc] - start)
+            row, number, same = alive_of(batch, i, j)
+            seen = np.zeros(j - i, np.int64)  # contexts of earlier parts
+            for x, begin, doc, a, p0, p1 in _byte_parts(off, data, i, j, length, k):
+                counts = np.bincount(doc, minlength=j - i)
+                own = (number >= seen[row]) & (number < (seen + counts)[row])
+                at = (np.cumsum(counts) - counts)[row[own]] + number[own] - seen[row[own]]
+                d = doc[at] + i
+                yield from context_batches(x, a[at], p0[at], p1[at], same[own], length, k, k1[d], k2[d], begin[doc[at]])
+                seen += counts
+
 
+def shared_anchors(anchors: DataFrame) -> DataFrame:
+    """k1, k2, alive: the numbers of a row's anchors whose rank occurs elsewhere, and whether all contexts of the rank are equal; written.
 
-#: A run of windows of a row, and their ranks.
-WINDOWS = "k1 long, k2 long, q0 int, weight int, w1 array<long>, w2 array<long>"
+    ``anchors``: written ANCHORS, dropped here."""
+    each = anchors.select("k1", "k2", F.posexplode(F.arrays_zip("names", "wholes")).alias("number", "x")).select("k1", "k2", "number", F.col("x.names").alias("name"), F.col("x.wholes").alias("whole"))
+    ranks = each.groupBy("name").agg(F.count("*").alias("times"), (F.min("whole") == F.max("whole")).alias("same")).where("times >= 2").drop("times")
+    ranks = written(ranks, "ranks")  # written, for Spark splits a hot rank only where plain shuffles meet
+    alive = each.select("k1", "k2", "number", "name").join(ranks.hint("merge"), "name")
+    alive = written(alive.groupBy("k1", "k2").agg(F.collect_set(F.struct("number", "same")).alias("alive")), "alive")
+    dropped(anchors, ranks)
+    return alive
+
+
+#: The windows of a context, ranked.
+WINDOWS = "ctx long, weight int, w1 array<long>, w2 array<long>"
 
 
 def window_ranks(batch: pa.RecordBatch, rows: slice, x: Callable[[int, int], np.ndarray], first: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
@@ -132,7 +217,7 @@ def window_ranks(batch: pa.RecordBatch, rows: slice, x: Callable[[int, int], np.
     of = wanted.offsets.to_numpy().astype(np.int64)
     of -= of[0]
     part = slice(of[rows.start], of[rows.stop])
-    a, q0, q1, weight = (wanted.flatten().field(c).to_numpy()[part].astype(np.int64) for c in ("a", "q0", "q1", "weight"))
+    ctx, a, q0, q1, weight = (wanted.flatten().field(c).to_numpy()[part].astype(np.int64) for c in ("ctx", "a", "q0", "q1", "weight"))
     doc = np.repeat(np.arange(rows.start, rows.stop), np.diff(of[rows.start : rows.stop + 1]))
     begin = first[doc - rows.start]
     order = np.argsort(begin + q0, kind="stable")
@@ -151,7 +236,7 @@ def window_ranks(batch: pa.RecordBatch, rows: slice, x: Callable[[int, int], np.
         w1 = H.Names(symbols, H.BASES[0]).spans(at, at + length) ^ place
         w2 = H.Names(symbols, H.BASES[1]).spans(at, at + length) + place
         lists = pa.array(np.concatenate(([0], ends)).astype(np.int32))
-        cols = {c: batch.column(c).take(pa.array(doc[o])) for c in ("k1", "k2")} | {"q0": pa.array(q0[o].astype(np.int32)), "weight": pa.array(weight[o].astype(np.int32))}
+        cols = {"ctx": pa.array(ctx[o]), "weight": pa.array(weight[o].astype(np.int32))}
         yield pa.RecordBatch.from_pydict(cols | {c: pa.ListArray.from_arrays(lists, pa.array(w.view(np.int64))) for c, w in (("w1", w1), ("w2", w2))})
         i = j
 
@@ -193,21 +278,17 @@ def _reranked(rows: DataFrame, h: int, k: int, length: int) -> DataFrame:
     return rows
 
 
-def repeated_runs(found: DataFrame, length: int, k: int, windows: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Runs (k1, k2, s, e) covered by repeated windows. ``found``: written contexts, dropped here; ``windows``: WINDOWS of the
-    contexts a, q0, q1, weight of rows k1, k2."""
-    ranks = found.groupBy(*_KEYS).agg(F.count("*").alias("times"), ((F.min("f1") == F.max("f1")) & (F.min("f2") == F.max("f2"))).alias("same"))
-    ranks = written(ranks.where("times >= 2").drop("times"), "ranks")  # written, for Spark splits a hot rank only where plain shuffles meet
-    alive = written(found.join(ranks.hint("merge"), _KEYS), "alive")
-    dropped(found, ranks)
-    mixed = alive.where("not same")
+def repeated_spans(found: DataFrame, length: int, k: int, windows: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The maximal runs covered by repeated windows (k1, k2, spans). ``found``: written CONTEXT rows, dropped here; ``windows``: WINDOWS of
+    the contexts that rows k1, k2 want."""
+    mixed = found.where("n1 is not null")
     place = F.struct("k1", "k2", "a", "p0", "p1", "right", "left")
     rows = mixed.groupBy(*_KEYS, "f1", "f2").agg(F.count("*").alias("times"), F.min(place).alias("x"))
     rows = written(rows.select(*_KEYS, "f1", "f2", F.least("times", F.lit(2)).cast("int").alias("weight"), "x.*"), "copies")
-    copied = mixed.join(rows.where("weight = 2").select(*_KEYS, "f1", "f2"), [*_KEYS, "f1", "f2"], "left_semi")
-    settled = alive.where("same").select("k1", "k2", "p0", "p1").unionByName(copied.select("k1", "k2", "p0", "p1"))
+    copied = mixed.select(*_KEYS, "f1", "f2", "k1", "k2", "p0", "p1").join(rows.where("weight = 2").select(*_KEYS, "f1", "f2").hint("merge"), [*_KEYS, "f1", "f2"], "left_semi")
+    settled = found.where("n1 is null").select("k1", "k2", "p0", "p1").unionByName(copied.select("k1", "k2", "p0", "p1"))
     settled = written(settled.select("k1", "k2", F.col("p0").alias("s"), (F.col("p1") + length).alias("e")), "settled")
-    dropped(alive)
+    dropped(found)
 
     first = lambda side: F.concat(F.array("n1"), side).alias(side)
     left = written(rows.select(*_KEYS, "k1", "k2", "weight", "a", F.col("p0").alias("q0"), F.col("p1").alias("q1"), first("right"), first("left")), "round")
@@ -215,15 +296,24 @@ def repeated_runs(found: DataFrame, length: int, k: int, windows: Callable[[Data
     for h in doubling(length, k):
         left = _reranked(left, h, k, length)
     sizes = written(left.groupBy(*_KEYS).agg(F.count("*").alias("n"), F.min("weight").alias("least")).where("n >= 2 and least = 1").select(*_KEYS), "sizes")
-    wanted = written(left.select(*_KEYS, "k1", "k2", "a", "q0", "q1", "weight").join(sizes.hint("merge"), _KEYS), "wanted")
+    wanted = left.select(*_KEYS, "k1", "k2", "a", "q0", "q1", "weight").join(sizes.hint("merge"), _KEYS).drop(*_KEYS)
+    wanted = written(wanted.withColumn("ctx", F.monotonically_increasing_id()), "wanted")
     dropped(left, sizes)
 
-    runs = written(windows(wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "q0", "q1", "weight")).alias("wanted"))), "windows")
-    dropped(wanted)
-    each = runs.select("k1", "k2", "q0", "weight", F.posexplode(F.arrays_zip("w1", "w2")).alias("i", "w")).select("k1", "k2", "weight", (F.col("q0") + F.col("i")).alias("s"), "w.w1", "w.w2")
+    ranked = written(windows(wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("ctx", "a", "q0", "q1", "weight")).alias("wanted"))), "windows")
+    each = ranked.select("ctx", "weight", F.posexplode(F.arrays_zip("w1", "w2")).alias("i", "w")).select("ctx", "weight", "i", "w.w1", "w.w2")
     again = written(each.groupBy("w1", "w2").agg(F.sum("weight").alias("times")).where("times >= 2").select("w1", "w2"), "repeated")
-    hits = each.where("weight = 1").join(again.hint("merge"), ["w1", "w2"], "left_semi")
-    return settled.unionByName(hits.select("k1", "k2", "s", (F.col("s") + length).alias("e")))
+    hits = each.where("weight = 1").select("ctx", "i", "w1", "w2").join(again.hint("merge"), ["w1", "w2"], "left_semi")
+    hits = hits.groupBy("ctx").agg(F.sort_array(F.collect_set("i")).alias("hit"))  # of one context, so at most its windows
+    starts = F.filter("hit", lambda x, i: (i == 0) | (F.get("hit", i - 1) < x - 1))
+    ends = F.filter("hit", lambda x, i: (i == F.size("hit") - 1) | (F.get("hit", i + 1) > x + 1))
+    hits = hits.select("ctx", F.explode(F.arrays_zip(starts.alias("s"), ends.alias("e"))).alias("r"))
+    found = wanted.join(hits.hint("merge"), "ctx").select("k1", "k2", (F.col("q0") + F.col("r.s")).alias("s"), (F.col("q0") + F.col("r.e") + length).alias("e"))
+    found = written(found, "runs")
+    dropped(wanted, ranked, again)
+    out = written(spans(settled.unionByName(found)), "spans")
+    dropped(settled, found)
+    return out
 
 
 def spans(runs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__
 #: Used only where the session names no shared folder (local tests).
 LOCAL_DIR = "file:///tmp/checkpoints"
 #: Seconds between two collections of the driver's garbage.
-COLLECT_S = 5.0
+COLLECT_S = 0.5
 _collected = 0.0
 _written: list[tuple[SparkSession, str]] = []
 

@@ -45,49 +45,52 @@ def batch_words(batch: pa.RecordBatch, i: int, j: int, off: np.ndarray, data: np
     return buffer, start, end, x, np.append(np.searchsorted(start, begins), len(start))
 
 
+def _around(a: np.ndarray, row: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start of the windows that hold the anchors."""
+    return np.maximum(a - (period(length) - 1), first[row]), np.minimum(a, first[row + 1] - length)
+
+
 def cover_anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """k1, k2 and the names of the windows of m words at the cover positions, in order; rows of under L words have none."""
+    """Rows with text (binary) to ANCHORS: the windows of m words at the cover positions; rows of under L words have none."""
     v = period(length)
     m, cover = length - v + 1, np.array(COVERS[v])
     for batch in batches:
         off, data = repeats.binary_parts(batch.column("text"))
+        k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
         for i, j in repeats.doc_ranges(off):
             _, _, _, x, first = batch_words(batch, i, j, off, data)
-            n = np.diff(first)
-            rows = np.flatnonzero(n >= length)
-            if not len(rows):
-                continue
-            positions = [(np.arange(-(-n[r] // v))[:, None] * v + cover).ravel() for r in rows]
-            positions = [p[p + m <= n[r]] for p, r in zip(positions, rows, strict=True)]
-            at = np.concatenate([p + first[r] for p, r in zip(positions, rows, strict=True)])
-            names = H.Names(x, H.BASES[0]).spans(at, at + m).view(np.int64)
-            ends = np.concatenate(([0], np.cumsum([len(p) for p in positions]))).astype(np.int32)
-            keys = {k: batch.column(k).take(pa.array(rows + i)) for k in ("k1", "k2")}
-            yield pa.RecordBatch.from_pydict(keys | {"names": pa.ListArray.from_arrays(pa.array(ends), pa.array(names))})
+            n = np.where(np.diff(first) >= length, np.diff(first), 0)
+            blocks = -(-n // v)
+            row = np.repeat(np.arange(j - i), blocks * len(cover))
+            number = np.arange(len(row)) - np.repeat(np.cumsum(blocks * len(cover)) - blocks * len(cover), blocks * len(cover))
+            at = number // len(cover) * v + cover[number % len(cover)]
+            fits = at + m <= n[row]
+            a, row = at[fits] + first[row[fits]], row[fits]
+            names = []
+            for begin in range(0, len(x), repeats.CHUNK):
+                own = slice(*np.searchsorted(a, (begin, begin + repeats.CHUNK)))
+                lo, hi = max(0, begin - v), begin + repeats.CHUNK + length + v
+                p0, p1 = _around(a[own], row[own], first, length)
+                names.append(repeats.anchor_names(x[lo:hi], a[own] - lo, p0 - lo, p1 - lo, length, m))
+            yield repeats.anchor_batch(k1[i:j], k2[i:j], names, np.bincount(row, minlength=j - i))
 
 
 def word_contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows with text and the numbers of their anchors that occur elsewhere, to the contexts of these anchors."""
+    """Rows with text and ``alive``, the numbers of their shared anchors, to their contexts."""
     v = period(length)
     m, cover = length - v + 1, np.array(COVERS[v])
     for batch in batches:
         off, data = repeats.binary_parts(batch.column("text"))
         k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
-        alive = batch.column("alive")
-        shared, of = alive.flatten().to_numpy(), alive.offsets.to_numpy().astype(np.int64)
         for i, j in repeats.doc_ranges(off):
             _, _, _, x, first = batch_words(batch, i, j, off, data)
-            number = shared[of[i] - of[0] : of[j] - of[0]]
-            doc = np.repeat(np.arange(j - i), np.diff(of[i : j + 1]))
-            at = np.sort(number // len(cover) * v + cover[number % len(cover)] + first[doc])
-            doc = np.searchsorted(first, at, side="right") - 1
+            row, number, same = repeats.alive_of(batch, i, j)
+            a = number // len(cover) * v + cover[number % len(cover)] + first[row]
             for begin in range(0, len(x), repeats.CHUNK):
-                own = slice(*np.searchsorted(at, (begin, begin + repeats.CHUNK)))
-                a, d = at[own], doc[own]
+                own = slice(*np.searchsorted(a, (begin, begin + repeats.CHUNK)))
                 lo, hi = max(0, begin - v), begin + repeats.CHUNK + length + v
-                p0, p1 = np.maximum(a - (v - 1), first[d]), np.minimum(a, first[d + 1] - length)
-                keys = {"k1": k1[d + i], "k2": k2[d + i]}
-                yield from repeats.context_batch(x[lo:hi], a - lo, p0 - lo, p1 - lo, length, m, keys, first[d] - lo)
+                p0, p1 = _around(a[own], row[own], first, length)
+                yield from repeats.context_batches(x[lo:hi], a[own] - lo, p0 - lo, p1 - lo, same[own], length, m, k1[row[own] + i], k2[row[own] + i], first[row[own]] - lo)
 
 
 def word_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -104,13 +107,7 @@ def repeated_spans(documents: DataFrame, length: int = 35) -> DataFrame:
     m = length - period(length) + 1
     rows = keyed(documents).select("k1", "k2", F.col("text").cast("binary").alias("text"))
     rows = rows.where(F.octet_length("text") >= 2 * length - 1)
-    anchors = written(rows.mapInArrow(on_executors("substring_dedup", "cover_anchors", length), "k1 long, k2 long, names array<long>"), "anchors")
-    each = anchors.select("k1", "k2", F.posexplode("names").alias("number", "name"))
-    twice = each.groupBy("name").agg(F.count("*").alias("times")).where("times >= 2").select("name")
-    twice = written(twice, "twice")  # for Spark splits a hot name only where plain shuffles meet
-    alive = each.join(twice.hint("merge"), "name", "left_semi").groupBy("k1", "k2").agg(F.array_distinct(F.collect_list("number")).alias("alive"))
-    alive = written(alive, "alive_anchors")
-    dropped(anchors, twice)
+    alive = repeats.shared_anchors(written(rows.mapInArrow(on_executors("substring_dedup", "cover_anchors", length), repeats.ANCHORS), "anchors"))
     found = rows.join(alive.hint("merge"), ["k1", "k2"]).mapInArrow(on_executors("substring_dedup", "word_contexts", length), repeats.CONTEXT)
     found = written(found, "contexts")
     dropped(alive)
@@ -118,7 +115,7 @@ def repeated_spans(documents: DataFrame, length: int = 35) -> DataFrame:
     def windows(wanted: DataFrame) -> DataFrame:
         return rows.join(wanted.hint("merge"), ["k1", "k2"]).mapInArrow(on_executors("substring_dedup", "word_windows", length), repeats.WINDOWS)
 
-    return written(repeats.spans(repeats.repeated_runs(found, length, m, windows)), "spans")
+    return repeats.repeated_spans(found, length, m, windows)
 
 
 def words(text: Column) -> Column:

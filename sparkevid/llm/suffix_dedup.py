@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from .runtime import keyed, on_executors, written
+from .runtime import dropped, keyed, on_executors, written
 
 #: The first rank covers this part of the threshold.
 FIRST = 4
@@ -24,13 +24,15 @@ def repeated_spans(documents: DataFrame, length: int = 400) -> DataFrame:
     """k1, k2 (see ``runtime.keyed``) and the maximal repeated byte spans; rows without any are left out. ``length``: 16 or more."""
     k = -(-length // FIRST)
     rows = keyed(documents).select("k1", "k2", F.col("text").cast("binary").alias("text")).where(F.octet_length("text") >= length)
-    found = written(rows.mapInArrow(on_executors("repeats", "byte_contexts", length, k), repeats.CONTEXT), "contexts")
+    alive = repeats.shared_anchors(written(rows.mapInArrow(on_executors("repeats", "byte_anchors", length, k), repeats.ANCHORS), "anchors"))
+    found = written(rows.join(alive.hint("merge"), ["k1", "k2"]).mapInArrow(on_executors("repeats", "byte_contexts", length, k), repeats.CONTEXT), "contexts")
+    dropped(alive)
 
     def windows(wanted: DataFrame) -> DataFrame:
         # A repeated row comes twice, but its contexts have weight 2, and of those a further one changes nothing.
         return rows.join(wanted.hint("merge"), ["k1", "k2"]).mapInArrow(on_executors("repeats", "byte_windows", length), repeats.WINDOWS)
 
-    return written(repeats.spans(repeats.repeated_runs(found, length, k, windows)), "spans")
+    return repeats.repeated_spans(found, length, k, windows)
 
 
 def _joined(text: Column, ranges: Column) -> Column:
