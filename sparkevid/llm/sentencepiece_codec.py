@@ -403,7 +403,7 @@ def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digests(parts: DataFrame, path: str) -> DataFrame:
     """doc_id and the figures of each document; only figures of parts are gathered, never ids."""
-    each = parts.select("doc_id", "row", "part", "parts", "ids").mapInArrow(on_executors("sentencepiece_codec", "figures", path), FIGURES)
+    each = written(parts.select("doc_id", "row", "part", "parts", "ids").mapInArrow(on_executors("sentencepiece_codec", "figures", path), FIGURES), "figures")
     many = each.where("parts > 1").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("part", *DIGEST))).alias("x"))
     many = many.select("doc_id", "x").mapInArrow(on_executors("sentencepiece_codec", "joined"), "doc_id long, " + ", ".join(f"{c} long" for c in DIGEST))
     return each.where("parts = 1").select("doc_id", *DIGEST).unionByName(many)
