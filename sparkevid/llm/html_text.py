@@ -2,9 +2,16 @@
 
 The standard library's parser streams events into lines, one for each block element. Each line has a ratio of
 its characters to its tags (characters in links count against it). Ratios are smoothed by a Gaussian and split in two
-clusters by a threshold; the smallest element that holds every article or main with dense text, or else all dense
-lines, is the content region, and its blocks, short ones too, are the text. So are headings and paragraphs that stand beside
-the region or beside an element around it. Lines inside elements that are page furniture by their tag, role, class or id take no part.
+clusters by a threshold; lines of the upper one are dense. They decide:
+
+* which elements that a class, id or role names as furniture are none: one that holds the dense text of a page is its article,
+  whatever its name; a word that only modifies another ("legal-news") needs half as much dense text as there is elsewhere;
+* the region: the smallest element that holds all articles and mains with dense text, if these have most of it, or else
+  all dense lines. Its short blocks belong to it, and so do headings and paragraphs that stand beside the region or an element
+  around it; all else goes, as do rows of links inside it.
+
+By their tags only scripts, styles, forms, navigation and what HTML itself sets apart from the main text take no part. Time is
+linear in the page, however deep its elements.
 
 Null and empty pages give an empty text. Unclosed and misnested elements are closed where HTML's rules or the
 enclosing end tag close them. Repeated rows are extracted each for itself; extra columns are not read.
@@ -23,40 +30,66 @@ from pyspark.sql import functions as F
 
 from .runtime import on_executors, table
 
-#: HTML's elements without content, block elements, page furniture, and what an opening tag closes.
+#: HTML's elements without content, block elements, elements apart from the main text, headings, and what an opening tag closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
-FURNITURE = frozenset("script style noscript template head title nav header footer aside form button select textarea input iframe object svg canvas audio video menu dialog search fieldset".split())
+APART = frozenset("script style noscript template head title nav header footer aside form button select textarea input iframe object svg canvas audio video menu dialog search fieldset".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar tablist".split())
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|side|aside|widget\w*|footer\w*|foot|header|masthead|topbar|toolbar|cookies?|consent|gdpr|notices?|notification\w*|alert\w*|popup\w*|modal\w*|overlay|newsletter|subscribe\w*|subscription|signup|login|share|sharing|social\w*|related\w*|recommend\w*|trending|pagination|pager|copyright|legal|disclaimer|comments?|commentlist|disqus\w*|replies|reply|respond|discussion|reader-?comments?|skip|hidden|tags|meta|byline)(?=$|[\s_-])",
-    re.I,
-)
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table select article section div body html main".split())
 CONTENT = frozenset(("article", "main"))
-#: Parts of a name that tell of a layout, as "with-sidebar" does, not of the element itself.
-LAYOUT = re.compile(r"(?:with|without|has|no|hide|show|layout)[_-][\w-]+", re.I)
+#: Words of class names and ids that hint at furniture.
+WORDS = re.compile(
+    r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|side|aside|widget\w*|footer\w*|foot|header|masthead|topbar|toolbar|cookies?|consent|gdpr|notices?|notification\w*|alert\w*|popup\w*|modal\w*|overlay|newsletter|subscribe\w*|subscription|signup|login|share|sharing|social\w*|related\w*|recommend\w*|trending|pagination|pager|copyright|legal|disclaimer|comments?|commentlist|disqus\w*|replies|reply|respond|discussion|skip|hidden|tags|meta|byline",
+    re.I,
+)
+#: Names that tell of a layout, as "with-sidebar" does, not of the element itself.
+LAYOUT = re.compile(r"(?:with|without|has|no|hide|show|layout)[_-]", re.I)
+PARTS = re.compile(r"[_-]+")
 
 #: Elements that count as content beside the region as well.
-BESIDE = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre".split())
+BESIDE = HEADINGS | frozenset("p blockquote pre".split())
 
 #: Standard deviation of the smoothing, in lines.
 SIGMA = 1.0
+#: Lines in a row that are nearly all links from which they are a menu.
+ROW = 3
+#: A page whose dense text all has names of furniture has its article there if it is so many times the other text.
+RESCUE = 4
+NOT, LOOSE, FIRM = 0, 1, 2
+
+
+def hinted(names: str) -> int:
+    """FIRM where a name is or ends in a word of furniture, LOOSE where one only has it, else NOT."""
+    found = NOT
+    for name in names.split():
+        if not LAYOUT.match(name):
+            parts = [p for p in PARTS.split(name) if p]
+            if parts and WORDS.fullmatch(parts[-1]):
+                return FIRM
+            if any(map(WORDS.fullmatch, parts[:-1])):
+                found = LOOSE
+    return found
 
 
 class Lines(HTMLParser):
-    """Lines of a page: their text, link characters, number of tags, and the elements around them."""
+    """Lines of a page, and the elements around them; elements are numbered as they open."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []  # tag, element, furniture
+        #: Open elements: tag, number, whether apart, nearest named element, outermost article or main, whether in a link, nearest block.
+        self.stack: list[tuple[str, int, bool, int, int, bool, int]] = []
+        self.open: dict[str, list[int]] = {}  # places in the stack by tag
+        self.scopes: list[int] = []
         self.parents: list[int] = []
         self.kinds: list[str] = []
+        self.ends: list[int] = []
+        self.named: dict[int, tuple[int, int]] = {}  # named element to the one around it and its hint
         self.text: list[str] = []
-        self.inside: list[int] = []
+        self.inside: list[tuple[int, int, int, int]] = []  # of a line: element, named, article, block
         self.tags: list[int] = []
         self.links: list[int] = []
         self._parts: list[str] = []
@@ -67,45 +100,60 @@ class Lines(HTMLParser):
             line = " ".join("".join(self._parts).split())
             if line:
                 self.text.append(line)
-                self.inside.append(self.stack[-1][1] if self.stack else -1)
+                _, number, _, named, main, _, block = self.stack[-1] if self.stack else ("", -1, False, -1, -1, False, -1)
+                self.inside.append((number, named, main, block))
                 self.tags.append(self._tags)
                 self.links.append(self._linked)
             self._parts.clear()
         self._tags = self._linked = 0
 
     def _pop(self, depth: int) -> None:
-        if any(t in BLOCK for t, _, _ in self.stack[depth:]):
+        if any(x[0] in BLOCK for x in self.stack[depth:]):
             self._flush()
-        del self.stack[depth:]
+        while len(self.stack) > depth:
+            tag, number, *_ = self.stack.pop()
+            self.ends[number] = len(self.kinds)
+            self.open[tag].pop()
+            if tag in SCOPE:
+                self.scopes.pop()
+
+    def _innermost(self, tags: tuple[str, ...]) -> int:
+        """Place of the innermost open element of these, or -1; none beyond the innermost scope."""
+        at = max((self.open[t][-1] for t in tags if self.open.get(t)), default=-1)
+        return at if at > (self.scopes[-1] if self.scopes else -1) else -1
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
             self._flush()
-            for i in range(len(self.stack) - 1, -1, -1):  # a block ends an open paragraph
-                if self.stack[i][0] == "p":
-                    self._pop(i)
-                    break
-                if self.stack[i][0] in SCOPE:
-                    break
-        for i in range(len(self.stack) - 1, -1, -1) if tag in CLOSES else ():
-            if self.stack[i][0] in CLOSES[tag]:
-                self._pop(i)
-                break
-            if self.stack[i][0] in SCOPE:
-                break
+            if (at := self._innermost(("p",))) >= 0:  # a block ends an open paragraph
+                self._pop(at)
+        if tag in CLOSES and (at := self._innermost(CLOSES[tag])) >= 0:
+            self._pop(at)
         self._tags += 1
         if tag == "br":
             self._parts.append(" ")
         if tag in VOID:
             return
-        bad = (bool(self.stack) and self.stack[-1][2]) or tag in FURNITURE
-        if not bad and attrs and tag not in CONTENT and tag not in ("body", "html"):
+        number = len(self.kinds)
+        _, parent, apart, named, main, link, block = self.stack[-1] if self.stack else ("", -1, False, -1, -1, False, -1)
+        if tag in APART:
+            apart = True
+        elif tag in HEADINGS and apart and main >= 0 and self.stack[-1][0] in ("header", "hgroup"):
+            apart = False  # the heading of an article
+        if attrs and not apart and tag not in CONTENT and tag not in ("body", "html"):
             given = dict(attrs)
-            names = f"{given.get('class') or ''} {given.get('id') or ''}"
-            bad = (given.get("role") or "").lower() in ROLES or "hidden" in given or given.get("aria-hidden") == "true" or bool(names.strip() and NAMED.search(LAYOUT.sub(" ", names)))
-        self.parents.append(self.stack[-1][1] if self.stack else -1)
+            apart = "hidden" in given or given.get("aria-hidden") == "true"
+            hint = FIRM if (given.get("role") or "").lower() in ROLES else hinted(f"{given.get('class') or ''} {given.get('id') or ''}")
+            if hint:
+                self.named[number] = (named, hint)
+                named = number
+        self.parents.append(parent)
         self.kinds.append(tag)
-        self.stack.append((tag, len(self.parents) - 1, bad))
+        self.ends.append(-1)
+        self.open.setdefault(tag, []).append(len(self.stack))
+        if tag in SCOPE:
+            self.scopes.append(len(self.stack))
+        self.stack.append((tag, number, apart, named, number if main < 0 and tag in CONTENT else main, link or tag == "a", number if tag in BLOCK else block))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -114,21 +162,20 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self._tags += 1
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self._pop(i)
-                return
+        if self.open.get(tag):
+            self._pop(self.open[tag][-1])
 
     def handle_data(self, data: str) -> None:
         if self.stack and self.stack[-1][2]:
             return
         self._parts.append(data)
-        if any(t == "a" for t, _, _ in self.stack[-3:]):
+        if self.stack and self.stack[-1][5]:
             self._linked += len(data)
 
     def finish(self) -> None:
         self.close()
         self._flush()
+        self._pop(0)
 
 
 def smoothed(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -152,6 +199,33 @@ def threshold(x: np.ndarray) -> float:
     return float((v[i] + v[i + 1]) / 2)
 
 
+def furniture(lines: Lines, dense: list[float], plain: list[float]) -> set[int]:
+    """The named elements that are furniture; ``dense``, ``plain``: characters of each line if it is dense, and in any case, links left out."""
+    inside: dict[int, float] = dict.fromkeys(lines.named, 0.0)
+    elsewhere = rest = 0.0
+    for (_, named, _, _), d, p in zip(lines.inside, dense, plain, strict=True):
+        if named >= 0:
+            inside[named] += d
+        else:
+            elsewhere, rest = elsewhere + d, rest + p
+    for number in sorted(inside, reverse=True):
+        if (around := lines.named[number][0]) >= 0:
+            inside[around] += inside[number]
+    above = set()
+    if not elsewhere and inside:  # all dense text has a name: the element of most of it may be the article, the inner one of equals
+        at = max(inside, key=lambda e: (inside[e], lines.named[e][1] == LOOSE, e))
+        if inside[at] >= RESCUE * rest and not any(main >= 0 and named < 0 for _, named, main, _ in lines.inside):
+            rest = inside[at]
+            while at >= 0:
+                above.add(at)
+                at = lines.named[at][0]
+    out: set[int] = set()
+    for number, (around, hint) in lines.named.items():
+        if around in out or (number not in above and (hint == FIRM or 2 * inside[number] < (elsewhere or rest))):
+            out.add(number)
+    return out
+
+
 def extract(html: str) -> str:
     """The main text of a page."""
     if not html:
@@ -162,34 +236,40 @@ def extract(html: str) -> str:
     if not lines.text:
         return ""
     size = np.array([len(t) for t in lines.text], float)
-    ratio = np.maximum(size - np.array(lines.links), 0) / (1 + np.array(lines.tags))
+    links = np.array(lines.links)
+    ratio = np.maximum(size - links, 0) / (1 + np.array(lines.tags))
     smooth = smoothed(ratio)
     dense = (smooth >= threshold(smooth)) | (ratio >= threshold(ratio))
-
-    def path(at: int) -> list[int]:
-        """An element and those around it, from the outermost, -1, on."""
-        out = []
-        while at >= 0:
-            out.append(at)
-            at = lines.parents[at]
-        return [-1, *reversed(out)]
-
-    paths = [path(lines.inside[i]) for i in np.flatnonzero(dense)]
-    main = [p[: k + 1] for p in paths for k in [next((k for k, e in enumerate(p) if e >= 0 and lines.kinds[e] in CONTENT), None)] if k is not None]
-    around = main or paths
-    common = [e for e, *rest in zip(*around, strict=False) if all(x == e for x in rest)]
-    while common[-1] >= 0 and lines.kinds[common[-1]] not in CONTENT and (lines.kinds[common[-1]] not in BLOCK or lines.kinds[common[-1]] in BLOCK - SCOPE):
-        common.pop()  # one paragraph: its siblings belong to it
-    region, above = common[-1], set(common)
-
-    def stays(i: int) -> bool:
-        p = path(lines.inside[i])
-        if region in p:
-            return True
-        block = next((k for k in range(len(p) - 1, 0, -1) if lines.kinds[p[k]] in BLOCK), 0)
-        return block > 0 and lines.kinds[p[block]] in BESIDE and p[block - 1] in above and 2 * lines.links[i] < size[i]
-
-    return "\n".join(t for i, t in enumerate(lines.text) if stays(i))
+    element, named, main, block = np.array(lines.inside).T
+    plain = np.maximum(size - links, 0)
+    out = furniture(lines, np.where(dense, plain, 0.0).tolist(), plain.tolist())
+    stays = ~np.isin(named, list(out))
+    if not stays.any():
+        return ""
+    good = dense & stays if (dense & stays).any() else stays
+    around = good & (main >= 0)
+    held = np.where(main >= 0, main, element) if 2 * size[around].sum() >= size[good].sum() else element
+    wanted = around if 2 * size[around].sum() >= size[good].sum() else good
+
+    low, high = int(held[wanted].min()), int(held[wanted].max())
+    region = low  # the smallest element around all of them
+    while region >= 0 and not region <= high < lines.ends[region]:
+        region = lines.parents[region]
+    while region >= 0 and lines.kinds[region] not in CONTENT and (lines.kinds[region] not in BLOCK or lines.kinds[region] in BLOCK - SCOPE):
+        region = lines.parents[region]  # one paragraph: its siblings belong to it
+    above, at = {-1}, region
+    while at >= 0:
+        above.add(at)
+        at = lines.parents[at]
+
+    within = np.ones(len(size), bool) if region < 0 else (element >= region) & (element < lines.ends[region])
+    beside = np.array([b >= 0 and lines.kinds[b] in BESIDE and lines.parents[b] in above for b in block.tolist()]) & (2 * links < size)
+    linked = links >= 0.8 * size
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], linked, [False])).astype(np.int8)))
+    for a, b in edges.reshape(-1, 2).tolist():
+        if b - a >= ROW:
+            stays[a:b] = False
+    return "\n".join(lines.text[i] for i in np.flatnonzero(stays & (within | beside)).tolist())
 
 
 def page_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -77,6 +77,69 @@ def test_pages(page):
     assert html_text.extract(page) == WANT
 
 
+LONG = [" ".join(f"{w}{i}" for i in range(60)) + "." for w in ("first", "second", "third")]
+STORY = "".join(f"<p>{x}</p>" for x in LONG)
+#: Pages without names that help: a row of links, an article, reader comments, a line of the owner's.
+MENU = "<div><a href=a>One</a> <a href=b>Two</a></div>"
+COMMENTS = "<div>" + "".join(f"<p><b>{n}</b> <a href=r>reply</a></p><p>So it is, {n}.</p>" for n in ("Ann", "Bo", "Cy", "Di")) + "</div>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body>{MENU}<div><h1>A title</h1>{STORY}</div>{COMMENTS}<div>Owners of this page</div></body>",
+        f"<body><div class='x1'>{MENU}</div><div class='x2'><h1>A title</h1>{STORY}</div><div class='x3'>{COMMENTS}</div></body>",
+        f"<body>{MENU}<div class='story legal-news'><h1>A title</h1>{STORY}</div>{COMMENTS}</body>",
+        f"<body>{MENU}<div class='post related-story'><h1>A title</h1>{STORY}</div><div class='related'><p>{LONG[0]}</p></div></body>",
+        f"<body>{MENU}<div class='notice'><h1>A title</h1>{STORY}</div></body>",
+        f"<body><div>{MENU}</div><article><header><h1>A title</h1><p>By Ann</p></header>{STORY}<div class='article-comments'><p>{LONG[0]}</p></div></article></body>",
+    ],
+)
+def test_the_ratio_decides_where_names_do_not_help(monkeypatch, page):
+    assert html_text.extract(page) == "\n".join(["A title", *LONG])
+
+
+def test_without_the_ratio_menus_and_comments_come_in(monkeypatch):
+    page = f"<body>{MENU}<div><h1>A title</h1>{STORY}</div>{COMMENTS}</body>"
+    assert html_text.extract(page) == "\n".join(["A title", *LONG])
+    monkeypatch.setattr(html_text, "threshold", lambda x: 0.0)
+    assert "One Two" in html_text.extract(page) and "reply" in html_text.extract(page)
+
+
+def test_rows_of_links_inside_the_region_go():
+    row = "<ul>" + "".join(f"<li><a href={i}>Other story {i}</a></li>" for i in range(4)) + "</ul>"
+    assert html_text.extract(f"<article><p>{LONG[0]}</p>{row}<p>{LONG[1]} <a href=x>link</a></p><p><a href=y>{LONG[2]}</a></p></article>") == "\n".join([LONG[0], f"{LONG[1]} link", LONG[2]])
+
+
+def test_pages_of_the_table_need_no_names(small):
+    """With the ratio alone, tags of furniture and names unknown, half of the pages of the table give the same text; without it none does."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table(f"{small}/pages.parquet").column("html").to_pylist()
+    names = {"APART": frozenset(("script", "style", "head", "title")), "ROLES": frozenset(), "WORDS": re.compile("(?!)"), "CONTENT": frozenset()}
+    want = [html_text.extract(p) for p in pages]
+    with pytest.MonkeyPatch.context() as m:
+        for k, v in names.items():
+            m.setattr(html_text, k, v)
+        same = sum(html_text.extract(p) == w for p, w in zip(pages, want, strict=True))
+        m.setattr(html_text, "threshold", lambda x: 0.0)
+        plain = sum(html_text.extract(p) == w for p, w in zip(pages, want, strict=True))
+    assert same >= 0.5 * len(pages) and not plain
+
+
+def test_time_is_linear_in_open_elements():
+    import time
+
+    def seconds(n):
+        page = "<b>" * n + "<p>x <i>" * n + "<div><li>" * n
+        began = time.perf_counter()
+        html_text.extract(page)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(100_000) < 40 * max(seconds(10_000), 0.05)
+
+
 def test_page_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (2, None, "", "x"), (3, "w", f"<article>{ARTICLE}</article>", "x"), (3, "w", f"<article>{ARTICLE}</article>", "x"), (4, "v", "no tags", "x"), (5, "v", "<p>" * 3000 + "deep", "x")], "page_id long, url string, html string, text string")
     got = sorted(map(tuple, html_text.extract_pages(pages).select("page_id", "text").collect()))
