@@ -297,8 +297,12 @@ def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def opened(media: bytes) -> tuple[Avi, list[np.ndarray]]:
-    avi = read_avi(media)
-    return avi, [decode_frame(media[at : at + size]) for at, size in avi.frames]
+    """A file's settings and frames; ValueError says what is wrong with a damaged one."""
+    try:
+        avi = read_avi(media)
+        return avi, [decode_frame(media[at : at + size]) for at, size in avi.frames]
+    except (KeyError, IndexError, struct.error, OverflowError, MemoryError, RecursionError) as error:
+        raise ValueError(f"damaged file: {type(error).__name__}") from error
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -325,17 +329,22 @@ def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def clip_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stored files to a row for each clip: doc_id, clip, first_frame, n_frames, start_s, end_s."""
+    """Stored files to a row for each clip: doc_id, clip, first_frame, n_frames, start_s, end_s, error. A missing or damaged file has one
+    row, of which the error alone is set."""
     for batch in batches:
         rows: list[tuple] = []
         for doc, x in zip(batch.column("doc_id").to_pylist(), batch.column("media"), strict=True):
-            avi, frames = opened(x.as_py())
+            try:
+                avi, frames = opened(x.as_py() or b"")
+            except ValueError as error:
+                rows.append((doc, None, None, None, None, None, str(error)))
+                continue
             starts = cuts(frames)
             for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(frames)], strict=True)):
-                rows.append((doc, k, a, b - a, a / avi.rate, b / avi.rate))
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64())
+                rows.append((doc, k, a, b - a, a / avi.rate, b / avi.rate, None))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.string())
         if rows:
-            yield pa.RecordBatch.from_pydict({n: pa.array(v, k) for n, v, k in zip(("doc_id", "clip", "first_frame", "n_frames", "start_s", "end_s"), zip(*rows, strict=True), kinds, strict=True)})
+            yield pa.RecordBatch.from_pydict({n: pa.array(v, k) for n, v, k in zip(("doc_id", "clip", "first_frame", "n_frames", "start_s", "end_s", "error"), zip(*rows, strict=True), kinds, strict=True)})
 
 
 def store(documents: DataFrame) -> DataFrame:
@@ -345,7 +354,7 @@ def store(documents: DataFrame) -> DataFrame:
 
 
 def clips(media: DataFrame) -> DataFrame:
-    return media.select("doc_id", "media").mapInArrow(on_executors("motion_jpeg", "clip_rows"), "doc_id long, clip int, first_frame int, n_frames int, start_s double, end_s double")
+    return media.select("doc_id", "media").mapInArrow(on_executors("motion_jpeg", "clip_rows"), "doc_id long, clip int, first_frame int, n_frames int, start_s double, end_s double, error string")
 
 
 def op6_media_columns(spark, sf_dir: str) -> DataFrame:

@@ -26,6 +26,8 @@ from .runtime import on_executors, table, written
 
 #: Rows that are numbered together.
 GROUP = 2048
+#: Groups of a length at most.
+MOST = 1 << 16
 _encoders: dict[str, object] = {}
 
 
@@ -220,22 +222,24 @@ def places(patterns: list[tuple[Pattern, int]]) -> list[tuple[int, list[tuple[in
 
 
 def numbered(pieces: DataFrame, histogram: dict[int, int]) -> DataFrame:
-    """Adds ``number``, dense from 0 within each length. A length with many pieces is dealt to groups of about GROUP."""
+    """Adds ``number``, dense from 0 within each length. A length with many pieces is dealt by row to groups of about GROUP, to MOST groups
+    at most, so that neither a group nor the list of a length's groups outgrows a task. Needs rid, a number of the row."""
     spark = pieces.sparkSession
-    groups = spark.createDataFrame([(s, -(-n // GROUP)) for s, n in histogram.items()], "length int, groups int")
-    dealt = pieces.join(F.broadcast(groups), "length").withColumn("salt", F.expr("pmod(xxhash64(doc_id, piece, start, ids_crc32), groups)")).drop("groups")
+    groups = spark.createDataFrame([(s, min(-(-n // GROUP), MOST)) for s, n in histogram.items()], "length int, groups int")
+    dealt = pieces.join(F.broadcast(groups), "length").withColumn("salt", F.expr("pmod(xxhash64(rid), groups)")).drop("groups")
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     sizes = dealt.groupBy("length", "salt").agg(F.count("*").alias("n"))
     sizes = sizes.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
-    return dealt.withColumn("own", own).join(sizes, ["length", "salt"]).withColumn("number", F.col("before") + F.col("own") - 1).drop("salt", "own", "before")
+    own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("rid"))
+    return dealt.withColumn("own", own).join(sizes, ["length", "salt"]).withColumn("number", F.col("before") + F.col("own") - 1).drop("salt", "own", "before", "rid")
 
 
 def pack(documents: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """Pieces of all documents with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = written(rows.mapInArrow(on_executors("packing", "token_pieces", tokenizer, end_id, capacity), PIECE), "pieces")
+    pieces = rows.mapInArrow(on_executors("packing", "token_pieces", tokenizer, end_id, capacity), PIECE)
+    pieces = written(pieces.withColumn("rid", F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     schema = "length int, places array<struct<lo: long, hi: long, sequence: long, each: int, offset: int>>"
     at = spark.createDataFrame(places(plan(histogram, capacity)), schema)

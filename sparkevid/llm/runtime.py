@@ -38,20 +38,20 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
-    The driver's garbage is collected now and then, so that shuffle files of finished jobs go."""
+    The driver's garbage is collected before, so that shuffle files of earlier jobs go while this one writes its own: the tables
+    they were made for are written, and their plans are unreachable by now."""
+    global _collected
     spark = df.sparkSession
+    if time.monotonic() - _collected > COLLECT_S:
+        gc.collect()
+        spark._jvm.System.gc()
+        _collected = time.monotonic()
     path = f"{shared_dir(spark)}/sparkevid/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     if not _written:
         atexit.register(_clean)
     _written.append((spark, path))
-    del df
-    global _collected
-    if time.monotonic() - _collected > COLLECT_S:
-        gc.collect()
-        spark._jvm.System.gc()
-        _collected = time.monotonic()
     out = spark.read.schema(schema).parquet(path)
     out.written_to = path
     return out
