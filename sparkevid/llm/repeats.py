@@ -11,14 +11,17 @@ symbols there. Rounds:
 3. Doubling: at offset h = K, 2K, 4K, .. the rank of 2h symbols at a position is that of the pair (rank of h there, rank of h at
    the offset). Spark sorts and counts the new ranks to the right of each anchor and to its left. Where one is unique, no window that
    holds its 2h symbols repeats: the run of window starts is cut, and a context without any left has ended.
-4. Past the threshold: the window starts left are rows of their own, ranked at all L symbols by 128-bit names.
+4. The window starts left are cut into blocks, by their place relative to the anchor. A block whose symbols all occur in another context
+   repeats as a whole; one whose core, which all its windows have, is unique has none that repeats.
+5. Past the threshold: the window starts of the other blocks are rows of their own, ranked at all L symbols by 128-bit names.
 
-Ranks of rounds 1 and 3 are 64 bits long. In round 3 a collision leaves a window to round 4 and changes no result; in round 1 it would have
-to befall all contexts of a rank. Nothing is capped, rows are never paired, and a common rank is counted before it is shuffled.
+Ranks of rounds 1 and 3 and cores are 64 bits long. In rounds 3 and 4 a collision leaves a window to round 5 and changes no result; in
+round 1 it would have to befall all contexts of a rank. Nothing is capped, rows are never paired, and a common rank is counted before it is shuffled.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -205,19 +208,23 @@ def shared_anchors(anchors: DataFrame) -> DataFrame:
     return alive
 
 
-#: The windows of a context, ranked.
+#: Runs of windows that lie in one block of window starts relative to the anchor: the name of the symbols that all windows of the block
+#: have (core), and that of all its symbols, if the run is the whole block (h).
+BLOCKS = "k1 long, k2 long, a int, q0 int, q1 int, weight int, core long, h1 long, h2 long"
+#: The windows of a run, ranked.
 WINDOWS = "ctx long, weight int, w1 array<long>, w2 array<long>"
+_RUN = ("ctx", "a", "q0", "q1", "weight")
 
 
-def window_ranks(batch: pa.RecordBatch, rows: slice, x: Callable[[int, int], np.ndarray], first: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
-    """The windows that ``wanted`` of some rows asks for, ranked. ``x``: symbols of a range; ``first``: where each row's begin.
+def _wanted(batch: pa.RecordBatch, rows: slice, x: Callable[[int, int], np.ndarray], first: np.ndarray, length: int) -> Iterator[tuple]:
+    """The runs that ``wanted`` asks of some rows, in groups: row, ctx, anchor, first and last window start, weight, where symbols begin, symbols.
 
-    The place of the window relative to its anchor is part of the rank. At most about CHUNK symbols are ranked at once."""
+    ``x``: symbols of a range; ``first``: where each row's begin. A group has at most about CHUNK symbols and CHUNK windows."""
     wanted = batch.column("wanted")
     of = wanted.offsets.to_numpy().astype(np.int64)
     of -= of[0]
     part = slice(of[rows.start], of[rows.stop])
-    ctx, a, q0, q1, weight = (wanted.flatten().field(c).to_numpy()[part].astype(np.int64) for c in ("ctx", "a", "q0", "q1", "weight"))
+    ctx, a, q0, q1, weight = (wanted.flatten().field(c).to_numpy()[part].astype(np.int64) for c in _RUN)
     doc = np.repeat(np.arange(rows.start, rows.stop), np.diff(of[rows.start : rows.stop + 1]))
     begin = first[doc - rows.start]
     order = np.argsort(begin + q0, kind="stable")
@@ -225,24 +232,62 @@ def window_ranks(batch: pa.RecordBatch, rows: slice, x: Callable[[int, int], np.
     i = 0
     while i < len(order):
         j = max(i + 1, int(np.searchsorted(start, start[i] + CHUNK, side="right")))
-        j = min(j, i + CHUNK // length + 1)
-        o = order[i:j]
+        o = order[i : min(j, i + CHUNK // length + 1)]
         lo = start[i]
-        symbols = x(lo, int((begin + q1)[o].max()) + length)
-        n = (q1 - q0 + 1)[o]
+        yield doc[o], ctx[o], a[o], q0[o], q1[o], weight[o], begin[o] - lo, x(lo, int((begin + q1)[o].max()) + length)
+        i += len(o)
+
+
+def block_size(length: int, k: int) -> int:
+    """Window starts of a block: as many as there are blocks in a context."""
+    return math.isqrt(length - k + 1)
+
+
+def block_ranks(batch: pa.RecordBatch, rows: slice, x: Callable[[int, int], np.ndarray], first: np.ndarray, length: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The runs that rows want, cut into BLOCKS."""
+    for doc, _, a, q0, q1, weight, begin, symbols in _wanted(batch, rows, x, first, length):
+        low, high = (a - q1) // size, (a - q0) // size
+        n = high - low + 1
+        r = np.repeat(np.arange(len(a)), n)
+        block = low[r] + np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n)
+        least, most = block * size, (block + 1) * size - 1  # places before the anchor
+        s, e = np.maximum(q0[r], a[r] - most), np.minimum(q1[r], a[r] - least)
+        whole = (e - s + 1) == size
+        at = (begin + a)[r]
+        place = H.mix(block.astype(np.uint64) + np.uint64(1))
+        one, two = H.Names(symbols, H.BASES[0]), H.Names(symbols, H.BASES[1])
+        core = one.spans(at - least, at - most + length) ^ place
+        f, t = np.where(whole, at - most, 0), np.where(whole, at - least + length, 0)
+        h1, h2 = one.spans(f, t) ^ place, two.spans(f, t) + place
+        cols = {c: batch.column(c).take(pa.array(doc[r])) for c in ("k1", "k2")} | {c: pa.array(v.astype(np.int32)) for c, v in (("a", a[r]), ("q0", s), ("q1", e), ("weight", weight[r]))}
+        yield pa.RecordBatch.from_pydict(cols | {"core": pa.array(core.view(np.int64))} | {c: pa.array(h.view(np.int64), mask=~whole) for c, h in (("h1", h1), ("h2", h2))})
+
+
+def window_ranks(batch: pa.RecordBatch, rows: slice, x: Callable[[int, int], np.ndarray], first: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
+    """The windows of the runs that rows want. The place of the window relative to its anchor is part of the rank."""
+    for _, ctx, a, q0, q1, weight, begin, symbols in _wanted(batch, rows, x, first, length):
+        n = q1 - q0 + 1
         ends = np.cumsum(n)
-        at = np.repeat(start[i:j] - lo - (ends - n), n) + np.arange(ends[-1])
-        place = H.mix((np.repeat((begin + a)[o] - lo, n) - at + 1).astype(np.uint64))
+        r = np.repeat(np.arange(len(a)), n)
+        at = (begin + q0)[r] + np.arange(len(r)) - (ends - n)[r]
+        place = H.mix(((begin + a)[r] - at + 1).astype(np.uint64))
         w1 = H.Names(symbols, H.BASES[0]).spans(at, at + length) ^ place
         w2 = H.Names(symbols, H.BASES[1]).spans(at, at + length) + place
         lists = pa.array(np.concatenate(([0], ends)).astype(np.int32))
-        cols = {"ctx": pa.array(ctx[o]), "weight": pa.array(weight[o].astype(np.int32))}
+        cols = {"ctx": pa.array(ctx), "weight": pa.array(weight.astype(np.int32))}
         yield pa.RecordBatch.from_pydict(cols | {c: pa.ListArray.from_arrays(lists, pa.array(w.view(np.int64))) for c, w in (("w1", w1), ("w2", w2))})
-        i = j
+
+
+def byte_blocks(batches: Iterator[pa.RecordBatch], length: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Rows with text (binary) and the runs wanted of them to BLOCKS."""
+    for batch in batches:
+        off, data = binary_parts(batch.column("text"))
+        for i, j in doc_ranges(off):
+            yield from block_ranks(batch, slice(i, j), lambda lo, hi, d=data[off[i] : off[j]]: H.BYTES[d[lo:hi]], off[i : j + 1] - off[i], length, size)
 
 
 def byte_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows with text (binary) and the contexts wanted of them to runs of ranked windows."""
+    """Rows with text (binary) and the runs wanted of them to WINDOWS."""
     for batch in batches:
         off, data = binary_parts(batch.column("text"))
         for i, j in doc_ranges(off):
@@ -278,9 +323,9 @@ def _reranked(rows: DataFrame, h: int, k: int, length: int) -> DataFrame:
     return rows
 
 
-def repeated_spans(found: DataFrame, length: int, k: int, windows: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The maximal runs covered by repeated windows (k1, k2, spans). ``found``: written CONTEXT rows, dropped here; ``windows``: WINDOWS of
-    the contexts that rows k1, k2 want."""
+def repeated_spans(found: DataFrame, length: int, k: int, runs: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
+    """The maximal runs covered by repeated windows (k1, k2, spans). ``found``: written CONTEXT rows, dropped here; ``runs``: of the runs
+    that rows k1, k2 want, the BLOCKS, or else the WINDOWS."""
     mixed = found.where("n1 is not null")
     place = F.struct("k1", "k2", "a", "p0", "p1", "right", "left")
     rows = mixed.groupBy(*_KEYS, "f1", "f2").agg(F.count("*").alias("times"), F.min(place).alias("x"))
@@ -297,22 +342,34 @@ def repeated_spans(found: DataFrame, length: int, k: int, windows: Callable[[Dat
         left = _reranked(left, h, k, length)
     sizes = written(left.groupBy(*_KEYS).agg(F.count("*").alias("n"), F.min("weight").alias("least")).where("n >= 2 and least = 1").select(*_KEYS), "sizes")
     wanted = left.select(*_KEYS, "k1", "k2", "a", "q0", "q1", "weight").join(sizes.hint("merge"), _KEYS).drop(*_KEYS)
-    wanted = written(wanted.withColumn("ctx", F.monotonically_increasing_id()), "wanted")
+    wanted = written(wanted.withColumn("ctx", F.lit(0).cast("long")), "wanted")
     dropped(left, sizes)
 
-    ranked = written(windows(wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("ctx", "a", "q0", "q1", "weight")).alias("wanted"))), "windows")
+    asked = lambda df: df.groupBy("k1", "k2").agg(F.collect_list(F.struct(*_RUN)).alias("wanted"))
+    blocks = written(runs(asked(wanted), True), "blocks")
+    whole = blocks.where("h1 is not null").groupBy("h1", "h2").agg(F.sum("weight").alias("times")).where("times >= 2").select("h1", "h2", F.lit(True).alias("repeats"))
+    whole = written(whole, "whole")
+    marked = written(blocks.join(whole.hint("merge"), ["h1", "h2"], "left").drop("h1", "h2"), "marked")
+    dropped(wanted, blocks, whole)
+    is_open = (F.col("weight") == 1) & F.col("repeats").isNull()
+    cores = marked.groupBy("core").agg(F.sum("weight").alias("times"), F.max(is_open).alias("open")).where("times >= 2 and open").select("core")
+    cores = written(cores, "cores")
+    wanted = written(marked.join(cores.hint("merge"), "core", "left_semi").drop("core", "repeats").withColumn("ctx", F.monotonically_increasing_id()), "wanted")
+    repeated = marked.where("repeats and weight = 1").select("k1", "k2", F.col("q0").alias("s"), (F.col("q1") + length).alias("e"))
+
+    ranked = written(runs(asked(wanted), False), "windows")
     each = ranked.select("ctx", "weight", F.posexplode(F.arrays_zip("w1", "w2")).alias("i", "w")).select("ctx", "weight", "i", "w.w1", "w.w2")
     again = written(each.groupBy("w1", "w2").agg(F.sum("weight").alias("times")).where("times >= 2").select("w1", "w2"), "repeated")
     hits = each.where("weight = 1").select("ctx", "i", "w1", "w2").join(again.hint("merge"), ["w1", "w2"], "left_semi")
-    hits = hits.groupBy("ctx").agg(F.sort_array(F.collect_set("i")).alias("hit"))  # of one context, so at most its windows
+    hits = hits.groupBy("ctx").agg(F.sort_array(F.collect_set("i")).alias("hit"))  # of one run, so at most a block
     starts = F.filter("hit", lambda x, i: (i == 0) | (F.get("hit", i - 1) < x - 1))
     ends = F.filter("hit", lambda x, i: (i == F.size("hit") - 1) | (F.get("hit", i + 1) > x + 1))
     hits = hits.select("ctx", F.explode(F.arrays_zip(starts.alias("s"), ends.alias("e"))).alias("r"))
-    found = wanted.join(hits.hint("merge"), "ctx").select("k1", "k2", (F.col("q0") + F.col("r.s")).alias("s"), (F.col("q0") + F.col("r.e") + length).alias("e"))
-    found = written(found, "runs")
-    dropped(wanted, ranked, again)
-    out = written(spans(settled.unionByName(found)), "spans")
-    dropped(settled, found)
+    single = wanted.join(hits.hint("merge"), "ctx").select("k1", "k2", (F.col("q0") + F.col("r.s")).alias("s"), (F.col("q0") + F.col("r.e") + length).alias("e"))
+    single = written(single, "runs")
+    dropped(wanted, ranked, again, cores)
+    out = written(spans(settled.unionByName(repeated).unionByName(single)), "spans")
+    dropped(settled, marked, single)
     return out
 
 

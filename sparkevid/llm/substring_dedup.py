@@ -93,8 +93,17 @@ def word_contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
                 yield from repeats.context_batches(x[lo:hi], a[own] - lo, p0 - lo, p1 - lo, same[own], length, m, k1[row[own] + i], k2[row[own] + i], first[row[own]] - lo)
 
 
+def word_blocks(batches: Iterator[pa.RecordBatch], length: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Rows with text (binary) and the runs wanted of them to repeats.BLOCKS."""
+    for batch in batches:
+        off, data = repeats.binary_parts(batch.column("text"))
+        for i, j in repeats.doc_ranges(off):
+            _, _, _, x, first = batch_words(batch, i, j, off, data)
+            yield from repeats.block_ranks(batch, slice(i, j), lambda lo, hi, x=x: x[lo:hi], first, length, size)
+
+
 def word_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows with text (binary) and the contexts wanted of them to runs of ranked windows."""
+    """Rows with text (binary) and the runs wanted of them to repeats.WINDOWS."""
     for batch in batches:
         off, data = repeats.binary_parts(batch.column("text"))
         for i, j in repeats.doc_ranges(off):
@@ -112,10 +121,13 @@ def repeated_spans(documents: DataFrame, length: int = 35) -> DataFrame:
     found = written(found, "contexts")
     dropped(alive)
 
-    def windows(wanted: DataFrame) -> DataFrame:
-        return rows.join(wanted.hint("merge"), ["k1", "k2"]).mapInArrow(on_executors("substring_dedup", "word_windows", length), repeats.WINDOWS)
+    def runs(wanted: DataFrame, blocks: bool) -> DataFrame:
+        joined = rows.join(wanted.hint("merge"), ["k1", "k2"])
+        if blocks:
+            return joined.mapInArrow(on_executors("substring_dedup", "word_blocks", length, repeats.block_size(length, m)), repeats.BLOCKS)
+        return joined.mapInArrow(on_executors("substring_dedup", "word_windows", length), repeats.WINDOWS)
 
-    return repeats.repeated_spans(found, length, m, windows)
+    return repeats.repeated_spans(found, length, m, runs)
 
 
 def words(text: Column) -> Column:

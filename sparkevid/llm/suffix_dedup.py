@@ -28,11 +28,14 @@ def repeated_spans(documents: DataFrame, length: int = 400) -> DataFrame:
     found = written(rows.join(alive.hint("merge"), ["k1", "k2"]).mapInArrow(on_executors("repeats", "byte_contexts", length, k), repeats.CONTEXT), "contexts")
     dropped(alive)
 
-    def windows(wanted: DataFrame) -> DataFrame:
+    def runs(wanted: DataFrame, blocks: bool) -> DataFrame:
         # A repeated row comes twice, but its contexts have weight 2, and of those a further one changes nothing.
-        return rows.join(wanted.hint("merge"), ["k1", "k2"]).mapInArrow(on_executors("repeats", "byte_windows", length), repeats.WINDOWS)
+        joined = rows.join(wanted.hint("merge"), ["k1", "k2"])
+        if blocks:
+            return joined.mapInArrow(on_executors("repeats", "byte_blocks", length, repeats.block_size(length, k)), repeats.BLOCKS)
+        return joined.mapInArrow(on_executors("repeats", "byte_windows", length), repeats.WINDOWS)
 
-    return repeats.repeated_spans(found, length, k, windows)
+    return repeats.repeated_spans(found, length, k, runs)
 
 
 def _joined(text: Column, ranges: Column) -> Column:
