@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .rules import let
+
 #: Words that retrieval ignores.
 STOPWORDS = "the a an and or but of to in on for with at by from as is was are were be been what when where why how did does do".split()
 #: Further words that sentence scoring ignores.
@@ -193,7 +195,15 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def any_substring(t: Column, marks: list[str] | tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for m in marks:
-        out = out | F.contains(F.lower(t), F.lit(m))
-    return out
+    """Whether the lower-case text holds one of the marks; it is lowered once, and the marks are one literal."""
+    return let(F.lower(t), lambda low: F.exists(F.array(*map(F.lit, marks)), lambda m: F.contains(low, m))) if marks else F.lit(False)
+
+
+def count_substrings(t: Column, marks: list[str] | tuple[str, ...]) -> Column:
+    return let(F.lower(t), lambda low: F.size(F.filter(F.array(*map(F.lit, marks)), lambda m: F.contains(low, m))))
+
+
+def mark_points(low: Column, marks: tuple[tuple[str, float], ...]) -> Column:
+    """Sum of the points of the marks that a lower-case text holds."""
+    table = F.array(*(F.struct(F.lit(m).alias("m"), F.lit(float(w)).alias("w")) for m, w in marks))
+    return F.aggregate(table, F.lit(0.0), lambda total, x: total + F.when(F.contains(low, x["m"]), x["w"]).otherwise(0.0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -16,7 +16,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(F.lit(0.0))
 
 
-def min_max(v: Column, within: WindowSpec) -> Column:
-    """Scaled to 0..1 within a group; all 0 where the group has one value."""
-    low, high = F.min(v).over(within), F.max(v).over(within)
+def scaled(v: Column, low: Column, high: Column) -> Column:
+    """Scaled to 0..1 between a group's bounds; 0 where the group has one value."""
     return F.when(high > low, (v - low) / (high - low)).otherwise(F.lit(0.0))

@@ -26,17 +26,30 @@ MINING = (
     ("location", r"(?i)^(.{2,100}?) is located in ([A-Z][A-Za-z0-9' .-]{1,80})(?:[.;]|$)", "Where is {s} located?"),
     ("named_after", r"(?i)^(.{2,100}?) was named after (.{2,100}?)(?:[.;]|$)", "Who or what was {s} named after?"),
 )
+#: Reasons, the types that are kept, and words that make a subject vague.
 REASONS = (("because", r"(?i)^(.{5,160}?) because ([^.;]{8,220})"), ("due_to", r"(?i)^(.{5,160}?) (?:was |were )?due to ([^.;]{8,220})"), ("result_of", r"(?i)^(.{5,160}?) as a result of ([^.;]{8,220})"), ("caused_by", r"(?i)^(.{5,160}?) was caused by ([^.;]{8,220})"))
 ALLOWED = ("born_year", "born_date", "founded_year", "established_year", "release_year", "published_year", "named_after")
 VAGUE = "he she it they their his her this that these those there which who previously following lying".split()
 CAP = 20_000
+#: Most words of an answer, by type.
+LONGEST = {"location": 10, "capital": 12}
+#: The five types of instructions of the third form.
+INSTRUCTIONS = (
+    MINING[0],
+    MINING[1],
+    MINING[2],
+    ("founded_year", MINING[3][1], MINING[3][2]),
+    MINING[8],
+    MINING[4],
+)
+LEAST_LINE = 30
 
 
 def _trimmed(t: Column) -> Column:
     return F.regexp_replace(t, r"^[ ,.;:-]+|[ ,.;:-]+$", "")
 
 
-def mined(sentence: Column) -> Column:
+def mined(sentence: Column, rules: tuple = MINING) -> Column:
     """struct(type, question, answer) of the first pattern with a valid subject and answer, or null; 25 to 400 characters."""
 
     def tried(x: Column, *, kind: str, question: str) -> Column:
@@ -44,16 +57,16 @@ def mined(sentence: Column) -> Column:
         words = T.space_words(subject)
         valid = F.length(subject).between(2, 120) & F.size(words).between(1, 14) & F.length(answer).between(1, 120)
         valid = valid & ~F.exists(words, lambda w: F.regexp_replace(F.lower(w), "[ ,.;:]+", "").isin(VAGUE)) & (F.length(subject) - F.length(F.replace(subject, F.lit(","), F.lit(""))) <= 1)
-        valid = valid & (F.size(T.space_words(answer)) <= 10) if kind == "location" else valid & (F.length(answer) <= 30) if kind == "population" else valid
+        valid = valid & (F.size(T.space_words(answer)) <= LONGEST[kind]) if kind in LONGEST else valid & (F.length(answer) <= 30) if kind == "population" else valid
         head, tail = question.split("{s}")
         return F.when(valid, F.struct(F.lit(kind).alias("type"), F.concat(F.lit(head), subject, F.lit(tail)).alias("question"), answer.alias("answer")))
 
-    def rules(s: Column) -> Column:
+    def first(s: Column) -> Column:
         parts = lambda p: F.struct(_trimmed(F.regexp_extract(s, p, 1)).alias("subject"), _trimmed(F.regexp_extract(s, p, 2)).alias("answer"))
-        found = [R.let(parts(p), partial(tried, kind=kind, question=question)) for kind, p, question in MINING]
+        found = [R.let(parts(p), partial(tried, kind=kind, question=question)) for kind, p, question in rules]
         return F.when(F.length(s).between(25, 400), F.coalesce(*found))
 
-    return R.let(F.trim(sentence), rules)
+    return R.let(F.trim(sentence), first)
 
 
 def reasons(sentence: Column) -> Column:
@@ -104,6 +117,37 @@ def instructions(texts: DataFrame, key: str, times: int = 3) -> DataFrame:
     return i.select(key, "i", F.lit("Continue or explain this passage.").alias("instruction"), F.get("s", pick).alias("response"))
 
 
+def result_prompt(context: Column, question: Column) -> Column:
+    return F.concat(F.lit("<RESULT>\n"), context, F.lit("\n\n<ANSWER>\nQuestion: "), question, F.lit("\nAnswer:"))
+
+
+def instruction_question(sentence: Column) -> Column:
+    """"What is <subject>?" or "What was <subject>?" for a subject of 3 to 12 words before the first " is " or " was ", else a question
+    about the first five words of five letters or more."""
+    subject = lambda verb: F.trim(F.split(sentence, f" {verb} ", 2)[0])
+    asked = lambda verb: F.when(F.contains(F.lower(sentence), F.lit(f" {verb} ")) & F.size(T.space_words(subject(verb))).between(3, 12), F.concat(F.lit(f"What {verb} "), subject(verb), F.lit("?")))
+    useful = F.slice(F.filter(T.training_tokens(sentence), lambda w: F.length(w) >= 5), 1, 5)
+    topic = F.when(F.size(useful) > 0, F.array_join(useful, " ")).otherwise("this topic")
+    return F.coalesce(asked("is"), asked("was"), F.concat(F.lit("According to the context, what information is given about "), topic, F.lit("?")))
+
+
+def evidence_instructions(texts: DataFrame, key: str, times: int | None = 3) -> DataFrame:
+    """The second form: key, i, prompt and answer of ``times`` sentences of each text, picked as in ``instructions``, or of every sentence."""
+    s = texts.select(key, "text", T.sentences(F.col("text")).alias("s")).where(F.size("s") > 0)
+    if times is None:
+        s = s.select(key, "text", F.posexplode("s").alias("i", "answer"))
+    else:
+        pick = F.pmod(F.xxhash64(key, "i"), F.size("s").cast("long")).cast("int")
+        s = s.select(key, "text", "s", F.explode(F.sequence(F.lit(1), F.lit(times))).alias("i")).select(key, "text", "i", F.get("s", pick).alias("answer"))
+    return s.select(key, "i", result_prompt(F.col("text"), instruction_question(F.col("answer"))).alias("prompt"), "answer")
+
+
+def mined_instructions(lines: DataFrame, key: str) -> DataFrame:
+    """The third form: examples of five types from lines of 30 characters or more, the first of each question and answer, with prompts."""
+    e = examples(lines.where(F.length("text") >= LEAST_LINE), key, partial(mined, rules=INSTRUCTIONS))
+    return first_examples(e, key).withColumn("prompt", result_prompt(F.col("context"), F.col("question")))
+
+
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """A fixed order that has nothing to do with the rows' own."""
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)

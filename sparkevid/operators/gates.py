@@ -5,21 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import rules as R
 from ..functions import text as T
 
 #: Substrings that show an intent in a sentence.
 INTENT_MARKS = {
-    "entity_list": ("leader", "member", "politician", "revolutionary", "government", "convention"),
-    "structure": ("structure", "organi", "consist", "divided", "component", "part", "hierarchy", "subunit", "sub-unit", "legion", "cohort", "centur", "double helix", "strand", "nucleotide", "backbone", "complementary"),
-    "process": ("process", "uses", "produces", "splits", "converts", "transforms", "absorbs", "releases", "energy", "stage", "cycle"),
+    "entity_list": ("leader", "leaders", "member", "members", "politician", "revolutionary", "jacobin", "government", "convention"),
+    "structure": ("structure", "organized", "organisation", "organization", "consists", "consisted", "divided", "component", "components", "part", "parts", "hierarchy", "sub-unit", "subunit", "legion", "cohort", "century", "centuries", "double helix", "strand", "strands", "nucleotide", "nucleotides", "backbone", "complementary"),
+    "process": ("process", "uses", "produces", "splits", "converts", "transforms", "absorbs", "releases", "energy", "stage", "stages", "cycle"),
     "significance": ("important", "significant", "impact", "influence", "limited", "power", "authority", "rights", "law", "legal", "constitutional", "changed", "transformed"),
-    "cause": ("because", "due to", "caused by", "fell after", "collapsed after", "overrun", "defeat", "revolt", "invasion", "pressure", "decline"),
+    "cause": ("because", "due to", "caused by", "fell after", "collapsed after", "overrun", "defeat", "defeated", "revolt", "invasion", "pressure", "decline", "declined"),
     "effect": ("resulted", "led to", "after", "following", "lost", "became", "came under", "no longer", "fragmented", "divided", "replaced", "kingdoms"),
     "change": ("transitioned", "became", "changed", "developed", "evolved", "expanded", "declined", "lost", "moved", "came under"),
-    "features": ("feature", "institution", "government", "branch", "constitution", "system", "organized", "structure"),
+    "features": ("feature", "features", "institution", "government", "branch", "constitution", "system", "organized", "structure"),
 }
+#: For some subjects of structure questions, groups of words of which the evidence must have so many.
+TOPICS = (
+    ("structure", "contains", "roman army", ((2, ("legion", "cohort", "century", "centuries")),)),
+    ("structure", "equals", "dna", ((1, ("double helix", "double-stranded", "two strands", "two chains")), (1, ("adenine", "thymine", "guanine", "cytosine", "base pairing", "nucleotide")))),
+)
 #: Words that do not trace an answer to a source.
 UNTRACED = "about after again also around because been being between both could does each from has have into more most other over same some such than that their there these they this those through under were which while with would your what when where who why how answer following several important ways main was are and the for not but its all can is to of in on at be as by or".split()
+#: Opposite actions, attributes, and how numbers, identifiers and directives are written.
 OPPOSITES = {"open": "close", "start": "stop", "enable": "disable", "connect": "disconnect", "install": "remove", "increase": "decrease", "raise": "lower", "attach": "detach"}
 ATTRIBUTES = "amount date duration identifier limit number period pressure price quantity revision serial temperature time value version voltage warranty year".split()
 IDENTIFIER_ATTRIBUTES = "asset document identifier installed model revision serial terminal unit version".split()
@@ -35,12 +42,18 @@ RELATION_STATED = (("born", r"\bwas born (?:on|in)\b"), ("founded", r"\bwas foun
 CAUSE_STATED = r"\bbecause\b|\bdue to\b|\bas a result of\b|\bwas caused by\b|\bfell after\b"
 
 
+def marks_of(intent: Column, table: dict[str, tuple[str, ...]]) -> Column:
+    """The marks of a row's intent as an array; empty for other intents."""
+    out = F.array().cast("array<string>")
+    for name, marks in table.items():
+        out = F.when(intent == name, F.array(*map(F.lit, marks))).otherwise(out)
+    return out
+
+
 def intent_supported(sentence: Column, intent: Column) -> Column:
     """A mark of the intent occurs; general and comparison need none."""
-    out = intent.isin("general", "comparison")
-    for name, marks in INTENT_MARKS.items():
-        out = out | ((intent == name) & T.any_substring(sentence, marks))
-    return out
+    parts = F.struct(F.lower(sentence).alias("low"), marks_of(intent, INTENT_MARKS).alias("marks"))
+    return intent.isin("general", "comparison") | R.let(parts, lambda x: F.exists(x["marks"], lambda m: F.contains(x["low"], m)))
 
 
 def sufficient(merged: Column, selected: Column, with_subject: Column, with_intent: Column, intent: Column) -> Column:
@@ -48,6 +61,26 @@ def sufficient(merged: Column, selected: Column, with_subject: Column, with_inte
     return (merged >= 2) & (selected >= 2) & (with_subject >= 1) & (intent.isin("general", "comparison") | (with_intent >= 1))
 
 
+#: Words by which a sentence states a relation.
+RELATION_MARKS = {
+    "cause": ("cause", "led to", "lead to", "because of"), "create": ("creat", "produc", "generat", "form", "establish"), "limit": ("limit", "restrict", "constrain"), "function_as": ("functioned as", "functions as", "acted as", "acts as", "served as", "serves as"),
+    "operate_as": ("operated as", "operates as"), "structure_as": ("structured as", "structure as", "organized as", "organised as", "structure of"), "describe_as": (" as ",), "govern": ("govern",), "organize": ("organiz", "organis"), "replicate": ("replicat",),
+    "separate": ("separat",), "overthrow": ("overthrow", "overthrew"), "sign": ("sign",), "invent": ("invent", "discover", "develop"), "perform": ("perform",), "split": ("split", "divid"),
+}
+
+
+def topic_covered(intent: Column, subject: Column, text: Column) -> Column:
+    """Whether the evidence has what its topic needs; other topics need nothing."""
+    out = F.lit(True)
+    for name, how, topic, groups in TOPICS:
+        own = (intent == name) & (F.contains(F.lower(subject), F.lit(topic)) if how == "contains" else F.lower(subject) == topic)
+        enough = F.lit(True)
+        for least, words in groups:
+            enough = enough & (T.count_substrings(text, words) >= least)
+        out = F.when(own, enough).otherwise(out)
+    return out
+
+
 def side_sufficient(merged: Column, sentences: Column) -> Column:
     return (merged >= 3) & (sentences >= 2)
 

@@ -49,16 +49,20 @@ def keyphrases(texts: DataFrame, key: str, k: int = 8, text: str = "text") -> Da
 
 
 def negative_samples(texts: DataFrame, key: str) -> DataFrame:
-    """key, negative: another text for each, by a shift in hash order within hash buckets, the last of a bucket taking the first.
+    """key, negative: for each key another one, by a shift in hash order within hash buckets, the last of a bucket taking the first.
 
-    A bucket is one task's; their number follows the count of rows, so none grows with the table."""
+    Equal keys are one. A bucket is one task's; their number follows the count of keys, so none grows with the table. A key that is
+    alone in its bucket takes the least or the second key of the table; a table of one key has no negatives."""
     from pyspark.sql import Window
 
+    keys = texts.select(key).where(F.col(key).isNotNull()).distinct()
     n = texts.count()
     buckets = max(1, n // 50_000)
-    h = F.xxhash64(key)
-    rows = texts.select(F.col(key), F.pmod(F.xxhash64(F.col(key), F.lit("bucket")), F.lit(buckets)).alias("b"), h.alias("h"))
+    rows = keys.select(key, F.pmod(F.xxhash64(F.col(key), F.lit("bucket")), F.lit(buckets)).alias("b"), F.xxhash64(key).alias("h"))
     by = Window.partitionBy("b").orderBy("h", key)
     whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     nxt = F.coalesce(F.lead(key).over(by), F.first(key).over(whole))
-    return rows.select(key, nxt.alias("negative")).where(F.col(key) != F.col("negative"))
+    ends = keys.agg(F.array_sort(F.array_distinct(F.array(F.min(key), F.max(key)))).alias("ends"))
+    rows = rows.select(key, nxt.alias("negative")).join(F.broadcast(ends))  # one row
+    other = F.get(F.array_except("ends", F.array(key)), F.lit(0))
+    return rows.select(key, F.when(F.col(key) == F.col("negative"), other).otherwise(F.col("negative")).alias("negative")).where("negative is not null")

@@ -10,7 +10,7 @@ from ..functions import text as T
 
 #: Intents in the order in which they are tried, and the phrases that show them (lower case).
 INTENTS = (
-    ("comparison", r"\bcompare\b|\bdifferences? between\b|\bversus\b|\bvs\b|\bwhat (?:separates|distinguishes|differentiates) .+ from .+|\bwhat differs between .+ and .+|\b(?:how|in what ways) (?:is|are) .+ different\b.*|\bhow (?:do|does) .+ differ from .+|\b(?:how|in what ways) (?:do|does) .+ and .+ differ\b|\bdescribe how .+ differs from\b"),
+    ("comparison", r"\bcompare\b|\bdifferences? between\b|\bversus\b|\bvs\b|\bwhat (?:separates|distinguishes|differentiates) .+ from .+|\bwhat differs between .+ and .+|\b(?:how|in what ways) (?:is|are) .+ different\b.*|\bhow (?:do|does) .+ differ from .+|\b(?:how|in what ways) (?:do|does) .+ and .+ differ\b|\b(?:describe|explain) how .+ (?:differs|is different) from\b|\bhow do .+ and .+ compare\b|\bhow does .+ compare (?:with|to)\b"),
     ("significance", r"\b(?:significance|importance) of\b|\bhistorical (?:importance|significance)\b|\bwhy (?:was|is) .+ important\b|\bwhy has .+ been considered important\b|\bwhy (?:does|did) .+ matter\b|\bwhat (?:impact )?made .+ significant\b|\bwhat (?:was|is) (?:historically )?(?:important|significant) about\b|\bhow (?:was|is) .+ historically significant\b"),
     ("effect", r"\b(?:effects?|consequences?) of\b|\bimpact of\b|\bresulted from\b|\bwhat happened after\b|\bwhat followed\b|\bwhat came after\b|\b(?:changes|developments|consequences) followed\b|\bwhat (?:was|is) one result of\b|\bwhat (?:were the results|was the result) of\b|\bas a result of\b|\bhow did (?:conditions|things|life) change after\b"),
     ("change", r"\bchanges? over time\b|\bhow did .+ (?:change|transform|develop|evolve)\b|\bhow has .+ changed\b|\bhow was .+ different later\b|\bdescribe how .+ changed\b|\bdescribe the changes in\b|\bin what ways did .+ change\b|\bdevelop over\b|\bdevelopment of\b|\bevolution of\b|\btransition over time\b|\bwhat changes occurred in\b|\bwhat developments changed\b"),
@@ -20,21 +20,115 @@ INTENTS = (
     ("process", r"\bhow .+ (?:works?|operates?)\b|\bhow do .+ perform\b|\bwhat happens (?:during|when)\b|\bwhat occurs in\b|\bwhat does .+ do\b|\b(?:process|mechanism|stages|steps) of\b|\bmain steps involved in\b|\bhow is .+ converted during\b|\bhow does .+ convert\b|\bexplain how\b"),
     ("cause", r"^why\b|^explain why\b|^what (?:caused|made|led|drove|contributed|brought about|was behind)\b|^which factors led\b|^what factors (?:contributed|caused)\b|^for what reasons\b|^what were the reasons\b|^how did .+ come to decline\b"),
 )
-#: Subject patterns by intent; the first that matches gives group 1.
+#: Subject patterns of a whole question by intent; the first that matches gives group 1. Without a match the whole question is the subject.
 SUBJECTS = {
-    "significance": (r"(?i)(?:significance|importance) of (.+)$", r"(?i)^why (?:was|is) (.+) important", r"(?i)^why (?:does|did) (.+) matter", r"(?i)^what made (.+) significant", r"(?i)(?:important|significant) about (.+)$"),
-    "effect": (r"(?i)(?:effects?|consequences?|impact|results?) of (.+)$", r"(?i)(?:happened|came|change) after (.+)$", r"(?i)resulted from (.+)$", r"(?i)followed (.+)$"),
-    "change": (r"(?i)^how did (.+) (?:change|transform|develop|evolve)", r"(?i)^how has (.+) changed", r"(?i)describe how (.+) changed", r"(?i)(?:changes in|development of|evolution of|occurred in) (.+)$"),
-    "features": (r"(?i)(?:features|characteristics) of (.+)$", r"(?i)what (?:characterized|characterizes|defined|defines) (.+)$", r"(?i)(?:features|characteristics) did (.+) have"),
-    "structure": (r"(?i)(?:structure|components|parts|hierarchy|organi[sz]ation) of (.+)$", r"(?i)^how (?:is|are|was|were) (.+) (?:structured|organi[sz]ed|arranged|divided)", r"(?i)(?:makes?|made) up (.+)$", r"(?i)^what (?:is|are) (.+) made of"),
-    "entity_list": (r"(?i)(?:leaders|figures|people) (?:of|from|in) (.+)$",),
-    "process": (r"(?i)how (?:do|does|did) (.+) (?:works?|operates?|perform)", r"(?i)(?:process|mechanism|stages|steps) of (.+)$", r"(?i)what happens (?:during|when) (.+)$", r"(?i)what occurs in (.+)$", r"(?i)what does (.+) do", r"(?i)explain how (.+?)(?: works?| operates?)?$"),
-    "cause": (r"(?i)^(?:explain )?why (?:did|does|do|was|were|is|are) (.+) (?:fall|decline|collapse|end|fail|rise|grow|change)", r"(?i)^what (?:caused|made|led|drove) (.+) to ", r"(?i)^what (?:caused|brought about|contributed to|led to|was behind) (.+)$", r"(?i)^why (?:did|was|is|were|are) (.+)$"),
-}
+    "entity_list": (
+        r"(?i)^who were (?:the )?(?:main|major|key|important|notable|major political) (?:leaders|figures|people) (?:of|in|from) (.+)$",
+        r"(?i)^which (?:people were important|leaders were prominent) in (.+)$",
+        r"(?i)^who played major roles in (.+)$",
+        r"(?i)^(?:name|list|identify) (?:the )?(?:important|key|main) (?:leaders|figures|people) (?:of|in|from) (.+)$",
+    ),
+    "structure": (
+        r"(?i)^(?:explain|describe) the (?:internal |molecular )?structure of (.+)$",
+        r"(?i)^what (?:is|was|are|were) the (?:structure|hierarchy|parts|components) of (.+)$",
+        r"(?i)^what does the structure of (.+) consist of$",
+        r"(?i)^how are the parts of (.+) arranged$",
+        r"(?i)^(?:how|in what way) (?:is|are|was|were) (.+?) (?:organi[sz]ed|structured|divided)(?: into units)?$",
+        r"(?i)^what (?:components form|makes up|units made up|units form|units formed) (.+)$",
+        r"(?i)^what (?:is|are) (.+) made of$",
+    ),
+    "process": (
+        r"(?i)^(?:explain|describe) how (.+) works$",
+        r"(?i)^how (?:exactly )?does (.+) (?:work|operate)$",
+        r"(?i)^how (.+) operates$",
+        r"(?i)^what happens during (.+)$",
+        r"(?i)^what happens when (.+) takes place$",
+        r"(?i)^(?:explain )?what occurs in (.+)$",
+        r"(?i)^what does (.+) do$",
+        r"(?i)^how do plants perform (.+)$",
+        r"(?i)^(?:what is|explain) the process of (.+)$",
+        r"(?i)^describe the (?:mechanism|basic operation) of (.+)$",
+        r"(?i)^what are the (?:stages|steps) of (.+)$",
+        r"(?i)^what are the main steps involved in (.+)$",
+        r"(?i)^explain the main process involved in (.+)$",
+        r"(?i)^how is energy converted during (.+)$",
+        r"(?i)^how does (.+?) convert .+$",
+    ),
+    "features": (
+        r"(?i)^what (?:are|were) (?:the )?(?:main |defining |key )?(?:features|characteristics) of (.+)$",
+        r"(?i)^describe (?:the )?(?:main features|characteristics|important institutions) of (.+)$",
+        r"(?i)^what (?:features |institutions )?(?:characterized|characterizes|defined|defines) (.+)$",
+        r"(?i)^what political features did (.+) have$",
+    ),
+    "significance": (
+        r"(?i)^what (?:is|was) the (?:significance|importance) of (.+)$",
+        r"(?i)^why (?:was|is) (.+) important$",
+        r"(?i)^why has (.+) been considered important$",
+        r"(?i)^why does (.+?) matter(?: historically)?$",
+        r"(?i)^what (?:impact )?made (.+) significant$",
+        r"(?i)^what (?:was|is) (?:historically )?important about (.+)$",
+        r"(?i)^what (?:was|is) historically significant about (.+)$",
+        r"(?i)^how (?:was|is) (.+) historically significant$",
+        r"(?i)^(?:explain the significance|describe the historical importance) of (.+)$",
+    ),
+    "cause": (
+        r"(?i)^explain why (.+) declined$",
+        r"(?i)^why was (.+) declining$",
+        r"(?i)^why did (.+) (?:decline|weaken|lose strength|collapse|fall)$",
+        r"(?i)^what (?:factors )?caused (.+) to (?:decline|weaken|collapse|fall)$",
+        r"(?i)^what made (.+?) (?:eventually )?decline$",
+        r"(?i)^what (?:led to|brought about|was behind) the decline of (.+)$",
+        r"(?i)^what contributed to the weakening of (.+)$",
+        r"(?i)^(?:what factors contributed to|what were the reasons for|which factors led to) (.+?)(?:'s)? decline$",
+        r"(?i)^for what reasons did (.+) decline$",
+        r"(?i)^how did (.+) come to decline$",
+        r"(?i)^what drove (.+) into decline$",
+        r"(?i)^what caused (.+)$",
+    ),
+    "effect": (
+        r"(?i)^what (?:were|are|was|is) the effects of (.+?) on .+$",
+        r"(?i)^what were the (?:effects|consequences) of (.+)$",
+        r"(?i)^what was the (?:effect|consequence|impact) of (.+)$",
+        r"(?i)^what (?:happened after|resulted from|came after|happened as a result of) (.+)$",
+        r"(?i)^what (?:changes |developments |consequences )?followed (.+)$",
+        r"(?i)^(?:describe the consequences|explain the effects) of (.+)$",
+        r"(?i)^how did (?:conditions|things|life) change after (.+)$",
+        r"(?i)^what was one result of (.+)$",
+    ),
+    "change": (
+        r"(?i)^how did (.+?)(?:'s|’s) (?:decline|fall|collapse|weakening) (?:affect|influenced?|impact|shaped?|transform) .+$",
+        r"(?i)^how did (.+?) (?:affect|influenced?|impact|shaped?|transform) (?:the )?(?:development|evolution|emergence) of .+$",
+        r"(?i)^how did (.+?) change(?: over time)?$",
+        r"(?i)^how did (.+) (?:transform|transition) over time$",
+        r"(?i)^how has (.+) changed$",
+        r"(?i)^describe how (.+) changed$",
+        r"(?i)^explain how (.+) changed over time$",
+        r"(?i)^describe the changes in (.+) over time$",
+        r"(?i)^in what ways did (.+) change$",
+        r"(?i)^how did (.+?) develop(?: over (?:the )?centuries)?$",
+        r"(?i)^how did (.+?) evolve(?: through history)?$",
+        r"(?i)^describe the historical development of (.+)$",
+        r"(?i)^what changes occurred in (.+) over time$",
+        r"(?i)^what developments changed (.+)$",
+        r"(?i)^how was (.+) different later in its history$",
+    ),
+}
+#: Both sides of a comparison; the first "and", "with" or "to" parts them.
 PAIRS = (
-    r"(?i)differences? between (.+) and (.+)$", r"(?i)compare (.+) (?:and|with|to) (.+)$", r"(?i)what (?:separates|distinguishes|differentiates) (.+) from (.+)$", r"(?i)^how (?:is|are) (.+) different from (.+)$",
-    r"(?i)^how (?:do|does) (.+) differ from (.+)$", r"(?i)^how (?:do|does) (.+) and (.+) differ", r"(?i)describe how (.+) differs from (.+)$", r"(?i)^(?:.*: )?(.+) (?:versus|vs\.?) (.+)$",
-)
+    r"(?i)^(?:what (?:are|is) the |explain the |describe the )?(?:main |key )?differences? between (.+?) and (.+)$",
+    r"(?i)^compare (.+?) (?:and|with|to) (.+)$",
+    r"(?i)^how does (.+?) compare (?:with|to) (.+)$",
+    r"(?i)^how do (.+?) and (.+) compare$",
+    r"(?i)^what (?:separates|distinguishes|differentiates) (.+?) from (.+)$",
+    r"(?i)^how (?:is|are) (.+?) different from (.+)$",
+    r"(?i)^how are (.+?) and (.+) different$",
+    r"(?i)^how (?:do|does) (.+?) differ from (.+)$",
+    r"(?i)^how (?:do|does) (.+?) and (.+) differ$",
+    r"(?i)^(?:describe|explain) how (.+?) (?:differs|is different) from (.+)$",
+    r"(?i)^in what ways (?:are|do) (.+?) and (.+?) (?:different|differ)$",
+    r"(?i)^what differs between (.+?) and (.+)$",
+    r"(?i)^(.+?) (?:versus|vs\.?) (.+)$",
+)
 CANONICAL = {
     "comparison": "What are the differences between {left} and {right}?",
     "cause": "Why did {subject} decline?",
@@ -46,38 +140,81 @@ CANONICAL = {
     "significance": "What is the significance of {subject}?",
     "entity_list": "Who were the key figures of {subject}?",
 }
-#: Expansion: intent, place, whether it belongs to the primary queries, template.
-EXPANSIONS = (
-    ("cause", 3, True, "{subject} because"), ("cause", 4, True, "{subject} decline causes"), ("cause", 5, False, "{subject} fell after"), ("cause", 6, False, "{subject} due to"),
-    ("effect", 3, True, "{subject} resulted in"), ("effect", 4, True, "after {subject}"), ("effect", 5, False, "{subject} consequences"), ("effect", 6, False, "{subject} led to"),
-    ("change", 3, True, "{subject} became"), ("change", 4, True, "{subject} changed"), ("change", 5, False, "{subject} developed"),
-    ("structure", 3, True, "{subject} consists of"), ("structure", 4, True, "{subject} divided into"), ("structure", 5, False, "{subject} components"),
-    ("process", 3, True, "{subject} process"), ("process", 4, True, "{subject} stages"), ("process", 5, False, "{subject} converts"),
-    ("features", 3, True, "{subject} institutions"), ("features", 4, False, "{subject} system"),
-    ("significance", 3, True, "{subject} impact"), ("significance", 4, True, "{subject} influence"), ("significance", 5, False, "{subject} rights law"),
-    ("entity_list", 3, True, "{subject} leaders"), ("entity_list", 4, False, "{subject} members"),
-    ("comparison", 3, True, "{left}"), ("comparison", 4, True, "{right}"),
-)
+#: Expansion by intent in order, and those of them that are asked first, whatever the evidence.
+EXPANSIONS = {
+    "entity_list": ("{subject} leaders", "{subject} key figures", "{subject} political leaders", "{subject} important people", "{subject} notable figures", "{subject} major figures"),
+    "structure": ("{subject} structure", "{subject} organization", "{subject} components", "{subject} parts", "{subject} hierarchy", "what {subject} consists of"),
+    "process": ("{subject} process", "{subject} mechanism", "{subject} stages", "how {subject} works", "{subject} operation"),
+    "features": ("{subject} main features", "{subject} features", "{subject} characteristics", "{subject} institutions", "{subject} structure government system"),
+    "significance": ("{subject} significance", "{subject} importance", "{subject} impact influence", "{subject} historical importance", "{subject} historical significance"),
+    "cause": ("{subject} causes", "{subject} reasons", "{subject} decline causes", "{subject} caused by", "reasons for {subject} decline", "factors behind {subject} decline"),
+    "effect": ("{subject} effects", "{subject} consequences", "{subject} aftermath", "{subject} impact", "what happened after {subject}", "results of {subject}"),
+    "change": ("{subject} change over time", "{subject} development", "{subject} evolution", "{subject} transition", "history of {subject} changes"),
+    "comparison": ("{left} characteristics", "{right} characteristics", "{left} {right} differences", "{left} versus {right}", "difference between {left} and {right}"),
+}
+PRIMARY = {
+    "entity_list": ("{subject} key figures", "{subject} leaders"),
+    "structure": ("{subject} structure", "{subject} organization"),
+    "process": ("{subject} process", "{subject} mechanism"),
+    "features": ("{subject} main features", "{subject} characteristics"),
+    "significance": ("{subject} significance", "{subject} importance"),
+    "cause": ("{subject} decline causes", "{subject} caused by"),
+    "effect": ("{subject} effects", "{subject} consequences"),
+    "change": ("{subject} change over time", "{subject} development"),
+    "comparison": ("{left} characteristics", "{right} characteristics", "{left} {right} differences"),
+}
+#: (intent, place, whether it is asked first, template) of all expansions; places 1 and 2 are the question and its canonical form.
+TEMPLATES = tuple((name, i, text in PRIMARY[name], text) for name, texts in EXPANSIONS.items() for i, text in enumerate(texts, 3))
+_DECLINE = "decline|collapse|rise|change|grow|expand|weaken|fail"
 ANALYTICAL = (
-    r"\bwhy did .+ (?:decline|collapse|rise|change|grow|expand|weaken|fail)\b", r"\bwhat caused .+ to (?:decline|collapse|rise|change|grow|expand|weaken|fail)\b", r"\bwhy (?:was|is) .+ important\b",
-    r"\bwhat (?:is|was) the (?:significance|importance) of\b", r"\bexplain (?:why|how)\b", r"\bcompare\b", r"\bcontrast\b", r"\bwhat (?:is|are) the differences? between\b", r"\bhow are .+ different\b", r"\bhow (?:did|does) .+", r"\bdescribe how .+",
+    rf"\bwhy did .+ (?:{_DECLINE})\b", rf"\bwhat caused .+ to (?:{_DECLINE})\b", r"\bwhy (?:was|is) .+ important\b", r"\bwhat (?:is|was) the (?:significance|importance) of\b", r"\bexplain (?:why|how)\b",
+    r"\bcompare\b", r"\bcontrast\b", r"\bwhat (?:is|are) the differences? between\b", r"\bhow are .+ different\b", r"\bhow (?:did|does) .+", r"\bdescribe how .+",
 )
 EXTRACTIVE = (
-    r"\bwhy did .+ (?:fall|end)\b", r"\bwhen (?:was|is) .+ born\b", r"\bwhen was .+ (?:founded|established|released|published)\b", r"\bwhen (?:was|did) .+ open(?:ed)?\b", r"\bwh(?:o|at|o or what) was .+ named after\b",
-    r"\bwhere is .+ located\b", r"\bwhat is (?:.+ )?the capital of\b", r"\bwhat is the population of\b", r"\bwhat caused .+", r"\bwhy was .+",
+    r"\bwhy did .+ (?:fall|end)\b", r"\bwhen (?:was|is) .+ born\b", r"\bwhen was .+ (?:founded|established|released|published)\b", r"\bwhen (?:was|did) .+ open(?:ed)?\b", r"\bwho (?:or what )?was .+ named after\b",
+    r"\bwhat was .+ named after\b", r"\bwhere is .+ located\b", r"\bwhat is (?:.+ )?the capital of\b", r"\bwhat is the population of\b", r"\bwhat caused .+", r"\bwhy was .+",
 )
-#: Relations that a question asserts: name, pattern with source and target.
+#: Relations that a question asserts, in the order in which they are tried: name, pattern with source and target.
 ASSERTED = (
-    ("cause", r"(?i)^(?:why|how) did (.+) (?:cause|lead to|bring about) (.+)$"), ("cause", r"(?i)^how was (.+) responsible for (.+)$"), ("invent", r"(?i)^(?:when|why|how) did (.+) (?:invent|create|design) (.+)$"),
-    ("discover", r"(?i)^(?:when|why|how) did (.+) discover (.+)$"), ("defeat", r"(?i)^(?:when|why|how) did (.+) (?:defeat|conquer) (.+)$"), ("found", r"(?i)^(?:when|why) did (.+) (?:found|establish) (.+)$"),
-    ("write", r"(?i)^(?:when|why) did (.+) (?:write|publish) (.+)$"), ("sign", r"(?i)^(?:when|why) did (.+) sign (.+)$"), ("prevent", r"(?i)^how did (.+) (?:prevent|stop) (.+)$"), ("influence", r"(?i)^how did (.+) (?:influence|affect|shape) (.+)$"),
-    ("replace", r"(?i)^(?:when|why|how) did (.+) replace (.+)$"), ("use", r"(?i)^why (?:did|does|do) (.+) use (.+)$"), ("describe_as", r"(?i)^why (?:is|was) (.+) (?:described|known) as (.+)$"), ("convert", r"(?i)^how does (.+) convert (.+)$"),
-    ("support", r"(?i)^why did (.+) support (.+)$"), ("oppose", r"(?i)^why did (.+) oppose (.+)$"),
-)
+    ("cause", r"(?i)^(?:why|how) did (.+?) cause (.+)$"),
+    ("cause", r"(?i)^(?:explain|describe) how (.+?) caused (.+)$"),
+    ("structure_as", r"(?i)^how did (.+?) (?:establish|create|build|form) the structure of (.+)$"),
+    ("create", r"(?i)^how did (.+?) (?:create|produce|generate|form|establish|establishes|established) (.+)$"),
+    ("create", r"(?i)^(?:explain|describe) how (.+?) (?:creates?|created|produces?|produced|generates?|generated|forms?|formed|establish|establishes|established) (.+)$"),
+    ("create", r"(?i)^(?:explain|describe) the process by which (.+?) (?:created|produced|generated|formed) (.+)$"),
+    ("limit", r"(?i)^(?:describe|explain) how (.+?) (?:limited|restricted|constrained) (.+)$"),
+    ("limit", r"(?i)^(?:how|why) did (.+?) (?:limit|restrict|constrain) (.+)$"),
+    ("function_as", r"(?i)^(?:explain|describe) how (.+?) (?:functioned|acted|served) as (.+)$"),
+    ("function_as", r"(?i)^how did (.+?) (?:function|act|serve) as (.+)$"),
+    ("operate_as", r"(?i)^(?:explain|describe) how (.+?) (?:operated|operates|operate) as (.+)$"),
+    ("operate_as", r"(?i)^how did (.+?) operate as (.+)$"),
+    ("structure_as", r"(?i)^(?:describe|explain) the structure of (.+?) as (.+)$"),
+    ("structure_as", r"(?i)^(?:describe|explain) how (.+?) was (?:structured|organi[sz]ed) as (.+)$"),
+    ("describe_as", r"(?i)^(?:describe|explain) (.+?) as (.+)$"),
+    ("govern", r"(?i)^(?:describe|explain) how (.+?) (?:governed|governs|govern) (.+)$"),
+    ("govern", r"(?i)^how did (.+?) govern (.+)$"),
+    ("organize", r"(?i)^(?:describe|explain) how (.+?) organi[sz](?:ed|es|e) (.+)$"),
+    ("organize", r"(?i)^(?:how|why) did (.+?) organi[sz]e (.+)$"),
+    ("replicate", r"(?i)^(?:describe|explain) how (.+?) (?:replicated|replicates|replicate) (.+)$"),
+    ("replicate", r"(?i)^(?:how|why) did (.+?) replicate (.+)$"),
+    ("separate", r"(?i)^(?:describe|explain) how (.+?) (?:separated|separates|separate) (.+)$"),
+    ("separate", r"(?i)^(?:how|why) did (.+?) separate (.+)$"),
+    ("overthrow", r"(?i)^(?:why|how) did (.+?) overthrow (.+)$"),
+    ("overthrow", r"(?i)^what caused (.+?) to overthrow (.+)$"),
+    ("sign", r"(?i)^(?:why|how) did (.+?) sign (.+)$"),
+    ("invent", r"(?i)^(?:explain|describe) (?:why|how) (.+?) (?:invented|invents|invent) (.+)$"),
+    ("perform", r"(?i)^(?:explain|describe) (?:why|how) (.+?) (?:performed|performs|perform) (.+)$"),
+    ("split", r"(?i)^(?:explain|describe) how (.+?) (?:splits?|divides?|divided) (.+)$"),
+    ("split", r"(?i)^(?:how|why) did (.+?) (?:split|divide) (.+)$"),
+    ("create", r"(?i)^why did (.+?) (?:create|produce|generate|form|establish|established) (.+)$"),
+    ("invent", r"(?i)^why did (.+?) (?:invent|discover|develop) (.+)$"),
+    ("cause", r"(?i)^why did (.+?) lead (.+)$"),
+)
 PREDICATES = ("born", "founded", "established", "released", "published", "named after", "located", "located in", "capital", "capital of", "population", "invented", "discovered", "wrote", "written by", "signed", "built", "opened", "closed", "led", "led by", "won", "died", "married", "elected", "caused", "caused by")
-CAUSAL_QUESTIONS = (
-    ("fall", r"(?i)^why did (.+) (?:fall|collapse)"), ("decline", r"(?i)^why did (.+) (?:decline|weaken)"), ("end", r"(?i)^why did (.+) (?:end|stop|fail)"), ("cause", r"(?i)^what caused (.+)$"), ("lead", r"(?i)^what led to (.+)$"),
-    ("cause", r"(?i)^what were the (?:causes|reasons) (?:of|for) (.+)$"), ("generic", r"(?i)^why (?:was|were|is|are|did) (.+)$"),
+_FALLS = ("decline", "collapse", "weaken", "fail", "fall", "end")
+CAUSAL_QUESTIONS = tuple(
+    [(k, rf"(?i)^why did (.+) {k}$") for k in _FALLS] + [(k, rf"(?i)^what caused (.+) to {k}$") for k in _FALLS]
+    + [(k, rf"(?i)^what (?:led|factors contributed) to (?:the )?{k} of (.+)$") for k in ("decline", "collapse", "fall")]
 )
 PREMISES = (("limit", r"(?i)^how did (.+) (?:limit|restrict) (.+)$"), ("protect", r"(?i)^how did (.+) (?:protect|guarantee) (.+)$"), ("influence", r"(?i)^how did (.+) (?:influence|shape|change) (.+)$"))
 SUMMARY_MODES = (("significance", r"\bsignifican|\bimportan"), ("features", r"\bfeatures\b|\bcharacteri"), ("explain", r"^explain\b|\bhow (?:do|does) .+ work"), ("describe", r"^describe\b|^what (?:is|was|are|were)\b"))
@@ -93,7 +230,7 @@ def normalized(question: Column) -> Column:
     return F.trim(F.regexp_replace(question, "[ \t\n]+", " "))
 
 
-def _bare(question: Column) -> Column:
+def bare(question: Column) -> Column:
     return F.regexp_replace(normalized(question), "[?.!]+$", "")
 
 
@@ -105,13 +242,13 @@ def subject(question: Column, by: Column) -> Column:
     """The subject for an intent, its leading article kept; the whole question where no pattern matches."""
     out = F.lit(None).cast("string")
     for name, patterns in SUBJECTS.items():
-        out = F.when(by == name, R.first_group(_bare(question), patterns)).otherwise(out)
-    return T.clean_subject(F.coalesce(out, _bare(question)))
+        out = F.when(by == name, R.first_group(bare(question), patterns)).otherwise(out)
+    return T.clean_subject(F.coalesce(out, bare(question)))
 
 
 def pair(question: Column) -> tuple[Column, Column]:
     """Two different sides of a comparison, or nulls."""
-    sides = F.struct(*(T.clean_subject(R.first_group(_bare(question), PAIRS, g)).alias(k) for g, k in ((1, "l"), (2, "r"))))
+    sides = F.struct(*(T.clean_subject(R.first_group(bare(question), PAIRS, g)).alias(k) for g, k in ((1, "l"), (2, "r"))))
     sides = R.let(sides, lambda s: F.when(F.lower(s["l"]) != F.lower(s["r"]), s))
     return sides["l"], sides["r"]
 
@@ -146,7 +283,7 @@ def expanded(plans: DataFrame) -> DataFrame:
         return F.struct(F.lit(rank).alias("rank"), F.lit(primary).alias("primary"), text.alias("query"))
 
     items = [item(1, True, normalized(F.col("question"))), item(2, True, F.col("canonical"))]
-    items += [item(rank, primary, R.template(F.col("intent"), {name: text}, **parts)) for name, rank, primary, text in EXPANSIONS]
+    items += [item(rank, primary, R.template(F.col("intent"), {name: text}, **parts)) for name, rank, primary, text in TEMPLATES]
     items.append(item(3, False, F.when(F.col("intent") == "general", F.array_join(T.content_words(F.col("question")), " "))))
     rows = plans.select("qid", F.explode(F.filter(F.array(*items), lambda x: x["query"].isNotNull() & (x["query"] != ""))).alias("x")).select("qid", "x.*")
     once = rows.groupBy("qid", F.lower("query").alias("key")).agg(F.min_by(F.struct("rank", "primary", "query"), "rank").alias("x"))
@@ -161,7 +298,7 @@ def route(question: Column) -> Column:
 
 def hops(question: Column) -> tuple[Column, Column]:
     """Two concepts of a multi-hop question: both sides of "effects of A on B", else of and, or, because, since; a short second one gets the first's words."""
-    q = _bare(question)
+    q = bare(question)
     first = F.coalesce(R.first_group(q, (r"(?i)(effects? of .+?) on .+$",)), R.first_group(q, (r"(?i)^(.+?) (?:and|or|because|since|as a result of) .+$",)))
     second = F.coalesce(R.first_group(q, (r"(?i)effects? of .+? on (.+)$",)), R.first_group(q, (r"(?i)^.+? (?:and|or|because|since|as a result of) (.+)$",)))
     padded = F.when(F.size(T.space_words(second)) <= 3, F.concat(second, F.lit(" "), F.array_join(T.content_words(first), " "))).otherwise(second)
@@ -177,7 +314,7 @@ def predicate(question: Column) -> Column:
 
 def asserted(question: Column) -> tuple[Column, Column, Column]:
     """(relation, source, target) that a question takes for granted."""
-    q = _bare(question)
+    q = bare(question)
     relation = R.first_match(q, ASSERTED)
     patterns = [p for _, p in ASSERTED]
     return relation, T.clean_subject(R.first_group(q, patterns, 1)), T.clean_subject(R.first_group(q, patterns, 2))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions import text as T
 from ..functions import vectors as V
-from ..session import small, top
+from ..session import small, stored, top
 from . import index
 
 TF_CAP = 3
@@ -19,12 +19,15 @@ RUNTIME_BOOST = 5.0
 QUERY_BLOCK = 5000
 
 
-def lexical_scores(chunks: DataFrame, questions: DataFrame, df: DataFrame | None = None, n: int | None = None) -> DataFrame:
+def lexical_scores(chunks: DataFrame, questions: DataFrame, df: DataFrame | None = None, n: int | None = None, posted: DataFrame | None = None) -> DataFrame:
     """qid, chunk_id, lexical: sum of min(tf, 3) * qtf * (1 + ln((N + 1) / (df + 1))) over a question's content terms.
 
-    Only the postings of asked terms are counted, and their document frequencies with them."""
+    Only the postings of asked terms are counted, and their document frequencies with them; they are written, so that the corpus is
+    read and tokenised once."""
     terms = index.query_terms(questions)
-    posted = index.posted_terms(chunks, terms)
+    if posted is None:
+        posted = index.posted_terms(chunks, terms)
+        posted = stored(posted, "posted") if df is None else posted
     if df is None:
         df = index.term_stats(posted)
     if n is None:
@@ -62,12 +65,17 @@ def cosine_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, scored)
 
 
-def hybrid(keyword: DataFrame, vector: DataFrame, keys: tuple[str, str] = ("qid", "chunk_id")) -> DataFrame:
-    """0.7 keyword + 0.3 vector score, each scaled to 0..1 within its question; inner join on both keys."""
-    by = Window.partitionBy(keys[0])
-    a = keyword.withColumn("k", V.min_max(F.col("keyword").cast("double"), by))
-    b = vector.withColumn("v", V.min_max(F.col("cosine"), by))
-    return a.join(b, list(keys)).select(*keys, F.round(0.7 * F.col("k") + 0.3 * F.col("v"), 6).alias("score"))
+def hybrid(keyword: DataFrame, vector: DataFrame, keys: tuple[str, str] = ("qid", "chunk_id"), of: DataFrame | None = None) -> DataFrame:
+    """0.7 keyword + 0.3 vector score, each scaled to 0..1 within its question; inner join on both keys.
+
+    A question's bounds are aggregated before the shuffle. ``of``: a table with at least as many rows as there are questions and query
+    vectors, that is cheap to count; the bounds are broadcast if it is small."""
+    rows = keyword.withColumn("keyword", F.col("keyword").cast("double")).join(vector, list(keys))
+    for scores, c in ((keyword, "keyword"), (vector, "cosine")):
+        ends = scores.groupBy(keys[0]).agg(F.min(c).cast("double").alias(f"least_{c}"), F.max(c).cast("double").alias(f"most_{c}"))
+        rows = rows.join(ends if of is None else small(ends, of=of), keys[0])
+    k, v = (V.scaled(F.col(c), F.col(f"least_{c}"), F.col(f"most_{c}")) for c in ("keyword", "cosine"))
+    return rows.select(*keys, F.round(0.7 * k + 0.3 * v, 6).alias("score"))
 
 
 #: Relation, its question pattern, and the word that states it.
@@ -175,13 +183,41 @@ def merged_rank(merged: DataFrame, k: int = 12, step: float = 1.2, most: float =
     return top(scored, k, ["qid"], F.desc("merged"), F.desc("query_hits"), F.desc("base"), F.asc("chunk_id"))
 
 
-def phrase_bonus(question: Column, chunk: Column, rules: list[tuple[str, str, float]]) -> Column:
-    """Sum of rule deltas: a phrase in the chunk counts where the question lacks it (negative) or has it (positive)."""
-    out = F.lit(0.0)
-    for in_question, in_chunk, delta in rules:
-        asked = F.contains(F.lower(question), F.lit(in_question))
-        out = out + F.when(F.contains(F.lower(chunk), F.lit(in_chunk)) & (asked if delta > 0 else ~asked), delta).otherwise(0.0)
-    return out
+#: Phrases that a question has one of (or none of, after "!"), phrases that a chunk has one of, and what that is worth.
+CHUNK_RULES = (
+    (("!replace", "!different", "!compare"), ("does not replace",), -8.0),
+    (("!different", "!compare"), ("is different from",), -3.0),
+    (("before operating",), ("before operating",), 12.0),
+    (("before operating",), ("before charging",), -6.0),
+    (("mechanical inspection", "belongs in cooling tower mechanical"), ("cooling tower inspection guide",), 12.0),
+    (("mechanical inspection", "belongs in cooling tower mechanical"), ("water treatment", "chemical dosing"), -8.0),
+    (("after&stable voltage",), ("after stable voltage",), 14.0),
+    (("after&stable voltage",), ("until the generator reaches stable voltage",), -8.0),
+)
+
+
+def phrase_bonus(question: Column, chunk: Column, rules: tuple = CHUNK_RULES) -> Column:
+    """Sum of the rules whose phrases a question and a chunk have. Of a question's phrases one must occur, those after "!" must all be
+    missing, and "a&b" needs both parts."""
+    q, c = F.lower(question), F.lower(chunk)
+
+    def holds(phrase: str) -> Column:
+        out = F.lit(True)
+        for part in phrase.split("&"):
+            out = out & F.contains(q, F.lit(part))
+        return out
+
+    total = F.lit(0.0)
+    for asked, found, delta in rules:
+        wanted = [holds(p) for p in asked if not p.startswith("!")]
+        ok = wanted[0] if wanted else F.lit(True)
+        for w in wanted[1:]:
+            ok = ok | w
+        for p in asked:
+            if p.startswith("!"):
+                ok = ok & ~F.contains(q, F.lit(p[1:]))
+        total = total + F.when(ok & T.any_substring(chunk, found), delta).otherwise(0.0)
+    return total
 
 
 def sentence_score(sentence: Column, question: Column, subject: Column, chunk_rank: Column, marks: Column) -> Column:

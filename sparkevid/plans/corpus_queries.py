@@ -181,7 +181,8 @@ def hybrid_topk(spark, sf_dir):
     v = spread(table(spark, sf_dir, "embeddings"))
     cosine = ranking.cosine_scores(v, v.where("vec_id % 100 = 0"))
     cosine = cosine.select((F.col("query_id") / 100 + 1).cast("long").alias("qid"), F.col("vec_id").alias("chunk_id"), "cosine")
-    return top(ranking.hybrid(ranking.keyword_scores(chunks(spark, sf_dir), questions(spark)), cosine), 5, ["qid"], F.desc("score"), F.asc("chunk_id"))
+    scored = ranking.hybrid(ranking.keyword_scores(chunks(spark, sf_dir), questions(spark)), cosine, of=v.where("vec_id % 100 = 0"))
+    return top(scored, 5, ["qid"], F.desc("score"), F.asc("chunk_id"))
 
 
 @query(f"""SELECT any_value(lang) AS lang, min(doc_id) AS doc_id, md5({KEY.format("text")}) AS key FROM documents GROUP BY {KEY.format("text")}, lang""")
@@ -211,14 +212,16 @@ def negative_sampling(spark, sf_dir):
 def corpus_cutoff(spark, sf_dir):
     """Documents in id order until a million characters are reached; the one that crosses stays.
 
-    Ranges of ids are summed first, so that only their sums meet in one task; a window then runs within each range."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.floor(F.col("doc_id") / 4096).alias("block"))
-    blocks = d.groupBy("block").agg(F.sum("n_chars").alias("s"))
-    before = F.coalesce(F.sum("s").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.select("block", before.alias("before")).where(F.col("before") < 1_000_000)
-    own = F.sum("n_chars").over(Window.partitionBy("block").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    d = d.join(blocks, "block").select("doc_id", "n_chars", (F.col("before") + own).alias("running"))
-    return d.where(F.col("running") - F.col("n_chars") < 1_000_000)
+    Ranges of ids are summed first, and ranges of ranges, so that only the sums of these meet in one task; windows then run within a range."""
+    most, past = 1_000_000, Window.unboundedPreceding
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.floor(F.col("doc_id") / 4096).alias("block"), F.floor(F.col("doc_id") / (1 << 24)).alias("range"))
+    blocks = d.groupBy("range", "block").agg(F.sum("n_chars").alias("s"))
+    before = lambda *by: F.coalesce(F.sum("s").over((Window.partitionBy(*by[:-1]) if by[:-1] else Window).orderBy(by[-1]).rowsBetween(past, -1)), F.lit(0))
+    ranges = blocks.groupBy("range").agg(F.sum("s").alias("s")).select("range", before("range").alias("lower")).where(F.col("lower") < most)
+    blocks = blocks.join(ranges, "range").select("range", "block", (F.col("lower") + before("range", "block")).alias("lower")).where(F.col("lower") < most)
+    own = F.sum("n_chars").over(Window.partitionBy("range", "block").orderBy("doc_id").rowsBetween(past, 0))
+    d = d.join(blocks, ["range", "block"]).select("doc_id", "n_chars", (F.col("lower") + own).alias("running"))
+    return d.where(F.col("running") - F.col("n_chars") < most)
 
 
 _SENT = f"""sent AS (SELECT chunk_id, unnest({SENTENCES.format("text")}) AS sentence, generate_subscripts({SENTENCES.format("text")}, 1) - 1 AS idx FROM (SELECT doc_id AS chunk_id, text FROM documents)),
@@ -320,7 +323,7 @@ def side_fusion(spark, sf_dir):
 
 @query(f"SELECT doc_id, {' + '.join(f'CASE WHEN contains(lower(text), {chr(39)}{p}{chr(39)}) THEN {d} ELSE 0.0 END' for p, d in (('haed', -8.0), ('ation', -3.0), ('thing', 4.0)))} AS bonus FROM documents")
 def phrase_rules(spark, sf_dir):
-    rules = [("never asked", "haed", -8.0), ("nor this", "ation", -3.0), ("thing", "thing", 4.0)]
+    rules = ((("!never asked",), ("haed",), -8.0), (("!nor this",), ("ation",), -3.0), (("thing",), ("thing",), 4.0))
     return documents(spark, sf_dir).select("doc_id", ranking.phrase_bonus(F.lit("a thing"), F.col("text"), rules).alias("bonus"))
 
 
@@ -328,11 +331,15 @@ def phrase_rules(spark, sf_dir):
 p AS (SELECT x.conv_id, x.turn, len(list_intersect({SIGNATURE.format("x.a")}, {SIGNATURE.format("y.a")})) / least(len({SIGNATURE.format("x.a")}), len({SIGNATURE.format("y.a")})) AS c FROM s x JOIN s y ON x.conv_id = y.conv_id AND x.turn = y.turn AND x.i < y.i WHERE least(len({SIGNATURE.format("x.a")}), len({SIGNATURE.format("y.a")})) > 0)
 SELECT conv_id, turn, count(*) AS n_pairs, count(*) FILTER (c >= 0.65) AS n_near FROM p GROUP BY ALL""")
 def near_dup_pairs(spark, sf_dir):
-    """Sentence pairs of a turn that hold most of each other's words; a turn has few sentences."""
+    """Sentence pairs of a turn that hold most of each other's words. Pairs without a common word are counted, not made: the others
+    meet on their words."""
     s = spread(table(spark, sf_dir, "conversations")).select("conv_id", "turn", F.posexplode(T.sentences(F.col("text"))).alias("i", "s"))
-    a, b = s.select("conv_id", "turn", F.col("i").alias("i1"), T.signature(F.col("s")).alias("a")), s.select("conv_id", "turn", F.col("i").alias("i2"), T.signature(F.col("s")).alias("b"))
-    p = a.join(b, ["conv_id", "turn"]).where("i1 < i2 and size(a) > 0 and size(b) > 0")
-    return p.groupBy("conv_id", "turn").agg(F.count("*").alias("n_pairs"), F.count_if(T.containment(F.col("a"), F.col("b")) >= 0.65).alias("n_near"))
+    s = s.select("conv_id", "turn", "i", T.signature(F.col("s")).alias("w")).where("size(w) > 0")
+    word = s.select("conv_id", "turn", "i", F.size("w").alias("n"), F.explode("w").alias("word"))
+    met = word.join(word.select("conv_id", "turn", F.col("i").alias("j"), F.col("n").alias("m"), "word"), ["conv_id", "turn", "word"]).where("i < j")
+    near = met.groupBy("conv_id", "turn", "i", "j").agg((F.count("*") / F.least(F.first("n"), F.first("m"))).alias("c")).where("c >= 0.65").groupBy("conv_id", "turn").agg(F.count("*").alias("n_near"))
+    pairs = s.groupBy("conv_id", "turn").agg(F.count("*").alias("n")).where("n >= 2").select("conv_id", "turn", F.expr("n * (n - 1) div 2").alias("n_pairs"))
+    return pairs.join(near, ["conv_id", "turn"], "left").select("conv_id", "turn", "n_pairs", F.coalesce("n_near", F.lit(0)).alias("n_near"))
 
 
 @query(f"""SELECT conv_id, turn, len(list_reduce(list_transform({SENTENCES.format("text")}, lambda x: [x]), lambda a, x: CASE WHEN len(list_filter(a, lambda y: least(len({SIGNATURE.format("x[1]")}), len({SIGNATURE.format("y")})) > 0 AND len(list_intersect({SIGNATURE.format("x[1]")}, {SIGNATURE.format("y")})) >= 0.65 * least(len({SIGNATURE.format("x[1]")}), len({SIGNATURE.format("y")})))) > 0 THEN a ELSE list_concat(a, x) END, []::VARCHAR[])) AS n_kept FROM conversations""")

@@ -58,18 +58,33 @@ def recall_mrr(spark, sf_dir):
 SELECT item_id, count(*) AS n_docs, min(doc_id) AS first_doc FROM n JOIN d ON contains(d.text, n.text) GROUP BY item_id"""
 )
 def benchmark_passages(spark, sf_dir):
-    """Documents that hold a benchmark passage: the second run of six words of a passage is its key, which whole words of a document
-    that holds the passage have too; documents' runs join with the few keys, and the passage is looked for in what meets."""
+    """Documents that hold a benchmark passage. Of a passage of eight words or more the second run of six is its key, which a
+    document that holds the passage has as whole words too; a shorter one goes by its longest inner word, and without inner words it is
+    looked for in every document. Documents' keys join with the few of the passages, and the passage is looked for in what meets."""
     from ..functions import rules as R
 
-    def runs(t):
-        words = F.filter(F.split(t, r"[^\p{L}\p{N}]+"), lambda x: x != "")
-        return R.let(words, lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 6, F.lit(0))), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(6)))))
-
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
-    keys = b.select("item_id", "passage", F.get(runs(F.col("passage")), F.lit(1)).alias("key"))
-    d = spread(table(spark, sf_dir, "documents")).select("doc_id", "text", F.explode(F.array_distinct(runs(F.col("text")))).alias("key"))
-    hits = d.join(small(keys), "key").where(F.contains("text", "passage"))
+    split = lambda t: F.filter(F.split(t, r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    run = lambda w, i: F.xxhash64(*(F.get(w, i + k) for k in range(6)))
+
+    def passage_key(w):
+        inner = F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0)))
+        longest = F.get(F.sort_array(F.transform(inner, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), F.lit(0))["x"]
+        return F.when(F.size(w) >= 8, run(w, F.lit(1))).otherwise(F.xxhash64(longest, F.lit("word"))), F.size(inner) > 0
+
+    def keys_of(w):
+        runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 6, F.lit(0))), lambda i: run(w, i))
+        return F.array_distinct(F.concat(runs, F.transform(F.array_distinct(w), lambda x: F.xxhash64(x, F.lit("word")))))
+
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), split(F.col("text")).alias("w"))
+    key, has_key = passage_key(F.col("w"))
+    b = b.select("item_id", "passage", F.when((F.size("w") >= 8) | has_key, key).alias("key"), (F.size("w") >= 8).alias("long"))
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
+    short = b.where("key is not null and not long").limit(1).count() > 0  # words are keys only where a passage needs them
+    keyed = d.select("doc_id", "text", F.explode(R.let(split(F.col("text")), keys_of if short else lambda w: F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 6, F.lit(0))), lambda i: run(w, i))))).alias("key"))
+    hits = keyed.join(small(b.where("key is not null").select("item_id", "passage", "key")), "key").where(F.contains("text", "passage")).select("item_id", "doc_id")
+    bare = b.where("key is null").select("item_id", "passage")
+    if bare.limit(1).count():
+        hits = hits.unionByName(d.join(small(bare), F.contains("text", "passage")).select("item_id", "doc_id"))
     return hits.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 

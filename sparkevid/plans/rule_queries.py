@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
-from ..operators import etl, gates, ranking, selection, synthesis
+from ..operators import answering, etl, gates, ranking, selection, synthesis
 from ..operators import questions as Q
 from ..session import spread, table
 from .common import KEY, PLAIN, SENTENCES, TERMS, WORDS, frame, literal, values
@@ -81,8 +81,8 @@ _simple(
 _simple("comparison_pair", lambda: dict(zip(("left", "right"), Q.pair(_q()), strict=True)), {k: f"CASE WHEN lower({_clean(R.first_group_sql(_B, Q.PAIRS, 1))}) <> lower({_clean(R.first_group_sql(_B, Q.PAIRS, 2))}) THEN {_clean(R.first_group_sql(_B, Q.PAIRS, g))} END" for k, g in (("left", 1), ("right", 2))})
 _ap = [p for _, p in Q.ASSERTED]
 _simple("asserted_relation", lambda: dict(zip(("relation", "source", "target"), Q.asserted(_q()), strict=True)), {"relation": R.first_match_sql(_B, Q.ASSERTED), "source": _clean(R.first_group_sql(_B, _ap, 1)), "target": _clean(R.first_group_sql(_B, _ap, 2))})
-_simple("causal_parse", lambda: {"relation": R.first_match(Q._bare(_q()), Q.CAUSAL_QUESTIONS), "subject": R.first_group(Q._bare(_q()), [p for _, p in Q.CAUSAL_QUESTIONS])}, {"relation": R.first_match_sql(_B, Q.CAUSAL_QUESTIONS), "subject": R.first_group_sql(_B, [p for _, p in Q.CAUSAL_QUESTIONS])})
-_simple("premise_parse", lambda: {"relation": R.first_match(Q._bare(_q()), Q.PREMISES), "source": R.first_group(Q._bare(_q()), [p for _, p in Q.PREMISES], 1), "target": R.first_group(Q._bare(_q()), [p for _, p in Q.PREMISES], 2)}, {"relation": R.first_match_sql(_B, Q.PREMISES), "source": R.first_group_sql(_B, [p for _, p in Q.PREMISES], 1), "target": R.first_group_sql(_B, [p for _, p in Q.PREMISES], 2)})
+_simple("causal_parse", lambda: {"relation": R.first_match(Q.bare(_q()), Q.CAUSAL_QUESTIONS), "subject": R.first_group(Q.bare(_q()), [p for _, p in Q.CAUSAL_QUESTIONS])}, {"relation": R.first_match_sql(_B, Q.CAUSAL_QUESTIONS), "subject": R.first_group_sql(_B, [p for _, p in Q.CAUSAL_QUESTIONS])})
+_simple("premise_parse", lambda: {"relation": R.first_match(Q.bare(_q()), Q.PREMISES), "source": R.first_group(Q.bare(_q()), [p for _, p in Q.PREMISES], 1), "target": R.first_group(Q.bare(_q()), [p for _, p in Q.PREMISES], 2)}, {"relation": R.first_match_sql(_B, Q.PREMISES), "source": R.first_group_sql(_B, [p for _, p in Q.PREMISES], 1), "target": R.first_group_sql(_B, [p for _, p in Q.PREMISES], 2)})
 _simple("question_modes", lambda: {"summary_mode": R.first_match(_lower(), Q.SUMMARY_MODES, "none"), "ui_intent": R.first_match(_lower(), Q.UI_INTENTS, "hybrid"), "type": R.first_match(_lower(), Q.TYPES, "other")}, {"summary_mode": R.first_match_sql(_L, Q.SUMMARY_MODES, "none"), "ui_intent": R.first_match_sql(_L, Q.UI_INTENTS, "hybrid"), "type": R.first_match_sql(_L, Q.TYPES, "other")})
 _simple("predicate_lookup", lambda: {"predicate": Q.predicate(_q())}, {"predicate": f"list_filter({literal(sorted(Q.PREDICATES, key=lambda p: (-len(p), p)))}, lambda p: contains(lower(question), p))[1]"})
 _rel = [(n, "named after" if n == "named_after" else p) for n, p, _ in ranking.RELATIONS]
@@ -121,7 +121,7 @@ def question_plan(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_PLAN}, t AS (SELECT * FROM {values([(r, p, i, x) for i, r, p, x in Q.EXPANSIONS], "rank, primary_q, intent, template")}),
+    f"""WITH {_PLAN}, t AS (SELECT * FROM {values([(r, p, i, x) for i, r, p, x in Q.TEMPLATES], "rank, primary_q, intent, template")}),
 i AS (SELECT qid, 1 AS query_rank, true AS is_primary, {_N} AS query FROM plans UNION ALL SELECT qid, 2, true, canonical FROM plans
   UNION ALL SELECT qid, rank, primary_q, replace(replace(replace(template, '{{subject}}', subject), '{{left}}', coalesce("left", '')), '{{right}}', coalesce("right", '')) FROM plans JOIN t USING (intent)
   UNION ALL SELECT qid, 3, false, array_to_string({_content.format("question")}, ' ') FROM plans WHERE intent = 'general')
@@ -471,22 +471,22 @@ EV = [
 
 @query(
     """SELECT * FROM (VALUES
-(1, 'The Velan League declined because its fleets were lost at sea.', 'synthesized', true),
-(2, 'River trade changed in several ways: River trade became much smaller over the years of drought. River trade moved to the coast and expanded there again.', 'synthesized', true),
+(1, 'The Velan League declined because of its fleets were lost at sea.', 'synthesized', true),
+(2, 'River trade changed in several important ways. River trade became much smaller over the years of drought. River trade moved to the coast and expanded there again.', 'synthesized', true),
 (3, 'Key figures of the Harbor Board included Mara Tolle and Ivo Brandt.', 'synthesized', true),
 (4, 'I could not find enough supporting evidence to answer that.', 'system', false),
-(5, 'A tidal gate is structured as follows: A tidal gate consists of two leaves and a sill. A tidal gate is divided into upper and lower parts.', 'synthesized', true)) AS v(qid, answer, answer_type, supported)"""
+(5, 'A tidal gate had a structured organization. A tidal gate consists of two leaves and a sill. A tidal gate is divided into upper and lower parts.', 'synthesized', true)) AS v(qid, answer, answer_type, supported)"""
 )
 def answer_synthesis(spark, sf_dir):
     e = frame(spark, EV, "qid long, intent string, subject string, ss array<string>")
-    answer, kind, ok = synthesis.answered(F.lit("Tell me about it"), F.col("intent"), F.col("subject"), F.col("ss"), F.lit(True), F.lit(False))
-    return e.select("qid", answer.alias("answer"), kind.alias("answer_type"), ok.alias("supported"))
+    a = synthesis.answered(F.lit("Tell me about it"), F.col("intent"), F.col("subject"), F.col("ss"), F.lit(True), F.lit(False))
+    return e.select("qid", a.alias("a")).select("qid", "a.answer", F.col("a.kind").alias("answer_type"), F.col("a.ok").alias("supported"))
 
 
-SIDES = [(1, "Vela", "Orsk", ["Vela lost a war and its trade fell."], ["Orsk lost a war in the north."]), (2, "Vela", "Orsk", ["Vela is large."], ["Orsk is small."]), (3, "Vela", "Orsk", [], ["Orsk is small."])]
+SIDES = [(1, "Vela", "Orsk", ["Vela lost a war and two provinces."], ["Orsk lost a war in the north."]), (2, "Vela", "Orsk", ["Vela is large."], ["Orsk is small."]), (3, "Vela", "Orsk", [], ["Orsk is small."])]
 
 
-@query("SELECT * FROM (VALUES (1, 'Both show military pressure. Vela shows economic problems.'), (2, 'Vela: Vela is large. Orsk: Orsk is small.'), (3, NULL)) AS v(qid, answer)")
+@query("SELECT * FROM (VALUES (1, 'Both show military pressure. Vela shows territorial losses.'), (2, 'Vela: Vela is large. Orsk: Orsk is small.'), (3, NULL)) AS v(qid, answer)")
 def comparison_synthesis(spark, sf_dir):
     s = frame(spark, SIDES, "qid long, l string, r string, ls array<string>, rs array<string>")
     return s.select("qid", synthesis.compared(F.col("l"), F.col("r"), F.col("ls"), F.col("rs")).alias("answer"))
@@ -510,3 +510,91 @@ def sentence_scores(spark, sf_dir):
     v3 = ranking.sentence_score_v3(F.col("s"), F.lit("the thing and haed ened"), F.col("i") + 1, F.lit(0.0))
     side = ranking.side_sentence_score(F.col("s"), F.lit("thing"), ["ation"])
     return s.groupBy("conv_id", "turn").agg(F.round(F.sum(v3), 4).alias("v3"), F.round(F.sum(side), 4).alias("side"))
+
+
+#: A small corpus beside the driver's documents; no document has the words that its questions ask for.
+CORPUS = [
+    (1, "The Velan League declined because its fleets were lost at sea. The Velan League also lost its northern ports.", False),
+    (2, "Debts rose in the Velan League for years. The decline of the Velan League was slow.", False),
+    (3, "Mara Tolle was born in 1871 in Port Ansel. Mara Tolle studied tides for many years.", True),
+    (4, "The Harbor Board was founded in 1902. Members of the Harbor Board met in Port Ansel.", False),
+    (5, "River trade changed when the dry years began. River trade became smaller and moved to the coast.", False),
+    (6, "River trade developed slowly in the wet years. River trade declined in the dry years.", False),
+    (7, "A tidal gate consists of two leaves and a sill. A tidal gate is divided into an upper and a lower part.", False),
+    (8, "The structure of a tidal gate follows the tide. Each tidal gate has a frame as its main component.", False),
+    (9, "The pump warranty period is 12 months from delivery.", False),
+    (10, "The pump warranty period is 24 months from delivery.", False),
+    (11, "The Orsk Union had a government of towns. The Orsk Union lost a war in the north.", False),
+    (12, "The Orsk Union kept a system of courts. Taxes in the Orsk Union were low.", False),
+    (13, "The Velan League had a constitution of its own. Taxes in the Velan League were high.", False),
+    (14, "The towns of the Orsk Union were small. The courts of the Orsk Union sat in spring.", False),
+    (15, "The Harbor Charter limited the Velan League in every port. The Harbor Charter was read aloud in spring.", False),
+    *((20 + i, f"Effects of the long drought were sung in {x}. Consequences in {x} were many.", False) for i, x in enumerate(("Vela", "Orsk", "Tern", "Rill", "Moor", "Fenn"))),
+    (30, "In the aftermath people moved. The long drought led to hunger in the towns.", False),
+    (31, "An aftermath of the long drought is told in the annals. It resulted in new wells.", False),
+]
+ASKED = [
+    (1, "Why did the Velan League decline?"), (2, "When was Mara Tolle born?"), (3, "When was the Harbor Board founded?"), (4, "How did river trade change over time?"), (5, "What is the structure of a tidal gate?"),
+    (6, "What is the warranty period of the pump?"), (7, "Compare the Velan League and the Orsk Union."), (8, "How did the Harbor Charter limit the Velan League?"), (9, "How did Mara Tolle overthrow the Orsk Union?"),
+    (10, "What were the effects of the long drought?"), (11, "What is the population of Port Ansel?"), (12, "   "), (13, "Compare the Velan League and the Quern Guild."),
+]
+
+
+def fixture_corpus(spark, sf_dir):
+    """The driver's documents and the small corpus, as chunks."""
+    d = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("chunk_id"), "text", F.lit(False).alias("runtime"))
+    return d.unionByName(frame(spark, [(10**12 + i, t, r) for i, t, r in CORPUS], "chunk_id long, text string, runtime boolean"))
+
+
+#: What the rules say of these questions, worked out by hand.
+ANSWERS = [
+    (1, 'The Velan League declined because of its fleets were lost at sea.', 'synthesized', True, 0, 2),
+    (2, 'Mara Tolle was born in 1871.', 'extracted', True, 1, 3),
+    (3, 'The Harbor Board was founded in 1902.', 'extracted', True, 0, 4),
+    (4, 'River trade changed in several important ways. River trade became smaller and moved to the coast. River trade changed when the dry years began. River trade developed slowly in the wet years.', 'synthesized', True, 0, 5),
+    (5, 'A tidal gate had a structured organization. A tidal gate is divided into an upper and a lower part. The structure of a tidal gate follows the tide. A tidal gate consists of two leaves and a sill.', 'synthesized', True, 0, 8),
+    (6, 'The retrieved sources contradict each other, so no single answer is given.', 'conflict', False, 0, 9),
+    (7, 'The Velan League: The Velan League had a constitution of its own. The Velan League declined because its fleets were lost at sea. The Orsk Union: The Orsk Union had a government of towns. The Orsk Union kept a system of courts.', 'comparison', True, 0, 11),
+    (8, 'The Harbor Charter limited the Velan League in every port.', 'premise', True, 0, 15),
+    (9, 'I could not find enough supporting evidence to answer that.', 'system', False, 0, 3),
+    (10, 'The long drought had several major effects. Effects of the long drought were sung in Vela. The long drought led to hunger in the towns.', 'synthesized', True, 1, 20),
+    (11, 'I could not find enough supporting evidence to answer that.', 'system', False, 0, 3),
+    (12, 'I could not find enough supporting evidence to answer that.', 'blank', False, None, None),
+    (13, 'I could not find enough supporting evidence to answer that.', 'system', False, 0, 1),
+]
+
+
+@query(f"SELECT * FROM {values(ANSWERS, 'qid, answer, answer_type, supported, stage, first_source')}")
+def question_answers(spark, sf_dir):
+    """From questions to answers over all documents: extraction, synthesis, conflict, comparison, premises, fallback, abstention, refusal."""
+    a = answering.answers(frame(spark, ASKED, "qid long, question string"), fixture_corpus(spark, sf_dir))
+    return a.select("qid", "answer", "answer_type", "supported", "stage", (F.get("sources", F.lit(0))["id"] - 10**12).alias("first_source"))
+
+
+#: Every sentence of the documents with the question of the second instruction form; RE2 and Java agree on these words.
+_IQ = "regexp_extract_all(s, '[a-zA-Z][a-zA-Z0-9''-]*')"
+
+
+def _asked_sql(verb: str) -> str:
+    subject = f"trim(split_part(s, ' {verb} ', 1))"
+    return f"CASE WHEN contains(lower(s), ' {verb} ') AND len({WORDS.format(subject)}) BETWEEN 3 AND 12 THEN 'What {verb} ' || {subject} || '?' END"
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, text, unnest({SENTENCES.format("text")}) AS s, generate_subscripts({SENTENCES.format("text")}, 1) - 1 AS i FROM documents),
+q AS (SELECT *, list_filter({_IQ}, lambda w: length(w) >= 5)[1:5] AS useful FROM s),
+a AS (SELECT doc_id, i, text, s, coalesce({_asked_sql("is")}, {_asked_sql("was")}, 'According to the context, what information is given about ' || CASE WHEN len(useful) > 0 THEN array_to_string(useful, ' ') ELSE 'this topic' END || '?') AS question FROM q)
+SELECT doc_id, count(*) AS n, md5(string_agg(md5('<RESULT>' || chr(10) || text || chr(10) || chr(10) || '<ANSWER>' || chr(10) || 'Question: ' || question || chr(10) || 'Answer:'), '' ORDER BY i)) AS digest FROM a GROUP BY doc_id"""
+)
+def instruction_questions(spark, sf_dir):
+    e = etl.evidence_instructions(spread(table(spark, sf_dir, "documents")), "doc_id", None).select("doc_id", F.struct("i", F.md5("prompt").alias("p")).alias("x"))
+    e = e.groupBy("doc_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("x")).alias("x"))  # a document's sentences
+    return e.select("doc_id", "n", F.md5(F.array_join(F.transform("x", lambda x: x["p"]), "")).alias("digest"))
+
+
+@query(
+    """SELECT doc_id::BIGINT AS doc_id, question, answer, type FROM (VALUES (1, 'When was Mara Tolle born?', '1871', 'born_year'), (1, 'When was The Harbor Board founded?', '1902', 'founded_year'),
+(2, 'What is Port Ansel the capital of?', 'Vela', 'capital')) AS v(doc_id, question, answer, type)"""
+)
+def instruction_mine(spark, sf_dir):
+    return etl.mined_instructions(facts(spark), "doc_id").select("doc_id", "question", "answer", "type")

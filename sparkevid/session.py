@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import logging
+import os
+import uuid
+from logging.handlers import RotatingFileHandler
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,10 +20,51 @@ def session(name: str = "sparkevid", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def log_to(path: str, name: str = "sparkevid", size: int = 10 << 20, files: int = 3) -> logging.Logger:
+    """The driver's log as a file that is rotated at ``size`` bytes; ``files`` old ones are kept. A path is opened once."""
+    log = logging.getLogger(name)
+    if not any(getattr(h, "baseFilename", None) == os.path.abspath(path) for h in log.handlers):
+        handler = RotatingFileHandler(path, maxBytes=size, backupCount=files, encoding="utf-8")
+        handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(name)s: %(message)s"))
+        log.addHandler(handler)
+        log.setLevel(logging.INFO)
+    return log
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Used only where a local session names no shared folder.
+LOCAL_DIR = "file:///tmp/checkpoints"
+_stored: list[tuple[SparkSession, str]] = []
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A table that several jobs read, as Parquet in the cluster's shared folder (spark.checkpoint.dir): its lineage ends there, so a lost
+    executor costs running tasks only, and plans stay short. Deleted when the driver ends."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    path = f"{(root or LOCAL_DIR).rstrip('/')}/sparkevid/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    schema = df.schema
+    df.write.parquet(path)
+    if not _stored:
+        atexit.register(_clean)
+    _stored.append((spark, path))
+    return spark.read.schema(schema).parquet(path)
+
+
+def _clean() -> None:
+    for spark, path in _stored:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the session may have ended
+            return
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A table in fewer splits than there are cores is dealt anew before expensive expressions."""
     cores = df.sparkSession.sparkContext.defaultParallelism

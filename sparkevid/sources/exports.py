@@ -1,4 +1,4 @@
-"""Sinks: conversations as JSON or Markdown, JSON lines, the feedback log."""
+"""Sinks: conversations as JSON or Markdown, JSON lines and arrays, the feedback log."""
 
 from __future__ import annotations
 
@@ -36,3 +36,13 @@ def append_feedback(rows: DataFrame, path: str) -> None:
 
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def write_json_array(df: DataFrame, path: str, by: str) -> None:
+    """One file with one JSON array of the rows, in order of a unique column: a format to hand over, which one task sorts and writes."""
+    spark = df.sparkSession
+    first = df.agg(F.min(by)).first()[0]
+    text = F.concat(F.when(F.col(by) == F.lit(first), "").otherwise(","), F.to_json(F.struct(*df.columns)))
+    rows = df.select(F.lit(1).alias("part"), F.col(by).alias("place"), text.alias("value"))
+    ends = [spark.range(1).select(F.lit(part).alias("part"), F.lit(None).cast(df.schema[by].dataType).alias("place"), F.lit(x).alias("value")) for part, x in ((0, "["), (2, "]"))]
+    rows.unionByName(ends[0]).unionByName(ends[1]).repartition(1).sortWithinPartitions("part", "place").select("value").write.mode("overwrite").text(path)

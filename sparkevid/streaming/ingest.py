@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as T
 from ..operators import index
+from ..sources import corpus
 from ..sources.exports import vote
 
 DOCUMENT = "doc_id bigint, text string"
@@ -34,6 +35,18 @@ def write_batch(root: str):
     return write
 
 
+def accept(requested: DataFrame, root: str, batch_id: int) -> DataFrame:
+    """Ingest a batch of requests (doc_id, text): those that are in order become a batch of their own; returns all with their error."""
+    checked = corpus.requests(requested).persist()
+    write_batch(root)(checked.where("error is null").select("doc_id", "text"), batch_id)
+    return checked
+
+
+def ingested(spark: SparkSession, root: str) -> DataFrame:
+    """chunk_id, text, runtime of all batches, as retrieval takes them."""
+    return spark.read.parquet(f"{root}/chunks").select("chunk_id", "text", F.lit(True).alias("runtime"))
+
+
 def start(spark: SparkSession, source: str, root: str, checkpoint: str) -> StreamingQuery:
     """Ingest Parquet files that arrive in ``source`` until what is there is done; run again for more, or with another trigger."""
     stream = spark.readStream.schema(DOCUMENT).parquet(source)

@@ -98,10 +98,10 @@ def test_conflicts_need_a_shared_subject(spark):
 
 def test_abstains_without_support_and_on_conflict(spark):
     args = [F.lit("Why did it end?"), F.lit("cause"), F.lit("the League"), F.array(F.lit("The League declined because its fleets were lost."))]
-    said = lambda support, conflict: one(spark, F.struct(*synthesis.answered(*args, F.lit(support), F.lit(conflict))))
+    said = lambda support, conflict: tuple(one(spark, synthesis.answered(*args, F.lit(support), F.lit(conflict))))
     assert said(True, True)[1:] == ("conflict", False)
     assert said(True, False)[2] is True
-    none = one(spark, F.struct(*synthesis.answered(F.lit("Tell me"), F.lit("effect"), F.lit("rain"), F.array(F.lit("It was dry.")), F.lit(True), F.lit(False))))
+    none = tuple(one(spark, synthesis.answered(F.lit("Tell me"), F.lit("effect"), F.lit("rain"), F.array(F.lit("It was dry.")), F.lit(True), F.lit(False))))
     assert none == (gates.REFUSAL, "system", False)
 
 
@@ -149,3 +149,143 @@ def test_any_number_of_query_vectors(spark, monkeypatch):
     got = ranking.cosine_scores(many.where("vec_id < 2"), many)
     assert got.groupBy("query_id").count().count() == 10_001
     assert ranking.cosine_scores(v, v.limit(0)).collect() == []
+
+
+def test_json_array_round_trip(spark, tmp_path):
+    rows = [(k, f'text "{k}" é', k * 95, k * 95 + 120) for k in range(25)]
+    path = str(tmp_path / "index")
+    exports.write_json_array(spark.createDataFrame(rows, corpus.CHUNK).repartition(4), path, "id")
+    assert sorted(map(tuple, corpus.json_chunks(spark, path).collect())) == rows
+    (part,) = [p for p in (tmp_path / "index").iterdir() if p.name.startswith("part-")]
+    assert [x["id"] for x in json.loads(part.read_text())] == list(range(25))
+    exports.write_json_array(spark.createDataFrame([], corpus.CHUNK), path, "id")
+    assert corpus.json_chunks(spark, path).collect() == []
+
+
+def test_json_lines_round_trip(spark, tmp_path):
+    rows = [("q é", "p", "n"), ("r", None, "m")]
+    exports.write_jsonl(spark.createDataFrame(rows, corpus.TRIPLE), str(tmp_path / "t"))
+    assert sorted(map(tuple, corpus.json_lines(spark, str(tmp_path / "t"), corpus.TRIPLE).collect())) == rows
+
+
+def test_knowledge_paths_from_the_session(spark):
+    assert corpus.knowledge_paths(spark, ["a", "b"]) == ["a", "b"]
+    spark.conf.set("spark.sparkevid.knowledge", " /x/one.txt, ,/y/two.txt")
+    try:
+        assert corpus.knowledge_paths(spark, ["a"]) == ["/x/one.txt", "/y/two.txt"]
+    finally:
+        spark.conf.unset("spark.sparkevid.knowledge")
+
+
+def test_parsers_of_word_and_pdf(spark, tmp_path, monkeypatch):
+    import io
+    import sys
+    import types
+    import zipfile
+
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("word/document.xml", '<w:document><w:body><w:p w:x="1"><w:r><w:t>First </w:t></w:r><w:r><w:t xml:space="preserve">part &amp; more</w:t></w:r></w:p><w:p><w:r><w:t>Second.</w:t></w:r></w:p></w:body></w:document>')
+    (tmp_path / "a.docx").write_bytes(buffer.getvalue())
+    (tmp_path / "broken.docx").write_bytes(b"no archive")
+    up = {r["name"]: r for r in corpus.uploads(spark, [str(tmp_path / n) for n in ("a.docx", "broken.docx")]).collect()}
+    assert up["a.docx"]["text"] == "First part & more\nSecond." and up["a.docx"]["error"] is None
+    assert up["broken.docx"]["text"] is None and up["broken.docx"]["error"].startswith("BadZipFile")
+
+    class Reader:
+        def __init__(self, stream):
+            assert stream.read() == b"%PDF"
+            self.pages = [types.SimpleNamespace(extract_text=lambda t=t: t) for t in ("One.", None, "Two.")]
+
+    monkeypatch.setitem(sys.modules, "PyPDF2", types.SimpleNamespace(PdfReader=Reader))
+    assert corpus._parsed("pdf", b"%PDF") == ("One.\n\nTwo.", None)
+    monkeypatch.setitem(sys.modules, "PyPDF2", None)
+    assert corpus._parsed("pdf", b"%PDF")[0] is None
+
+
+def test_requests_are_ingested_for_the_next_question(spark, tmp_path):
+    from sparkevid.operators import ranking
+
+    asked = spark.createDataFrame([(1, "The lighthouse was built of basalt."), (2, "  "), (3, "x" * 500_001), (4, None)], ingest.DOCUMENT)
+    checked = {r["doc_id"]: r["error"] for r in ingest.accept(asked, str(tmp_path), 0).collect()}
+    assert checked == {1: None, 2: "blank", 3: "too_long", 4: "blank"}
+    ingest.accept(spark.createDataFrame([(5, "Basalt is dark.")], ingest.DOCUMENT), str(tmp_path), 1)
+    chunks = ingest.ingested(spark, str(tmp_path))
+    q = spark.createDataFrame([(1, "basalt lighthouse")], "qid long, question string")
+    hits = chunks.join(ranking.lexical_scores(chunks, q), "chunk_id").orderBy(F.desc("lexical")).collect()
+    assert [r["text"] for r in hits] == ["The lighthouse was built of basalt.", "Basalt is dark."] and all(r["runtime"] for r in hits)
+    assert {r["term"]: r["df"] for r in ingest.statistics(spark, str(tmp_path)).collect()}["basalt"] == 2
+
+
+def test_feedback_is_appended(spark, tmp_path):
+    row = (1, 1.5, "2026-01-01", 7, "q", "a", "cause", "extracted", 0.9, True, [(1, 2, "p", "e", 1.5)], {"k": "v"})
+    for vote in (7, -1):
+        exports.append_feedback(spark.createDataFrame([(*row[:3], vote, *row[4:])], exports.FEEDBACK), str(tmp_path / "log"))
+    log = spark.read.schema(exports.FEEDBACK).parquet(str(tmp_path / "log")).orderBy("vote").collect()
+    assert [r["vote"] for r in log] == [-1, 0] and log[0]["extra"] == {"k": "v"} and log[0]["sources"][0]["preview"] == "p"
+
+
+def test_log_files_rotate(tmp_path):
+    from sparkevid.session import log_to
+
+    path = str(tmp_path / "engine.log")
+    log = log_to(path, "sparkevid.test", size=400, files=3)
+    assert log_to(path, "sparkevid.test") is log and len(log.handlers) == 1
+    for k in range(60):
+        log.info("line %d", k)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["engine.log", "engine.log.1", "engine.log.2", "engine.log.3"]
+
+
+def test_seeded_shuffle_is_a_fixed_order(spark):
+    d = spark.range(50)
+    once = [r["id"] for r in etl.shuffled(d, "id").collect()]
+    assert once == [r["id"] for r in etl.shuffled(d.repartition(3), "id").collect()] and sorted(once) == list(range(50)) and once != list(range(50))
+    assert once != [r["id"] for r in etl.shuffled(d, "id", 7).collect()]
+
+
+def test_instruction_forms(spark):
+    d = spark.createDataFrame([(1, "The old tidal gate is a barrier of oak. It was closed. The long siege of the town was over."), (2, "Boats moved quickly towards the distant harbour."), (3, "a b"), (4, "")], "doc_id long, text string")
+    got = {(r["doc_id"], r["i"]): (r["prompt"].split("Question: ")[1].split("\n")[0], r["answer"]) for r in etl.evidence_instructions(d, "doc_id", None).collect()}
+    assert got == {
+        (1, 0): ("What is The old tidal gate?", "The old tidal gate is a barrier of oak."), (1, 1): ("According to the context, what information is given about closed?", "It was closed."),
+        (1, 2): ("What was The long siege of the town?", "The long siege of the town was over."), (2, 0): ("According to the context, what information is given about Boats moved quickly towards distant?", "Boats moved quickly towards the distant harbour."),
+        (3, 0): ("According to the context, what information is given about this topic?", "a b"),
+    }
+    three = etl.evidence_instructions(d, "doc_id").groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in three} == {1: 3, 2: 3, 3: 3}
+
+
+def test_negative_samples_with_equal_keys(spark):
+    texts = spark.createDataFrame([(k // 3,) for k in range(30)] + [(None,)], "k long")
+    got = {r["k"]: r["negative"] for r in index.negative_samples(texts, "k").collect()}
+    assert sorted(got) == list(range(10)) and all(k != v for k, v in got.items())
+    assert index.negative_samples(texts.where("k = 1"), "k").collect() == []
+    assert len(index.negative_samples(texts.where("k < 2"), "k").collect()) == 2
+
+
+def test_passages_of_any_length_are_found(spark, tmp_path):
+    from sparkevid.plans import registry
+
+    passages = [(1, "alpha beta gamma delta epsilon zeta eta theta"), (2, "one two three four five six seven"), (3, "red fox"), (4, "pha bet"), (5, "mid the word cut"), (6, "...")]
+    docs = [(1, "xalpha beta gamma delta epsilon zeta eta thetax"), (2, "so one two three four five six sevenths"), (3, "the red foxes"), (4, "amid the word cuts"), (5, "nothing...")]
+    spark.createDataFrame(passages, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["item_id"]: (r["n_docs"], r["first_doc"]) for r in registry.QUERIES["benchmark_passages"](spark, str(tmp_path)).collect()}
+    assert got == {i: (len(hit), min(hit)) for i, p in passages if (hit := [d for d, t in docs if p in t])} and set(got) == {1, 2, 3, 4, 5, 6}
+
+
+def test_a_model_can_be_plugged_in(spark):
+    from sparkevid.operators import generation
+
+    def load():
+        words = ["<end>", "the", "tide", "rises", "and", "falls"]
+        follows = {1: 2, 2: 3, 3: 4, 4: 5, 5: 0}
+
+        def scores(ids):
+            return [1.0 if ids and follows.get(ids[-1]) == i else 0.0 for i in range(len(words))]
+
+        return generation.Model(lambda t: [words.index(w) for w in t.split()], lambda ids: " ".join(words[i] for i in ids), scores, 0)
+
+    d = spark.createDataFrame([(1, "the"), (2, "and"), (3, None), (4, "falls")], "id long, prompt string")
+    assert {r["id"]: r["generated"] for r in generation.generated(d, load).collect()} == {1: "tide rises and falls", 2: "falls", 3: None, 4: ""}
+    assert {r["id"]: r["generated"] for r in generation.generated(d, load, 2).collect()}[1] == "tide rises"
