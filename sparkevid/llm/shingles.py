@@ -107,6 +107,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame, size: int, si
     differ = F.aggregate(F.zip_with("sketch_x", "sketch_y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, b: s + b)
     few = beside(beside(pairs, sets, "x", "n", "sketch"), sets, "y", "n", "sketch").where(differ * (p + q) <= (F.col("n_x") + F.col("n_y")) * (q - p))
     few = written(few.select("x", "y"), "near_pairs")
+    if few.isEmpty():
+        return few
     asked = few.select(F.col("x").alias("fp")).union(few.select(F.col("y").alias("fp"))).distinct()
     of = written(texts.join(asked, "fp", "left_semi").groupBy("fp").agg(F.min("text").alias("text")), "near_texts")
     met = beside(beside(few, of, "x", "text"), of, "y", "text").select("x", "y", F.col("text_x").alias("a"), F.col("text_y").alias("b"))
@@ -129,33 +131,36 @@ def sets_of(documents: DataFrame, size: int, similarity: tuple[int, int]) -> Dat
 def rest(rows: DataFrame, sets: DataFrame, found: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
     """Links x, y between the groups that the links ``found`` leave, enough of them for the components; written."""
     p, q = similarity
-    root = components(sets, found)
-    once = rows.groupBy("fp").agg(F.first("n").alias("n"), F.first("keys").alias("keys")).join(root.hint("merge"), "fp")
-    keys = written(once.select("fp", "n", "root", F.posexplode("keys").alias("pos", "key")), "near_keys")
-    dropped(root)
-
-    def shared(keys: DataFrame) -> DataFrame:
-        """Keys of more than one group, with their least member."""
-        low = keys.groupBy("key").agg(F.min(F.struct("fp", "n", "pos", "root")).alias("first"), F.min("root").alias("low"), F.max("root").alias("high"))
-        low = written(low.where("low < high").select("key", "first"), "near_shared")
-        out = written(keys.join(low.hint("merge"), "key"), "near_keys")
-        dropped(low, keys)
-        return out
+    once = written(rows.groupBy("fp").agg(F.first("n").alias("n"), F.first("keys").alias("keys")), "near_sets")
+
+    def shared(root: DataFrame) -> DataFrame:
+        """The keys of more than one group: key, fp, pos, n, root, and first, their least member."""
+        grouped = once.join(root.hint("merge"), "fp")
+        span = grouped.select("root", F.explode("keys").alias("key")).groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        span = written(span.where("low < high").select("key"), "near_open")
+        keys = written(once.select("fp", F.posexplode("keys").alias("pos", "key")).join(span.hint("merge"), "key", "left_semi"), "near_keys")
+        dropped(span)
+        full = written(keys.join(grouped.select("fp", "n", "root").hint("merge"), "fp"), "near_keys")
+        low = written(full.groupBy("key").agg(F.min(F.struct("fp", "n", "pos", "root")).alias("first")), "near_first")
+        dropped(keys)
+        return full.join(low.hint("merge"), "key")
 
     def may_reach(n: Column, pos: Column, n2: Column, pos2: Column) -> Column:
         """Whether sets that meet first at these places can overlap enough."""
         return F.least(n - pos, n2 - pos2) * (p + q) >= (n + n2) * p
 
-    keys = shared(keys)
+    root = components(sets, found)
+    keys = shared(root)
     first = keys.where((F.col("root") != F.col("first.root")) & may_reach(F.col("n"), F.col("pos"), F.col("first.n"), F.col("first.pos")))
     first = first.select(F.col("fp").alias("x"), F.col("first.fp").alias("y")).distinct()
     one = confirmed(first, sets, rows, size, similarity)
+    dropped(root)
 
     root = components(sets, found.unionByName(one))
-    rooted = written(keys.drop("first", "root").join(root.hint("merge"), "fp"), "near_keys")
-    dropped(keys, root)
-    keys = shared(rooted).drop("first")
+    keys = shared(root).drop("first")
     other = keys.select("key", *(F.col(c).alias(f"{c}2") for c in ("fp", "n", "pos", "root")))
     met = keys.join(other.hint("merge"), "key").where((F.col("root") > F.col("root2")) & may_reach(*map(F.col, ("n", "pos", "n2", "pos2"))))
     two = confirmed(met.select(F.col("fp").alias("x"), F.col("fp2").alias("y")).distinct(), sets, rows, size, similarity)
-    return written(one.unionByName(two), "rest_links")
+    out = written(one.unionByName(two), "rest_links")
+    dropped(once, root)
+    return out

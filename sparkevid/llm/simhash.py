@@ -109,6 +109,9 @@ def links(distinct: DataFrame) -> DataFrame:
     keys = written(distinct.select("fp").mapInArrow(on_executors("simhash", "golay_keys"), "key long, fp long"), "golay_keys")
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n >= 2")
     sizes = written(sizes, "golay_sizes")
+    if sizes.isEmpty():
+        dropped(keys, sizes)
+        return distinct.sparkSession.createDataFrame([], "x long, y long")
     shared = keys.join(sizes.hint("merge"), "key")
 
     def verified(x: Column, i: Column) -> Column:
@@ -155,13 +158,13 @@ def dedup(documents: DataFrame, size: int = 5, similarity: tuple[int, int] = (4,
     rows = shingles.sets_of(documents, size, similarity)
     sets = written(rows.groupBy("fp").agg(F.first("sim").alias("sim"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("least")), "sets")
     prints = written(sets.groupBy(F.col("sim").alias("fp")).agg(F.min("fp").alias("least")), "fingerprints")
-    near = links(prints)
+    near = links(prints).groupBy("x").agg(F.min("y").alias("y"))  # one link of each: what others would join, the rest finds
     first = prints.select(F.col("fp").alias("sim"), F.col("least").alias("y"))
     equal = sets.join(first.hint("merge"), "sim").where("fp > y").select(F.col("fp").alias("x"), "y")
     at = lambda c: prints.select(F.col("fp").alias(c), F.col("least").alias(f"set_{c}")).hint("merge")
     apart = near.join(at("x"), "x").join(at("y"), "y").select(F.greatest("set_x", "set_y").alias("x"), F.least("set_x", "set_y").alias("y"))
     found = shingles.confirmed(equal.unionByName(apart).distinct(), sets, rows, size, similarity)
-    dropped(prints, near)
+    dropped(prints)
     root = components(sets, written(found.unionByName(shingles.rest(rows, sets, found, size, similarity)), "all_links"))
     stay = sets.join(root.hint("merge"), "fp").groupBy("root").agg(F.min("least").alias("least"))
     stay = written(stay.select(F.coalesce("least.doc_id", F.lit(0)).alias("k1"), F.col("least.hash").alias("k2"), F.col("least.none").alias("k3")), "stay")
