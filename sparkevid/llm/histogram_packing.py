@@ -51,8 +51,8 @@ def document_pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, c
 def shortest_pack_first(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
     """Patterns (lengths, longest first) with the number of packs of each.
 
-    ``packs`` maps a total to the patterns that have it. The lengths go down, so once the shortest pack has no room for a length, none has,
-    and new packs start."""
+    ``packs`` maps a total to the patterns that have it. Once the shortest pack has no room for a length, none has: a new pack starts and,
+    being the shortest, takes pieces of that length while it has room."""
     packs: dict[int, list[tuple[Pattern, int]]] = {}
     totals: list[int] = []
 
@@ -75,7 +75,9 @@ def shortest_pack_first(counts: dict[int, int], capacity: int) -> list[tuple[Pat
             put(total + length, (*pattern, length), taken)
             put(total, pattern, times - taken)
             left -= taken
-        put(length, (length,), left)
+        each = capacity // length
+        put(each * length, (length,) * each, left // each)
+        put(left % each * length, (length,) * (left % each), int(left % each > 0))
     return [x for total in sorted(packs) for x in packs[total]]
 
 
