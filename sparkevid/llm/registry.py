@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .conversation_repair import op11_conversation_repair
 from .histogram_packing import op12_histogram_packing
 from .html_text import op9_html_extraction
 from .license_scan import ORACLE as LICENSE_SQL
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_license_scan": op10_license_scan,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_histogram_packing": op12_histogram_packing,
 }
 ORACLE: dict[str, str] = {"op4_substring_dedup": SUBSTRING_SQL, "op10_license_scan": LICENSE_SQL}
