@@ -15,6 +15,7 @@ from ..functions import rules as R
 from ..functions import text as T
 from ..session import small, stored, top
 from . import gates, index, questions, ranking, selection, synthesis
+from .inverted import Index
 
 #: Hits of a query, chunks of a question, sources of an answer.
 PER_QUERY, MERGED, SOURCES = 5, 12, 5
@@ -30,13 +31,16 @@ def intent_marks(sentence: Column, intent: Column) -> Column:
     return R.let(parts, lambda x: MARK * F.least(F.lit(2), F.size(F.filter(x["marks"], lambda m: F.contains(x["low"], m)))))
 
 
-def retrieved(chunks: DataFrame, queries: DataFrame, k: int = PER_QUERY) -> DataFrame:
+def retrieved(chunks: DataFrame, queries: DataFrame, k: int = PER_QUERY, kept: Index | None = None) -> DataFrame:
     """qid (the query's key), chunk_id, text, runtime, rank, final: the first k chunks of each query after both bonus stages.
 
-    Needs chunk_id, text, runtime, and qid, question. Only postings of asked terms are kept; the text is met by hits alone."""
-    terms = index.query_terms(queries)
-    posted = stored(index.posted_terms(chunks, terms), "posted")  # for document frequencies and for scores
-    scored = ranking.lexical_scores(chunks, queries, posted=posted)
+    Needs chunk_id, text, runtime, and qid, question. Only postings of asked terms are kept; the text is met by hits alone. With ``kept``, an
+    index of these chunks, no text is tokenised: scores come from the postings of the asked terms' buckets."""
+    if kept is None:
+        posted = stored(index.posted_terms(chunks, index.query_terms(queries)), "posted")  # for document frequencies and for scores
+        scored = ranking.lexical_scores(chunks, queries, posted=posted)
+    else:
+        scored = kept.scores(queries)
     factual = ranking.relation(F.col("question")).isNotNull()
     asked = queries.select("qid", "question", factual.alias("factual"))
     ingested = chunks.where("runtime").select("chunk_id", F.lit(True).alias("ingested"))
@@ -141,10 +145,16 @@ def premise(question: Column, sentences: Column) -> Column:
     return R.let(parts, lambda x: F.struct(x["relation"].isNotNull().alias("asserted"), F.when(x["relation"].isNotNull(), gates.premise_sentence(x["ss"], x["source"], x["target"], gates.marks_of(x["relation"], gates.RELATION_MARKS), 0.6)).alias("stated")))
 
 
-def answers(asked: DataFrame, chunks: DataFrame) -> DataFrame:
+def indexed_answers(asked: DataFrame, kept: Index, runtime: bool = True) -> DataFrame:
+    """``answers`` over a stored index, such as ``jobs/ingest_index.py`` keeps; its chunks count as ingested."""
+    chunks = kept.table("chunks").select("chunk_id", "text", F.lit(runtime).alias("runtime"))
+    return answers(asked, chunks, kept)
+
+
+def answers(asked: DataFrame, chunks: DataFrame, kept: Index | None = None) -> DataFrame:
     """qid, question, intent, subject, answer, answer_type, supported, stage, sources for each question (qid, question).
 
-    ``chunks`` has chunk_id, text, runtime. A refused request has an answer_type of its own and no sources."""
+    ``chunks`` has chunk_id, text, runtime; ``kept`` is their index, if there is one. A refused request has an answer_type of its own and no sources."""
     error = gates.request_error(F.col("question"), F.lit(SOURCES))
     good = asked.where(error.isNull())
     plans = stored(questions.plan(good), "plans")
@@ -152,7 +162,7 @@ def answers(asked: DataFrame, chunks: DataFrame) -> DataFrame:
     of_sides = stored(side_queries(plans), "sides")
     key = lambda side: F.struct("qid", side.alias("side"), F.col("query_rank").cast("int").alias("query_rank")).alias("qid")
     every = queries.select(key(F.lit(-1)), F.col("query").alias("question")).unionByName(of_sides.select(key(F.col("side")), F.col("query").alias("question")))
-    hits = stored(retrieved(chunks, stored(every, "asked"), SIDE_QUERY).select("qid.*", "chunk_id", "text", "runtime", "rank", "final"), "hits")
+    hits = stored(retrieved(chunks, stored(every, "asked"), SIDE_QUERY, kept).select("qid.*", "chunk_id", "text", "runtime", "rank", "final"), "hits")
     found = evidence(hits.where((F.col("side") == -1) & (F.col("rank") <= PER_QUERY)).drop("side"), queries, plans)
     pairs = sides(hits.join(small(of_sides.drop("query"), of=of_sides), ["qid", "side", "query_rank"]))
     rows = stored(plans.join(found, "qid", "left").join(pairs, "qid", "left"), "evidence")

@@ -27,18 +27,27 @@ def rate(condition: Column, within: Column | None = None) -> Column:
     return F.round(F.coalesce(F.avg(value if within is None else F.when(within, value)), F.lit(0.0)), 4)
 
 
-def retrieval_summary(cases: DataFrame) -> DataFrame:
+def right() -> Column:
+    """Whether a case is right at 5: support among the first five; of an unsupported case nothing, or a contradiction among the first five."""
+    rank = F.col("support_rank")
+    return F.when(F.col("supported"), rank.isNotNull() & (rank <= 5)).otherwise(rank.isNull() | F.coalesce(F.col("contradiction_rank") <= 5, F.lit(False)))
+
+
+def retrieval_aggregates() -> list[Column]:
     """Recall at 1, 3 and 5, accuracy, rejection, and two reciprocal ranks: over found cases only, and with misses as 0.
 
-    Needs supported, support_rank, contradiction_rank; an unsupported case is right if nothing was found or a contradiction
-    is among the first five."""
+    Of rows with supported, support_rank, contradiction_rank."""
     supported, rank = F.col("supported"), F.col("support_rank")
-    right = F.when(supported, rank.isNotNull() & (rank <= 5)).otherwise(rank.isNull() | F.coalesce(F.col("contradiction_rank") <= 5, F.lit(False)))
     found = [rate(F.coalesce(rank <= k, F.lit(False)), supported).alias(f"recall_at_{k}") for k in (1, 3, 5)]
-    return cases.agg(
-        F.count("*").alias("cases"), *found, rate(right).alias("accuracy_at_5"), rate(right, ~supported).alias("rejection_at_5"),
+    return [
+        F.count("*").alias("cases"), *found, rate(right()).alias("accuracy_at_5"), rate(right(), ~supported).alias("rejection_at_5"),
         F.round(F.avg(F.when(supported, 1 / rank)), 4).alias("mrr_found"), F.round(F.avg(F.when(supported, F.coalesce(1 / rank, F.lit(0.0)))), 4).alias("mrr_all"),
-    )
+    ]
+
+
+def retrieval_summary(cases: DataFrame) -> DataFrame:
+    """``retrieval_aggregates`` of all cases."""
+    return cases.agg(*retrieval_aggregates())
 
 
 def verdict(error: Column, expected: Column, actual: Column, content: Column) -> Column:

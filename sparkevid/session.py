@@ -40,14 +40,19 @@ LOCAL_DIR = "file:///tmp/checkpoints"
 _stored: list[tuple[SparkSession, str]] = []
 
 
+def folder(spark: SparkSession) -> str:
+    """The folder of this application that all machines share."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    return f"{(root or LOCAL_DIR).rstrip('/')}/sparkevid/{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """A table that several jobs read, as Parquet in the cluster's shared folder (spark.checkpoint.dir): its lineage ends there, so a lost
     executor costs running tasks only, and plans stay short. Deleted when the driver ends."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
-    path = f"{(root or LOCAL_DIR).rstrip('/')}/sparkevid/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     schema = df.schema
     df.write.parquet(path)
     if not _stored:

@@ -16,7 +16,8 @@ DOCUMENT = "doc_id bigint, text string"
 
 def chunks(documents: DataFrame) -> DataFrame:
     """chunk_id, doc_id, text of windows of 500 words that overlap by 50."""
-    w = documents.select("doc_id", F.explode(T.word_windows(T.space_words(F.col("text")), 500, 50)).alias("w"))
+    w = documents.select("doc_id", T.space_words(F.col("text")).alias("words"))
+    w = w.select("doc_id", F.explode(T.word_windows(F.col("words"), 500, 50)).alias("w"))
     return w.select(F.xxhash64("doc_id", "w.start_word").alias("chunk_id"), "doc_id", "w.text")
 
 
