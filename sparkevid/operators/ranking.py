@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,12 +9,10 @@ from ..functions import rules as R
 from ..functions import text as T
 from ..functions import vectors as V
 from ..session import small, stored, top
-from . import index
+from . import index, similarity
 
 TF_CAP = 3
 RUNTIME_BOOST = 5.0
-#: Query vectors that are broadcast at once, on average.
-QUERY_BLOCK = 5000
 
 
 def lexical_scores(chunks: DataFrame, questions: DataFrame, df: DataFrame | None = None, n: int | None = None, posted: DataFrame | None = None) -> DataFrame:
@@ -52,30 +48,21 @@ def keyword_scores(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     return posted.join(small(q), "term").groupBy("qid", "chunk_id").agg(F.sum(F.col("tf") * F.col("qtf")).alias("keyword"))
 
 
-def cosine_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, vec_id, cosine of every stated query with every vector, the queries in blocks of about QUERY_BLOCK vectors."""
-    stated = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    blocks = max(1, -(-stated.count() // QUERY_BLOCK))
-    number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    scored = []
-    for k in range(blocks):
-        block = stated.where(number == k) if blocks > 1 else stated
-        pairs = vectors.join(F.broadcast(block), F.col("vec_id") != F.col("query_id"))
-        scored.append(pairs.select("query_id", "vec_id", F.round(V.cosine(F.col("q"), F.col("embedding")), 6).alias("cosine")))
-    return reduce(DataFrame.unionByName, scored)
-
-
-def hybrid(keyword: DataFrame, vector: DataFrame, keys: tuple[str, str] = ("qid", "chunk_id"), of: DataFrame | None = None) -> DataFrame:
-    """0.7 keyword + 0.3 vector score, each scaled to 0..1 within its question; inner join on both keys.
-
-    A question's bounds are aggregated before the shuffle. ``of``: a table with at least as many rows as there are questions and query
-    vectors, that is cheap to count; the bounds are broadcast if it is small."""
-    rows = keyword.withColumn("keyword", F.col("keyword").cast("double")).join(vector, list(keys))
-    for scores, c in ((keyword, "keyword"), (vector, "cosine")):
-        ends = scores.groupBy(keys[0]).agg(F.min(c).cast("double").alias(f"least_{c}"), F.max(c).cast("double").alias(f"most_{c}"))
-        rows = rows.join(ends if of is None else small(ends, of=of), keys[0])
-    k, v = (V.scaled(F.col(c), F.col(f"least_{c}"), F.col(f"most_{c}")) for c in ("keyword", "cosine"))
-    return rows.select(*keys, F.round(0.7 * k + 0.3 * v, 6).alias("score"))
+def hybrid(keyword: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """qid, chunk_id, score: 0.7 keyword + 0.3 cosine, each scaled to 0..1 within its question, of chunks that have both.
+
+    ``keyword``: qid, chunk_id, keyword; ``vectors`` and ``queries``: vec_id, embedding, the chunk's and the question's id. Cosines are ranged
+    over all vectors by products of blocks, and then computed for the keyword hits alone; keyword bounds are aggregated before
+    the shuffle."""
+    rows = stored(keyword.select("qid", "chunk_id", F.col("keyword").cast("double").alias("keyword")), "keyword")
+    own = rows.groupBy("qid").agg(F.min("keyword").alias("least_keyword"), F.max("keyword").alias("most_keyword"))
+    ends = similarity.bounds(vectors, queries).select(F.col("query_id").alias("qid"), F.col("least").alias("least_cosine"), F.col("most").alias("most_cosine"))
+    of_question = own.join(ends, "qid").join(queries.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), "qid")
+    pairs = rows.where("qid <> chunk_id").join(small(of_question, of=queries), "qid").join(vectors.select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id")
+    cosine = F.round(V.cosine(F.col("q"), F.col("embedding")), 6)
+    k = V.scaled(F.col("keyword"), F.col("least_keyword"), F.col("most_keyword"))
+    v = V.scaled(cosine, F.col("least_cosine"), F.col("most_cosine"))
+    return pairs.select("qid", "chunk_id", F.round(0.7 * k + 0.3 * v, 6).alias("score"))
 
 
 #: Relation, its question pattern, and the word that states it.

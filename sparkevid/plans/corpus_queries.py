@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions import vectors as V
-from ..operators import index, ranking, selection
+from ..operators import index, ranking, selection, similarity
 from ..session import small, spread, table, top
 from .common import CLEAN, CONTENT, CORPUS_QUESTIONS, KEY, PLAIN, SENTENCES, SIGNATURE, TERMS, TOKENS, WORDS, frame, values
 
@@ -167,8 +166,8 @@ cos AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e,
 
 @query(f"WITH {_COS} SELECT query_id, vec_id, cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM cos) WHERE rank <= 10")
 def cosine_topk(spark, sf_dir):
-    v = spread(table(spark, sf_dir, "embeddings"))
-    return top(ranking.cosine_scores(v, v.where("vec_id % 100 = 0")), 10, ["query_id"], F.desc("cosine"), F.asc("vec_id"))
+    v = table(spark, sf_dir, "embeddings")
+    return similarity.nearest(v, v.where("vec_id % 100 = 0"), 10)
 
 
 @query(f"""WITH {_KW}, {_COS}, j AS (SELECT qid, chunk_id, keyword, cosine FROM kw JOIN (SELECT query_id / 100 + 1 AS qid, vec_id AS chunk_id, cosine FROM cos) USING (qid, chunk_id)),
@@ -178,11 +177,10 @@ s AS (SELECT qid, chunk_id, round(0.7 * coalesce(k, 0) + 0.3 * coalesce(v, 0), 6
 SELECT qid, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 5""")
 def hybrid_topk(spark, sf_dir):
     """Question i goes with vector 100 (i - 1); vectors and documents share ids by construction only."""
-    v = spread(table(spark, sf_dir, "embeddings"))
-    cosine = ranking.cosine_scores(v, v.where("vec_id % 100 = 0"))
-    cosine = cosine.select((F.col("query_id") / 100 + 1).cast("long").alias("qid"), F.col("vec_id").alias("chunk_id"), "cosine")
-    scored = ranking.hybrid(ranking.keyword_scores(chunks(spark, sf_dir), questions(spark)), cosine, of=v.where("vec_id % 100 = 0"))
-    return top(scored, 5, ["qid"], F.desc("score"), F.asc("chunk_id"))
+    v = table(spark, sf_dir, "embeddings")
+    keyword = ranking.keyword_scores(chunks(spark, sf_dir), questions(spark)).withColumn("qid", (F.col("qid") - 1) * 100)
+    scored = ranking.hybrid(keyword, v, v.where("vec_id % 100 = 0"))
+    return top(scored.withColumn("qid", (F.col("qid") / 100 + 1).cast("long")), 5, ["qid"], F.desc("score"), F.asc("chunk_id"))
 
 
 @query(f"""SELECT any_value(lang) AS lang, min(doc_id) AS doc_id, md5({KEY.format("text")}) AS key FROM documents GROUP BY {KEY.format("text")}, lang""")

@@ -136,19 +136,11 @@ def test_streamed_ingestion_equals_a_rebuild(spark, tmp_path):
 
 
 def test_any_number_of_query_vectors(spark, monkeypatch):
-    from sparkevid.operators import ranking
+    from sparkevid.operators import similarity
 
-    r = random.Random(1)
-    v = spark.createDataFrame([(i, [r.random(), r.random()]) for i in range(40)], "vec_id long, embedding array<float>")
-    q = v.where("vec_id % 4 = 0")
-    want = sorted(map(tuple, ranking.cosine_scores(v, q).collect()))
-    monkeypatch.setattr(ranking, "QUERY_BLOCK", 3)
-    assert sorted(map(tuple, ranking.cosine_scores(v, q).collect())) == want and len(want) == 390
-    monkeypatch.undo()
     many = spark.range(10_001).selectExpr("id AS vec_id", "array(1.0F, CAST(id AS FLOAT)) AS embedding")
-    got = ranking.cosine_scores(many.where("vec_id < 2"), many)
+    got = similarity.nearest(many.where("vec_id < 2"), many, 2)
     assert got.groupBy("query_id").count().count() == 10_001
-    assert ranking.cosine_scores(v, v.limit(0)).collect() == []
 
 
 def test_json_array_round_trip(spark, tmp_path):
