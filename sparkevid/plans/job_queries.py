@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from jobs import evaluate_retrieval, ingest_index
 
-from ..operators import evaluation, inverted
+from ..operators import evaluation, inverted, metrics
 from ..session import folder, table
 from .common import CONTENT, CORPUS_QUESTIONS, KEY, PLAIN, TOKENS, WORDS, frame, values
 
@@ -112,3 +112,16 @@ SELECT category, count(*) AS cases, count(*) FILTER (b AND n) AS "both", count(*
 def paired_systems(spark, sf_dir):
     """Cases that both, one or neither system got right."""
     return evaluation.paired(results(spark, sf_dir), "keyword", "lexical")
+
+
+@query(f"WITH {_CASES} SELECT category, count(*) FILTER (system = 'keyword' AND good) AS keyword, count(*) FILTER (system = 'lexical' AND good) AS lexical FROM results GROUP BY category")
+def system_comparison(spark, sf_dir):
+    """Right cases by category, a column for each system."""
+    return results(spark, sf_dir).groupBy("category").pivot("system", ["keyword", "lexical"]).agg(F.count_if(metrics.right()))
+
+
+@query(f"WITH {_CASES} SELECT system, reason, string_agg(qid::VARCHAR, ',' ORDER BY qid) AS ids FROM results WHERE reason IS NOT NULL GROUP BY ALL")
+def failure_groups(spark, sf_dir):
+    """A failure's list of cases is the report itself; there are two cases for each benchmark passage."""
+    r = results(spark, sf_dir).where("reason is not null").groupBy("system", "reason").agg(F.sort_array(F.collect_list("qid")).alias("ids"))
+    return r.select("system", "reason", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))

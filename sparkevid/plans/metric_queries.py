@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..session import small, spread, table
-from .common import frame, literal, values
+from .common import literal, of_documents, of_documents_sql
 
 QUERIES, ORACLE = {}, {}
 
@@ -26,14 +26,13 @@ CASES = [
     (4, True, ["red fox", "blue hen"], ["red", "hen"], "all_terms_anywhere", None), (5, True, ["red fox"], ["red", "hen"], "all_terms_anywhere", None), (6, False, ["x", "y"], ["zeta"], "any_term", None),
     (7, False, ["x", "zeta"], ["zeta"], "any_term", 2), (8, False, ["zeta"], ["zeta"], "any_term", None), (9, True, [], ["zeta"], "any_term", None), (10, True, ["Zeta!"], ["zeta"], "any_term", None),
 ]
-CS = values([c for c in CASES if c[2]], "id, supported, hits, terms, mode, contradiction_rank")
+CS = of_documents_sql(CASES, "id, supported, hits, terms, mode, contradiction_rank")
 _RANK = """list_min(list_filter(list_transform(range(1, len(hits) + 1), lambda i: CASE WHEN len(list_filter(terms, lambda t: contains(lower(hits[i]), lower(t)))) > 0 THEN i END), lambda p: p IS NOT NULL))"""
-_CASES = f"""c AS (SELECT id, supported, contradiction_rank, CASE WHEN mode = 'any_term' OR len(list_filter(terms, lambda t: NOT contains(lower(array_to_string(hits, ' ')), lower(t)))) = 0 THEN {_RANK} END AS support_rank FROM {CS}
-UNION ALL SELECT 9, true, NULL, NULL)"""
+_CASES = f"""c AS (SELECT id, supported, contradiction_rank, CASE WHEN mode = 'any_term' OR len(list_filter(terms, lambda t: NOT contains(lower(array_to_string(hits, ' ')), lower(t)))) = 0 THEN {_RANK} END AS support_rank FROM {CS})"""
 
 
-def _cases(spark):
-    c = frame(spark, CASES, "id long, supported boolean, hits array<string>, terms array<string>, mode string, contradiction_rank int")
+def _cases(spark, sf_dir):
+    c = of_documents(spark, sf_dir, CASES, "id long, supported boolean, hits array<string>, terms array<string>, mode string, contradiction_rank int")
     hits, terms = F.col("hits"), F.col("terms")
     rank = F.when((F.col("mode") == "any_term") | M.all_terms_anywhere(hits, terms), M.any_term_rank(hits, terms))
     return c.select("id", "supported", "contradiction_rank", rank.alias("support_rank"))
@@ -41,7 +40,7 @@ def _cases(spark):
 
 @query(f"WITH {_CASES} SELECT id, support_rank FROM c")
 def case_support(spark, sf_dir):
-    return _cases(spark).select("id", "support_rank")
+    return _cases(spark, sf_dir).select("id", "support_rank")
 
 
 @query(
@@ -50,7 +49,7 @@ SELECT count(*) AS cases, {", ".join(f"round(coalesce(avg(CASE WHEN coalesce(sup
 round(avg(good::INT), 4) AS accuracy_at_5, round(avg(good::INT) FILTER (NOT supported), 4) AS rejection_at_5, round(avg(1 / support_rank) FILTER (supported), 4) AS mrr_found, round(avg(coalesce(1 / support_rank, 0)) FILTER (supported), 4) AS mrr_all FROM r"""
 )
 def recall_mrr(spark, sf_dir):
-    return M.retrieval_summary(_cases(spark))
+    return M.retrieval_summary(_cases(spark, sf_dir))
 
 
 @query(
@@ -92,40 +91,33 @@ RESULTS = [
     (1, "fact", True, True, True, 0.8, None), (2, "fact", True, False, False, 1.2, None), (3, "fact", False, False, True, 0.4, None), (4, "cause", True, True, False, 2.6, None), (5, "cause", False, True, True, 0.9, None),
     (6, "cause", True, False, False, 3.0, "timeout"), (7, "process", False, False, True, 0.2, None), (8, "process", True, True, True, 1.1, None),
 ]
-RS = values(RESULTS, "id, category, expected, actual, content, latency, error")
+RS = of_documents_sql(RESULTS, "id, category, expected, actual, content, latency, error")
 _V = "CASE WHEN error IS NOT NULL THEN 'api_error' WHEN expected AND NOT actual THEN 'false_rejection' WHEN expected AND NOT content THEN 'wrong_content' WHEN NOT expected AND actual THEN 'false_support' END"
 
 
-def results(spark):
-    r = frame(spark, RESULTS, "id long, category string, expected boolean, actual boolean, content boolean, latency double, error string")
+def results(spark, sf_dir):
+    r = of_documents(spark, sf_dir, RESULTS, "id long, category string, expected boolean, actual boolean, content boolean, latency double, error string")
     return r.withColumn("reason", M.verdict(F.col("error"), F.col("expected"), F.col("actual"), F.col("content")))
 
 
 @query(f"SELECT id, {_V} AS reason FROM {RS}")
 def case_verdict(spark, sf_dir):
-    return results(spark).select("id", "reason")
+    return results(spark, sf_dir).select("id", "reason")
 
 
 @query(f"WITH r AS (SELECT *, {_V} AS reason FROM {RS}) SELECT coalesce(category, '(all)') AS category, count(*) AS cases, count(*) FILTER (reason IS NULL) AS passed FROM r GROUP BY ROLLUP (category)")
 def category_rollup(spark, sf_dir):
-    r = results(spark).rollup("category").agg(F.count("*").alias("cases"), F.count_if(F.col("reason").isNull()).alias("passed"))
+    r = results(spark, sf_dir).rollup("category").agg(F.count("*").alias("cases"), F.count_if(F.col("reason").isNull()).alias("passed"))
     return r.select(F.coalesce("category", F.lit("(all)")).alias("category"), "cases", "passed")
 
 
-@query(f"WITH r AS (SELECT *, {_V} AS reason FROM {RS}) SELECT reason, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM r WHERE reason IS NOT NULL GROUP BY reason")
-def failure_groups(spark, sf_dir):
-    """A failure's list of ids is the report itself."""
-    r = results(spark).where("reason is not null").groupBy("reason").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    return r.select("reason", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
-
-
 @query(
     f"""WITH r AS (SELECT *, {_V} AS reason FROM {RS})
 SELECT round(avg((reason IS NULL)::INT) FILTER (expected), 4) AS supported_correct, round(avg((NOT actual)::INT) FILTER (NOT expected), 4) AS rejection, round(avg((actual)::INT) FILTER (NOT expected), 4) AS false_support,
 round(avg((NOT actual)::INT) FILTER (expected), 4) AS false_rejection, round(avg(latency), 4) AS latency_mean, round(quantile_cont(latency, 0.5), 4) AS latency_p50, count(*) FILTER (latency > 2.5) AS slow FROM r"""
 )
 def reliability(spark, sf_dir):
-    r, e, a = results(spark), F.col("expected"), F.col("actual")
+    r, e, a = results(spark, sf_dir), F.col("expected"), F.col("actual")
     return r.agg(
         M.rate(F.col("reason").isNull(), e).alias("supported_correct"), M.rate(~a, ~e).alias("rejection"), M.rate(a, ~e).alias("false_support"), M.rate(~a, e).alias("false_rejection"),
         F.round(F.avg("latency"), 4).alias("latency_mean"), F.round(F.percentile("latency", 0.5), 4).alias("latency_p50"), F.count_if(F.col("latency") > 2.5).alias("slow"),
@@ -155,15 +147,6 @@ def profile_runs(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("runs"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.min("value"), 4).alias("least"), F.round(F.max("value"), 4).alias("most"))
 
 
-SYSTEMS = [(c, s, k, (c * 3 + k + (s == "new")) % 4 > 0) for c in (1, 2, 3) for s in ("base", "new") for k in range(4)]
-
-
-@query(f"SELECT category, count(*) FILTER (system = 'base' AND passed) AS base, count(*) FILTER (system = 'new' AND passed) AS new FROM {values(SYSTEMS, 'category, system, k, passed')} GROUP BY category")
-def system_comparison(spark, sf_dir):
-    s = frame(spark, SYSTEMS, "category int, system string, k int, passed boolean")
-    return s.groupBy("category").pivot("system", ["base", "new"]).agg(F.count_if("passed"))
-
-
 CHECKS = [
     (1, "Salt and iron were traded in 1902.", ["salt", "1902"], ["iron", "wool"], ["gold"], [["salt", "rope"], ["1902"]]), (2, "Salt only.", ["salt"], ["iron"], ["gold"], [["iron"], ["salt"]]),
     (3, "Gold and salt.", ["salt"], ["salt"], ["gold"], [["gold"]]), (4, "Wool.", ["wool"], ["wool"], ["salt"], [["rope", "wool"]]),
@@ -172,17 +155,17 @@ CHECKS = [
 
 @query(
     f"""SELECT id, len(list_filter(a, lambda t: NOT contains(lower(s), lower(t)))) = 0 AND len(list_filter(b, lambda t: contains(lower(s), lower(t)))) > 0 AND len(list_filter(c, lambda t: contains(lower(s), lower(t)))) = 0 AS content,
-len(list_filter(g, lambda x: len(list_filter(x, lambda t: contains(lower(s), lower(t)))) = 0)) = 0 AS held_out FROM {values(CHECKS, "id, s, a, b, c, g")}"""
+len(list_filter(g, lambda x: len(list_filter(x, lambda t: contains(lower(s), lower(t)))) = 0)) = 0 AS held_out FROM {of_documents_sql(CHECKS, "id, s, a, b, c, g")}"""
 )
 def content_check(spark, sf_dir):
-    c = frame(spark, CHECKS, "id long, s string, a array<string>, b array<string>, c array<string>, g array<array<string>>")
+    c = of_documents(spark, sf_dir, CHECKS, "id long, s string, a array<string>, b array<string>, c array<string>, g array<array<string>>")
     return c.select("id", M.content_check(F.col("s"), F.col("a"), F.col("b"), F.col("c")).alias("content"), M.groups_satisfied(F.col("s"), F.col("g")).alias("held_out"))
 
 
 @query(f"SELECT round(coalesce(avg((NOT actual)::INT) FILTER (category IN ('fact', 'cause') AND NOT expected), 0), 4) AS false_premise_rejection, round(coalesce(avg(actual::INT) FILTER (expected), 0), 4) AS acceptance, round(coalesce(avg(actual::INT) FILTER (category = 'none'), 0), 4) AS of_none FROM {RS}")
 def premise_rates(spark, sf_dir):
     a, e, c = F.col("actual"), F.col("expected"), F.col("category")
-    return results(spark).agg(M.rate(~a, c.isin("fact", "cause") & ~e).alias("false_premise_rejection"), M.rate(a, e).alias("acceptance"), M.rate(a, c == "none").alias("of_none"))
+    return results(spark, sf_dir).agg(M.rate(~a, c.isin("fact", "cause") & ~e).alias("false_premise_rejection"), M.rate(a, e).alias("acceptance"), M.rate(a, c == "none").alias("of_none"))
 
 
 @query("SELECT l.doc_id, l.source AS left_source, r.source AS right_source FROM (SELECT doc_id // 2 AS k, * FROM documents WHERE doc_id % 2 = 0) l JOIN (SELECT doc_id // 2 AS k, * FROM documents WHERE doc_id % 2 = 1) r USING (k)")
@@ -212,11 +195,9 @@ def table_stats(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-VOTES = [(1, 1), (2, -1), (3, 0), (4, 5), (5, None)]
-
-
-@query(f"SELECT id, CASE WHEN v IN (-1, 0, 1) THEN v ELSE 0 END AS vote FROM {values(VOTES, 'id, v')}")
+@query("SELECT event_id AS id, CASE WHEN v IN (-1, 0, 1) THEN v ELSE 0 END AS vote FROM (SELECT event_id, CASE WHEN event_id % 11 > 0 THEN event_id % 7 - 3 END AS v FROM events)")
 def feedback_votes(spark, sf_dir):
     from ..sources.exports import vote
 
-    return frame(spark, VOTES, "id long, v int").select("id", vote(F.col("v")).alias("vote"))
+    v = F.when(F.col("event_id") % 11 > 0, (F.col("event_id") % 7 - 3).cast("int"))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), vote(v).alias("vote"))

@@ -1,4 +1,5 @@
-"""Queries over written fixtures: the rules need words that the driver's invented corpus lacks."""
+"""Queries of the rules. The driver's documents are of invented words, so each document fills one of some written patterns with its own
+words (``of_documents``), and the rules run over these; their SQL does the same."""
 
 from __future__ import annotations
 
@@ -11,7 +12,7 @@ from ..functions import text as T
 from ..operators import answering, etl, gates, ranking, selection, synthesis
 from ..operators import questions as Q
 from ..session import spread, table
-from .common import KEY, PLAIN, SENTENCES, TERMS, WORDS, frame, literal, values
+from .common import KEY, PLAIN, SENTENCES, TERMS, WORDS, frame, literal, of_documents, of_documents_sql, values
 
 QUERIES, ORACLE = {}, {}
 
@@ -34,14 +35,14 @@ QUESTIONS = [
     (19, "What were the effects of the long drought on river trade and why did it end?"), (20, "What is the population of Port Ansel?"), (21, "  Describe the changes in   river trade  "), (22, "How did the Harbor Charter limit the League?"),
     (23, "Write a poem about rivers"), (24, "Salt"), (25, "What caused the long drought?"), (26, "When was the Tide Atlas published?"), (27, "How was the drought responsible for hunger?"), (28, "Mills versus presses"),
 ]
-QS = values(QUESTIONS, "qid, question")
+QS = of_documents_sql(QUESTIONS, "qid, question")
 _N = "trim(regexp_replace(question, '[ \\t\\n]+', ' ', 'g'))"
 _L = f"lower({_N})"
 _B = f"regexp_replace({_N}, '[?.!]+$', '')"
 
 
-def asked(spark):
-    return frame(spark, QUESTIONS, "qid long, question string")
+def asked(spark, sf_dir):
+    return of_documents(spark, sf_dir, QUESTIONS, "qid long, question string")
 
 
 def _clean(sql: str) -> str:
@@ -54,7 +55,7 @@ def _simple(name: str, columns: Callable[[], dict], sql: dict[str, str]) -> None
     """A query of one expression a column over the fixture questions."""
 
     def run(spark, sf_dir):
-        return asked(spark).select("qid", *(c.alias(k) for k, c in columns().items()))
+        return asked(spark, sf_dir).select("qid", *(c.alias(k) for k, c in columns().items()))
 
     run.__name__ = name
     query(f"SELECT qid, {', '.join(f'{v} AS {k}' for k, v in sql.items())} FROM {QS}")(run)
@@ -117,7 +118,7 @@ plans AS (SELECT *, {R.template_sql("intent", Q.CANONICAL, subject="subject", le
 
 @query(f'WITH {_PLAN} SELECT qid, intent, subject, "left", "right", canonical FROM plans')
 def question_plan(spark, sf_dir):
-    return Q.plan(asked(spark)).drop("question")
+    return Q.plan(asked(spark, sf_dir)).drop("question")
 
 
 @query(
@@ -128,20 +129,20 @@ i AS (SELECT qid, 1 AS query_rank, true AS is_primary, {_N} AS query FROM plans
 SELECT qid, query_rank, is_primary, query FROM (SELECT *, row_number() OVER (PARTITION BY qid, lower(query) ORDER BY query_rank) AS r FROM i WHERE query IS NOT NULL AND query <> '') WHERE r = 1"""
 )
 def query_expand(spark, sf_dir):
-    return Q.expanded(Q.plan(asked(spark)))
+    return Q.expanded(Q.plan(asked(spark, sf_dir)))
 
 
 @query(f"WITH {_PLAN} SELECT intent, count(*) AS n FROM plans GROUP BY intent")
 def type_counts(spark, sf_dir):
-    return Q.plan(asked(spark)).groupBy("intent").agg(F.count("*").alias("n"))
+    return Q.plan(asked(spark, sf_dir)).groupBy("intent").agg(F.count("*").alias("n"))
 
 
 EFFECTS = [(1, "the Velan League fell"), (2, "Port Ansel collapsed"), (3, "the League's fall"), (4, "river trade")]
 
 
-@query(f"SELECT id, {_effect_sql('s')} AS subject FROM {values(EFFECTS, 'id, s')}")
+@query(f"SELECT id, {_effect_sql('s')} AS subject FROM {of_documents_sql(EFFECTS, 'id, s')}")
 def effect_rewrite(spark, sf_dir):
-    return frame(spark, EFFECTS, "id long, s string").select("id", Q.effect_subject(F.col("s")).alias("subject"))
+    return of_documents(spark, sf_dir, EFFECTS, "id long, s string").select("id", Q.effect_subject(F.col("s")).alias("subject"))
 
 
 _SHORT = "trim(regexp_replace(lower(s), ' (?:empire|kingdom|republic|state)$', ''))"
@@ -149,19 +150,22 @@ NAMES = [(1, "  : the Velan Empire??"), (2, "explain a Tidal gate."), (3, "Orsk
 
 
 @query(f"""SELECT id, {_clean("s")} AS subject, trim(regexp_replace({_clean("s")}, '(?i)^(?:the|a|an) +', '')) AS bare, upper(left(s, 1)) || substring(s, 2) AS capital,
-CASE WHEN lower(s) = {_SHORT} THEN lower(s) ELSE lower(s) || '|' || {_SHORT} END AS terms FROM {values(NAMES, "id, s")}""")
+CASE WHEN lower(s) = {_SHORT} THEN lower(s) ELSE lower(s) || '|' || {_SHORT} END AS terms FROM {of_documents_sql(NAMES, "id, s")}""")
 def subject_cleanup(spark, sf_dir):
     s = F.col("s")
-    d = frame(spark, NAMES, "id long, s string")
+    d = of_documents(spark, sf_dir, NAMES, "id long, s string")
     return d.select("id", T.clean_subject(s).alias("subject"), T.without_article(s).alias("bare"), T.capitalized(s).alias("capital"), F.array_join(T.entity_terms(s), "|").alias("terms"))
 
 
-LISTS = [(1, []), (2, ["salt"]), (3, ["salt", "iron"]), (4, ["salt", "iron", "wool", "rope"])]
+_ITEMS = "regexp_extract_all(text, '[A-Za-z]{4,12}')[1:doc_id % 5]"
 
 
-@query(f"SELECT id, CASE len(x) WHEN 0 THEN NULL WHEN 1 THEN x[1] WHEN 2 THEN x[1] || ' and ' || x[2] ELSE array_to_string(x[:len(x) - 1], ', ') || ', and ' || x[len(x)] END AS said FROM {values([(i, x) for i, x in LISTS if x], 'id, x')} UNION ALL SELECT 1, NULL")
+@query(f"SELECT doc_id AS id, CASE len(x) WHEN 0 THEN NULL WHEN 1 THEN x[1] WHEN 2 THEN x[1] || ' and ' || x[2] ELSE array_to_string(x[:len(x) - 1], ', ') || ', and ' || x[len(x)] END AS said FROM (SELECT doc_id, {_ITEMS} AS x FROM documents)")
 def natural_join(spark, sf_dir):
-    return frame(spark, LISTS, "id long, x array<string>").select("id", T.natural_list(F.col("x")).alias("said"))
+    """Lists of none to four words of each document."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.regexp_extract_all("text", F.lit("[A-Za-z]{4,12}"), F.lit(0)).alias("w"))
+    d = d.select("id", F.slice("w", F.lit(1), (F.col("id") % 5).cast("int")).alias("x"))
+    return d.select("id", T.natural_list(F.col("x")).alias("said"))
 
 
 @query(f"SELECT doc_id, CASE WHEN len({WORDS.format('text')}) <= 32 THEN md5(text) ELSE md5(regexp_replace(array_to_string(({WORDS.format('text')})[1:32], ' '), '[,;:. ]+$', '') || '.') END AS digest FROM documents")
@@ -182,11 +186,11 @@ CONTEXTS = [
     (10, "Why did it end?", "aaaaaaaa", "aaaaaaaaaaaa"),
     (11, "When was the Guild established?", "The Guild was established in 1880.", "1880"), (12, "When was the film released?", "The film was released in 1951.", "1951"),
 ]
-CS = values(CONTEXTS, "qid, question, context, answer")
+CS = of_documents_sql(CONTEXTS, "qid, question, context, answer")
 
 
-def contexts(spark):
-    return frame(spark, CONTEXTS, "qid long, question string, context string, answer string")
+def contexts(spark, sf_dir):
+    return of_documents(spark, sf_dir, CONTEXTS, "qid long, question string, context string, answer string")
 
 
 def _extract_sql(q: str, c: str) -> str:
@@ -200,7 +204,7 @@ def _extract_sql(q: str, c: str) -> str:
 
 @query(f"SELECT qid, {_extract_sql('question', 'context')} AS answer FROM {CS}")
 def rule_extract(spark, sf_dir):
-    return contexts(spark).select("qid", synthesis.rule_extract(_q(), F.col("context")).alias("answer"))
+    return contexts(spark, sf_dir).select("qid", synthesis.rule_extract(_q(), F.col("context")).alias("answer"))
 
 
 def _confidence_sql() -> str:
@@ -215,7 +219,7 @@ def _confidence_sql() -> str:
 
 @query(f"SELECT qid, {_confidence_sql()}::DOUBLE AS confidence FROM {CS}")
 def extract_confidence(spark, sf_dir):
-    return contexts(spark).select("qid", gates.extraction_confidence(_q(), F.col("context"), F.col("answer")).alias("confidence"))
+    return contexts(spark, sf_dir).select("qid", gates.extraction_confidence(_q(), F.col("context"), F.col("answer")).alias("confidence"))
 
 
 def _bonus_sql(born: float, other: float, stage: int) -> str:
@@ -242,22 +246,22 @@ def _bonus_sql(born: float, other: float, stage: int) -> str:
 @query(f"SELECT qid, ({_bonus_sql(40, 36, 1)})::DOUBLE AS factual, ({_bonus_sql(30, 24, 2)})::DOUBLE AS pattern FROM {CS}")
 def candidate_bonus(spark, sf_dir):
     c = F.col("context")
-    return contexts(spark).select("qid", ranking.factual_bonus(_q(), c).alias("factual"), ranking.pattern_bonus(_q(), c).alias("pattern"))
+    return contexts(spark, sf_dir).select("qid", ranking.factual_bonus(_q(), c).alias("factual"), ranking.pattern_bonus(_q(), c).alias("pattern"))
 
 
 @query(
-    f"""WITH h AS (SELECT a.qid, b.qid AS chunk_id, a.question, b.context, len(list_intersect({TERMS.format("a.question")}, {TERMS.format("b.context")}))::DOUBLE AS lexical FROM {CS.replace("AS v(", "AS a(")} CROSS JOIN {CS.replace("AS v(", "AS b(")}),
+    f"""WITH h AS (SELECT a.qid, b.qid AS chunk_id, a.question, b.context, len(list_intersect({TERMS.format("a.question")}, {TERMS.format("b.context")}))::DOUBLE AS lexical FROM {of_documents_sql(CONTEXTS, "qid, question, context, answer", "a")} JOIN {of_documents_sql(CONTEXTS, "qid, question, context, answer", "b")} ON a.qid // 12 = b.qid // 12),
 s AS (SELECT qid, chunk_id, lexical, lexical + {_bonus_sql(40, 36, 1)} AS score, question, context FROM h WHERE lexical > 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, lexical DESC, chunk_id) AS r FROM s),
 f AS (SELECT qid, chunk_id, lexical, score + {_bonus_sql(30, 24, 2)} AS final FROM k WHERE r <= 20)
 SELECT qid, chunk_id, final, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY final DESC, lexical DESC, chunk_id) AS rank FROM f) WHERE rank <= 5"""
 )
 def rerank_topk(spark, sf_dir):
-    """Candidates share a term with their question, which is an equi-join, then two bonus stages."""
-    c = contexts(spark)
-    a = c.select("qid", "question", F.explode(T.terms(_q())).alias("term"))
-    b = c.select(F.col("qid").alias("chunk_id"), F.col("context").alias("text"), F.explode(T.terms(F.col("context"))).alias("term"))
-    hits = a.join(b, "term").groupBy("qid", "question", "chunk_id", "text").agg(F.count("*").cast("double").alias("lexical"))
+    """Candidates are of their question's dozen and share a term with it, which is an equi-join, then two bonus stages."""
+    c = contexts(spark, sf_dir).withColumn("dozen", F.floor(F.col("qid") / 12))
+    a = c.select("dozen", "qid", "question", F.explode(T.terms(_q())).alias("term"))
+    b = c.select("dozen", F.col("qid").alias("chunk_id"), F.col("context").alias("text"), F.explode(T.terms(F.col("context"))).alias("term"))
+    hits = a.join(b, ["dozen", "term"]).groupBy("qid", "question", "chunk_id", "text").agg(F.count("*").cast("double").alias("lexical"))
     hits = hits.withColumn("score", F.col("lexical") + ranking.factual_bonus(_q(), F.col("text")))
     return ranking.reranked(ranking.candidates(hits)).select("qid", "chunk_id", "final", "rank")
 
@@ -271,7 +275,7 @@ SELECT qid, round(coverage, 6) AS coverage, round(best, 6) AS best_overlap, stro
 )
 def support_confidence(spark, sf_dir):
     r = gates.reasoning_support(_q(), T.sentences(F.col("context")), F.lit(30.0))
-    return contexts(spark).select("qid", *(c.cast("long").alias(k) if k == "strong" else c.alias(k) for k, c in r.items()))
+    return contexts(spark, sf_dir).select("qid", *(c.cast("long").alias(k) if k == "strong" else c.alias(k) for k, c in r.items()))
 
 
 _TRACE = "list_distinct(list_filter(regexp_extract_all(lower({}), '[a-z0-9]{{3,}}'), lambda w: NOT list_contains(" + literal(gates.UNTRACED) + ", w)))"
@@ -279,7 +283,7 @@ _TRACE = "list_distinct(list_filter(regexp_extract_all(lower({}), '[a-z0-9]{{3,}
 
 @query(f"SELECT qid, coalesce(trim(answer) <> '' AND len(list_intersect({_TRACE.format('answer')}, {_TRACE.format('context')})) >= CASE WHEN len({_TRACE.format('answer')}) <= 4 THEN 1 ELSE 2 END, false) AS traceable FROM {CS}")
 def traceability(spark, sf_dir):
-    return contexts(spark).select("qid", F.coalesce(gates.traceable(F.col("answer"), F.array("context")), F.lit(False)).alias("traceable"))
+    return contexts(spark, sf_dir).select("qid", F.coalesce(gates.traceable(F.col("answer"), F.array("context")), F.lit(False)).alias("traceable"))
 
 
 @query(
@@ -289,7 +293,7 @@ length(question) BETWEEN 10 AND 200 AND length(answer) BETWEEN 3 AND 220 AND len
 )
 def example_filter(spark, sf_dir):
     a, c = F.col("answer"), F.col("context")
-    return contexts(spark).where("answer is not null").select("qid", gates.grounded(a, c).alias("grounded"), F.round(gates.answer_overlap(a, c), 6).alias("overlap"), gates.example_kept(_q(), a).alias("kept"))
+    return contexts(spark, sf_dir).where("answer is not null").select("qid", gates.grounded(a, c).alias("grounded"), F.round(gates.answer_overlap(a, c), 6).alias("overlap"), gates.example_kept(_q(), a).alias("kept"))
 
 
 FACTS = [
@@ -297,11 +301,11 @@ FACTS = [
     (3, "Port Ansel was named after Ansel Roe. The mill closed because the river ran dry for many years. The Tide Atlas was published in 1910."), (4, "Nothing is stated here at all, really nothing. The old gate opened in 1888."),
     (5, "The Harbor Board was founded in 1902. The shortage was caused by a shift of the winds over the sea."),
 ]
-FS = values(FACTS, "doc_id, text")
+FS = of_documents_sql(FACTS, "doc_id, text")
 
 
-def facts(spark):
-    return frame(spark, FACTS, "doc_id long, text string")
+def facts(spark, sf_dir):
+    return of_documents(spark, sf_dir, FACTS, "doc_id long, text string")
 
 
 def _trim_sql(c: str) -> str:
@@ -326,14 +330,14 @@ m AS (SELECT doc_id, idx, context, {_mined_sql("s")} AS m FROM c),
 e AS (SELECT doc_id, idx, m.type AS type, m.question AS question, m.answer AS answer, context FROM m WHERE m IS NOT NULL AND contains(lower(context), lower(m.answer)))"""
 
 
-@query(f"WITH {_MINED} SELECT doc_id, idx, type, question, answer FROM (SELECT *, row_number() OVER (PARTITION BY lower(question), lower(answer) ORDER BY doc_id, idx) AS r FROM e) WHERE r = 1")
+@query(f"WITH {_MINED} SELECT doc_id, idx, type, question, answer FROM (SELECT *, row_number() OVER (PARTITION BY lower(question), lower(answer) ORDER BY doc_id, idx) AS r FROM (SELECT * FROM e ORDER BY doc_id, idx LIMIT {etl.CAP})) WHERE r = 1")
 def qa_mine(spark, sf_dir):
-    return etl.first_examples(etl.examples(facts(spark), "doc_id"), "doc_id").drop("context")
+    return etl.first_examples(etl.examples(facts(spark, sf_dir), "doc_id"), "doc_id").drop("context")
 
 
 @query(f"WITH {_MINED} SELECT doc_id, idx, type, md5('<CONTEXT>' || chr(10) || context || chr(10) || '<QUESTION>' || chr(10) || question || chr(10) || '<ANSWER>' || chr(10) || answer) AS prompt FROM e WHERE list_contains({literal(list(etl.ALLOWED))}, type)")
 def qa_prompts(spark, sf_dir):
-    e = etl.filtered(etl.examples(facts(spark), "doc_id"))
+    e = etl.filtered(etl.examples(facts(spark, sf_dir), "doc_id"))
     return e.select("doc_id", "idx", "type", F.md5(etl.prompt(F.col("context"), F.col("question"), F.col("answer"))).alias("prompt"))
 
 
@@ -347,12 +351,12 @@ def _reasons_sql(s: str) -> str:
 
 @query(f"""WITH {_MINED.replace(_mined_sql("s"), _reasons_sql("s")).replace("1200", "1400")} SELECT doc_id, idx, type, question, answer FROM e""")
 def why_mine(spark, sf_dir):
-    return etl.examples(facts(spark), "doc_id", etl.reasons, 1400).drop("context")
+    return etl.examples(facts(spark, sf_dir), "doc_id", etl.reasons, 1400).drop("context")
 
 
 @query(f"SELECT type, count(*) AS n FROM (WITH {_MINED} SELECT type FROM e) GROUP BY type")
 def qa_type_counts(spark, sf_dir):
-    return etl.examples(facts(spark), "doc_id").groupBy("type").agg(F.count("*").alias("n"))
+    return etl.examples(facts(spark, sf_dir), "doc_id").groupBy("type").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, i, length(trim(text)) > 0 AS has_response FROM documents, (SELECT unnest([1, 2, 3]) AS i) WHERE length(trim(text)) > 0")
@@ -378,20 +382,20 @@ EVIDENCE = [
 ]
 
 
-@query("SELECT * FROM (VALUES (1, true), (2, true), (3, true), (4, false), (6, true)) AS v(qid, conflict)")
+@query(f"SELECT qid, conflict FROM {of_documents_sql([(1, True), (2, True), (3, True), (4, False), (5, None), (6, True)], 'qid, conflict')} WHERE conflict IS NOT NULL")
 def conflict_pairs(spark, sf_dir):
     """Number, directive, identifier, none, none within the score's range (so no pair), polarity."""
-    s = frame(spark, EVIDENCE, "qid long, question string, rank int, score double, text string")
+    s = of_documents(spark, sf_dir, EVIDENCE, "qid long, question string, rank int, score double, text string")
     return gates.conflicts(gates.evidence_pairs(s))
 
 
 @query(
-    f"""WITH s AS (SELECT *, max(score) OVER (PARTITION BY qid) AS m FROM {values(EVIDENCE, "qid, question, rank, score, text")}),
+    f"""WITH s AS (SELECT *, max(score) OVER (PARTITION BY qid) AS m FROM {of_documents_sql(EVIDENCE, "qid, question, rank, score, text")}),
 g AS (SELECT * FROM s WHERE score >= 0.7 * m AND len(list_intersect({_TRACE.format("question")}, {_TRACE.format("text")})) > 0)
 SELECT a.qid, a.text AS left_text, b.text AS right_text FROM g a JOIN g b ON a.qid = b.qid AND a.rank < b.rank"""
 )
 def evidence_pairs(spark, sf_dir):
-    return gates.evidence_pairs(frame(spark, EVIDENCE, "qid long, question string, rank int, score double, text string"))
+    return gates.evidence_pairs(of_documents(spark, sf_dir, EVIDENCE, "qid long, question string, rank int, score double, text string"))
 
 
 GATES = [
@@ -406,18 +410,24 @@ def _marks_sql() -> str:
     return f"CASE intent {cases} ELSE true END"
 
 
-@query(f"SELECT intent, subject, sentence, len({TERMS.format('subject')}) > 0 AND len(list_intersect({TERMS.format('sentence')}, {TERMS.format('subject')})) >= least(2, len({TERMS.format('subject')})) AS mentioned, {_marks_sql()} AS supported FROM {values(GATES, 'intent, subject, sentence')}")
+_GATES = [(i, *g) for i, g in enumerate(GATES)]
+
+
+@query(f"SELECT id, intent, subject, sentence, len({TERMS.format('subject')}) > 0 AND len(list_intersect({TERMS.format('sentence')}, {TERMS.format('subject')})) >= least(2, len({TERMS.format('subject')})) AS mentioned, {_marks_sql()} AS supported FROM {of_documents_sql(_GATES, 'id, intent, subject, sentence')}")
 def sentence_gates(spark, sf_dir):
-    g = frame(spark, GATES, "intent string, subject string, sentence string")
+    g = of_documents(spark, sf_dir, _GATES, "id long, intent string, subject string, sentence string")
     return g.select("*", selection.mentions(F.col("sentence"), F.col("subject")).alias("mentioned"), gates.intent_supported(F.col("sentence"), F.col("intent")).alias("supported"))
 
 
 COUNTS = [(a, b, c, d, i) for a in (1, 2, 3) for b in (1, 2) for c in (0, 1) for d in (0, 1) for i in ("cause", "general")]
 
 
-@query(f"SELECT *, merged >= 2 AND selected >= 2 AND with_subject >= 1 AND (intent IN ('general', 'comparison') OR with_intent >= 1) AS sufficient, merged >= 3 AND selected >= 2 AS side_sufficient, round(0.45 * with_subject + 0.40 * with_intent + 0.15 * least(1.0, selected / 3), 6)::DOUBLE AS fall_score, round(0.50 * with_subject + 0.35 * with_intent + 0.15 * least(1.0, selected / 3), 6)::DOUBLE AS side_score FROM {values(COUNTS, 'merged, selected, with_subject, with_intent, intent')}")
+_COUNTS = [(i, *c) for i, c in enumerate(COUNTS)]
+
+
+@query(f"SELECT *, merged >= 2 AND selected >= 2 AND with_subject >= 1 AND (intent IN ('general', 'comparison') OR with_intent >= 1) AS sufficient, merged >= 3 AND selected >= 2 AS side_sufficient, round(0.45 * with_subject + 0.40 * with_intent + 0.15 * least(1.0, selected / 3), 6)::DOUBLE AS fall_score, round(0.50 * with_subject + 0.35 * with_intent + 0.15 * least(1.0, selected / 3), 6)::DOUBLE AS side_score FROM {of_documents_sql(_COUNTS, 'id, merged, selected, with_subject, with_intent, intent')}")
 def sufficiency(spark, sf_dir):
-    c = frame(spark, COUNTS, "merged int, selected int, with_subject int, with_intent int, intent string")
+    c = of_documents(spark, sf_dir, _COUNTS, "id long, merged int, selected int, with_subject int, with_intent int, intent string")
     m, s, a, b = (F.col(k) for k in ("merged", "selected", "with_subject", "with_intent"))
     return c.select("*", gates.sufficient(m, s, a, b, F.col("intent")).alias("sufficient"), gates.side_sufficient(m, s).alias("side_sufficient"), gates.side_score(a, b, s, F.lit(True)).alias("fall_score"), gates.side_score(a, b, s, F.lit(False)).alias("side_score"))
 
@@ -428,18 +438,18 @@ PREMISE = [
 ]
 
 
-@query(f"SELECT qid, list_filter(ss, lambda x: len(list_intersect({TERMS.format('a')}, {TERMS.format('x')})) >= 0.6 * len({TERMS.format('a')}) AND len(list_intersect({TERMS.format('b')}, {TERMS.format('x')})) >= 0.6 * len({TERMS.format('b')}) AND len(list_filter(ms, lambda m: contains(lower(x), m))) > 0)[1] AS sentence FROM {values(PREMISE, 'qid, a, b, ss, ms')}")
+@query(f"SELECT qid, list_filter(ss, lambda x: len(list_intersect({TERMS.format('a')}, {TERMS.format('x')})) >= 0.6 * len({TERMS.format('a')}) AND len(list_intersect({TERMS.format('b')}, {TERMS.format('x')})) >= 0.6 * len({TERMS.format('b')}) AND len(list_filter(ms, lambda m: contains(lower(x), m))) > 0)[1] AS sentence FROM {of_documents_sql(PREMISE, 'qid, a, b, ss, ms')}")
 def premise_check(spark, sf_dir):
-    p = frame(spark, PREMISE, "qid long, a string, b string, ss array<string>, ms array<string>")
+    p = of_documents(spark, sf_dir, PREMISE, "qid long, a string, b string, ss array<string>, ms array<string>")
     return p.select("qid", gates.premise_sentence(F.col("ss"), F.col("a"), F.col("b"), F.col("ms"), 0.6).alias("sentence"))
 
 
 ANCHORS = [(1, "What is the pressure of pump AB-12?", "Pump AB-12 has a pressure of 3 bar."), (2, "What is the pressure of pump AB-12?", "Pump CD-34 has a pressure of 3 bar."), (3, "What is the pressure?", "3 bar"), (4, "When was the gate built?", "The gate was built in 1888."), (5, "When was the gate built?", "The gate is old."), (6, "Where is the gate?", "the gate is in Vela"), (7, "Where is the gate?", "nowhere")]
 
 
-@query("SELECT * FROM (VALUES (1, true, true), (2, false, true), (3, NULL, true), (4, NULL, true), (5, NULL, false), (6, NULL, true), (7, NULL, false)) AS v(qid, anchored, stated)")
+@query(f"SELECT * FROM {of_documents_sql([(1, True, True), (2, False, True), (3, None, True), (4, None, True), (5, None, False), (6, None, True), (7, None, False)], 'qid, anchored, stated')}")
 def anchor_check(spark, sf_dir):
-    a = frame(spark, ANCHORS, "qid long, question string, context string")
+    a = of_documents(spark, sf_dir, ANCHORS, "qid long, question string, context string")
     c = F.col("context")
     return a.select("qid", gates.identifier_anchor(_q(), c).alias("anchored"), gates.predicate_stated(_q(), c, F.lit(None).cast("string")).alias("stated"))
 
@@ -447,18 +457,18 @@ def anchor_check(spark, sf_dir):
 REQUESTS = [(1, "What?", 5), (2, "  ", 5), (3, "What?", 0), (4, "What?", 21), (5, None, 5), (6, "x" * 4097, 5), (7, "What?", None)]
 
 
-@query(f"SELECT id, CASE WHEN trim(coalesce(q, '')) = '' THEN 'blank' WHEN length(q) > 4096 THEN 'too_long' WHEN k IS NULL OR k NOT BETWEEN 1 AND 20 THEN 'top_k' END AS error FROM {values(REQUESTS, 'id, q, k')}")
+@query(f"SELECT id, CASE WHEN trim(coalesce(q, '')) = '' THEN 'blank' WHEN length(q) > 4096 THEN 'too_long' WHEN k IS NULL OR k NOT BETWEEN 1 AND 20 THEN 'top_k' END AS error FROM {of_documents_sql(REQUESTS, 'id, q, k')}")
 def request_validation(spark, sf_dir):
-    r = frame(spark, REQUESTS, "id long, q string, k int")
+    r = of_documents(spark, sf_dir, REQUESTS, "id long, q string, k int")
     return r.select("id", gates.request_error(F.col("q"), F.col("k")).alias("error"))
 
 
 PEOPLE = [(1, "Mara Tolle and Ivo J. Brandt met Ana-Lise Roe near Port Ansel."), (2, "The President spoke. King Orso was absent."), (3, "no names here"), (4, "Mara Tolle led; Mara Tolle won.")]
 
 
-@query("SELECT * FROM (VALUES (1, 'Mara Tolle|Ivo J. Brandt|Ana-Lise Roe|Port Ansel'), (2, ''), (3, ''), (4, 'Mara Tolle|Mara Tolle')) AS v(id, names)")
+@query(f"SELECT * FROM {of_documents_sql([(1, 'Mara Tolle|Ivo J. Brandt|Ana-Lise Roe|Port Ansel'), (2, ''), (3, ''), (4, 'Mara Tolle|Mara Tolle')], 'id, names')}")
 def person_names(spark, sf_dir):
-    return frame(spark, PEOPLE, "id long, s string").select("id", F.array_join(T.person_names(F.col("s")), "|").alias("names"))
+    return of_documents(spark, sf_dir, PEOPLE, "id long, s string").select("id", F.array_join(T.person_names(F.col("s")), "|").alias("names"))
 
 
 EV = [
@@ -469,32 +479,34 @@ EV = [
 ]
 
 
-@query(
-    """SELECT * FROM (VALUES
-(1, 'The Velan League declined because of its fleets were lost at sea.', 'synthesized', true),
-(2, 'River trade changed in several important ways. River trade became much smaller over the years of drought. River trade moved to the coast and expanded there again.', 'synthesized', true),
-(3, 'Key figures of the Harbor Board included Mara Tolle and Ivo Brandt.', 'synthesized', true),
-(4, 'I could not find enough supporting evidence to answer that.', 'system', false),
-(5, 'A tidal gate had a structured organization. A tidal gate consists of two leaves and a sill. A tidal gate is divided into upper and lower parts.', 'synthesized', true)) AS v(qid, answer, answer_type, supported)"""
-)
+SAID = [
+    (1, "The Velan League declined because of its fleets were lost at sea.", "synthesized", True),
+    (2, "River trade changed in several important ways. River trade became much smaller over the years of drought. River trade moved to the coast and expanded there again.", "synthesized", True),
+    (3, "Key figures of the Harbor Board included Mara Tolle and Ivo Brandt.", "synthesized", True),
+    (4, "I could not find enough supporting evidence to answer that.", "system", False),
+    (5, "A tidal gate had a structured organization. A tidal gate consists of two leaves and a sill. A tidal gate is divided into upper and lower parts.", "synthesized", True),
+]
+
+
+@query(f"SELECT * FROM {of_documents_sql(SAID, 'qid, answer, answer_type, supported')}")
 def answer_synthesis(spark, sf_dir):
-    e = frame(spark, EV, "qid long, intent string, subject string, ss array<string>")
+    e = of_documents(spark, sf_dir, EV, "qid long, intent string, subject string, ss array<string>")
     a = synthesis.answered(F.lit("Tell me about it"), F.col("intent"), F.col("subject"), F.col("ss"), F.lit(True), F.lit(False))
     return e.select("qid", a.alias("a")).select("qid", "a.answer", F.col("a.kind").alias("answer_type"), F.col("a.ok").alias("supported"))
 
 
-SIDES = [(1, "Vela", "Orsk", ["Vela lost a war and two provinces."], ["Orsk lost a war in the north."]), (2, "Vela", "Orsk", ["Vela is large."], ["Orsk is small."]), (3, "Vela", "Orsk", [], ["Orsk is small."])]
+SIDES = [(1, "Velan", "Orsk", ["Velan lost a war and two provinces."], ["Orsk lost a war in the north."]), (2, "Velan", "Orsk", ["Velan is large."], ["Orsk is small."]), (3, "Velan", "Orsk", [], ["Orsk is small."])]
 
 
-@query("SELECT * FROM (VALUES (1, 'Both show military pressure. Vela shows territorial losses.'), (2, 'Vela: Vela is large. Orsk: Orsk is small.'), (3, NULL)) AS v(qid, answer)")
+@query(f"SELECT * FROM {of_documents_sql([(1, 'Both show military pressure. Velan shows territorial losses.'), (2, 'Velan: Velan is large. Orsk: Orsk is small.'), (3, None)], 'qid, answer')}")
 def comparison_synthesis(spark, sf_dir):
-    s = frame(spark, SIDES, "qid long, l string, r string, ls array<string>, rs array<string>")
+    s = of_documents(spark, sf_dir, SIDES, "qid long, l string, r string, ls array<string>, rs array<string>")
     return s.select("qid", synthesis.compared(F.col("l"), F.col("r"), F.col("ls"), F.col("rs")).alias("answer"))
 
 
 @query(f"SELECT qid, CASE WHEN {R.first_match_sql(_L, Q.UI_INTENTS, 'hybrid')} = 'lookup' THEN 'rag_only' WHEN {R.first_match_sql(_L, Q.UI_INTENTS, 'hybrid')} = 'generative' AND qid % 2 = 0 THEN 'generative' ELSE 'hybrid' END AS mode FROM {QS}")
 def polish_route(spark, sf_dir):
-    return asked(spark).select("qid", synthesis.polish_route(_q(), F.col("qid") % 2 == 1).alias("mode"))
+    return asked(spark, sf_dir).select("qid", synthesis.polish_route(_q(), F.col("qid") % 2 == 1).alias("mode"))
 
 
 _S3 = f"3.0 * len(list_intersect({TERMS.format('s')}, {TERMS.format(literal('the thing and haed ened'))}))"
@@ -592,9 +604,12 @@ def instruction_questions(spark, sf_dir):
     return e.select("doc_id", "n", F.md5(F.array_join(F.transform("x", lambda x: x["p"]), "")).alias("digest"))
 
 
-@query(
-    """SELECT doc_id::BIGINT AS doc_id, question, answer, type FROM (VALUES (1, 'When was Mara Tolle born?', '1871', 'born_year'), (1, 'When was The Harbor Board founded?', '1902', 'founded_year'),
-(2, 'What is Port Ansel the capital of?', 'Vela', 'capital')) AS v(doc_id, question, answer, type)"""
-)
+MINED = [
+    (1, "When was Mara Tolle born?", "1871", "born_year"), (1, "When was The Harbor Board founded?", "1902", "founded_year"), (2, "What is Port Ansel the capital of?", "Vela", "capital"), (3, None, None, None), (4, None, None, None),
+    (5, "When was The Harbor Board founded?", "1902", "founded_year"),
+]
+
+
+@query(f"SELECT doc_id, question, answer, type FROM (SELECT *, row_number() OVER (PARTITION BY lower(question), lower(answer) ORDER BY doc_id) AS r FROM {of_documents_sql(MINED, 'doc_id, question, answer, type')} WHERE question IS NOT NULL) WHERE r = 1")
 def instruction_mine(spark, sf_dir):
-    return etl.mined_instructions(facts(spark), "doc_id").select("doc_id", "question", "answer", "type")
+    return etl.mined_instructions(facts(spark, sf_dir), "doc_id").select("doc_id", "question", "answer", "type")
