@@ -2,15 +2,21 @@
 
 The standard library's parser streams events into lines, one for each block element. Each line has a ratio of
 its characters to its tags (characters in links count against it). Ratios are smoothed by a Gaussian and split in two
-clusters by a threshold; lines of the upper one are dense. They decide:
-
-* which elements that a class, id or role names as furniture are none: one that holds the dense text of a page is its article,
-  whatever its name; a word that only modifies another ("legal-news") needs half as much dense text as there is elsewhere;
-* the region: the smallest element that holds all articles and mains with dense text, if these have most of it, or else
-  all dense lines. Its short blocks belong to it, and so do headings and paragraphs that stand beside the region or an element
-  around it; all else goes, as do rows of links inside it.
-
-By their tags only scripts, styles, forms, navigation and what HTML itself sets apart from the main text take no part. Time is
+clusters by a threshold. A line's weight is its text times what its smoothed ratio has above the threshold; menus, adverts and
+footers have none or next to none.
+
+* The region is the smallest element that holds 19 twentieths (``SHARE``) of the weight. If that is more than the whole page, its lines are the text,
+  whatever the elements and their names.
+* Names (tags, classes, ids, roles) decide what the ratio cannot. Comments, sidebars and recommendations are as dense as an article, so
+  they go by name. If the ratio finds no element below the page, up to ``TIES`` dense lines with names of menus, adverts, headers or footers
+  go and the region is looked for again; where more are dense, the ratio is trusted.
+* A name does not make furniture of an element that holds the dense text of its page; a word that only modifies another ("legal-news") needs
+  half as much dense text as there is elsewhere.
+* Short blocks of the region belong to it, and so do headings and paragraphs that stand beside it or an element around it. Rows of links
+  go, unless they are an ordered list, as references are. Of a header in the region or beside it the heading stays, and of one
+  within it a lead.
+
+By their tags only scripts, styles, forms and what HTML itself sets apart take no part. Time is
 linear in the page, however deep its elements.
 
 Null and empty pages give an empty text. Unclosed and misnested elements are closed where HTML's rules or the
@@ -35,17 +41,24 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
-APART = frozenset("script style noscript template head title nav header footer aside form button select textarea input iframe object svg canvas audio video menu dialog search fieldset".split())
+APART = frozenset("script style noscript template head title form button select textarea input iframe object svg canvas audio video dialog search fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar tablist".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table select article section div body html main".split())
 CONTENT = frozenset(("article", "main"))
+PAGE = frozenset(("body", "html"))
+#: Elements that can be a region.
+HOLDERS = CONTENT | PAGE | frozenset("section div td table center blockquote".split())
+#: Elements that are furniture by their tag, if not by the ratio.
+FURNITURE = frozenset("nav header footer aside menu".split())
 #: Words of class names and ids that hint at furniture.
 WORDS = re.compile(
     r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|side|aside|widget\w*|footer\w*|foot|header|masthead|topbar|toolbar|cookies?|consent|gdpr|notices?|notification\w*|alert\w*|popup\w*|modal\w*|overlay|newsletter|subscribe\w*|subscription|signup|login|share|sharing|social\w*|related\w*|recommend\w*|trending|pagination|pager|copyright|legal|disclaimer|comments?|commentlist|disqus\w*|replies|reply|respond|discussion|skip|hidden|tags|meta|byline",
     re.I,
 )
+#: Those of furniture that reads like an article.
+DISCOURSE = re.compile(r"side|aside|sidebar\w*|widget\w*|related\w*|recommend\w*|trending|comments?|commentlist|disqus\w*|replies|reply|respond|discussion", re.I)
 #: Names that tell of a layout, as "with-sidebar" does, not of the element itself.
 LAYOUT = re.compile(r"(?:with|without|has|no|hide|show|layout)[_-]", re.I)
 PARTS = re.compile(r"[_-]+")
@@ -54,7 +67,11 @@ PARTS = re.compile(r"[_-]+")
 BESIDE = HEADINGS | frozenset("p blockquote pre".split())
 
 #: Standard deviation of the smoothing, in lines.
-SIGMA = 1.0
+SIGMA = 0.5
+#: Share of the weight that the region holds, and dense lines of furniture that names may take from it.
+SHARE, TIES = 0.95, 2
+#: Characters from which a paragraph of an article's header is a lead.
+LEAD = 60
 #: Lines in a row that are nearly all links from which they are a menu.
 ROW = 3
 #: A page whose dense text all has names of furniture has its article there if it is so many times the other text.
@@ -88,6 +105,8 @@ class Lines(HTMLParser):
         self.kinds: list[str] = []
         self.ends: list[int] = []
         self.named: dict[int, tuple[int, int]] = {}  # named element to the one around it and its hint
+        self.heads: set[int] = set()  # headers, of the page or of an article
+        self.discourse: set[int] = set()  # named elements that read like an article, and those inside them
         self.text: list[str] = []
         self.inside: list[tuple[int, int, int, int]] = []  # of a line: element, named, article, block
         self.tags: list[int] = []
@@ -138,13 +157,16 @@ class Lines(HTMLParser):
         _, parent, apart, named, main, link, block = self.stack[-1] if self.stack else ("", -1, False, -1, -1, False, -1)
         if tag in APART:
             apart = True
-        elif tag in HEADINGS and apart and main >= 0 and self.stack[-1][0] in ("header", "hgroup"):
-            apart = False  # the heading of an article
-        if attrs and not apart and tag not in CONTENT and tag not in ("body", "html"):
+        if not apart and tag not in CONTENT and tag not in PAGE:
             given = dict(attrs)
             apart = "hidden" in given or given.get("aria-hidden") == "true"
-            hint = FIRM if (given.get("role") or "").lower() in ROLES else hinted(f"{given.get('class') or ''} {given.get('id') or ''}")
+            names = f"{given.get('class') or ''} {given.get('id') or ''}"
+            hint = FIRM if tag in FURNITURE or (given.get("role") or "").lower() in ROLES else hinted(names)
             if hint:
+                if tag == "header" or "header" in PARTS.split(names.lower().replace(" ", "-")):
+                    self.heads.add(number)
+                if tag == "aside" or named in self.discourse or any(map(DISCOURSE.fullmatch, PARTS.split(names.replace(" ", "-")))):
+                    self.discourse.add(number)
                 self.named[number] = (named, hint)
                 named = number
         self.parents.append(parent)
@@ -226,6 +248,23 @@ def furniture(lines: Lines, dense: list[float], plain: list[float]) -> set[int]:
     return out
 
 
+def holder(lines: Lines, element: np.ndarray, weight: np.ndarray) -> int:
+    """The smallest element that can be a region and holds SHARE of the weight; -1 for the page itself.
+
+    Elements are numbered as they open, so an element's lines are those whose numbers lie in its range, and those around a line's
+    element have lower numbers."""
+    order = np.argsort(element, kind="stable")
+    numbers, upto = element[order], np.concatenate(([0.0], np.cumsum(weight[order])))
+    least = SHARE * upto[-1] - 1e-9
+    ranges = np.searchsorted(numbers, np.array([np.arange(len(lines.kinds)), lines.ends]))
+    held = upto[ranges[1]] - upto[ranges[0]] if len(lines.kinds) else np.empty(0)
+    found = np.flatnonzero(held >= least)
+    at = int(found[-1]) if len(found) else -1
+    while at >= 0 and lines.kinds[at] not in HOLDERS:
+        at = lines.parents[at]
+    return at
+
+
 def extract(html: str) -> str:
     """The main text of a page."""
     if not html:
@@ -237,39 +276,52 @@ def extract(html: str) -> str:
         return ""
     size = np.array([len(t) for t in lines.text], float)
     links = np.array(lines.links)
-    ratio = np.maximum(size - links, 0) / (1 + np.array(lines.tags))
-    smooth = smoothed(ratio)
-    dense = (smooth >= threshold(smooth)) | (ratio >= threshold(ratio))
-    element, named, main, block = np.array(lines.inside).T
     plain = np.maximum(size - links, 0)
+    smooth = smoothed(plain / (1 + np.array(lines.tags)))
+    cut = threshold(smooth)
+    dense = smooth >= cut
+    weight = np.where(dense, smooth - cut, 0.0) * plain
+    if not weight.any():
+        weight = np.where(dense, plain, 0.0)  # one line, or all alike
+    element, named, _, block = np.array(lines.inside).T
     out = furniture(lines, np.where(dense, plain, 0.0).tolist(), plain.tolist())
-    stays = ~np.isin(named, list(out))
-    if not stays.any():
-        return ""
-    good = dense & stays if (dense & stays).any() else stays
-    around = good & (main >= 0)
-    held = np.where(main >= 0, main, element) if 2 * size[around].sum() >= size[good].sum() else element
-    wanted = around if 2 * size[around].sum() >= size[good].sum() else good
-
-    low, high = int(held[wanted].min()), int(held[wanted].max())
-    region = low  # the smallest element around all of them
-    while region >= 0 and not region <= high < lines.ends[region]:
-        region = lines.parents[region]
-    while region >= 0 and lines.kinds[region] not in CONTENT and (lines.kinds[region] not in BLOCK or lines.kinds[region] in BLOCK - SCOPE):
-        region = lines.parents[region]  # one paragraph: its siblings belong to it
+    apart = np.isin(named, list(out))
+    talk = np.isin(named, list(out & lines.discourse))
+    if (weight * ~talk).any():
+        weight = weight * ~talk
+    region = holder(lines, element, weight)
+    taken = apart & ~dense | talk
+    if region < 0 or lines.kinds[region] in PAGE:
+        ties = apart & dense & ~talk
+        rest = weight * ~ties
+        if not rest.any():
+            rest = plain * ~apart  # an article shorter than the adverts around it
+        if ties.sum() <= TIES and rest.any():
+            taken |= ties
+            region = holder(lines, element, rest)
+
     above, at = {-1}, region
     while at >= 0:
         above.add(at)
         at = lines.parents[at]
-
     within = np.ones(len(size), bool) if region < 0 else (element >= region) & (element < lines.ends[region])
-    beside = np.array([b >= 0 and lines.kinds[b] in BESIDE and lines.parents[b] in above for b in block.tolist()]) & (2 * links < size)
+    if region >= 0 and lines.kinds[region] not in PAGE:  # its own header, or one beside it in an element of both
+        head = np.isin(named, list(lines.heads)) & ~talk
+        shared = {k for k in above if k >= 0 and lines.kinds[k] not in PAGE}
+        heading = np.array([b >= 0 and lines.kinds[b] in HEADINGS for b in block.tolist()])
+        near = np.array([n >= 0 and lines.parents[n] in shared for n in named.tolist()])
+        within |= head & near & heading
+        taken &= ~(head & within & (heading | (size >= LEAD)))
+    stays = within & ~taken
+    beside = np.array([b >= 0 and lines.kinds[b] in BESIDE and lines.parents[b] in above for b in block.tolist()])
+    stays |= beside & ~apart & (2 * links < size)
     linked = links >= 0.8 * size
-    edges = np.flatnonzero(np.diff(np.concatenate(([False], linked, [False])).astype(np.int8)))
+    ordered = np.array([b >= 0 and lines.kinds[b] == "li" and lines.kinds[lines.parents[b]] == "ol" for b in block.tolist()])
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], linked & ~ordered, [False])).astype(np.int8)))
     for a, b in edges.reshape(-1, 2).tolist():
         if b - a >= ROW:
             stays[a:b] = False
-    return "\n".join(lines.text[i] for i in np.flatnonzero(stays & (within | beside)).tolist())
+    return "\n".join(lines.text[i] for i in np.flatnonzero(stays).tolist())
 
 
 def page_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
