@@ -75,9 +75,7 @@ def judged(hits: DataFrame, plans: DataFrame) -> DataFrame:
     found = merged.groupBy("qid", "intent", "subject").agg(F.count("*").alias("merged"), F.sort_array(F.collect_list(F.struct("rank", F.col("chunk_id").alias("id"), F.col("merged").alias("score"), "text"))).alias("found"))  # twelve at most
     rows = found.join(stats, "qid", "left").join(said, "qid", "left")
     none = lambda c: F.coalesce(c, F.lit(0))
-    first = F.array_join(F.transform(F.slice("found", 1, 6), lambda x: x["text"]), " ")
     enough = gates.sufficient(F.col("merged"), none(F.col("selected")), none(F.col("with_subject")), none(F.col("with_intent")), F.col("intent"))
-    enough = enough & gates.topic_covered(F.col("intent"), F.col("subject"), first)
     sources = F.transform(F.slice("found", 1, SOURCES), lambda x: F.struct(x["rank"].alias("rank"), x["id"].alias("id"), F.bround(x["score"], 3).alias("score"), x["text"].alias("text")))
     empty = F.array().cast("array<string>")
     return rows.select("qid.qid", "qid.stage", F.coalesce("sentences", empty).alias("sentences"), F.coalesce("best", F.lit(0.0)).alias("best_score"), enough.alias("sufficient"), sources.alias("sources"))
@@ -118,7 +116,8 @@ def side_queries(plans: DataFrame) -> DataFrame:
 
 
 def sides(hits: DataFrame) -> DataFrame:
-    """qid, left_sentences, right_sentences, both_sufficient of comparisons: each side is judged for itself, and both must have evidence.
+    """qid, left_sentences, right_sentences, both_sufficient of comparisons: each side is judged for itself, by its results and by what its
+    sentences say of it, and both must have evidence.
 
     ``hits``: qid, side, entity, query_rank, chunk_id, text, runtime, rank, final of ``side_queries``. A side's hits must name its entity;
     the join of the sides is inner, so a comparison with one side only has no row."""
@@ -133,11 +132,48 @@ def sides(hits: DataFrame) -> DataFrame:
     own = F.exists(T.entity_terms(T.without_article(F.col("qid.entity"))), lambda e: F.contains(T.dedup_key(F.col("sentence")), T.dedup_key(e)))
     five = top(s.where((F.col("score") > 0) & own), 5, ["qid"], F.desc("score"), F.asc("chunk_rank"), F.asc("idx"), rank="pos")
     said = five.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]).alias("sentences"))
-    side = said.join(merged.groupBy("qid").agg(F.count("*").alias("merged")), "qid").select("qid.qid", "qid.side", "sentences", gates.side_sufficient(F.col("merged"), F.size("sentences")).alias("enough"))
+    enough = gates.side_sufficient(F.col("merged"), F.size("sentences")) & gates.side_confidence(F.col("sentences"), F.col("qid.entity"), F.lit(False))["sufficient"]
+    side = said.join(merged.groupBy("qid").agg(F.count("*").alias("merged")), "qid").withColumn("enough", enough).select("qid.qid", "qid.side", "sentences", "enough")
     left, right = (side.where(F.col("side") == k).select("qid", F.col("sentences").alias(f"{n}_sentences"), F.col("enough").alias(f"{n}_enough")) for k, n in ((0, "left"), (1, "right")))
     return left.join(right, "qid").select("qid", "left_sentences", "right_sentences", (F.col("left_enough") & F.col("right_enough")).alias("both_sufficient"))
 
 
+#: Names that a second hop takes from the evidence of the first, and sentences of the second hop.
+HOP_NAMES, HOP_SENTENCES = 3, 5
+
+
+def second_hops(found: DataFrame, chunks: DataFrame, kept: Index | None = None) -> DataFrame:
+    """qid, first, second, hop_sentences of multi-hop questions (qid, question, sentences): what the second part asks is looked for with the
+    names that answer the first part, or else with those of its evidence, for all questions at once.
+
+    The second query exists only after the first retrieval; it asks for a name that the question itself does not have, and of what is found
+    only sentences with such a name count."""
+    q = F.col("question")
+    multi = found.where(R.any_match(F.lower(questions.bare(q)), questions.HOPS))
+    first, second = questions.hops(q)
+    names = F.array_distinct(F.flatten(F.transform(F.coalesce("sentences", F.array().cast("array<string>")), T.person_names)))
+    new = F.slice(F.filter(names, lambda n: ~F.contains(F.lower(q), F.lower(n))), 1, HOP_NAMES)
+    answered = T.person_names(F.coalesce(synthesis.sentence_answer(first, F.coalesce("sentences", F.array().cast("array<string>"))), F.lit("")))
+    asked = multi.select("qid", first.alias("first"), second.alias("second"), F.when(F.size(answered) > 0, answered).otherwise(new).alias("names")).where("second is not null")
+    asked = stored(asked.select("qid", "first", "second", "names", F.concat_ws(" ", F.lit("about"), F.array_join("names", " "), F.col("second")).alias("query")), "hops")
+    if not asked.limit(1).count():
+        return asked.select("qid", "first", "second", F.array().cast("array<string>").alias("hop_sentences"))
+    hits = retrieved(chunks, asked.select("qid", F.col("query").alias("question")), PER_QUERY, kept)
+    s = hits.join(small(asked, of=asked), "qid").select("qid", "query", "names", F.col("rank").alias("chunk_rank"), F.posexplode(T.sentences_keeping_initials(F.col("text"))).alias("idx", "sentence"))
+    score = ranking.sentence_score(F.col("sentence"), F.col("query"), F.array_join("names", " "), F.col("chunk_rank"), F.lit(0.0))
+    s = selection.keep_first(s.withColumn("score", F.round(score, 6)), [F.col("qid"), T.dedup_key(F.col("sentence"))], [F.col("chunk_rank"), F.col("idx")])
+    s = s.where((F.size("names") == 0) | F.exists("names", lambda n: F.contains(F.lower("sentence"), F.lower(n))))
+    best = selection.budget_selection(s, HOP_SENTENCES)
+    said = best.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]).alias("hop_sentences"))  # five at most
+    return asked.join(said, "qid", "left").select("qid", "first", "second", F.coalesce("hop_sentences", F.array().cast("array<string>")).alias("hop_sentences"))
+
+
+def hop_answer(first: Column, second: Column, sentences: Column, hop_sentences: Column) -> Column:
+    """The answers of both parts as sentences, or null if a part has none."""
+    one = lambda q, s: synthesis.formatted(q, synthesis.sentence_answer(q, s))
+    return F.concat(one(first, sentences), F.lit(" "), one(second, hop_sentences))
+
+
 def premise(question: Column, sentences: Column) -> Column:
     """struct(asserted, stated): whether the question asserts a relation, and the first sentence that states it with both its sides, or null."""
     relation, source, target = questions.asserted(question)
@@ -152,9 +188,11 @@ def indexed_answers(asked: DataFrame, kept: Index, runtime: bool = True) -> Data
 
 
 def answers(asked: DataFrame, chunks: DataFrame, kept: Index | None = None) -> DataFrame:
-    """qid, question, intent, subject, answer, answer_type, supported, stage, sources for each question (qid, question).
+    """qid, question, intent, subject, answer, answer_type, supported, stage, sources, support, ask_model for each question (qid, question).
+
+    ``chunks`` has chunk_id, text, runtime; ``kept`` is their index, if there is one. A refused request has an answer_type of its own and no sources.
 
-    ``chunks`` has chunk_id, text, runtime; ``kept`` is their index, if there is one. A refused request has an answer_type of its own and no sources."""
+    ``support`` is the reasoning support of the evidence; a question without an answer whose support suffices may go to a model (``ask_model``)."""
     error = gates.request_error(F.col("question"), F.lit(SOURCES))
     good = asked.where(error.isNull())
     plans = stored(questions.plan(good), "plans")
@@ -166,16 +204,21 @@ def answers(asked: DataFrame, chunks: DataFrame, kept: Index | None = None) -> D
     found = evidence(hits.where((F.col("side") == -1) & (F.col("rank") <= PER_QUERY)).drop("side"), queries, plans)
     pairs = sides(hits.join(small(of_sides.drop("query"), of=of_sides), ["qid", "side", "query_rank"]))
     rows = stored(plans.join(found, "qid", "left").join(pairs, "qid", "left"), "evidence")
+    rows = rows.join(second_hops(rows, chunks, kept), "qid", "left")
     cited = rows.select("qid", "question", F.explode("sources").alias("s")).select("qid", "question", "s.*")
     conflict = gates.conflicts(gates.evidence_pairs(cited))
 
     empty = F.array().cast("array<string>")
     said = F.coalesce("sentences", empty)
-    rows = rows.join(conflict, "qid", "left").withColumn("said", said)
+    more = F.array_union(said, F.coalesce("hop_sentences", empty))
+    rows = rows.join(conflict, "qid", "left").withColumn("said", F.when(F.col("intent") == "general", said).otherwise(more))
     q = F.col("question")
     clash, support = F.coalesce("conflict", F.lit(False)), F.coalesce("sufficient", F.lit(False))
     compared = F.when(F.col("both_sufficient"), synthesis.compared(T.capitalized(F.col("left")), T.capitalized(F.col("right")), F.col("left_sentences"), F.col("right_sentences"), F.regexp_like(F.lower(q), F.lit("fall|fell|decline|collapse"))))
     rows = rows.withColumns({"a": synthesis.answered(q, F.col("intent"), F.col("subject"), F.col("said"), support, clash), "compared": compared, "p": premise(q, F.col("said"))})
+    reasoned = F.struct(*(c.alias(k) for k, c in gates.reasoning_support(q, F.col("said"), F.coalesce("best_score", F.lit(0.0))).items()))
+    hop = F.when((F.col("intent") == "general") & F.col("second").isNotNull(), hop_answer(F.col("first"), F.col("second"), F.col("said"), F.col("hop_sentences")))
+    rows = rows.withColumns({"g": reasoned, "hop": hop})
     texts = F.transform(F.coalesce("sources", F.array().cast("array<struct<rank:int,id:bigint,score:double,text:string>>")), lambda x: x["text"])
     comparison = F.col("intent") == "comparison"
     traced = comparison | gates.traceable(F.col("a.answer"), texts)
@@ -183,9 +226,10 @@ def answers(asked: DataFrame, chunks: DataFrame, kept: Index | None = None) -> D
     final = (
         F.when(comparison & F.col("compared").isNotNull(), F.struct(F.col("compared").alias("answer"), F.lit("comparison").alias("kind"), F.lit(True).alias("ok")))
         .when(comparison, refused).when(F.col("p.asserted") & F.col("p.stated").isNotNull() & ~clash, F.struct(F.col("p.stated").alias("answer"), F.lit("premise").alias("kind"), F.lit(True).alias("ok")))
-        .when(F.col("p.asserted") & ~clash, refused).when(F.col("a.ok") & ~traced, refused).otherwise(F.col("a"))
+        .when(F.col("p.asserted") & ~clash, refused).when(F.col("hop").isNotNull() & ~clash, F.struct(F.col("hop").alias("answer"), F.lit("multi_hop").alias("kind"), F.lit(True).alias("ok")))
+        .when(F.col("a.ok") & ~traced, refused).otherwise(F.col("a"))
     )
     cites = F.transform("sources", lambda x: F.struct(x["rank"].alias("rank"), x["id"].alias("id"), F.left(x["text"], F.lit(240)).alias("preview"), x["score"].alias("score")))
-    rows = rows.withColumn("f", final).select("qid", "question", "intent", "subject", "f.answer", F.col("f.kind").alias("answer_type"), F.col("f.ok").alias("supported"), "stage", cites.alias("sources"))
-    bad = asked.where(error.isNotNull()).select("qid", "question", *(F.lit(None).cast("string").alias(c) for c in ("intent", "subject")), F.lit(gates.REFUSAL).alias("answer"), error.alias("answer_type"), F.lit(False).alias("supported"), F.lit(None).cast("int").alias("stage"), F.lit(None).cast("array<struct<rank:int,id:bigint,preview:string,score:double>>").alias("sources"))
+    rows = rows.withColumn("f", final).select("qid", "question", "intent", "subject", "f.answer", F.col("f.kind").alias("answer_type"), F.col("f.ok").alias("supported"), "stage", cites.alias("sources"), F.col("g.support").alias("support"), (~F.col("f.ok") & ~clash & ~comparison & ~F.col("p.asserted") & F.col("g.sufficient")).alias("ask_model"))
+    bad = asked.where(error.isNotNull()).select("qid", "question", *(F.lit(None).cast("string").alias(c) for c in ("intent", "subject")), F.lit(gates.REFUSAL).alias("answer"), error.alias("answer_type"), F.lit(False).alias("supported"), F.lit(None).cast("int").alias("stage"), F.lit(None).cast("array<struct<rank:int,id:bigint,preview:string,score:double>>").alias("sources"), F.lit(None).cast("double").alias("support"), F.lit(False).alias("ask_model"))
     return rows.unionByName(bad)

@@ -10,20 +10,15 @@ from ..functions import text as T
 
 #: Substrings that show an intent in a sentence.
 INTENT_MARKS = {
-    "entity_list": ("leader", "leaders", "member", "members", "politician", "revolutionary", "jacobin", "government", "convention"),
-    "structure": ("structure", "organized", "organisation", "organization", "consists", "consisted", "divided", "component", "components", "part", "parts", "hierarchy", "sub-unit", "subunit", "legion", "cohort", "century", "centuries", "double helix", "strand", "strands", "nucleotide", "nucleotides", "backbone", "complementary"),
+    "entity_list": ("leader", "leaders", "member", "members", "politician", "government"),
+    "structure": ("structure", "organized", "organisation", "organization", "consists", "consisted", "divided", "component", "components", "part", "parts", "hierarchy", "sub-unit", "subunit"),
     "process": ("process", "uses", "produces", "splits", "converts", "transforms", "absorbs", "releases", "energy", "stage", "stages", "cycle"),
     "significance": ("important", "significant", "impact", "influence", "limited", "power", "authority", "rights", "law", "legal", "constitutional", "changed", "transformed"),
     "cause": ("because", "due to", "caused by", "fell after", "collapsed after", "overrun", "defeat", "defeated", "revolt", "invasion", "pressure", "decline", "declined"),
-    "effect": ("resulted", "led to", "after", "following", "lost", "became", "came under", "no longer", "fragmented", "divided", "replaced", "kingdoms"),
+    "effect": ("resulted", "led to", "after", "following", "lost", "became", "came under", "no longer", "fragmented", "divided", "replaced"),
     "change": ("transitioned", "became", "changed", "developed", "evolved", "expanded", "declined", "lost", "moved", "came under"),
     "features": ("feature", "features", "institution", "government", "branch", "constitution", "system", "organized", "structure"),
 }
-#: For some subjects of structure questions, groups of words of which the evidence must have so many.
-TOPICS = (
-    ("structure", "contains", "roman army", ((2, ("legion", "cohort", "century", "centuries")),)),
-    ("structure", "equals", "dna", ((1, ("double helix", "double-stranded", "two strands", "two chains")), (1, ("adenine", "thymine", "guanine", "cytosine", "base pairing", "nucleotide")))),
-)
 #: Words that do not trace an answer to a source.
 UNTRACED = "about after again also around because been being between both could does each from has have into more most other over same some such than that their there these they this those through under were which while with would your what when where who why how answer following several important ways main was are and the for not but its all can is to of in on at be as by or".split()
 #: Opposite actions, attributes, and how numbers, identifiers and directives are written.
@@ -69,18 +64,6 @@ RELATION_MARKS = {
 }
 
 
-def topic_covered(intent: Column, subject: Column, text: Column) -> Column:
-    """Whether the evidence has what its topic needs; other topics need nothing."""
-    out = F.lit(True)
-    for name, how, topic, groups in TOPICS:
-        own = (intent == name) & (F.contains(F.lower(subject), F.lit(topic)) if how == "contains" else F.lower(subject) == topic)
-        enough = F.lit(True)
-        for least, words in groups:
-            enough = enough & (T.count_substrings(text, words) >= least)
-        out = F.when(own, enough).otherwise(out)
-    return out
-
-
 def side_sufficient(merged: Column, sentences: Column) -> Column:
     return (merged >= 3) & (sentences >= 2)
 
@@ -113,6 +96,25 @@ def reasoning_support(question: Column, sentences: Column, best_score: Column) -
     return {"coverage": F.round(coverage, 6), "best_overlap": F.round(best, 6), "strong": half, "support": score, "sufficient": enough}
 
 
+#: What shows that a sentence tells of a fall, and what that it tells something of its subject at all.
+FALL_MARKS = ("fall", "fell", "declin", "collaps", "dissol", "ended", "end of", "defeat", "overrun", "inva", "revolt")
+GENERAL_MARKS = ("is", "was", "are", "were", "had", "has", "have", "consist", "includ", "contain", "became", "led", "kept", "made")
+SIDE_CONFIDENT = 0.55
+
+
+def side_confidence(sentences: Column, entity: Column, fall: Column) -> Column:
+    """struct(score, sufficient) of a side: its entity is named, a sentence that names it shows the relation (a fall, or anything told of it), and
+    up to three sentences say so. Both hits and a score of SIDE_CONFIDENT are needed."""
+    terms = T.entity_terms(T.without_article(entity))
+    names = lambda s: F.exists(terms, lambda e: F.contains(T.dedup_key(s), T.dedup_key(e)))
+    tells = lambda s: F.exists(T.space_words(F.lower(s)), lambda w: F.exists(F.array(*map(F.lit, GENERAL_MARKS)), lambda m: F.startswith(w, m)))
+    hit = F.exists(sentences, names)
+    shown = F.exists(sentences, lambda s: names(s) & F.when(fall, T.any_substring(s, FALL_MARKS)).otherwise(tells(s)))
+    one = lambda c: F.when(c, 1.0).otherwise(0.0)
+    score = side_score(one(hit), one(shown), F.size(sentences), fall)
+    return F.struct(score.alias("score"), (hit & shown & (score >= SIDE_CONFIDENT)).alias("sufficient"))
+
+
 def side_score(entity: Column, relation: Column, n: Column, fall: Column) -> Column:
     """Share of entity hits, relation hits and coverage min(1, n / 3), by the weights of the question's kind."""
     coverage = F.least(F.lit(1.0), n / 3)

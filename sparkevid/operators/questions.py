@@ -17,7 +17,7 @@ INTENTS = (
     ("features", r"\b(?:features|characteristics) of\b|\bwhat (?:features |institutions )?(?:characterized|characterizes|defined|defines)\b|\bwhat (?:features|characteristics) did .+ have\b|\bwhat political features did\b"),
     ("structure", r"\bstructure of\b|\bstructured\b|\borgani[sz](?:ed|ation)\b|\b(?:components|parts) of\b|\bmade of\b|\bmakes? up\b|\bcomponents form\b|\bwhat units (?:made up|form(?:ed)?)\b|\bhow .+ (?:arranged|divided)\b|\bhierarchy of\b"),
     ("entity_list", r"\b(?:main|major|key) leaders of\b|\bleaders were prominent\b|\bkey figures (?:of|from)\b|\bmain figures of\b|\b(?:important|notable|major political) figures\b|\b(?:important|key) people\b|\bwhich people were important\b|\bplayed major roles\b|\bname .+ figures\b|\blist .+ leaders\b"),
-    ("process", r"\bhow .+ (?:works?|operates?)\b|\bhow do .+ perform\b|\bwhat happens (?:during|when)\b|\bwhat occurs in\b|\bwhat does .+ do\b|\b(?:process|mechanism|stages|steps) of\b|\bmain steps involved in\b|\bhow is .+ converted during\b|\bhow does .+ convert\b|\bexplain how\b"),
+    ("process", r"\bhow .+ (?:works?|operates?)\b|\bwhat happens (?:during|when)\b|\bwhat occurs in\b|\bwhat does .+ do\b|\b(?:process|mechanism|stages|steps) of\b|\bmain steps involved in\b|\bhow is .+ converted during\b|\bhow does .+ convert\b|\bexplain how\b"),
     ("cause", r"^why\b|^explain why\b|^what (?:caused|made|led|drove|contributed|brought about|was behind)\b|^which factors led\b|^what factors (?:contributed|caused)\b|^for what reasons\b|^what were the reasons\b|^how did .+ come to decline\b"),
 )
 #: Subject patterns of a whole question by intent; the first that matches gives group 1. Without a match the whole question is the subject.
@@ -45,13 +45,12 @@ SUBJECTS = {
         r"(?i)^what happens when (.+) takes place$",
         r"(?i)^(?:explain )?what occurs in (.+)$",
         r"(?i)^what does (.+) do$",
-        r"(?i)^how do plants perform (.+)$",
         r"(?i)^(?:what is|explain) the process of (.+)$",
         r"(?i)^describe the (?:mechanism|basic operation) of (.+)$",
         r"(?i)^what are the (?:stages|steps) of (.+)$",
         r"(?i)^what are the main steps involved in (.+)$",
         r"(?i)^explain the main process involved in (.+)$",
-        r"(?i)^how is energy converted during (.+)$",
+        r"(?i)^how is .+? converted during (.+)$",
         r"(?i)^how does (.+?) convert .+$",
     ),
     "features": (
@@ -216,12 +215,25 @@ CAUSAL_QUESTIONS = tuple(
     [(k, rf"(?i)^why did (.+) {k}$") for k in _FALLS] + [(k, rf"(?i)^what caused (.+) to {k}$") for k in _FALLS]
     + [(k, rf"(?i)^what (?:led|factors contributed) to (?:the )?{k} of (.+)$") for k in ("decline", "collapse", "fall")]
 )
-PREMISES = (("limit", r"(?i)^how did (.+) (?:limit|restrict) (.+)$"), ("protect", r"(?i)^how did (.+) (?:protect|guarantee) (.+)$"), ("influence", r"(?i)^how did (.+) (?:influence|shape|change) (.+)$"))
+#: Premises of summaries: the relation's family, by how a question says it ("how did X limit Y", "how X limited Y", "how does X limit Y").
+PREMISE_VERBS = {
+    "limit": "limit(?:s|ed)?|restrict(?:s|ed)?|constrain(?:s|ed)?", "protect": "protect(?:s|ed)?|guarantee(?:s|d)?|defend(?:s|ed)?", "influence": "influenc(?:e|es|ed)|shap(?:e|es|ed)|affect(?:s|ed)?",
+    "create": "creat(?:e|es|ed)|establish(?:es|ed)?|found(?:s|ed)?", "cause": "caus(?:e|es|ed)", "change": "chang(?:e|es|ed)|transform(?:s|ed)?|reform(?:s|ed)?", "replace": "replac(?:e|es|ed)|succeed(?:s|ed)?", "support": "support(?:s|ed)?|strengthen(?:s|ed)?",
+}
+PREMISES = tuple((name, rf"(?i)^(?:{form}) (.+?) (?:{verbs}) (.+)$") for name, verbs in PREMISE_VERBS.items() for form in ("how did|how does|how do|why did", "(?:explain|describe) how"))
 SUMMARY_MODES = (("significance", r"\bsignifican|\bimportan"), ("features", r"\bfeatures\b|\bcharacteri"), ("explain", r"^explain\b|\bhow (?:do|does) .+ work"), ("describe", r"^describe\b|^what (?:is|was|are|were)\b"))
 FACTUAL = (r"^(?:who|when|where|what|which|how long)\b",)
-EFFECT_QUESTIONS = (r"\beffects? of\b", r"\bconsequences? of\b", r"\bwhat happened after\b", r"\bresulted from\b", r"\bimpact of\b")
-CHANGE_QUESTIONS = (r"\bhow did .+ change\b", r"\bchanges? over time\b", r"\bhow did .+ (?:develop|evolve)\b")
-HOPS = (r"\b(?:and|or) (?:how|why|when|where|who|what)\b", r"\beffects? of .+ on .+", r"\band (?:its|their|his|her) .+")
+EFFECT_QUESTIONS = (
+    r"\bwhat (?:were|was|are|is) the effects? of\b", r"\bwhat (?:were|was|are|is) the consequences? of\b", r"\bwhat happened after\b", r"\b(?:what )?resulted from\b", r"\bwhat did .+ lead to\b", r"\bhow did .+ affect\b",
+    r"\bimpact of\b", r"\bexplain the effects? of\b", r"\bdescribe the consequences? of\b",
+)
+CHANGE_QUESTIONS = (r"\bhow did .+ change\b", r"\bchanges? .*over time\b", r"\bhow did .+ develop\b", r"\bhow did .+ evolve\b", r"\bwhat changed about\b")
+#: A second need: a clause that asks on, an aftermath beside something else, or the effect of one subject on another.
+_ON = "effects?|impact|influence|consequences?"
+HOPS = (
+    r"\b(?:and|or) (?:how|why|when|where|who|what)\b", rf"\b(?:{_ON}) of .+ on .+", r"\band (?:its|their|his|her) .+", rf"\b(?:and|or) (?:the |what )?(?:{_ON}|aftermath|results?)\b", r"\b(?:afterwards?|after that|as a result)$",
+    rf"\bwhat (?:{_ON}) did .+ have on .+", r"\bhow did .+ (?:affect|influence|shape|transform) the (?:development|evolution|emergence) of .+",
+)
 TYPES = (("factual", r"^(?:who|when|where|which)\b"), ("causal", r"^why\b|\bcaus"), ("comparison", r"\bcompare\b|\bdifference"), ("process", r"^how\b"), ("definition", r"^what (?:is|are|was|were)\b"))
 UI_INTENTS = (("lookup", r"^(?:who|when|where|which)\b|\bhow many\b|\bdefine\b"), ("generative", r"\bwrite\b|\bcompose\b|\bstory\b|\bpoem\b|\bdraft\b"))
 

@@ -170,16 +170,11 @@ def merged_rank(merged: DataFrame, k: int = 12, step: float = 1.2, most: float =
     return top(scored, k, ["qid"], F.desc("merged"), F.desc("query_hits"), F.desc("base"), F.asc("chunk_id"))
 
 
-#: Phrases that a question has one of (or none of, after "!"), phrases that a chunk has one of, and what that is worth.
+#: Phrases that a question has one of (or none of, after "!"), phrases that a chunk has one of, and what that is worth. A domain's own rules
+#: are given to ``phrase_bonus``.
 CHUNK_RULES = (
     (("!replace", "!different", "!compare"), ("does not replace",), -8.0),
     (("!different", "!compare"), ("is different from",), -3.0),
-    (("before operating",), ("before operating",), 12.0),
-    (("before operating",), ("before charging",), -6.0),
-    (("mechanical inspection", "belongs in cooling tower mechanical"), ("cooling tower inspection guide",), 12.0),
-    (("mechanical inspection", "belongs in cooling tower mechanical"), ("water treatment", "chemical dosing"), -8.0),
-    (("after&stable voltage",), ("after stable voltage",), 14.0),
-    (("after&stable voltage",), ("until the generator reaches stable voltage",), -8.0),
 )
 
 

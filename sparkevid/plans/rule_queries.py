@@ -544,11 +544,18 @@ CORPUS = [
     *((20 + i, f"Effects of the long drought were sung in {x}. Consequences in {x} were many.", False) for i, x in enumerate(("Vela", "Orsk", "Tern", "Rill", "Moor", "Fenn"))),
     (30, "In the aftermath people moved. The long drought led to hunger in the towns.", False),
     (31, "An aftermath of the long drought is told in the annals. It resulted in new wells.", False),
+    (40, "The Quern Guild was led by Ivo Brandt, its leader for years. Masters of the Quern Guild met at the mill.", False),
+    (41, "Ivo Brandt was born in 1832 in Moor. Ivo Brandt kept a diary.", False),
+    (42, "The Quern Guild had a hall of its own. The Quern Guild kept an important archive.", False),
+    (43, "A drum mill uses water and converts its force to motion. A drum mill produces flour in stages.", False),
+    (44, "The process of a drum mill begins with the cycle of the wheel. The wheel of a drum mill turns slowly.", False),
 ]
 ASKED = [
     (1, "Why did the Velan League decline?"), (2, "When was Mara Tolle born?"), (3, "When was the Harbor Board founded?"), (4, "How did river trade change over time?"), (5, "What is the structure of a tidal gate?"),
     (6, "What is the warranty period of the pump?"), (7, "Compare the Velan League and the Orsk Union."), (8, "How did the Harbor Charter limit the Velan League?"), (9, "How did Mara Tolle overthrow the Orsk Union?"),
-    (10, "What were the effects of the long drought?"), (11, "What is the population of Port Ansel?"), (12, "   "), (13, "Compare the Velan League and the Quern Guild."),
+    (10, "What were the effects of the long drought?"), (11, "What is the population of Port Ansel?"), (12, "   "), (13, "Compare the Velan League and the Fulling Guild."),
+    (14, "Who led the Quern Guild and when was the leader born?"), (15, "Describe the Quern Guild."), (16, "What are the main features of the Orsk Union?"), (17, "Who were the key figures of the Quern Guild?"), (18, "What is the significance of the Harbor Charter?"),
+    (19, "Explain how a drum mill works."),
 ]
 
 
@@ -561,7 +568,7 @@ def fixture_corpus(spark, sf_dir):
 #: What the rules say of these questions, worked out by hand.
 ANSWERS = [
     (1, 'The Velan League declined because of its fleets were lost at sea.', 'synthesized', True, 0, 2),
-    (2, 'Mara Tolle was born in 1871.', 'extracted', True, 1, 3),
+    (2, 'Mara Tolle was born in 1871.', 'extracted', True, 0, 3),
     (3, 'The Harbor Board was founded in 1902.', 'extracted', True, 0, 4),
     (4, 'River trade changed in several important ways. River trade became smaller and moved to the coast. River trade changed when the dry years began. River trade developed slowly in the wet years.', 'synthesized', True, 0, 5),
     (5, 'A tidal gate had a structured organization. A tidal gate is divided into an upper and a lower part. The structure of a tidal gate follows the tide. A tidal gate consists of two leaves and a sill.', 'synthesized', True, 0, 8),
@@ -573,12 +580,19 @@ ANSWERS = [
     (11, 'I could not find enough supporting evidence to answer that.', 'system', False, 0, 3),
     (12, 'I could not find enough supporting evidence to answer that.', 'blank', False, None, None),
     (13, 'I could not find enough supporting evidence to answer that.', 'system', False, 0, 1),
+    (14, 'Ivo Brandt. The leader was born in 1832.', 'multi_hop', True, 0, 40),
+    (15, 'The Quern Guild can be described as follows. The Quern Guild was led by Ivo Brandt, its leader for years. Masters of the Quern Guild met at the mill.', 'synthesized', True, 0, 40),
+    (16, 'The main features of the Orsk Union were: The Orsk Union had a government of towns. The Orsk Union kept a system of courts. The Orsk Union lost a war in the north.', 'synthesized', True, 0, 11),
+    (17, 'Key figures of the Quern Guild included Ivo Brandt.', 'synthesized', True, 0, 40),
+    (18, 'The Harbor Charter was significant because it changed important political or legal relationships. The Harbor Charter limited the Velan League in every port. The Harbor Charter was read aloud in spring.', 'synthesized', True, 0, 15),
+    (19, 'A drum mill works through several key processes. The process of a drum mill begins with the cycle of the wheel. A drum mill uses water and converts its force to motion. A drum mill produces flour in stages.', 'synthesized', True, 0, 44),
 ]
 
 
 @query(f"SELECT * FROM {values(ANSWERS, 'qid, answer, answer_type, supported, stage, first_source')}")
 def question_answers(spark, sf_dir):
-    """From questions to answers over all documents: extraction, synthesis, conflict, comparison, premises, fallback, abstention, refusal."""
+    """From questions to answers over all documents: extraction, synthesis of every intent, summary, two hops, conflict, comparison, premises,
+    fallback, abstention, refusal."""
     a = answering.answers(frame(spark, ASKED, "qid long, question string"), fixture_corpus(spark, sf_dir))
     return a.select("qid", "answer", "answer_type", "supported", "stage", (F.get("sources", F.lit(0))["id"] - 10**12).alias("first_source"))
 

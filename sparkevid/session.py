@@ -92,4 +92,6 @@ def small(df: DataFrame, of: DataFrame | None = None, times: int = 1) -> DataFra
     Spark cannot know the size of what an aggregation will return when it plans, and would shuffle the corpus. ``of``: a table
     that is cheap to count, of which ``df`` has at most ``times`` rows each; ``df`` itself is then not computed twice."""
     counted, most = (df, SMALL) if of is None else (of, SMALL // times)
-    return F.broadcast(df) if counted.limit(most + 1).count() <= most else df
+    if getattr(counted, "counted", (0, 0))[1] <= most:  # a table is counted once, as far as it was asked for
+        counted.counted = (counted.limit(SMALL + 1).count(), SMALL + 1)
+    return F.broadcast(df) if counted.counted[0] <= most else df
