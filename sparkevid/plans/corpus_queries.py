@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import index, ranking, selection, similarity
-from ..session import small, spread, table, top
+from ..operators import containment, index, ranking, selection, similarity
+from ..session import small, spread, stored, table, top
 from .common import CLEAN, CONTENT, CORPUS_QUESTIONS, KEY, PLAIN, SENTENCES, SIGNATURE, TERMS, TOKENS, WORDS, frame, values
 
 QUERIES, ORACLE = {}, {}
@@ -340,6 +340,40 @@ def near_dup_pairs(spark, sf_dir):
     return pairs.join(near, ["conv_id", "turn"], "left").select("conv_id", "turn", "n_pairs", F.coalesce("n_near", F.lit(0)).alias("n_near"))
 
 
+def said_sentences(spark, sf_dir):
+    """id, w: the words of every sentence of the conversations; ids follow conversation, turn and place."""
+    s = spread(table(spark, sf_dir, "conversations")).select("conv_id", "turn", F.posexplode(T.sentences(F.col("text"))).alias("i", "s"))
+    return s.select((F.col("conv_id") * 100_000_000 + F.col("turn") * 10_000 + F.col("i")).alias("id"), T.signature(F.col("s")).alias("w"))
+
+
+_SAID = f"""s AS (SELECT conv_id, turn, unnest({SENTENCES.format("text")}) AS s, generate_subscripts({SENTENCES.format("text")}, 1) - 1 AS i FROM conversations),
+w AS (SELECT conv_id * 100000000 + turn * 10000 + i AS id, list_sort({SIGNATURE.format("s")}) AS w FROM s),
+m AS (SELECT id, CASE WHEN len(w) > 0 THEN min(id) OVER (PARTITION BY w) ELSE id END AS class_id, w FROM w),
+r AS (SELECT id, len(w) AS n, unnest(w) AS word FROM m WHERE id = class_id AND len(w) > 0),
+l AS (SELECT a.id AS x, b.id AS y FROM r a JOIN r b ON a.word = b.word AND a.id < b.id GROUP BY a.id, b.id HAVING count(*) >= ceil(0.65 * min(least(a.n, b.n)) - 1e-9))"""
+
+
+@query(f"""WITH {_SAID}, c AS (SELECT id, count(*) AS n FROM (SELECT x AS id FROM l UNION ALL SELECT y FROM l) GROUP BY id)
+SELECT m.id, class_id, coalesce(c.n, 0) AS n_links FROM m LEFT JOIN c ON c.id = m.class_id""")
+def near_dup_links(spark, sf_dir):
+    """Every sentence with its class and the number of classes that it is near to."""
+    rows = stored(said_sentences(spark, sf_dir), "said")
+    members = stored(containment.classes(rows), "classes")
+    linked = containment.links(rows, members)
+    ends = linked.select(F.explode(F.array("x", "y")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n"))
+    return members.join(ends, "class_id", "left").select("id", "class_id", F.coalesce("n", F.lit(0)).alias("n_links"))
+
+
+def near_dup_kept(spark, sf_dir):
+    """Sentences that stay of all conversations, in order of their ids, if near copies of those that stay go."""
+    rows = stored(said_sentences(spark, sf_dir), "said")
+    members = stored(containment.classes(rows), "classes")
+    return containment.greedy_kept(members, containment.links(rows, members))
+
+
+QUERIES["near_dup_kept"] = near_dup_kept
+
+
 @query(f"""SELECT conv_id, turn, len(list_reduce(list_transform({SENTENCES.format("text")}, lambda x: [x]), lambda a, x: CASE WHEN len(list_filter(a, lambda y: least(len({SIGNATURE.format("x[1]")}), len({SIGNATURE.format("y")})) > 0 AND len(list_intersect({SIGNATURE.format("x[1]")}, {SIGNATURE.format("y")})) >= 0.65 * least(len({SIGNATURE.format("x[1]")}), len({SIGNATURE.format("y")})))) > 0 THEN a ELSE list_concat(a, x) END, []::VARCHAR[])) AS n_kept FROM conversations""")
 def near_dup_greedy(spark, sf_dir):
     c = spread(table(spark, sf_dir, "conversations"))
