@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -129,8 +131,14 @@ def sentence_words(t: Column) -> Column:
     return content_words(t, 3, STOPWORDS + MORE_STOPWORDS)
 
 
+def words_of(words: list[str] | tuple[str, ...]) -> Column:
+    """A literal array of strings, in a call or two however long it is; it is folded when the plan is made."""
+    return F.from_json(F.lit(json.dumps(list(words))), "array<string>")
+
+
 def terms(t: Column) -> Column:
-    return F.array_distinct(sentence_words(t))
+    """The distinct words of ``sentence_words``."""
+    return F.array_except(F.filter(tokens(t), lambda w: F.length(w) >= 3), words_of(STOPWORDS + MORE_STOPWORDS))
 
 
 def signature(t: Column) -> Column:
@@ -196,14 +204,14 @@ def containment(a: Column, b: Column) -> Column:
 
 def any_substring(t: Column, marks: list[str] | tuple[str, ...]) -> Column:
     """Whether the lower-case text holds one of the marks; it is lowered once, and the marks are one literal."""
-    return let(F.lower(t), lambda low: F.exists(F.array(*map(F.lit, marks)), lambda m: F.contains(low, m))) if marks else F.lit(False)
+    return let(F.lower(t), lambda low: F.exists(words_of(marks), lambda m: F.contains(low, m))) if marks else F.lit(False)
 
 
 def count_substrings(t: Column, marks: list[str] | tuple[str, ...]) -> Column:
-    return let(F.lower(t), lambda low: F.size(F.filter(F.array(*map(F.lit, marks)), lambda m: F.contains(low, m))))
+    return let(F.lower(t), lambda low: F.size(F.filter(words_of(marks), lambda m: F.contains(low, m))))
 
 
 def mark_points(low: Column, marks: tuple[tuple[str, float], ...]) -> Column:
     """Sum of the points of the marks that a lower-case text holds."""
-    table = F.array(*(F.struct(F.lit(m).alias("m"), F.lit(float(w)).alias("w")) for m, w in marks))
+    table = F.from_json(F.lit(json.dumps([{"m": m, "w": float(w)} for m, w in marks])), "array<struct<m:string,w:double>>")
     return F.aggregate(table, F.lit(0.0), lambda total, x: total + F.when(F.contains(low, x["m"]), x["w"]).otherwise(0.0))

@@ -143,7 +143,7 @@ HOP_NAMES, HOP_SENTENCES = 3, 5
 
 
 def second_hops(found: DataFrame, chunks: DataFrame, kept: Index | None = None) -> DataFrame:
-    """qid, first, second, hop_sentences of multi-hop questions (qid, question, sentences): what the second part asks is looked for with the
+    """qid, first, second, hop_answer (of both parts, or null), hop_sentences of multi-hop questions (qid, question, sentences): what the second part asks is looked for with the
     names that answer the first part, or else with those of its evidence, for all questions at once.
 
     The second query exists only after the first retrieval; it asks for a name that the question itself does not have, and of what is found
@@ -153,11 +153,14 @@ def second_hops(found: DataFrame, chunks: DataFrame, kept: Index | None = None)
     first, second = questions.hops(q)
     names = F.array_distinct(F.flatten(F.transform(F.coalesce("sentences", F.array().cast("array<string>")), T.person_names)))
     new = F.slice(F.filter(names, lambda n: ~F.contains(F.lower(q), F.lower(n))), 1, HOP_NAMES)
-    answered = T.person_names(F.coalesce(synthesis.sentence_answer(first, F.coalesce("sentences", F.array().cast("array<string>"))), F.lit("")))
-    asked = multi.select("qid", first.alias("first"), second.alias("second"), F.when(F.size(answered) > 0, answered).otherwise(new).alias("names")).where("second is not null")
-    asked = stored(asked.select("qid", "first", "second", "names", F.concat_ws(" ", F.lit("about"), F.array_join("names", " "), F.col("second")).alias("query")), "hops")
+    asked = stored(multi.select("qid", first.alias("first"), second.alias("second"), "sentences", new.alias("names")).where("second is not null"), "multi_hop")
     if not asked.limit(1).count():
-        return asked.select("qid", "first", "second", F.array().cast("array<string>").alias("hop_sentences"))
+        return asked.select("qid", "first", "second", F.lit(None).cast("string").alias("hop_answer"), F.array().cast("array<string>").alias("hop_sentences"))
+    own = answer_of(F.col("first"), F.coalesce("sentences", F.array().cast("array<string>")))
+    asked = asked.withColumn("first_answer", own)
+    answered = T.person_names(F.coalesce("first_answer", F.lit("")))
+    asked = asked.withColumn("names", F.when(F.size(answered) > 0, answered).otherwise(F.col("names")))
+    asked = stored(asked.select("qid", "first", "second", "first_answer", "names", F.concat_ws(" ", F.lit("about"), F.array_join("names", " "), F.col("second")).alias("query")), "hops")
     hits = retrieved(chunks, asked.select("qid", F.col("query").alias("question")), PER_QUERY, kept)
     s = hits.join(small(asked, of=asked), "qid").select("qid", "query", "names", F.col("rank").alias("chunk_rank"), F.posexplode(T.sentences_keeping_initials(F.col("text"))).alias("idx", "sentence"))
     score = ranking.sentence_score(F.col("sentence"), F.col("query"), F.array_join("names", " "), F.col("chunk_rank"), F.lit(0.0))
@@ -165,13 +168,14 @@ def second_hops(found: DataFrame, chunks: DataFrame, kept: Index | None = None)
     s = s.where((F.size("names") == 0) | F.exists("names", lambda n: F.contains(F.lower("sentence"), F.lower(n))))
     best = selection.budget_selection(s, HOP_SENTENCES)
     said = best.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]).alias("hop_sentences"))  # five at most
-    return asked.join(said, "qid", "left").select("qid", "first", "second", F.coalesce("hop_sentences", F.array().cast("array<string>")).alias("hop_sentences"))
+    rows = asked.join(small(said, of=asked), "qid", "left").withColumn("hop_sentences", F.coalesce("hop_sentences", F.array().cast("array<string>")))
+    both = F.concat("first_answer", F.lit(" "), answer_of(F.col("second"), F.col("hop_sentences")))
+    return stored(rows.select("qid", "first", "second", both.alias("hop_answer"), "hop_sentences"), "second_hops")
 
 
-def hop_answer(first: Column, second: Column, sentences: Column, hop_sentences: Column) -> Column:
-    """The answers of both parts as sentences, or null if a part has none."""
-    one = lambda q, s: synthesis.formatted(q, synthesis.sentence_answer(q, s))
-    return F.concat(one(first, sentences), F.lit(" "), one(second, hop_sentences))
+def answer_of(question: Column, sentences: Column) -> Column:
+    """The answer to one part of a question as a sentence, or null."""
+    return synthesis.formatted(question, synthesis.sentence_answer(question, sentences))
 
 
 def premise(question: Column, sentences: Column) -> Column:
@@ -217,8 +221,7 @@ def answers(asked: DataFrame, chunks: DataFrame, kept: Index | None = None) -> D
     compared = F.when(F.col("both_sufficient"), synthesis.compared(T.capitalized(F.col("left")), T.capitalized(F.col("right")), F.col("left_sentences"), F.col("right_sentences"), F.regexp_like(F.lower(q), F.lit("fall|fell|decline|collapse"))))
     rows = rows.withColumns({"a": synthesis.answered(q, F.col("intent"), F.col("subject"), F.col("said"), support, clash), "compared": compared, "p": premise(q, F.col("said"))})
     reasoned = F.struct(*(c.alias(k) for k, c in gates.reasoning_support(q, F.col("said"), F.coalesce("best_score", F.lit(0.0))).items()))
-    hop = F.when((F.col("intent") == "general") & F.col("second").isNotNull(), hop_answer(F.col("first"), F.col("second"), F.col("said"), F.col("hop_sentences")))
-    rows = rows.withColumns({"g": reasoned, "hop": hop})
+    rows = rows.withColumns({"g": reasoned, "hop": F.when(F.col("intent") == "general", F.col("hop_answer"))})
     texts = F.transform(F.coalesce("sources", F.array().cast("array<struct<rank:int,id:bigint,score:double,text:string>>")), lambda x: x["text"])
     comparison = F.col("intent") == "comparison"
     traced = comparison | gates.traceable(F.col("a.answer"), texts)

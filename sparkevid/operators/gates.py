@@ -41,7 +41,7 @@ def marks_of(intent: Column, table: dict[str, tuple[str, ...]]) -> Column:
     """The marks of a row's intent as an array; empty for other intents."""
     out = F.array().cast("array<string>")
     for name, marks in table.items():
-        out = F.when(intent == name, F.array(*map(F.lit, marks))).otherwise(out)
+        out = F.when(intent == name, T.words_of(marks)).otherwise(out)
     return out
 
 
@@ -107,7 +107,7 @@ def side_confidence(sentences: Column, entity: Column, fall: Column) -> Column:
     up to three sentences say so. Both hits and a score of SIDE_CONFIDENT are needed."""
     terms = T.entity_terms(T.without_article(entity))
     names = lambda s: F.exists(terms, lambda e: F.contains(T.dedup_key(s), T.dedup_key(e)))
-    tells = lambda s: F.exists(T.space_words(F.lower(s)), lambda w: F.exists(F.array(*map(F.lit, GENERAL_MARKS)), lambda m: F.startswith(w, m)))
+    tells = lambda s: F.exists(T.space_words(F.lower(s)), lambda w: F.exists(T.words_of(GENERAL_MARKS), lambda m: F.startswith(w, m)))
     hit = F.exists(sentences, names)
     shown = F.exists(sentences, lambda s: names(s) & F.when(fall, T.any_substring(s, FALL_MARKS)).otherwise(tells(s)))
     one = lambda c: F.when(c, 1.0).otherwise(0.0)
@@ -157,7 +157,7 @@ def identifier_anchor(question: Column, context: Column) -> Column:
 
 def traced_terms(t: Column) -> Column:
     """Distinct runs of three or more of a-z and 0-9 that are no function words."""
-    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(t), F.lit("[a-z0-9]{3,}"), F.lit(0)), lambda w: ~w.isin(UNTRACED)))
+    return F.array_except(F.regexp_extract_all(F.lower(t), F.lit("[a-z0-9]{3,}"), F.lit(0)), T.words_of(UNTRACED))
 
 
 def traceable(answer: Column, sources: Column) -> Column:
@@ -196,7 +196,7 @@ def located(text: Column, pattern: str) -> Column:
 
 def numeric_conflict(left: Column, right: Column) -> Column:
     """Two numbers of one unit that differ, in windows that share two terms, with a unit or an attribute word."""
-    attributes = F.array(*map(F.lit, ATTRIBUTES))
+    attributes = T.words_of(ATTRIBUTES)
     # a number within a word or an identifier is none
     value = lambda x: F.regexp_extract(x["match"], NUMBER, 1)
     unit = lambda x: F.lower(F.regexp_extract(x["match"], NUMBER, 2))
@@ -219,7 +219,7 @@ def identifier_conflict(left: Column, right: Column) -> Column:
     context = lambda x: F.flatten(F.transform(x, lambda y: y["terms"]))
     own, theirs = only(a, b), only(b, a)
     shared = F.array_intersect(context(own), context(theirs))
-    return (F.size(own) > 0) & (F.size(theirs) > 0) & F.arrays_overlap(shared, F.array(*map(F.lit, IDENTIFIER_ATTRIBUTES)))
+    return (F.size(own) > 0) & (F.size(theirs) > 0) & F.arrays_overlap(shared, T.words_of(IDENTIFIER_ATTRIBUTES))
 
 
 def directive_conflict(left: Column, right: Column) -> Column:
@@ -237,7 +237,7 @@ def directive_conflict(left: Column, right: Column) -> Column:
             for p, q in ((a, b), (b, a)):
                 opposite = opposite | (F.array_contains(x["terms"], p) & F.array_contains(y["terms"], q))
         shared = F.array_intersect(x["terms"], y["terms"])
-        objects = F.filter(shared, lambda w: ~w.isin(*verbs))
+        objects = F.array_except(shared, T.words_of(verbs))
         return (opposite & (F.size(objects) >= 2)) | ((F.size(shared) > 0) & (x["no"] != y["no"]))
 
     return F.exists(parsed(left), lambda x: F.exists(parsed(right), lambda y: clash(x, y)))

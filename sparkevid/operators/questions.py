@@ -320,7 +320,7 @@ def hops(question: Column) -> tuple[Column, Column]:
 def predicate(question: Column) -> Column:
     """The longest known predicate in the question, or null."""
     q = F.lower(question)
-    found = F.filter(F.array(*map(F.lit, sorted(PREDICATES, key=lambda p: (-len(p), p)))), lambda p: F.contains(q, p))
+    found = F.filter(T.words_of(sorted(PREDICATES, key=lambda p: (-len(p), p))), lambda p: F.contains(q, p))
     return F.get(found, F.lit(0))
 
 

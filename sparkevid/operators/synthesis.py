@@ -168,7 +168,7 @@ def sentence_answer(question: Column, sentences: Column) -> Column:
     verbs = WHO_VERBS.replace(" ", "|")
     asked = F.regexp_replace(F.regexp_replace(bare, rf"^who (?:(?:{verbs}) +)?", ""), "^(?:the|a|an) +", "")
     parts = {
-        "q": lowered, "question": question, "ss": sentences, "predicate": questions.predicate(question), "verbs": F.array_intersect(F.split(bare, " +"), F.array(*map(F.lit, WHEN_WORDS))),
+        "q": lowered, "question": question, "ss": sentences, "predicate": questions.predicate(question), "verbs": F.array_intersect(F.split(bare, " +"), T.words_of(WHEN_WORDS)),
         "subject": F.regexp_replace(bare, "^when (?:was|were|is|are|did|does|do) +", ""), "action": F.regexp_extract(bare, rf"^who ({verbs}) ", 1), "object": asked,
         "topic": F.filter(F.split(F.regexp_replace(bare, "^what (?:is|was) +", ""), " +"), lambda w: (F.length(w) > 3) & ~w.isin(_FUNCTION)),
     }
