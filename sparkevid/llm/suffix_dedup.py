@@ -1,8 +1,9 @@
 """Suffix-array dedup: bytes covered by a string of L bytes that also starts elsewhere.
 
-Distributed prefix doubling: positions have the rank of the L / 4 bytes there; Spark sorts rank pairs at offsets L / 4 and L / 2
-and reranks, until ranks are unique or reach the threshold L. The positions of the rounds below the threshold are sampled, as the
-order of all suffixes would be many times the input; see ``repeats``.
+Distributed prefix doubling, in part: sampled positions have the rank of the L / 4 bytes there; Spark sorts and reranks the rank pairs at
+offset L / 4 once, and positions whose ranks are unique end. What is left is decided past that round, by blocks of window starts and then by
+ranks of all L bytes; see ``repeats``. The order of all suffixes would be many times the input, so the positions below the threshold are
+sampled; the result is exact.
 
 Null and empty texts have no bytes and lose none. Repeated rows (same doc_id and text) are occurrences of each
 other and get the same result. Extra columns of the input are not read.
