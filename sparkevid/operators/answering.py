@@ -22,13 +22,36 @@ PER_QUERY, MERGED, SOURCES = 5, 12, 5
 CANDIDATES, FACTUAL_CANDIDATES = 20, 120
 #: Of a comparison: hits of a query, chunks of a side.
 SIDE_QUERY, SIDE_CHUNKS = 6, 8
-MARK = 2.5
+MARK = 3.0
 
 
-def intent_marks(sentence: Column, intent: Column) -> Column:
-    """Points for the marks of an intent in a sentence, two at most."""
-    parts = F.struct(F.lower(sentence).alias("low"), gates.marks_of(intent, gates.INTENT_MARKS).alias("marks"))
-    return R.let(parts, lambda x: MARK * F.least(F.lit(2), F.size(F.filter(x["marks"], lambda m: F.contains(x["low"], m)))))
+#: Points of a mark (others: MARK), of two and three marks of a structure together, of names in a list of people, and what
+#: shows that a sentence with names is about something else.
+LIGHT_MARKS, LIGHT = ("process", "change", "features"), 2.5
+STEPS = ((2, 5.0), (3, 5.0))
+NAME, NAMES_MOST, LED = 4.0, 8.0, 6.0
+LEADING = ("member", "government", "leader")
+ELSEWHERE, ELSEWHERE_POINTS = ("newspaper", "museum", "painting", "collection"), -8.0
+_NAME = r"\b[A-Z][a-z]+(?:-[A-Z][a-z]+)? [A-Z][a-z]+(?:-[A-Z][a-z]+)?\b"
+
+
+def intent_marks(sentence: Column, intent: Column, subject: Column) -> Column:
+    """Points of a sentence for its intent: for each mark; for marks of a structure that stand together, in steps; for names of people, more
+    beside a word of leading, less beside one that tells of something else; for a comparison twice its subject's words."""
+    names = F.size(F.regexp_extract_all(sentence, F.lit(_NAME), F.lit(0)))
+    parts = F.struct(F.lower(sentence).alias("low"), gates.marks_of(intent, gates.INTENT_MARKS).alias("marks"), names.alias("names"))
+
+    def points(x: Column) -> Column:
+        has = lambda words: F.size(F.filter(T.words_of(words), lambda m: F.contains(x["low"], m)))
+        steps = F.lit(0.0)
+        for least, value in STEPS:
+            steps = steps + F.when(x["hits"] >= least, value).otherwise(0.0)
+        people = F.least(F.lit(NAMES_MOST), NAME * x["names"]) + F.when((x["names"] > 0) & (has(LEADING) > 0), LED).otherwise(0.0) + ELSEWHERE_POINTS * has(ELSEWHERE)
+        own = F.when(intent == "structure", steps).when(intent == "entity_list", people).when(intent == "comparison", 2.0 * T.overlap(T.terms(sentence), T.terms(subject))).otherwise(0.0)
+        return F.when(intent.isin(*LIGHT_MARKS), LIGHT).otherwise(MARK) * x["hits"] + own
+
+    counted = lambda x: F.struct(x["low"].alias("low"), x["names"].alias("names"), F.size(F.filter(x["marks"], lambda m: F.contains(x["low"], m))).alias("hits"))
+    return R.let(R.let(parts, counted), points)
 
 
 def retrieved(chunks: DataFrame, queries: DataFrame, k: int = PER_QUERY, kept: Index | None = None) -> DataFrame:
@@ -64,7 +87,7 @@ def judged(hits: DataFrame, plans: DataFrame) -> DataFrame:
     merged = stored(merged_chunks(hits, plans), "merged")
     s = merged.select("qid", "question", "intent", "subject", F.col("rank").alias("chunk_rank"), F.posexplode(T.sentences_keeping_initials(F.col("text"))).alias("idx", "sentence"))
     named = selection.mentions(F.col("sentence"), F.col("subject"))
-    score = ranking.sentence_score(F.col("sentence"), F.col("question"), F.col("subject"), F.col("chunk_rank"), intent_marks(F.col("sentence"), F.col("intent")))
+    score = ranking.sentence_score(F.col("sentence"), F.col("question"), F.col("subject"), F.col("chunk_rank"), intent_marks(F.col("sentence"), F.col("intent"), F.col("subject")))
     s = s.withColumn("score", F.when((F.col("intent") == "general") | named, F.round(score, 6)).otherwise(-1000.0))
     s = selection.keep_first(s, [F.col("qid"), T.dedup_key(F.col("sentence"))], [F.col("chunk_rank"), F.col("idx")])
     chosen = stored(selection.budget_selection(s), "chosen")

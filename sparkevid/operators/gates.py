@@ -12,7 +12,7 @@ from ..functions import text as T
 INTENT_MARKS = {
     "entity_list": ("leader", "leaders", "member", "members", "politician", "government"),
     "structure": ("structure", "organized", "organisation", "organization", "consists", "consisted", "divided", "component", "components", "part", "parts", "hierarchy", "sub-unit", "subunit"),
-    "process": ("process", "uses", "produces", "splits", "converts", "transforms", "absorbs", "releases", "energy", "stage", "stages", "cycle"),
+    "process": ("process", "works", "uses", "produces", "splits", "converts", "transforms", "absorbs", "releases", "energy", "stage", "stages", "cycle"),
     "significance": ("important", "significant", "impact", "influence", "limited", "power", "authority", "rights", "law", "legal", "constitutional", "changed", "transformed"),
     "cause": ("because", "due to", "caused by", "fell after", "collapsed after", "overrun", "defeat", "defeated", "revolt", "invasion", "pressure", "decline", "declined"),
     "effect": ("resulted", "led to", "after", "following", "lost", "became", "came under", "no longer", "fragmented", "divided", "replaced"),

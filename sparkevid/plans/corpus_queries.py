@@ -138,12 +138,16 @@ def ingest_incremental(spark, sf_dir):
     return index.merged_stats(*batches)
 
 
-_LEX = f"""q AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({CONTENT.format("question")}) AS term FROM {Q_SQL}) GROUP BY ALL),
+def _lex_sql(asked: str) -> str:
+    return f"""q AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({CONTENT.format("question")}) AS term FROM {asked}) GROUP BY ALL),
 p AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT doc_id AS chunk_id, unnest({TOKENS.format("text")}) AS term FROM documents) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 d AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 lex AS (SELECT qid, chunk_id, round(sum(least(tf, 3) * qtf * (1 + ln(((SELECT count(*) FROM documents) + 1) / (df + 1)))), 6) AS lexical FROM q JOIN p USING (term) JOIN d USING (term) GROUP BY ALL)"""
 
 
+_LEX = _lex_sql(Q_SQL)
+
+
 @query(f"WITH {_LEX} SELECT qid, chunk_id, lexical, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY lexical DESC, chunk_id) AS rank FROM lex) WHERE rank <= 20")
 def lexical_topk(spark, sf_dir):
     scored = ranking.lexical_scores(chunks(spark, sf_dir), questions(spark)).withColumn("score", F.col("lexical"))
@@ -291,8 +295,11 @@ def source_list(spark, sf_dir):
     return ranking.source_list(c.join(small(hits, of=q, times=5), "chunk_id"))
 
 
-FUSION = [(q, r, k, (7 * q + 5 * r + 3 * k) % 40, 10.0 + (q * r + k) % 7 + 0.5 * (k % 3), k % 4 == 0) for q in (1, 2, 3) for r in (1, 2, 3, 4) for k in (1, 2, 3, 4, 5)]
-_FUSED = f"""hits AS (SELECT qid, query_rank, rank, chunk_id, text, base, runtime FROM {values(FUSION, "qid, query_rank, rank, chunk_id, base, runtime")} JOIN documents ON doc_id = chunk_id),
+#: Three queries of each question: the question, its first four words, and its last three.
+FUSION = [(10 * q + r, " ".join(part)) for q, text in CORPUS_QUESTIONS for r, part in enumerate((text.split(), text.split()[:4], text.split()[-3:]), 1)]
+_FUSED = f"""{_lex_sql(values(FUSION, "qid, question"))},
+hits AS (SELECT qid // 10 AS qid, qid % 10 AS query_rank, rank, chunk_id, text, lexical AS base, chunk_id % 4 = 0 AS runtime
+  FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY lexical DESC, chunk_id) AS rank FROM lex) JOIN documents ON doc_id = chunk_id WHERE rank <= 5),
 """
 
 
@@ -304,8 +311,11 @@ SELECT qid, chunk_id, merged, query_hits, queries, rank FROM (SELECT *, row_numb
 
 
 def _hits(spark, sf_dir):
-    rows = frame(spark, FUSION, "qid long, query_rank int, rank int, chunk_id long, base double, runtime boolean")
-    return chunks(spark, sf_dir).join(F.broadcast(rows), "chunk_id")
+    """Five hits of each query of each question; a fourth of the documents counts as ingested."""
+    c, asked = chunks(spark, sf_dir), frame(spark, FUSION, "qid long, question string")
+    found = ranking.candidates(ranking.lexical_scores(c, asked).withColumn("score", F.col("lexical")), 5)
+    found = found.select(F.floor(F.col("qid") / 10).alias("qid"), (F.col("qid") % 10).alias("query_rank"), "rank", "chunk_id", F.col("lexical").alias("base"))
+    return c.join(small(found, of=asked, times=5), "chunk_id").withColumn("runtime", F.col("chunk_id") % 4 == 0)
 
 
 @query(_fusion_sql(0.25, 3.0, 0.4, 2.5, 1.2, 12))

@@ -576,7 +576,7 @@ ANSWERS = [
     (7, 'The Velan League: The Velan League had a constitution of its own. The Velan League declined because its fleets were lost at sea. The Orsk Union: The Orsk Union had a government of towns. The Orsk Union kept a system of courts.', 'comparison', True, 0, 11),
     (8, 'The Harbor Charter limited the Velan League in every port.', 'premise', True, 0, 15),
     (9, 'I could not find enough supporting evidence to answer that.', 'system', False, 0, 3),
-    (10, 'The long drought had several major effects. Effects of the long drought were sung in Vela. The long drought led to hunger in the towns.', 'synthesized', True, 1, 20),
+    (10, 'The long drought had several major effects. Effects of the long drought were sung in Vela. The long drought led to hunger in the towns. An aftermath of the long drought is told in the annals.', 'synthesized', True, 1, 20),
     (11, 'I could not find enough supporting evidence to answer that.', 'system', False, 0, 3),
     (12, 'I could not find enough supporting evidence to answer that.', 'blank', False, None, None),
     (13, 'I could not find enough supporting evidence to answer that.', 'system', False, 0, 1),
@@ -585,7 +585,7 @@ ANSWERS = [
     (16, 'The main features of the Orsk Union were: The Orsk Union had a government of towns. The Orsk Union kept a system of courts. The Orsk Union lost a war in the north.', 'synthesized', True, 0, 11),
     (17, 'Key figures of the Quern Guild included Ivo Brandt.', 'synthesized', True, 0, 40),
     (18, 'The Harbor Charter was significant because it changed important political or legal relationships. The Harbor Charter limited the Velan League in every port. The Harbor Charter was read aloud in spring.', 'synthesized', True, 0, 15),
-    (19, 'A drum mill works through several key processes. The process of a drum mill begins with the cycle of the wheel. A drum mill uses water and converts its force to motion. A drum mill produces flour in stages.', 'synthesized', True, 0, 44),
+    (19, 'A drum mill produces flour in stages. The process of a drum mill begins with the cycle of the wheel. A drum mill uses water and converts its force to motion.', 'synthesized', True, 0, 44),
 ]
 
 

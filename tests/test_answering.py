@@ -115,3 +115,30 @@ def test_second_hop_asks_for_names_of_the_first(spark):
     assert found[0]["hop_sentences"][0] == "Ivo Brandt was born in 1832 in Moor."
     none = answering.second_hops(spark.createDataFrame(rows[1:], "qid long, question string, sentences array<string>"), chunks)
     assert none.collect() == []
+
+
+def marks_by_hand(sentence, intent, subject):
+    import re
+
+    low = sentence.lower()
+    hits = sum(m in low for m in gates.INTENT_MARKS.get(intent, ()))
+    points = hits * (2.5 if intent in ("process", "change", "features") else 3.0)
+    if intent == "structure":
+        points += 5.0 * (hits >= 2) + 5.0 * (hits >= 3)
+    if intent == "entity_list":
+        names = re.findall(r"\b[A-Z][a-z]+(?:-[A-Z][a-z]+)? [A-Z][a-z]+(?:-[A-Z][a-z]+)?\b", sentence)
+        points += min(8.0, 4.0 * len(names)) + 6.0 * bool(names and any(m in low for m in ("member", "government", "leader"))) - 8.0 * sum(m in low for m in ("newspaper", "museum", "painting", "collection"))
+    if intent == "comparison":
+        points += 2.0 * len(python_terms(sentence) & python_terms(subject))
+    return points
+
+
+def test_marks_of_sentences_by_hand(spark):
+    said = [
+        "A gate consists of parts.", "The gate is divided into parts, a component of its structure.", "It was red.", "", "Mara Tolle and Ivo Brandt were members of the board.", "A museum shows a painting of Mara Tolle.",
+        "Ana-Lise Roe, Ivo Brandt and Mara Tolle met.", "It fell because of a revolt and was defeated.", "The mill uses water and works in stages.", "Trade declined, moved and became small.", "The gate and the mill differ.",
+    ]
+    rows = [(x, i, "the gate and the mill") for x in said for i in (*gates.INTENT_MARKS, "comparison", "general")]
+    d = spark.createDataFrame(rows, "s string, i string, t string")
+    got = d.select("s", "i", answering.intent_marks(F.col("s"), F.col("i"), F.col("t")).alias("p")).collect()
+    assert [(r["s"], r["i"], r["p"]) for r in got] == [(s, i, marks_by_hand(s, i, t)) for s, i, t in rows]
