@@ -82,16 +82,30 @@ def top(df: DataFrame, k: int, by: list[str], *order: Column, rank: str = "rank"
     return df.withColumn(rank, number).where(F.col(rank) <= k)
 
 
-#: Rows up to which a side of a join is broadcast; its size is counted first.
-SMALL = 100_000
+#: Rows and bytes up to which a side of a join is broadcast, both measured first; rows of a side with texts that another table's count stands for.
+SMALL, SMALL_BYTES, SMALL_TEXTS = 100_000, 64 << 20, 10_000
+
+
+def _width(df: DataFrame) -> Column:
+    """Bytes of a row, about: its strings as they are, 16 for any other value, arrays by their text form."""
+    parts = [F.lit(16)]
+    for f in df.schema.fields:
+        kind = f.dataType.simpleString()
+        parts.append(F.coalesce(F.octet_length(f"`{f.name}`" if kind in ("string", "binary") else F.to_json(F.struct(f"`{f.name}`"))), F.lit(0)) if kind in ("string", "binary") or "<" in kind else F.lit(16))
+    return sum(parts[1:], parts[0]).cast("long")
 
 
 def small(df: DataFrame, of: DataFrame | None = None, times: int = 1) -> DataFrame:
     """A side that is expected to be small (terms of questions, chosen hits): marked for broadcast if it is, else joined by a shuffle.
 
     Spark cannot know the size of what an aggregation will return when it plans, and would shuffle the corpus. ``of``: a table
-    that is cheap to count, of which ``df`` has at most ``times`` rows each; ``df`` itself is then not computed twice."""
-    counted, most = (df, SMALL) if of is None else (of, SMALL // times)
-    if getattr(counted, "counted", (0, 0))[1] <= most:  # a table is counted once, as far as it was asked for
-        counted.counted = (counted.limit(SMALL + 1).count(), SMALL + 1)
-    return F.broadcast(df) if counted.counted[0] <= most else df
+    that is cheap to count, of which ``df`` has at most ``times`` rows each; ``df`` itself is then not computed twice. Else its rows and bytes are
+    measured. A table is measured once."""
+    counted = df if of is None else of
+    if "measured" not in vars(counted):
+        first = counted.limit(SMALL + 1)
+        counted.measured = first.agg(F.count("*"), F.coalesce(F.sum(_width(first)) if of is None else F.lit(0), F.lit(0))).first()
+    rows, size = counted.measured
+    texts = any(f.dataType.simpleString() == "string" or "<" in f.dataType.simpleString() for f in df.schema.fields)
+    most = SMALL if of is None or not texts else SMALL_TEXTS
+    return F.broadcast(df) if rows * times <= most and (of is not None or size <= SMALL_BYTES) else df
