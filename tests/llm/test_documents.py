@@ -349,7 +349,7 @@ def test_registry_has_every_operator(spark, small):
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert {re.match(r"op\d+_", n)[0] for n in names if re.match(r"op\d+_", n)} == {f"op{k}_" for k in range(1, 11)}
+    assert {re.match(r"op\d+_", n)[0] for n in names if re.match(r"op\d+_", n)} == {f"op{k}_" for k in range(1, 13)}
     assert set(entry.oracle_sql()) <= names and "pipeline" in names
     d = entry.queries()["op6_media_columns"](spark, small).first()
     assert d["payload_bytes"] % 64 == 0 and 0 <= d["tail_crc32"] < 1 << 32 and zlib.crc32(b"") == 0
