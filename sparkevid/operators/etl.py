@@ -124,7 +124,7 @@ def result_prompt(context: Column, question: Column) -> Column:
 def instruction_question(sentence: Column) -> Column:
     """"What is <subject>?" or "What was <subject>?" for a subject of 3 to 12 words before the first " is " or " was ", else a question
     about the first five words of five letters or more."""
-    subject = lambda verb: F.trim(F.split(sentence, f" {verb} ", 2)[0])
+    subject = lambda verb: T.trimmed(F.split(sentence, f" {verb} ", 2)[0])
     asked = lambda verb: F.when(F.contains(F.lower(sentence), F.lit(f" {verb} ")) & F.size(T.space_words(subject(verb))).between(3, 12), F.concat(F.lit(f"What {verb} "), subject(verb), F.lit("?")))
     useful = F.slice(F.filter(T.training_tokens(sentence), lambda w: F.length(w) >= 5), 1, 5)
     topic = F.when(F.size(useful) > 0, F.array_join(useful, " ")).otherwise("this topic")

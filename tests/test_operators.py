@@ -39,6 +39,14 @@ def test_packing_against_python(spark, small):
         assert r["c"] == packed(sentences(r["text"]))
 
 
+def test_sentences_keep_digits_at_their_ends(spark):
+    text = "0 is first 0. 1 follows, as does 11. 2 is 2 or 22. \u00a03 \u3000"
+    want = ["0 is first 0.", "1 follows, as does 11.", "2 is 2 or 22.", "3"]
+    assert one(spark, T.sentences(F.lit(text))) == one(spark, T.sentences_keeping_initials(F.lit(text))) == want
+    assert one(spark, T.lines_or_stops(F.lit("0 a 0\n1 b 1\n1"))) == ["0 a 0", "1 b 1", "1"]
+    assert one(spark, T.pack_sentences(T.sentences(F.lit(text)), least=1)) == [" ".join(want)]
+
+
 def test_initials_do_not_end_sentences(spark):
     assert one(spark, T.sentences_keeping_initials(F.lit("It was J. Smith who came. He left."))) == ["It was J. Smith who came.", "He left."]
 
