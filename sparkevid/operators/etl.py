@@ -93,9 +93,9 @@ def examples(texts: DataFrame, key: str, mine=mined, limit: int = 1200) -> DataF
     return s.where(F.contains(F.lower("context"), F.lower("answer")))
 
 
-def first_examples(found: DataFrame, key: str, cap: int = CAP) -> DataFrame:
-    """The first ``cap`` in scan order, which is the feature here, then the first of each question and answer. Needs key and idx."""
-    kept = found.orderBy(key, "idx").limit(cap)
+def first_examples(found: DataFrame, key: str, cap: int | None = CAP) -> DataFrame:
+    """The first ``cap`` in scan order, which is the feature here, or all; then the first of each question and answer. Needs key and idx."""
+    kept = found if cap is None else found.orderBy(key, "idx").limit(cap)
     return kept.groupBy(F.lower("question").alias("_q"), F.lower("answer").alias("_a")).agg(F.min_by(F.struct(*found.columns), F.struct(key, "idx")).alias("r")).select("r.*")
 
 
@@ -143,9 +143,10 @@ def evidence_instructions(texts: DataFrame, key: str, times: int | None = 3) ->
 
 
 def mined_instructions(lines: DataFrame, key: str) -> DataFrame:
-    """The third form: examples of five types from lines of 30 characters or more, the first of each question and answer, with prompts."""
+    """The third form: examples of five types from lines of 30 characters or more, the first of each question and answer, with prompts; all
+    of the table, however many."""
     e = examples(lines.where(F.length("text") >= LEAST_LINE), key, partial(mined, rules=INSTRUCTIONS))
-    return first_examples(e, key).withColumn("prompt", result_prompt(F.col("context"), F.col("question")))
+    return first_examples(e, key, None).withColumn("prompt", result_prompt(F.col("context"), F.col("question")))
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:

@@ -51,6 +51,12 @@ def test_initials_do_not_end_sentences(spark):
     assert one(spark, T.sentences_keeping_initials(F.lit("It was J. Smith who came. He left."))) == ["It was J. Smith who came.", "He left."]
 
 
+def test_mined_instructions_are_not_capped(spark):
+    n = etl.CAP + 7
+    lines = spark.range(n).select("id", F.concat(F.lit("The Harbor Board "), F.translate(F.col("id").cast("string"), "0123456789", "bcdfghjklm"), F.lit(" was founded in 1902.")).alias("text"))
+    assert etl.mined_instructions(lines, "id").count() == n
+
+
 def test_greedy_keeps_by_order(spark):
     a, b, c = "alpha bravo charlie delta", "alpha bravo charlie xenon", "xenon yankee zulu charlie"
     keep = lambda x: one(spark, selection.greedy_distinct(F.array(*map(F.lit, x))))
