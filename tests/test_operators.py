@@ -57,6 +57,17 @@ def test_mined_instructions_are_not_capped(spark):
     assert etl.mined_instructions(lines, "id").count() == n
 
 
+def test_runs_of_initials_against_sql(spark):
+    import duckdb
+
+    from sparkevid.plans import corpus_queries
+
+    text = "heing. A. A. A. A. Then J. R. Smith came. K. L."
+    n = duckdb.sql(corpus_queries.ORACLE["sentence_variants"].replace("FROM documents", f"FROM (SELECT 1 AS doc_id, '{text}' AS text)")).fetchall()[0][2]
+    got = one(spark, T.sentences_keeping_initials(F.lit(text)))
+    assert got == ["heing.", "A. A.", "A. A.", "Then J. R.", "Smith came.", "K. L."] and len(got) == n
+
+
 def test_greedy_keeps_by_order(spark):
     a, b, c = "alpha bravo charlie delta", "alpha bravo charlie xenon", "xenon yankee zulu charlie"
     keep = lambda x: one(spark, selection.greedy_distinct(F.array(*map(F.lit, x))))
