@@ -13,6 +13,10 @@ from ..functions import text as T
 from ..session import small, top
 
 
+#: Tasks that count a split's words: their counts stay in memory.
+PARTS = 8
+
+
 def postings(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text") -> DataFrame:
     """chunk_id, term, tf; stopwords are kept."""
     each = chunks.select(F.col(chunk_id).alias("chunk_id"), F.explode(T.tokens(F.col(text))).alias("term"))
@@ -42,8 +46,11 @@ def posted_terms(chunks: DataFrame, terms: DataFrame, tokens=T.tokens) -> DataFr
 
 
 def keyphrases(texts: DataFrame, key: str, k: int = 8, text: str = "text") -> DataFrame:
-    """key, rank, term, n: most frequent content words, ties by first occurrence."""
-    each = texts.select(F.col(key), F.posexplode(T.content_words(F.col(text))).alias("pos", "term"))
+    """key, rank, term, n: most frequent content words, ties by first occurrence.
+
+    Texts are shuffled by their key, once; their words, several times as many bytes, are counted and ranked where they are."""
+    dealt = texts.select(F.col(key), F.col(text).alias("_text")).repartition(PARTS * texts.rdd.getNumPartitions(), key)
+    each = dealt.select(F.col(key), F.posexplode(T.content_words(F.col("_text"))).alias("pos", "term"))
     counted = each.groupBy(key, "term").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     return top(counted, k, [key], F.desc("n"), F.asc("first")).select(key, "rank", "term", "n")
 

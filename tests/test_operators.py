@@ -306,3 +306,11 @@ def test_a_model_can_be_plugged_in(spark):
     d = spark.createDataFrame([(1, "the"), (2, "and"), (3, None), (4, "falls")], "id long, prompt string")
     assert {r["id"]: r["generated"] for r in generation.generated(d, load).collect()} == {1: "tide rises and falls", 2: "falls", 3: None, 4: ""}
     assert {r["id"]: r["generated"] for r in generation.generated(d, load, 2).collect()}[1] == "tide rises"
+
+
+def test_keyphrases_shuffle_texts_once(spark, small):
+    d = spark.read.parquet(f"{small}/documents.parquet")
+    d = d.select(F.pmod("doc_id", F.lit(150)).alias("doc_id"), "text")  # ids that documents share
+    k = index.keyphrases(d, "doc_id")
+    assert k._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert k.groupBy("doc_id", "rank").count().where("count > 1").isEmpty()
