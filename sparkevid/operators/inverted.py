@@ -49,7 +49,8 @@ def write_batch(chunks: DataFrame, root: str, batch: int, buckets: int = BUCKETS
     at = {name: f"{root}/{name}/batch={batch}" for name in TABLES}
     blocks_of(chunks).write.mode("overwrite").parquet(at["chunks"])
     kept = spark.read.schema(blocks_of(chunks).schema).parquet(at["chunks"])
-    each = kept.select("chunk_id", "block", F.explode(T.tokens(F.col("text"))).alias("term"))
+    dealt = kept.select("chunk_id", "block", "text").repartition(index.PARTS * kept.rdd.getNumPartitions(), "chunk_id")  # texts, not their words
+    each = dealt.select("chunk_id", "block", F.explode(T.tokens(F.col("text"))).alias("term"))
     posted = each.groupBy("chunk_id", "block", "term").agg(F.count("*").alias("tf")).withColumn("bucket", bucket_of("term", buckets))
     by_bucket = lambda df, *order: df.hint("rebalance", "bucket").sortWithinPartitions("bucket", *order).write.mode("overwrite").partitionBy("bucket")
     by_bucket(posted, "term", "chunk_id").parquet(at["postings"])
