@@ -13,12 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import small, stored, top
-from . import metrics, ranking
+from ..session import small, spread, stored
+from . import index, metrics, ranking, similarity
 
 #: Words of a question; first word and number of words of the expected run.
 ASKED, FROM, RUN = 12, 2, 6
 CATEGORIES = ("passage", "reversed")
+#: Stands for a null chunk_id, which is last in ties.
+NO_ID = (1 << 63) - 1
 
 
 def cases(passages: DataFrame) -> DataFrame:
@@ -36,23 +38,37 @@ def cases(passages: DataFrame) -> DataFrame:
     return p.select((F.col("item_id") * 2 + F.col("x.k")).alias("qid"), "item_id", "x.category", "question", "x.supported", "x.expected", "x.contradiction")
 
 
-def lexical_system(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    scored = ranking.lexical_scores(chunks, questions).withColumn("score", F.col("lexical"))
-    return ranking.candidates(scored, k).select("qid", "chunk_id", "rank", "score")
+def counts(chunks: DataFrame, questions: DataFrame) -> DataFrame:
+    """chunk_id (a null one: NO_ID), token, tf of the tokens that a system may ask for, from one pass over the texts. Tokens with an apostrophe all stay: their
+    parts are words of the systems that know no apostrophes."""
+    asked = questions.select(F.explode(F.concat(T.tokens(F.col("question")), T.plain_tokens(F.col("question")), F.array(F.lit("'")))).alias("key")).distinct()
+    each = spread(chunks).select(F.coalesce(F.col("chunk_id").cast("long"), F.lit(NO_ID)).alias("chunk_id"), F.explode(T.tokens(F.col("text"))).alias("token"))
+    each = each.withColumn("key", F.when(F.contains("token", F.lit("'")), "'").otherwise(F.col("token")))
+    return each.join(small(asked), "key", "left_semi").groupBy("chunk_id", "token").agg(F.count("*").alias("tf"))
 
 
-def keyword_system(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    scored = ranking.keyword_scores(chunks, questions)
-    return top(scored, k, ["qid"], F.desc("keyword"), F.asc("chunk_id")).select("qid", "chunk_id", "rank", F.col("keyword").cast("double").alias("score"))
+def lexical_system(counted: DataFrame, n: int, questions: DataFrame, k: int) -> DataFrame:
+    terms = index.query_terms(questions)
+    df = counted.join(small(terms.select("term").distinct()), F.col("token") == F.col("term"), "left_semi").groupBy(F.col("token").alias("term")).agg(F.count("*").alias("df"))
+    weights = terms.join(df, "term").select("qid", "term", (F.col("qtf") * ranking.idf(F.lit(n), F.col("df"))).alias("weight"))
+    return similarity.best_scores(counted.select("chunk_id", F.col("token").alias("term"), F.least("tf", F.lit(ranking.TF_CAP)).alias("tf")), stored(weights, "weights"), k)
 
 
+def keyword_system(counted: DataFrame, n: int, questions: DataFrame, k: int) -> DataFrame:
+    weights = questions.select("qid", F.explode(T.plain_tokens(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").cast("double").alias("weight"))
+    words = F.when(F.contains("token", F.lit("'")), F.filter(F.split("token", "'"), lambda x: x != "")).otherwise(F.array("token"))
+    return similarity.best_scores(counted.select("chunk_id", F.explode(words).alias("term"), "tf"), stored(weights, "weights"), k)
+
+
+#: Of counts, the number of chunks, questions (qid, question) and k: qid, chunk_id, rank, score of the first k chunks of each question.
 SYSTEMS = {"keyword": keyword_system, "lexical": lexical_system}
 
 
 def hits(chunks: DataFrame, asked: DataFrame, k: int = 5, systems: dict = SYSTEMS) -> DataFrame:
-    """system, qid, chunk_id, rank, score of each system's first k chunks. Equal questions are asked once."""
+    """system, qid, chunk_id, rank, score of each system's first k chunks. Equal questions are asked once, and texts are read once."""
     once = stored(asked.groupBy("question").agg(F.min("qid").alias("qid")), "asked")
-    found = [f(chunks, once, k).select(F.lit(name).alias("system"), F.col("qid").alias("first"), "chunk_id", "rank", "score") for name, f in systems.items()]
+    counted, n = stored(counts(chunks, once), "counts"), chunks.count()
+    found = [f(counted, n, once, k).select(F.lit(name).alias("system"), F.col("qid").alias("first"), F.nullif("chunk_id", F.lit(NO_ID)).alias("chunk_id"), "rank", "score") for name, f in systems.items()]
     all_of = asked.select("qid", "question").join(small(once.select(F.col("qid").alias("first"), "question"), of=asked), "question").drop("question")
     return reduce(DataFrame.unionByName, found).join(small(all_of, of=asked), "first").select("system", "qid", "chunk_id", "rank", "score")
 
@@ -60,9 +76,11 @@ def hits(chunks: DataFrame, asked: DataFrame, k: int = 5, systems: dict = SYSTEM
 def supports(chunks: DataFrame, asked: DataFrame, found: DataFrame, k: int = 5, systems: dict = SYSTEMS) -> DataFrame:
     """system and the columns of the cases, with the ranks at which the expected run and the contradiction are first met, or null.
 
-    Hits meet their text once for all systems; a case without hits stays."""
-    said = lambda phrase: F.contains(F.concat(F.lit(" "), T.dedup_key(F.col("text")), F.lit(" ")), F.concat(F.lit(" "), phrase, F.lit(" ")))
-    texts = chunks.select("chunk_id", "text").join(small(found, of=asked, times=k * len(systems)), "chunk_id")
+    Texts that were hit are normalised once, whatever the number of hits; a case without hits stays."""
+    said = lambda phrase: F.contains("said", F.concat(F.lit(" "), phrase, F.lit(" ")))
+    hit = small(found.select("chunk_id").distinct(), of=asked, times=k * len(systems))
+    texts = chunks.select("chunk_id", "text").join(hit, "chunk_id", "left_semi").select("chunk_id", F.concat(F.lit(" "), T.dedup_key(F.col("text")), F.lit(" ")).alias("said"))
+    texts = texts.join(small(found, of=asked, times=k * len(systems)), "chunk_id")
     texts = texts.join(small(asked.select("qid", "expected", "contradiction")), "qid")
     met = texts.groupBy("system", "qid").agg(F.min(F.when(said(F.col("expected")), F.col("rank"))).alias("support_rank"), F.min(F.when(said(F.col("contradiction")), F.col("rank"))).alias("contradiction_rank"))
     every = asked.withColumn("system", F.explode(F.array(*map(F.lit, systems))))

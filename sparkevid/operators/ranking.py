@@ -28,12 +28,15 @@ def lexical_scores(chunks: DataFrame, questions: DataFrame, df: DataFrame | None
         df = index.term_stats(posted)
     if n is None:
         n = chunks.count()
-    idf = 1 + F.log((F.lit(n) + 1) / (F.col("df") + 1))
     weights = small(terms.join(df, "term"), of=terms)
-    scored = posted.join(weights, "term").withColumn("part", F.least("tf", F.lit(TF_CAP)) * F.col("qtf") * idf)
+    scored = posted.join(weights, "term").withColumn("part", F.least("tf", F.lit(TF_CAP)) * F.col("qtf") * idf(F.lit(n), F.col("df")))
     return scored.groupBy("qid", "chunk_id").agg(F.round(F.sum("part"), 6).alias("lexical"))
 
 
+def idf(n: Column, df: Column) -> Column:
+    return 1 + F.log((n + 1) / (df + 1))
+
+
 def candidates(scored: DataFrame, k: Column | int = 20) -> DataFrame:
     """The first k of each question by score, lexical score and chunk_id; scores of zero or less are no hits. ``k`` may be a column."""
     hits = scored.where("score > 0")

@@ -21,6 +21,8 @@ from ..session import spread, top
 BLOCK_BYTES = 32 << 20
 #: Queries that a product is made for at once.
 STRIPE = 512
+#: Postings of a block of chunks, on average.
+BLOCK_POSTINGS = 500_000
 
 
 def _blocks(df: DataFrame, column: str) -> int:
@@ -64,24 +66,29 @@ def _paired(vectors: DataFrame, queries: DataFrame, summary: Callable, schema: s
     return v.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(product, schema)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, cosine, rank of the k nearest vectors of each query; both tables have vec_id, embedding."""
+def _k_best(k: int) -> Callable:
+    """Row's id, column's id and value of the k largest of each row of ``values``; NaN is none. Made here so that it travels by value."""
 
-    def best(np, asked, ids, cos):
+    def best(np, asked, ids, values):
         # ids ascend, so a stable sort leaves ties in their order; NaN goes last and is dropped
-        if cos.shape[1] > 4 * k:
-            bound = np.partition(np.nan_to_num(-cos, nan=np.inf), k - 1, axis=1)[:, k - 1]
-            rows, columns = np.nonzero(-cos <= bound[:, None])
+        if values.shape[1] > 4 * k:
+            bound = np.partition(np.nan_to_num(-values, nan=np.inf), k - 1, axis=1)[:, k - 1]
+            rows, columns = np.nonzero(-values <= bound[:, None])
         else:
-            rows, columns = np.nonzero(~np.isnan(cos))
-        values = cos[rows, columns]
+            rows, columns = np.nonzero(~np.isnan(values))
+        values = values[rows, columns]
         order = np.lexsort((columns, -values, rows))
         rows, columns, values = rows[order], columns[order], values[order]
         first = np.searchsorted(rows, rows, side="left")
         kept = np.arange(len(rows)) - first < k
         return asked[rows[kept]], ids[columns[kept]], values[kept]
 
-    found = _paired(vectors, queries, best, "query_id long, vec_id long, cosine double")
+    return best
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, cosine, rank of the k nearest vectors of each query; both tables have vec_id, embedding."""
+    found = _paired(vectors, queries, _k_best(k), "query_id long, vec_id long, cosine double")
     return top(found, k, ["query_id"], F.desc("cosine"), F.asc("vec_id"))
 
 
@@ -94,3 +101,48 @@ def bounds(vectors: DataFrame, queries: DataFrame) -> DataFrame:
 
     found = _paired(vectors, queries, ends, "query_id long, least double, most double")
     return found.groupBy("query_id").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+
+
+def best_scores(posted: DataFrame, weights: DataFrame, k: int) -> DataFrame:
+    """qid, chunk_id, score, rank: of many questions the k best chunks each, by the sum of tf * weight over common terms, ties by chunk_id.
+
+    ``posted``: chunk_id, term, tf; ``weights``: qid, term, weight, above zero; both long or double, written, without nulls. Many questions ask for nearly every
+    chunk, so their pairs are scored where a block of chunks meets a block of questions, by a product of its counts with their weights."""
+    down = max(posted.sparkSession.sparkContext.defaultParallelism, -(-posted.count() // BLOCK_POSTINGS))
+    across = max(1, -(-weights.select("qid").distinct().count() // STRIPE))
+    dealt = lambda df, own, key, n, other, m: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+    p = dealt(posted.select("chunk_id", "term", F.col("tf").cast("double").alias("tf")), "i", "chunk_id", down, "j", across)
+    w = dealt(weights.select("qid", "term", F.col("weight").cast("double").alias("weight")), "j", "qid", across, "i", down)
+
+    best = _k_best(k)
+
+    def product(left, right):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        kinds = (("qid", np.int64), ("chunk_id", np.int64), ("score", np.float64))
+        out = [tuple(np.empty(0, t) for _, t in kinds)]
+        if left.num_rows and right.num_rows:
+            terms = pc.unique(right.column("term"))
+            place = lambda t: pc.index_in(t.column("term"), value_set=terms)
+            qids, q = np.unique(right.column("qid").to_numpy(), return_inverse=True)
+            w = np.zeros((len(terms), len(qids)))
+            w[place(right).to_numpy(), q] = right.column("weight").to_numpy()
+            at = place(left)
+            left, at = left.filter(pc.is_valid(at)), at.drop_null().to_numpy()
+            ids, chunk = np.unique(left.column("chunk_id").to_numpy(), return_inverse=True)
+            order = np.argsort(chunk, kind="stable")
+            cell, tf, chunk = at[order] + chunk[order] * len(terms), left.column("tf").to_numpy()[order], chunk[order]
+            for lo in range(0, len(ids), STRIPE):
+                n = min(STRIPE, len(ids) - lo)
+                a, b = np.searchsorted(chunk, (lo, lo + n))
+                m = np.bincount(cell[a:b] - lo * len(terms), tf[a:b], n * len(terms)).reshape(n, len(terms))
+                score = np.round(m @ w, 6).T
+                score[score <= 0] = np.nan
+                out.append(best(np, qids, ids[lo : lo + n], score))
+        return pa.table({name: np.concatenate(c).astype(t) for (name, t), c in zip(kinds, zip(*out, strict=True), strict=True)})
+
+    p, w = (df.repartition(down * across, "i", "j") for df in (p, w))  # a stated number: what a task sorts is a few blocks, however many there are
+    found = p.groupBy("i", "j").cogroup(w.groupBy("i", "j")).applyInArrow(product, "qid long, chunk_id long, score double")
+    return top(found, k, ["qid"], F.desc("score"), F.asc("chunk_id"))

@@ -1,6 +1,7 @@
 """The two jobs, on copies of the smallest tables: growing input, reruns, their command lines; the stored index against scores over all chunks."""
 
 import json
+import re
 import subprocess
 import sys
 from pathlib import Path
@@ -172,6 +173,29 @@ def test_cases_and_ranks_by_hand(spark):
     assert rows(evaluation.paired(got, "a", "b")) == [("passage", 1, 0, 1, 0, 0), ("reversed", 1, 0, 1, 0, 0)]
 
 
+def test_systems_score_by_blocks_as_by_pairs(spark, capsys, monkeypatch):
+    """Several blocks of questions and of chunks, apostrophes, ties, a null id and a null text; no pair of a question and a chunk is shuffled."""
+    from sparkevid.operators import similarity
+
+    words = "the it's o'clock '' red don't don t alpha beta gamma delta of and x".split()
+    texts = [(i, " ".join(words[(i * p) % 14] for p in range(1, 3 + i % 9))) for i in range(120)] + [(500, None), (None, "alpha beta don't"), (501, "Don't DON'T the 'the'")]
+    chunks = spark.createDataFrame(texts, "chunk_id long, text string")
+    asked = spark.createDataFrame([(i, " ".join(words[(i * p + 3) % 14] for p in range(4))) for i in range(9)] + [(90, "nothing"), (91, "'' don't")], "qid long, question string")
+    monkeypatch.setattr(similarity, "STRIPE", 4)
+    monkeypatch.setattr(similarity, "BLOCK_POSTINGS", 30)
+    found = evaluation.hits(chunks, asked, 5)
+    found.explain()
+    assert not re.search(r"hashpartitioning\(qid#\d+L?, chunk_id#", capsys.readouterr().out)
+    n = asked.groupBy("question").agg(F.min("qid").alias("qid"))
+    some = chunks.withColumn("chunk_id", F.coalesce("chunk_id", F.lit(evaluation.NO_ID)))
+    lexical = ranking.lexical_scores(some, n).withColumn("score", F.col("lexical"))
+    keyword = ranking.keyword_scores(some, n).withColumn("score", F.col("keyword").cast("double")).withColumn("lexical", F.col("score"))
+    for name, scored in (("lexical", lexical), ("keyword", keyword)):
+        best = ranking.candidates(scored, 5).select("qid", F.nullif("chunk_id", F.lit(evaluation.NO_ID)).alias("chunk_id"), "rank", "score")
+        want = n.select(F.col("qid").alias("first"), "question").join(asked, "question").join(best.withColumnRenamed("qid", "first"), "first").select("qid", "chunk_id", "rank", "score")
+        assert rows(found.where(F.col("system") == name).select("qid", "chunk_id", "rank", "score")) == rows(want)
+
+
 @pytest.mark.parametrize("job", ["ingest_index", "evaluate_retrieval"])
 def test_command_line(small, tmp_path, job):
     settings = json.loads((ROOT / "jobs" / f"{job}.json").read_text())
