@@ -5,7 +5,9 @@ share one of the first n - ceil(s n) + 1 of each, and the first shingle they sha
 these shingles are keys by which no pair is missed. The order puts the ones frequent in a sample last, which decides about speed only.
 
 The members of a key are first paired with its least member; that joins large groups of copies. Then all members of a key are
-paired that are not in one component yet. Pairs pass a sketch (the parity of shingles in each of 512 bits: sets differ in at least as
+paired that are not in one component yet: at once if these pairs are few, as their counts tell, and else in rounds. A round pairs some
+members, the centres, with all others, and then they are done with; what they joined is paired no more, so a group of near copies takes many
+fewer pairs than its square, and no link is lost: the last round takes all that is left. Pairs pass a sketch (the parity of shingles in each of 512 bits: sets differ in at least as
 many shingles as sketches in bits) before their texts are met and compared.
 """
 
@@ -25,6 +27,8 @@ from .runtime import dropped, on_executors, written
 
 #: One of so many texts is sampled for the order; count there, and number, of the shingles that come last.
 SAMPLE, OFTEN, LAST = 16, 4, 200_000
+#: Places of sets, by a hash, among which centres are taken in order; pairs a member above which centres are taken in rounds; pairs a member in a round.
+SPACE, MANY, FEW = 1 << 20, 16, 4
 #: Longs of a sketch.
 WORDS = 8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -133,17 +137,16 @@ def rest(rows: DataFrame, sets: DataFrame, found: DataFrame, size: int, similari
     p, q = similarity
     once = written(rows.groupBy("fp").agg(F.first("n").alias("n"), F.first("keys").alias("keys")), "near_sets")
 
-    def shared(root: DataFrame) -> DataFrame:
-        """The keys of more than one group: key, fp, pos, n, root, and first, their least member."""
-        grouped = once.join(root.hint("merge"), "fp")
+    def shared(root: DataFrame, low: int = 0) -> DataFrame:
+        """The keys of more than one group, of sets at ``low`` or above: key, fp, pos, n, root, at; written."""
+        own = once.withColumn("at", F.pmod(F.xxhash64("fp", F.lit("centre")), F.lit(SPACE))).where(F.col("at") >= low)
+        grouped = own.join(root.hint("merge"), "fp")
         span = grouped.select("root", F.explode("keys").alias("key")).groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
         span = written(span.where("low < high").select("key"), "near_open")
-        keys = written(once.select("fp", F.posexplode("keys").alias("pos", "key")).join(span.hint("merge"), "key", "left_semi"), "near_keys")
-        dropped(span)
-        full = written(keys.join(grouped.select("fp", "n", "root").hint("merge"), "fp"), "near_keys")
-        low = written(full.groupBy("key").agg(F.min(F.struct("fp", "n", "pos", "root")).alias("first")), "near_first")
-        dropped(keys)
-        return full.join(low.hint("merge"), "key")
+        keys = written(own.select("fp", F.posexplode("keys").alias("pos", "key")).join(span.hint("merge"), "key", "left_semi"), "near_keys")
+        full = written(keys.join(grouped.select("fp", "n", "root", "at").hint("merge"), "fp"), "near_keys")
+        dropped(span, keys)
+        return full
 
     def may_reach(n: Column, pos: Column, n2: Column, pos2: Column) -> Column:
         """Whether sets that meet first at these places can overlap enough."""
@@ -151,16 +154,27 @@ def rest(rows: DataFrame, sets: DataFrame, found: DataFrame, size: int, similari
 
     root = components(sets, found)
     keys = shared(root)
-    first = keys.where((F.col("root") != F.col("first.root")) & may_reach(F.col("n"), F.col("pos"), F.col("first.n"), F.col("first.pos")))
+    low = written(keys.groupBy("key").agg(F.min(F.struct("fp", "n", "pos", "root")).alias("first")), "near_first")
+    first = keys.join(low.hint("merge"), "key").where((F.col("root") != F.col("first.root")) & may_reach(F.col("n"), F.col("pos"), F.col("first.n"), F.col("first.pos")))
     first = first.select(F.col("fp").alias("x"), F.col("first.fp").alias("y")).distinct()
-    one = confirmed(first, sets, rows, size, similarity)
-    dropped(root)
-
-    root = components(sets, found.unionByName(one))
-    keys = shared(root).drop("first")
-    other = keys.select("key", *(F.col(c).alias(f"{c}2") for c in ("fp", "n", "pos", "root")))
-    met = keys.join(other.hint("merge"), "key").where((F.col("root") > F.col("root2")) & may_reach(*map(F.col, ("n", "pos", "n2", "pos2"))))
-    two = confirmed(met.select(F.col("fp").alias("x"), F.col("fp2").alias("y")).distinct(), sets, rows, size, similarity)
-    out = written(one.unionByName(two), "rest_links")
-    dropped(once, root)
+    links = confirmed(first, sets, rows, size, similarity)
+    dropped(root, keys, low)
+
+    done = 0
+    while done < SPACE:
+        root = components(sets, found.unionByName(links))
+        keys = shared(root, done)
+        members, pairs = keys.groupBy("key").agg(F.count("*").alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.col("c") * F.col("c")), F.lit(0))).first()
+        share = 1.0 if pairs <= MANY * members else max(FEW * members / pairs, min(1.0, 8 * done / SPACE))
+        upto = SPACE if share >= 1 else done + max(1, int((SPACE - done) * share))
+        if members:
+            centres = keys.where(F.col("at") < upto).select("key", *(F.col(c).alias(f"{c}2") for c in ("fp", "n", "pos", "root")))
+            apart = (F.col("root") > F.col("root2")) | ((F.col("at") >= upto) & (F.col("root") < F.col("root2")))  # of two centres once
+            met = keys.join(centres.hint("merge"), "key").where(apart & may_reach(*map(F.col, ("n", "pos", "n2", "pos2"))))
+            met = met.select(F.greatest("fp", "fp2").alias("x"), F.least("fp", "fp2").alias("y")).distinct()
+            links = links.unionByName(confirmed(met, sets, rows, size, similarity))
+        dropped(root, keys)
+        done = upto
+    out = written(links, "rest_links")
+    dropped(once)
     return out

@@ -201,6 +201,31 @@ def test_similar_texts_against_all_pairs(spark, monkeypatch):
     assert max(map(len, groups)) >= 60 and len(groups) < len(set(data)) - 60
 
 
+def test_rounds_of_centres_lose_no_link_and_pair_less(spark, monkeypatch):
+    """A large group of texts that differ too much from its least member, so that only chains of links join it."""
+    monkeypatch.setattr(shingles, "SAMPLE", 1)
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    base, data = [r.choice(words) for _ in range(120)], []
+    for i in range(120):
+        w = list(base)
+        for _ in range(r.randint(1, 3)):
+            w[r.randrange(len(w))] = r.choice(words)
+        data.append((i, " ".join(w)))
+    data += [(200 + i, " ".join(r.choice(words) for _ in range(60))) for i in range(20)]
+    groups = shingle_groups([t for _, t in data])
+    tried, confirmed = [], shingles.confirmed
+    monkeypatch.setattr(shingles, "confirmed", lambda pairs, *rest: (tried.append(pairs.count()), confirmed(pairs, *rest))[1])
+    kept = {}
+    for many, few in ((10**9, 4), (1, 1)):
+        monkeypatch.setattr(shingles, "MANY", many)
+        monkeypatch.setattr(shingles, "FEW", few)
+        tried.clear()
+        kept[many] = sorted(x["doc_id"] for x in simhash.dedup(table(spark, data)).collect()), sum(tried), len(tried)
+    assert kept[1][0] == kept[10**9][0] == sorted(min(data[i][0] for i in g) for g in groups)
+    assert kept[1][2] > kept[10**9][2] and kept[1][1] < kept[10**9][1]
+
+
 def test_stage_drops_texts_of_similarity_four_fifths(spark):
     """Fingerprints of this pair differ in more than two bits, but most shingles of five words are the same; texts that share an id stay."""
     import corpus_pipeline
