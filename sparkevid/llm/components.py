@@ -38,3 +38,20 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     out = written(nodes.select("fp").join(root.hint("merge"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "components")
     dropped(both, root, hooks)
     return out
+
+
+def merged(root: DataFrame, edges: DataFrame) -> DataFrame:
+    """The groups of ``root`` (fp, root; written, and dropped here) as further edges (x, y) join them.
+
+    Edges count once, as one edge between two groups; those within a group end here."""
+    of = lambda c: root.select(F.col("fp").alias(c), F.col("root").alias(f"root_{c}")).hint("merge")
+    apart = edges.join(of("x"), "x").join(of("y"), "y").where("root_x <> root_y")
+    apart = written(apart.select(F.greatest("root_x", "root_y").alias("x"), F.least("root_x", "root_y").alias("y")).distinct(), "apart")
+    if apart.isEmpty():
+        dropped(apart)
+        return root
+    groups = apart.select(F.col("x").alias("fp")).unionByName(apart.select(F.col("y").alias("fp"))).distinct()
+    joined = components(groups, apart)
+    out = written(root.join(joined.select(F.col("fp").alias("root"), F.col("root").alias("up")), "root", "left").select("fp", F.coalesce("up", "root").alias("root")), "components")
+    dropped(root, apart, joined)
+    return out

@@ -7,8 +7,10 @@ these shingles are keys by which no pair is missed. The order puts the ones freq
 The members of a key are first paired with its least member; that joins large groups of copies. Then all members of a key are
 paired that are not in one component yet: at once if these pairs are few, as their counts tell, and else in rounds. A round pairs some
 members, the centres, with all others, and then they are done with; what they joined is paired no more, so a group of near copies takes many
-fewer pairs than its square, and no link is lost: the last round takes all that is left. Pairs pass a sketch (the parity of shingles in each of 512 bits: sets differ in at least as
-many shingles as sketches in bits) before their texts are met and compared.
+fewer pairs than its square, and no link is lost: the last round takes all that is left. Pairs pass a sketch (the parity of shingles in each of 512 bits or more: sets differ in at least as
+many shingles as sketches in bits; larger sets have more bits, of which two halves fold into one) before their texts are met and compared.
+
+Keys are taken out of the sets once. What is paired later is what is left of them, and a link is handed on once, as one between groups.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, merged
 from .hashing import majority, mix
 from .runtime import dropped, on_executors, written
 
@@ -29,7 +31,7 @@ from .runtime import dropped, on_executors, written
 SAMPLE, OFTEN, LAST = 16, 4, 200_000
 #: Places of sets, by a hash, among which centres are taken in order; pairs a member above which centres are taken in rounds; pairs a member in a round.
 SPACE, MANY, FEW = 1 << 20, 16, 4
-#: Longs of a sketch.
+#: Longs of a sketch at least.
 WORDS = 8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -67,6 +69,19 @@ def prefix(s: np.ndarray, last: np.ndarray, rank: np.ndarray, similarity: tuple[
     return s[:n]
 
 
+def sketch_of(s: np.ndarray) -> np.ndarray:
+    """The parities of a set's shingles in as many bits as it has shingles, or up to twice as many; in 64 WORDS at least."""
+    bits = max(64 * WORDS, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s >> np.uint64(8) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def differing(x: Column, y: Column) -> Column:
+    """Bits in which two sketches differ, of which one may be twice as long as the other: so sets of which one has half the shingles of the other or more."""
+    fold = lambda a, b: F.when(F.size(a) > F.size(b), F.zip_with(F.slice(a, F.lit(1), F.size(b)), F.slice(a, F.size(b) + 1, F.size(b)), lambda v, w: v.bitwiseXOR(w))).otherwise(a)
+    return F.aggregate(F.zip_with(fold(x, y), fold(y, x), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, b: s + b)
+
+
 def described(batches: Iterator[pa.RecordBatch], size: int, similarity: tuple[int, int], often: bytes) -> Iterator[pa.RecordBatch]:
     """Rows with text (binary) to rows with fp (the set's name), sim (its SimHash), n, sketch and keys as well. ``often`` in falling
     order of frequency."""
@@ -79,11 +94,10 @@ def described(batches: Iterator[pa.RecordBatch], size: int, similarity: tuple[in
             fp, sim, n, sketch, keys = [], [], [], [], []
             for x in part.column("text"):
                 s = shingles(x.as_py() or b"", size)
-                odd = np.bincount((s >> np.uint64(8) & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
                 fp.append(xxhash.xxh64_intdigest(s.tobytes()))
                 sim.append(majority([s]))
                 n.append(len(s))
-                sketch.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                sketch.append(sketch_of(s))
                 keys.append(prefix(s, last, rank, similarity).view(np.int64))
             cols = {c: part.column(c) for c in part.schema.names}
             lists = {k: pa.ListArray.from_arrays(np.cumsum([0, *map(len, v)]).astype(np.int32), pa.array(np.concatenate(v))) for k, v in (("sketch", sketch), ("keys", keys))}
@@ -108,8 +122,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame, size: int, si
         return df.join(of.select(F.col("fp").alias(at), *(F.col(c).alias(f"{c}_{at}") for c in columns)).hint("merge"), at)
 
     p, q = similarity
-    differ = F.aggregate(F.zip_with("sketch_x", "sketch_y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, b: s + b)
-    few = beside(beside(pairs, sets, "x", "n", "sketch"), sets, "y", "n", "sketch").where(differ * (p + q) <= (F.col("n_x") + F.col("n_y")) * (q - p))
+    sized = q * F.least("n_x", "n_y") >= p * F.greatest("n_x", "n_y")  # so their sketches are of one length or two that follow
+    alike = differing(F.col("sketch_x"), F.col("sketch_y")) * (p + q) <= (F.col("n_x") + F.col("n_y")) * (q - p)
+    few = beside(beside(pairs, sets, "x", "n", "sketch"), sets, "y", "n", "sketch").where(F.when(sized, alike).otherwise(False))
     few = written(few.select("x", "y"), "near_pairs")
     if few.isEmpty():
         return few
@@ -133,48 +148,52 @@ def sets_of(documents: DataFrame, size: int, similarity: tuple[int, int]) -> Dat
 
 
 def rest(rows: DataFrame, sets: DataFrame, found: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
-    """Links x, y between the groups that the links ``found`` leave, enough of them for the components; written."""
+    """fp, root: the groups of near copies, by the links ``found`` and those between the groups that these leave; written."""
     p, q = similarity
-    once = written(rows.groupBy("fp").agg(F.first("n").alias("n"), F.first("keys").alias("keys")), "near_sets")
-
-    def shared(root: DataFrame, low: int = 0) -> DataFrame:
-        """The keys of more than one group, of sets at ``low`` or above: key, fp, pos, n, root, at; written."""
-        own = once.withColumn("at", F.pmod(F.xxhash64("fp", F.lit("centre")), F.lit(SPACE))).where(F.col("at") >= low)
-        grouped = own.join(root.hint("merge"), "fp")
-        span = grouped.select("root", F.explode("keys").alias("key")).groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    once = written(rows.groupBy("fp").agg(F.first("keys").alias("keys")), "near_sets")
+    common = written(once.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "near_open")
+    keys = written(once.select("fp", F.posexplode("keys").alias("pos", "key")).join(common.hint("merge"), "key", "left_semi"), "near_keys")
+    dropped(once, common)
+
+    def shared(keys: DataFrame, root: DataFrame, low: int = 0) -> DataFrame:
+        """Of the keys (dropped here) those of more than one group, of sets at ``low`` or above: key, fp, pos, n, root, at; written."""
+        own = keys.select("key", "fp", "pos", F.pmod(F.xxhash64("fp", F.lit("centre")), F.lit(SPACE)).alias("at")).where(F.col("at") >= low)
+        full = written(own.join(sets.select("fp", "n").hint("merge"), "fp").join(root.hint("merge"), "fp"), "near_keys")
+        span = full.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
         span = written(span.where("low < high").select("key"), "near_open")
-        keys = written(own.select("fp", F.posexplode("keys").alias("pos", "key")).join(span.hint("merge"), "key", "left_semi"), "near_keys")
-        full = written(keys.join(grouped.select("fp", "n", "root", "at").hint("merge"), "fp"), "near_keys")
-        dropped(span, keys)
-        return full
+        out = written(full.join(span.hint("merge"), "key", "left_semi"), "near_keys")
+        dropped(keys, full, span)
+        return out
 
     def may_reach(n: Column, pos: Column, n2: Column, pos2: Column) -> Column:
         """Whether sets that meet first at these places can overlap enough."""
         return F.least(n - pos, n2 - pos2) * (p + q) >= (n + n2) * p
 
     root = components(sets, found)
-    keys = shared(root)
+    keys = shared(keys, root)
     low = written(keys.groupBy("key").agg(F.min(F.struct("fp", "n", "pos", "root")).alias("first")), "near_first")
     first = keys.join(low.hint("merge"), "key").where((F.col("root") != F.col("first.root")) & may_reach(F.col("n"), F.col("pos"), F.col("first.n"), F.col("first.pos")))
     first = first.select(F.col("fp").alias("x"), F.col("first.fp").alias("y")).distinct()
     links = confirmed(first, sets, rows, size, similarity)
-    dropped(root, keys, low)
+    dropped(low)
+    root = merged(root, links)
+    dropped(links)
 
     done = 0
     while done < SPACE:
-        root = components(sets, found.unionByName(links))
-        keys = shared(root, done)
+        keys = shared(keys, root, done)
         members, pairs = keys.groupBy("key").agg(F.count("*").alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.col("c") * F.col("c")), F.lit(0))).first()
+        if not members:
+            break
         share = 1.0 if pairs <= MANY * members else max(FEW * members / pairs, min(1.0, 8 * done / SPACE))
         upto = SPACE if share >= 1 else done + max(1, int((SPACE - done) * share))
-        if members:
-            centres = keys.where(F.col("at") < upto).select("key", *(F.col(c).alias(f"{c}2") for c in ("fp", "n", "pos", "root")))
-            apart = (F.col("root") > F.col("root2")) | ((F.col("at") >= upto) & (F.col("root") < F.col("root2")))  # of two centres once
-            met = keys.join(centres.hint("merge"), "key").where(apart & may_reach(*map(F.col, ("n", "pos", "n2", "pos2"))))
-            met = met.select(F.greatest("fp", "fp2").alias("x"), F.least("fp", "fp2").alias("y")).distinct()
-            links = links.unionByName(confirmed(met, sets, rows, size, similarity))
-        dropped(root, keys)
+        centres = keys.where(F.col("at") < upto).select("key", *(F.col(c).alias(f"{c}2") for c in ("fp", "n", "pos", "root")))
+        apart = (F.col("root") > F.col("root2")) | ((F.col("at") >= upto) & (F.col("root") < F.col("root2")))  # of two centres once
+        met = keys.join(centres.hint("merge"), "key").where(apart & may_reach(*map(F.col, ("n", "pos", "n2", "pos2"))))
+        met = met.select(F.greatest("fp", "fp2").alias("x"), F.least("fp", "fp2").alias("y")).distinct()
+        links = confirmed(met, sets, rows, size, similarity)
+        root = merged(root, links)
+        dropped(links)
         done = upto
-    out = written(links, "rest_links")
-    dropped(once)
-    return out
+    dropped(keys)
+    return root

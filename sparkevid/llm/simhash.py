@@ -165,7 +165,7 @@ def dedup(documents: DataFrame, size: int = 5, similarity: tuple[int, int] = (4,
     apart = near.join(at("x"), "x").join(at("y"), "y").select(F.greatest("set_x", "set_y").alias("x"), F.least("set_x", "set_y").alias("y"))
     found = shingles.confirmed(equal.unionByName(apart).distinct(), sets, rows, size, similarity)
     dropped(prints)
-    root = components(sets, written(found.unionByName(shingles.rest(rows, sets, found, size, similarity)), "all_links"))
+    root = shingles.rest(rows, sets, found, size, similarity)
     stay = sets.join(root.hint("merge"), "fp").groupBy("root").agg(F.min("least").alias("least"))
     stay = written(stay.select(F.coalesce("least.doc_id", F.lit(0)).alias("k1"), F.col("least.hash").alias("k2"), F.col("least.none").alias("k3")), "stay")
     dropped(rows, sets, root)

@@ -226,6 +226,66 @@ def test_rounds_of_centres_lose_no_link_and_pair_less(spark, monkeypatch):
     assert kept[1][2] > kept[10**9][2] and kept[1][1] < kept[10**9][1]
 
 
+def counted(monkeypatch, *modules):
+    """Rows of the tables that the modules write, by name."""
+    rows = {}
+
+    def written(df, name, real=shingles.written):
+        out = real(df, name)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    for m in modules:
+        monkeypatch.setattr(m, "written", written)
+    return rows
+
+
+def test_links_are_handed_on_once(spark, monkeypatch):
+    """Whatever the number of rounds, a link takes part in one search for components, as an edge between two groups."""
+    monkeypatch.setattr(shingles, "SAMPLE", 1)
+    monkeypatch.setattr(shingles, "MANY", 1)
+    monkeypatch.setattr(shingles, "FEW", 1)
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    base, data = [r.choice(words) for _ in range(120)], []
+    for i in range(60):
+        w = list(base)
+        for _ in range(r.randint(1, 3)):
+            w[r.randrange(len(w))] = r.choice(words)
+        data.append((i, " ".join(w)))
+    rows = counted(monkeypatch, shingles, components)
+    kept = [x["doc_id"] for x in simhash.dedup(table(spark, data)).collect()]
+    assert sorted(kept) == sorted(min(data[i][0] for i in g) for g in shingle_groups([t for _, t in data]))
+    assert len(rows["edges"]) > 2 and sum(rows["edges"]) <= 2 * sum(rows["near_links"])
+    assert len(rows["near_sets"]) == 1 and sum(rows["near_open"][1:]) < len(rows["near_open"]) * rows["near_open"][0]
+
+
+def test_sketches_tell_long_texts_apart(spark, monkeypatch):
+    """Texts of thousands of words that have half their shingles in common end before they are met; near copies of that length do not."""
+    r = random.Random(6)
+    text = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    base = text(1500)
+    data = [(i, " ".join(base + text(1500))) for i in range(4)]
+    data.append((9, data[0][1].replace(base[40], "other")))
+    rows = counted(monkeypatch, shingles)
+    assert sorted(x["doc_id"] for x in simhash.dedup(table(spark, data)).collect()) == [0, 1, 2, 3]
+    assert sum(rows["near_pairs"]) == 1
+
+
+@pytest.mark.parametrize(("n", "m"), [(1, 1), (500, 520), (900, 1100), (2048, 2049), (4097, 4000), (3000, 3700)])
+def test_sketches_differ_in_no_more_bits_than_sets(spark, n, m):
+    import numpy as np
+
+    r = np.random.default_rng(n)
+    s, new = r.integers(0, 1 << 63, n, dtype=np.uint64), r.integers(0, 1 << 63, m, dtype=np.uint64)
+    t = np.unique(np.concatenate((s[: int(0.9 * n)], new))[:m])
+    s = np.unique(s)
+    row = spark.createDataFrame([(shingles.sketch_of(s).tolist(), shingles.sketch_of(t).tolist())], "a array<long>, b array<long>")
+    for a, b in (("a", "b"), ("b", "a")):
+        found = row.select(shingles.differing(F.col(a), F.col(b))).first()[0]
+        assert (len(np.setxor1d(s, t)) - found) % 2 == 0 and 0 < found <= len(np.setxor1d(s, t))
+
+
 def test_stage_drops_texts_of_similarity_four_fifths(spark):
     """Fingerprints of this pair differ in more than two bits, but most shingles of five words are the same; texts that share an id stay."""
     import corpus_pipeline
