@@ -1,11 +1,13 @@
 """A stored inverted index that retrieval reads: partitioned Parquet tables, added to batch by batch.
 
     chunks/batch=b               chunk_id, block, text and what else the chunks have
-    postings/batch=b/bucket=t    term, chunk_id, block, tf
-    blocks/batch=b/bucket=t      term, block, n, most: postings of a block, and the largest tf among them
-    terms/batch=b/bucket=t       term, df, n, most of the batch; document frequencies of batches add
+    segments/batch=b/bucket=t    term, df, most, hits (chunk_id, block, tf): a term's postings in some megabytes of chunks, and the largest tf
+    terms/batch=b/bucket=t       term, df, most of the batch; document frequencies of batches add
     sizes/batch=b                chunks: the number of chunks of the batch
 
+``Index.table`` gives the hits as rows, too: ``postings`` (term, chunk_id, block, tf) and ``blocks`` (term, block, n, most: postings of a block,
+and the largest tf among them). They are not stored as rows, of which millions a batch would be sorted, nor twice: most blocks hold a term once.
+
 A term's bucket is a hash of the term, so a search reads the buckets of the asked terms only, and files are sorted by term, so
 row groups without these terms are skipped. A batch's folders are replaced as a whole when it is written again.
 
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import small, stored, top
+from ..session import small, spread, stored, top
 from . import index
 from .ranking import TF_CAP
 
@@ -31,7 +33,10 @@ BLOCK = 64
 NAMED = 1000
 #: Scores are compared after rounding to six places.
 MARGIN = 1e-5
-TABLES = ("chunks", "postings", "blocks", "terms", "sizes")
+TABLES = ("chunks", "segments", "terms", "sizes")
+#: Bytes of text whose postings make a segment, at least a chunk: some ten times as many are in memory.
+SEGMENT = 8 << 20
+SEGMENTS = "term string, df long, most int, hits array<struct<chunk_id: long, block: long, tf: int>>"
 
 
 def bucket_of(term: str, buckets: int) -> Column:
@@ -43,30 +48,88 @@ def blocks_of(chunks: DataFrame) -> DataFrame:
     return chunks if "block" in chunks.columns else chunks.withColumn("block", F.floor(F.col("chunk_id") / BLOCK))
 
 
+def segments(chunks: DataFrame, size: int = SEGMENT) -> DataFrame:
+    """The postings of chunks (chunk_id, block, text) by SEGMENTS. Tokens are those of ``text.tokens``; a chunk is one row."""
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        inside = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789'", np.uint8))
+        ends = lambda starts, n: np.append(starts, n).astype(np.int32)
+
+        def segment(ids, blocks, texts, at):
+            """``texts``: bytes; ``at``: where each chunk's begin, and their end."""
+            own = inside[texts]
+            before = np.concatenate([[False], own[:-1]])
+            before[at[:-1][at[:-1] < len(own)]] = False
+            first = np.flatnonzero(own & ~before)
+            if not len(first):
+                return None
+            length = np.diff(np.append(np.cumsum(own, dtype=np.int32)[first] - 1, np.count_nonzero(own)))
+            words = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(ends(np.cumsum(length) - length, length.sum())), pa.py_buffer(texts[own])])
+            words = words.dictionary_encode()
+            chunk = np.repeat(np.arange(len(ids)), np.diff(np.searchsorted(first, at)))
+            pair, tf = np.unique(words.indices.to_numpy().astype(np.int64) * len(ids) + chunk, return_counts=True)
+            term, chunk, tf = pair // len(ids), pair % len(ids), tf.astype(np.int32)
+            of_term = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
+            hits = pa.StructArray.from_arrays([ids.take(pa.array(chunk)), blocks.take(pa.array(chunk)), pa.array(tf)], ["chunk_id", "block", "tf"])
+            columns = {
+                "term": words.dictionary.take(pa.array(term[of_term])),
+                "df": np.diff(ends(of_term, len(tf))).astype(np.int64),
+                "most": np.maximum.reduceat(tf, of_term),
+                "hits": pa.ListArray.from_arrays(ends(of_term, len(tf)), hits),
+            }
+            return pa.RecordBatch.from_pydict(columns)
+
+        for rows in batches:
+            ids, blocks, text = rows.column("chunk_id"), rows.column("block"), rows.column("text").cast(pa.large_binary())
+            at = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+            data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
+            lo = 0
+            while lo < len(text):
+                hi = max(lo + 1, int(np.searchsorted(at, at[lo] + size, "right")) - 1)
+                made = segment(ids.slice(lo, hi - lo), blocks.slice(lo, hi - lo), data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+                if made is not None:
+                    yield made
+                lo = hi
+
+    rows = chunks.select(F.col("chunk_id").cast("long"), F.col("block").cast("long"), F.coalesce(F.lower("text"), F.lit("")).alias("text"))
+    return rows.mapInArrow(count, SEGMENTS)
+
+
+def merged(chunks: DataFrame) -> DataFrame:
+    """As ``segments``, for chunks of many rows (the same chunk_id and block): one posting for all rows of a chunk, a segment each."""
+    each = chunks.select(F.col("chunk_id").cast("long"), F.col("block").cast("long"), F.explode(T.tokens(F.col("text"))).alias("term"))
+    tf = F.col("tf").cast("int")
+    each = each.groupBy("chunk_id", "block", "term").agg(F.count("*").alias("tf"))
+    return each.select("term", F.lit(1).cast("long").alias("df"), tf.alias("most"), F.array(F.struct("chunk_id", "block", tf.alias("tf"))).alias("hits"))
+
+
 def write_batch(chunks: DataFrame, root: str, batch: int, buckets: int = BUCKETS) -> None:
     """Index ``chunks`` (chunk_id, text, and optionally block and more) as one batch."""
     spark = chunks.sparkSession
     at = {name: f"{root}/{name}/batch={batch}" for name in TABLES}
     blocks_of(chunks).write.mode("overwrite").parquet(at["chunks"])
     kept = spark.read.schema(blocks_of(chunks).schema).parquet(at["chunks"])
-    dealt = kept.select("chunk_id", "block", "text").repartition(index.PARTS * kept.rdd.getNumPartitions(), "chunk_id")  # texts, not their words
-    each = dealt.select("chunk_id", "block", F.explode(T.tokens(F.col("text"))).alias("term"))
-    posted = each.groupBy("chunk_id", "block", "term").agg(F.count("*").alias("tf")).withColumn("bucket", bucket_of("term", buckets))
-    by_bucket = lambda df, *order: df.hint("rebalance", "bucket").sortWithinPartitions("bucket", *order).write.mode("overwrite").partitionBy("bucket")
-    by_bucket(posted, "term", "chunk_id").parquet(at["postings"])
-    posted = spark.read.schema(posted.schema).parquet(at["postings"])
-    maxima = posted.groupBy("bucket", "term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("most"))
-    by_bucket(maxima, "term", "block").parquet(at["blocks"])
-    maxima = spark.read.schema(maxima.schema).parquet(at["blocks"])
-    stats = maxima.groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.max("most").alias("most"))
-    by_bucket(stats, "term").parquet(at["terms"])
+    by_bucket = lambda df: df.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket")
+    rows = spread(kept.select("chunk_id", "block", "text"))
+    again = kept.groupBy("chunk_id", "block").count().where("count > 1").select(F.col("chunk_id").alias("c"), F.col("block").alias("b"))
+    if again.isEmpty():
+        posted = segments(rows)
+    else:
+        again, same = small(again), F.col("chunk_id").eqNullSafe(F.col("c")) & F.col("block").eqNullSafe(F.col("b"))
+        posted = segments(rows.join(again, same, "left_anti")).unionByName(merged(rows.join(again, same, "left_semi")))
+    posted = posted.withColumn("bucket", bucket_of("term", buckets))
+    by_bucket(posted).parquet(at["segments"])
+    posted = spark.read.schema(posted.schema).parquet(at["segments"])
+    by_bucket(posted.groupBy("bucket", "term").agg(F.sum("df").alias("df"), F.max("most").alias("most"))).parquet(at["terms"])
     kept.agg(F.count("*").alias("chunks")).write.mode("overwrite").parquet(at["sizes"])
 
 
 SCHEMAS = {
-    "postings": "chunk_id long, block long, term string, tf long, batch int, bucket int",
-    "blocks": "term string, block long, n long, most long, batch int, bucket int",
-    "terms": "term string, df long, most long, batch int, bucket int",
+    "segments": f"{SEGMENTS}, batch int, bucket int",
+    "terms": "term string, df long, most int, batch int, bucket int",
     "sizes": "chunks long, batch int",
 }
 
@@ -78,6 +141,11 @@ class Index:
         self.spark, self.root, self.buckets = spark, root, buckets
 
     def table(self, name: str) -> DataFrame:
+        if name == "postings":
+            rows = self.table("segments").select("term", "batch", "bucket", F.inline("hits"))
+            return rows.select("chunk_id", "block", "term", F.col("tf").cast("long").alias("tf"), "batch", "bucket")
+        if name == "blocks":
+            return self.table("postings").groupBy("term", "block", "batch", "bucket").agg(F.count("*").alias("n"), F.max("tf").alias("most"))
         reader = self.spark.read
         return (reader.schema(SCHEMAS[name]) if name in SCHEMAS else reader).parquet(f"{self.root}/{name}")
 

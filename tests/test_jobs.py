@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from jobs import evaluate_retrieval, ingest_index
 from sparkevid.operators import answering, evaluation, inverted, ranking
+from sparkevid.operators import index as index_of
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -130,6 +131,40 @@ def test_compacted_index_is_the_same(spark, index, tmp_path):
     assert one.table("sizes").count() == 1 and rows(one.statistics()) == rows(found.statistics())
 
 
+def test_segments_hold_the_postings_of_odd_texts(spark):
+    """Texts that touch each other, cases that fold to ASCII, bytes that are no UTF-8, apostrophes, empty texts and none; in one slice and in many."""
+    texts = ["ab", "cd ab", "", None, "!!!", "'tis IT's", "\u212aelvin \u0130stanbul \u017fo", "a\u00e9b \u4e2d1\u4e2d2", "x" * 3000, "ab " * 400, "", "ab"]
+    chunks = spark.createDataFrame([(i, i // 3, t) for i, t in enumerate(texts)], "chunk_id long, block long, text string").coalesce(1)
+    chunks = chunks.unionByName(spark.sql("SELECT 99L AS chunk_id, CAST(NULL AS BIGINT) AS block, CAST(unhex('6162FF63C3') AS STRING) AS text"))
+    want = rows(index_of.postings(chunks).join(chunks.select("chunk_id", "block"), "chunk_id").select("chunk_id", "block", "term", "tf"))
+    assert len(want) > 15
+    for size in (1, 8, 5000, inverted.SEGMENT):
+        made = inverted.segments(chunks, size)
+        assert rows(made.select(F.inline("hits"), "term").select("chunk_id", "block", "term", F.col("tf").cast("long"))) == want
+        assert made.where("df <> size(hits) OR most <> array_max(hits.tf)").count() == 0
+    assert inverted.segments(chunks.where("chunk_id IN (2, 3, 4)")).count() == 0
+
+
+def test_rows_of_the_same_chunk_are_one_posting(spark, tmp_path):
+    data = [(1, "a b"), (1, "b c b"), (1, "b"), (2, "b"), (None, "b d"), (None, "d"), (3, None), (3, "")]
+    chunks = spark.createDataFrame(data, "chunk_id long, text string")
+    inverted.write_batch(chunks, str(tmp_path / "i"), 0)
+    found = inverted.Index(spark, str(tmp_path / "i"))
+    assert rows(found.table("postings").select("chunk_id", "term", "tf")) == rows(index_of.postings(chunks))
+    assert rows(found.statistics()) == [("a", 1), ("b", 3), ("c", 1), ("d", 1)] and found.size() == 8
+
+
+def test_a_batch_sorts_segments_not_single_postings(spark, tmp_path):
+    """200 chunks of the same 50 words: 10,000 postings and as many block maxima were rows of two tables."""
+    chunks = spark.range(200).select(F.col("id").alias("chunk_id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(49)), lambda x: F.concat(F.lit("w"), x)), " ").alias("text"))
+    inverted.write_batch(chunks, str(tmp_path / "i"), 0)
+    assert sorted(p.name for p in (tmp_path / "i").iterdir()) == ["chunks", "segments", "sizes", "terms"]
+    found = inverted.Index(spark, str(tmp_path / "i"))
+    assert found.table("segments").count() <= 50 * 8
+    assert found.table("postings").count() == 10_000
+    assert found.table("blocks").agg(F.sum("n"), F.max("most"), F.count("*")).first()[:] == (10_000, 1, 50 * 4)
+
+
 def test_answers_over_an_index(spark, tmp_path):
     from sparkevid.plans import rule_queries as Q
 
